@@ -50,5 +50,15 @@ def oracles() -> dict[str, str]:
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Round computed doubles so the oracle comparison is order-insensitive."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c)
+    return df.select(*[round6(F.col(c), digits).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
+
+
+def round6(col, digits: int = 6):
+    """Round half away from zero on the binary value: ``round(x * 10^d) / 10^d``.
+
+    (``F.round(x, d)`` rounds the shortest decimal text of ``x`` instead, which
+    differs from SQL engines on values such as 0.1288585.)"""
+    m = float(10 ** digits)
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c * F.lit(m)) / F.lit(m)
