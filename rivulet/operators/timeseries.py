@@ -35,8 +35,15 @@ HOUR_MS = 3_600_000
 EMPTY_LABELS = "map<string,string>"
 
 
-def select_series(samples: DataFrame, metric: str, matchers: Sequence = ()) -> DataFrame:
-    """``metric{matchers}``: rows of one metric whose labels match."""
+def select_series(samples, metric: str, matchers: Sequence = ()) -> DataFrame:
+    """``metric{matchers}``: rows of one metric whose labels match.
+
+    ``samples`` is a sample DataFrame or a source with ``for_metric`` (see
+    :class:`rivulet.sources.samples.SampleSource`), which yields only that
+    metric's rows.
+    """
+    if hasattr(samples, "for_metric"):
+        return samples.for_metric(metric).where(all_match("labels", matchers))
     return samples.where((F.col("metric") == F.lit(metric)) & all_match("labels", matchers))
 
 

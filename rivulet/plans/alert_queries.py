@@ -1 +1,314 @@
-"""Registered queries (filled in below)."""
+"""Alert rule evaluation queries.
+
+The rule texts, hold durations, severities and annotation templates below are
+fixed values taken from the rule files; each rule's expression is also given
+as a vector expression tree (``expr_tree``) that builds the Spark plan.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..functions.time import duration_seconds
+from ..operators import alerts as al
+from ..operators import timeseries as ts
+from ..sources.samples import SampleSource
+from . import sqlgen as q
+from .registry import register, round6
+from .vexpr import Agg, Bin, Cmp, Delta, Inst, Params, Rate
+
+REF = Params(step_ms=60_000, lookback_ms=300_000)                         # 60 s groups
+DENSE = Params(step_ms=3_600_000, lookback_ms=7_200_000, range_scale=72)  # 1 h grid, 6 h ranges
+
+# ---------------------------------------------------------------- fixed values
+# (group, alert, expression, for, severity, summary, description)
+RULE_TEXT = [
+    ("kafka-brokers", "ActiveControllerCountNotOne",
+     'sum by (env) (kafka_controller_kafkacontroller_value{name="ActiveControllerCount"}) != 1', "10s", "page",
+     "Active controller count for env {{ $labels.env }}",
+     "Active controller count for env {{ $labels.env }} is {{ $value }}."),
+    ("kafka-brokers", "OfflinePartitionCount",
+     'sum by(env) (kafka_controller_kafkacontroller_value{name="OfflinePartitionsCount"}) > 0', "10s", "page",
+     "Offline partitions for env {{ $labels.env }}",
+     "Offline partitions count for env {{ $labels.env }} is {{ $value }}."),
+    ("kafka-brokers", "UncleanLeaderElections",
+     'sum by(env) (kafka_controller_controllerstats_oneminuterate{name="UncleanLeaderElectionsPerSec"}) > 0', "1m", "page",
+     "UncleanLeaderElections for env {{ $labels.env }}",
+     "UncleanLeaderElections count for env {{ $labels.env }} is {{ $value }}."),
+    ("kafka-brokers", "UnderReplicatedPartitions",
+     'sum by(env) (kafka_server_replicamanager_value{name="UnderReplicatedPartitions"}) > 0', "1m", "page",
+     "UnderReplicatedPartitions for env {{ $labels.env }}",
+     "UnderReplicatedPartitions for env {{ $labels.env }} is {{ $value }}."),
+    ("kafka-brokers", "UnderMinIsrPartitionCount",
+     'sum by (env) (kafka_server_replicamanager_value{name="UnderMinIsrPartitionCount"}) > 0', "1m", "page",
+     "UnderMinIsrPartitionCount for env {{ $labels.env }}",
+     "UnderMinIsrPartitionCount for env {{ $labels.env }} is {{ $value }}."),
+    ("kafka-brokers", "KafkaBrokerCountChanged",
+     'count(up{job="kafka-broker"} == 1) < 3', "1m", "warning",
+     "Kafka broker count is below expected",
+     "Expected 3 brokers but only {{ $value }} are up."),
+    ("kafka-brokers", "KafkaBrokerDown",
+     'up{job="kafka-broker"} == 0', "30s", "critical",
+     "Kafka broker {{ $labels.instance }} is down",
+     "Kafka broker {{ $labels.instance }} has been down for more than 30 seconds."),
+    ("kafka-brokers", "KafkaHighRequestLatency",
+     'kafka_network_requestmetrics_99thpercentile{name="TotalTimeMs"} > 1000', "5m", "warning",
+     "High Kafka request latency",
+     "99th percentile request latency is {{ $value }}ms for {{ $labels.request }} requests."),
+    ("kafka-brokers", "KafkaRequestHandlerIdleLow",
+     'kafka_server_kafkarequesthandlerpool_oneminuterate{name="RequestHandlerAvgIdlePercent"} < 0.3', "5m", "warning",
+     "Kafka request handlers are overloaded",
+     "Request handler idle percent is {{ $value }}, indicating high broker load."),
+    ("kafka-consumers", "KafkaConsumerLagHigh",
+     "kafka_server_fetcherlagmetrics_consumerlag > 10000", "5m", "warning",
+     "High consumer lag detected",
+     "Consumer lag for {{ $labels.topic }}-{{ $labels.partition }} is {{ $value }} messages."),
+    ("kafka-consumers", "KafkaConsumerLagGrowing",
+     "delta(kafka_server_fetcherlagmetrics_consumerlag[5m]) > 1000", "10m", "warning",
+     "Consumer lag is growing",
+     "Consumer lag for {{ $labels.topic }}-{{ $labels.partition }} has increased by {{ $value }} in the last 5 minutes."),
+    ("kafka-connect", "KafkaConnectDown",
+     'up{job="kafka-connect"} == 0', "30s", "critical",
+     "Kafka Connect worker is down",
+     "Kafka Connect worker {{ $labels.instance }} has been down for more than 30 seconds."),
+    ("kafka-connect", "KafkaConnectTaskFailed",
+     'kafka_connect_connector_task_status{status="failed"} > 0', "1m", "critical",
+     "Kafka Connect task failed",
+     "Connector {{ $labels.connector }} task {{ $labels.task }} has failed."),
+    ("kafka-connect", "KafkaConnectorNotRunning",
+     'kafka_connect_connector_status{status!="running"} > 0', "2m", "warning",
+     "Kafka connector is not running",
+     "Connector {{ $labels.connector }} is in {{ $labels.status }} state."),
+    ("kafka-connect", "KafkaConnectNoConnectors",
+     "kafka_connect_worker_connector_count == 0", "10m", "info",
+     "No connectors deployed",
+     "Kafka Connect has no connectors deployed for more than 10 minutes."),
+    ("jvm-health", "JvmHeapUsageHigh",
+     '(jvm_memory_bytes_used{area="heap"} / jvm_memory_bytes_max{area="heap"}) > 0.9', "5m", "warning",
+     "JVM heap usage is high",
+     "JVM heap usage for {{ $labels.kubernetes_pod_name }} is above 90%."),
+    ("jvm-health", "JvmGcFrequent",
+     "rate(jvm_gc_collection_seconds_count[5m]) > 0.5", "10m", "warning",
+     "Frequent JVM garbage collection",
+     "{{ $labels.kubernetes_pod_name }} is experiencing frequent GC."),
+    ("schema-registry", "SchemaRegistryDown",
+     'up{job="schemaregistry"} == 0', "30s", "critical",
+     "Schema Registry is down",
+     "Schema Registry {{ $labels.instance }} has been down for more than 30 seconds."),
+    ("ksqldb", "KsqlDBDown",
+     'up{job="ksqldb"} == 0', "30s", "critical",
+     "ksqlDB is down",
+     "ksqlDB {{ $labels.instance }} has been down for more than 30 seconds."),
+    # custom and production rules from the guides
+    ("custom", "OrdersTopicNoThroughput",
+     'sum(rate(kafka_server_brokertopicmetrics_messagesinpersec_count{topic="Orders"}[5m])) == 0', "10m", "warning",
+     "Orders topic has zero throughput",
+     "No messages have been produced to the Orders topic for 10 minutes."),
+    ("production", "KafkaDiskUsageHigh",
+     '(kubelet_volume_stats_used_bytes{persistentvolumeclaim=~".*kafka.*"} / '
+     'kubelet_volume_stats_capacity_bytes{persistentvolumeclaim=~".*kafka.*"}) > 0.7', "5m", "warning",
+     "Kafka disk usage above 70%",
+     "Disk usage is {{ $value | humanizePercentage }}"),
+    ("production", "KafkaNetworkThroughputHigh",
+     "rate(kafka_server_brokertopicmetrics_bytesinpersec_count[5m]) > 100000000", "10m", "warning",
+     "High network throughput on Kafka",
+     "Ingress rate is {{ $value | humanize }}B/s"),
+]
+
+RULES = [al.AlertRule(g, a, e, duration_seconds(f), s, su, de) for g, a, e, f, s, su, de in RULE_TEXT]
+RULE_BY_NAME = {r.alert: r for r in RULES}
+
+# The same expressions as vector expression trees.
+M5 = 300_000
+PVC_KAFKA = (("persistentvolumeclaim", "=~", ".*kafka.*"),)
+EXPR_TREE = {
+    "ActiveControllerCountNotOne": Cmp("!=", 1, Agg("sum", ("env",), Inst(
+        "kafka_controller_kafkacontroller_value", (("name", "=", "ActiveControllerCount"),)))),
+    "OfflinePartitionCount": Cmp(">", 0, Agg("sum", ("env",), Inst(
+        "kafka_controller_kafkacontroller_value", (("name", "=", "OfflinePartitionsCount"),)))),
+    "UncleanLeaderElections": Cmp(">", 0, Agg("sum", ("env",), Inst(
+        "kafka_controller_controllerstats_oneminuterate", (("name", "=", "UncleanLeaderElectionsPerSec"),)))),
+    "UnderReplicatedPartitions": Cmp(">", 0, Agg("sum", ("env",), Inst(
+        "kafka_server_replicamanager_value", (("name", "=", "UnderReplicatedPartitions"),)))),
+    "UnderMinIsrPartitionCount": Cmp(">", 0, Agg("sum", ("env",), Inst(
+        "kafka_server_replicamanager_value", (("name", "=", "UnderMinIsrPartitionCount"),)))),
+    "KafkaBrokerCountChanged": Cmp("<", 3, Agg("count", (), Cmp("==", 1, Inst(
+        "up", (("job", "=", "kafka-broker"),))))),
+    "KafkaBrokerDown": Cmp("==", 0, Inst("up", (("job", "=", "kafka-broker"),))),
+    "KafkaHighRequestLatency": Cmp(">", 1000, Inst(
+        "kafka_network_requestmetrics_99thpercentile", (("name", "=", "TotalTimeMs"),))),
+    "KafkaRequestHandlerIdleLow": Cmp("<", 0.3, Inst(
+        "kafka_server_kafkarequesthandlerpool_oneminuterate", (("name", "=", "RequestHandlerAvgIdlePercent"),))),
+    "KafkaConsumerLagHigh": Cmp(">", 10000, Inst("kafka_server_fetcherlagmetrics_consumerlag")),
+    "KafkaConsumerLagGrowing": Cmp(">", 1000, Delta("kafka_server_fetcherlagmetrics_consumerlag", (), M5)),
+    "KafkaConnectDown": Cmp("==", 0, Inst("up", (("job", "=", "kafka-connect"),))),
+    "KafkaConnectTaskFailed": Cmp(">", 0, Inst("kafka_connect_connector_task_status", (("status", "=", "failed"),))),
+    "KafkaConnectorNotRunning": Cmp(">", 0, Inst("kafka_connect_connector_status", (("status", "!=", "running"),))),
+    "KafkaConnectNoConnectors": Cmp("==", 0, Inst("kafka_connect_worker_connector_count")),
+    "JvmHeapUsageHigh": Cmp(">", 0.9, Bin("/", Inst("jvm_memory_bytes_used", (("area", "=", "heap"),)),
+                                          Inst("jvm_memory_bytes_max", (("area", "=", "heap"),)))),
+    "JvmGcFrequent": Cmp(">", 0.5, Rate("jvm_gc_collection_seconds_count", (), M5)),
+    "SchemaRegistryDown": Cmp("==", 0, Inst("up", (("job", "=", "schemaregistry"),))),
+    "KsqlDBDown": Cmp("==", 0, Inst("up", (("job", "=", "ksqldb"),))),
+    "OrdersTopicNoThroughput": Cmp("==", 0, Agg("sum", (), Rate(
+        "kafka_server_brokertopicmetrics_messagesinpersec_count", (("topic", "=", "Orders"),), M5))),
+    "KafkaDiskUsageHigh": Cmp(">", 0.7, Bin("/", Inst("kubelet_volume_stats_used_bytes", PVC_KAFKA),
+                                            Inst("kubelet_volume_stats_capacity_bytes", PVC_KAFKA))),
+    "KafkaNetworkThroughputHigh": Cmp(">", 100000000, Rate(
+        "kafka_server_brokertopicmetrics_bytesinpersec_count", (), M5)),
+}
+
+GROUPS = {
+    "alert_broker": [r.alert for r in RULES if r.group == "kafka-brokers"],
+    "alert_consumer": [r.alert for r in RULES if r.group == "kafka-consumers"],
+    "alert_connect": [r.alert for r in RULES if r.group == "kafka-connect"],
+    "alert_jvm": [r.alert for r in RULES if r.group == "jvm-health"],
+    "alert_service_down": ["SchemaRegistryDown", "KsqlDBDown"],
+    "alert_disk": ["KafkaDiskUsageHigh"],
+    "alert_ingress": ["KafkaNetworkThroughputHigh"],
+}
+
+
+# ---------------------------------------------------------------- Spark side
+
+def active_elements(samples, names, p: Params):
+    """Union of every rule's active elements, tagged with rule metadata."""
+    parts = []
+    for n in names:
+        r = RULE_BY_NAME[n]
+        v = EXPR_TREE[n].df(samples, p)
+        parts.append(v.select(
+            F.lit(r.alert).alias("alert"), "t", "labels", "lkey", "value",
+            F.lit(int(r.for_s * 1000)).cast("bigint").alias("for_ms"),
+            F.lit(r.severity).alias("severity"),
+            al.render(r.summary, F.col("labels"), round6("value")).alias("summary"),
+            al.render(r.description, F.col("labels"), round6("value")).alias("description")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def evaluate(samples, names, p: Params):
+    st = al.hold_states(active_elements(samples, names, p), p.step_ms)
+    return st.select(
+        "alert", (F.col("t") / 1000).cast("bigint").alias("t"), "lkey", "state",
+        (F.col("active_since") / 1000).cast("bigint").alias("active_since"),
+        round6("value").alias("value"), "severity",
+        al.severity_level(F.col("severity")).alias("severity_level"), "summary", "description")
+
+
+# ---------------------------------------------------------------- SQL side
+
+_TOKEN = re.compile(r"\{\{\s*(\$labels\.([A-Za-z_][A-Za-z0-9_]*)|\$value(?:\s*\|\s*(humanizePercentage|humanize))?)\s*\}\}")
+
+
+def _go_text(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '<nil>' ELSE regexp_replace(regexp_replace("
+            f"CAST(CAST({x} AS DECIMAL(38,10)) AS VARCHAR), '0+$', ''), '\\.$', '') END")
+
+
+def _sig4(x: str) -> str:
+    sc = f"pow(10.0, floor(log10(abs({x}))) - 3)"
+    return f"(CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} / {sc}) * {sc} END)"
+
+
+def _humanize(x: str) -> str:
+    ex = f"least(greatest(floor(log10(abs({x})) / 3), 0), 8)"
+    prefix = f"(['', 'k', 'M', 'G', 'T', 'P', 'E', 'Z', 'Y'])[CAST({ex} AS BIGINT) + 1]"
+    return f"(CASE WHEN {x} = 0 THEN '0' ELSE {_go_text(_sig4(f'({x}) / pow(1000.0, {ex})'))} || {prefix} END)"
+
+
+def render_sql(template: str, value: str = "ROUND(value, 6)") -> str:
+    parts, pos = [], 0
+    for m in _TOKEN.finditer(template):
+        if m.start() > pos:
+            parts.append(q.lit(template[pos:m.start()]))
+        if m.group(2):
+            parts.append(f"COALESCE(labels[{q.lit(m.group(2))}], '')")
+        elif m.group(3) == "humanize":
+            parts.append(_humanize(value))
+        elif m.group(3) == "humanizePercentage":
+            parts.append(f"{_go_text(_sig4(f'({value}) * 100.0'))} || '%'")
+        else:
+            parts.append(_go_text(value))
+        pos = m.end()
+    if pos < len(template):
+        parts.append(q.lit(template[pos:]))
+    return " || ".join(parts) if parts else "''"
+
+
+def evaluate_sql(names, p: Params) -> str:
+    ctes = [q.samples_cte()]
+    selects = []
+    for n in names:
+        r = RULE_BY_NAME[n]
+        v = EXPR_TREE[n].sql(ctes, p)
+        selects.append(
+            f"SELECT {q.lit(r.alert)} AS alert, t, labels, lkey, value, "
+            f"CAST({int(r.for_s * 1000)} AS BIGINT) AS for_ms, {q.lit(r.severity)} AS severity, "
+            f"{render_sql(r.summary)} AS summary, {render_sql(r.description)} AS description FROM {v}")
+    ctes.append("act AS (" + "\n  UNION ALL ".join(selects) + ")")
+    step = p.step_ms
+    ctes.append(f"""g AS (SELECT *, t // {step} - ROW_NUMBER() OVER (PARTITION BY alert, lkey ORDER BY t) AS grp
+  FROM act)""")
+    ctes.append(f"h AS (SELECT *, MIN(t // {step}) OVER (PARTITION BY alert, lkey, grp) * {step} AS since FROM g)")
+    levels = " ".join(f"WHEN {q.lit(k)} THEN {v}" for k, v in al.SEVERITY_LEVELS.items())
+    return q.with_(*ctes, final=f"""SELECT alert, t // 1000 AS t, lkey,
+  CASE WHEN t - since >= for_ms THEN 'firing' ELSE 'pending' END AS state,
+  since // 1000 AS active_since, ROUND(value, 6) AS value, severity,
+  CASE severity {levels} END AS severity_level, summary, description
+FROM h""")
+
+
+def _reg(qid: str, names, p: Params):
+    @register(qid, oracle=evaluate_sql(names, p))
+    def _q(spark, sf):
+        return evaluate(SampleSource(spark, sf), names, p)
+    return _q
+
+
+for _qid, _names in GROUPS.items():
+    _reg(_qid, _names, REF)
+
+def trace(samples, name: str, p: Params):
+    """Every step of a rule's expression (before its comparison) with the
+    alert state there: ``inactive`` where the condition does not hold."""
+    tree = EXPR_TREE[name]
+    base = tree.child.df(samples, p)
+    st = al.hold_states(active_elements(samples, [name], p), p.step_ms).select("t", "lkey", "state")
+    j = base.join(st, ["t", "lkey"], "left")
+    return j.select((F.col("t") / 1000).cast("bigint").alias("t"), "lkey",
+                    round6("value").alias("value"),
+                    F.coalesce(F.col("state"), F.lit("inactive")).alias("state"))
+
+
+def trace_sql(name: str, p: Params) -> str:
+    ctes = [q.samples_cte()]
+    v = EXPR_TREE[name].child.sql(ctes, p)
+    base = q.with_(*ctes, final=q.vector_out(v))
+    return f"""SELECT b.t, b.lkey, b.value, COALESCE(e.state, 'inactive') AS state
+FROM ({base}) b LEFT JOIN ({evaluate_sql([name], p)}) e ON b.t = e.t AND b.lkey = e.lkey"""
+
+
+@register("alert_no_traffic", oracle=trace_sql("OrdersTopicNoThroughput", REF))
+def q_alert_no_traffic(spark, sf):
+    return trace(SampleSource(spark, sf), "OrdersTopicNoThroughput", REF)
+
+
+# The whole rule set on the dense grid, where holds of minutes are reachable.
+_reg("alert_for", [r.alert for r in RULES], DENSE)
+
+
+@register("severity_map", oracle=f"""SELECT severity, severity_level, state, COUNT(*) AS n_rows,
+       COUNT(DISTINCT alert) AS n_alerts
+FROM ({evaluate_sql([r.alert for r in RULES], DENSE)}) ev
+GROUP BY severity, severity_level, state""")
+def q_severity_map(spark, sf):
+    """Alert activity per severity level (the numeric level map applied to
+    every evaluated alert row)."""
+    ev = evaluate(SampleSource(spark, sf), [r.alert for r in RULES], DENSE)
+    return (ev.groupBy("severity", "severity_level", "state")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("alert").alias("n_alerts")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import render_template
 from ..operators import timeseries as ts
-from ..sources.samples import metric_samples
+from ..sources.samples import SampleSource
 from . import sqlgen as q
 from .registry import register, round6
 
@@ -34,7 +34,7 @@ def out(vec):
 
 
 def S(spark, sf):
-    return metric_samples(spark, sf)
+    return SampleSource(spark, sf)
 
 
 def _sql(*ctes, final=None, src="v"):

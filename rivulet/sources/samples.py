@@ -92,7 +92,7 @@ FAMILIES: tuple[Family, ...] = (
     Family(("click",), "kafka_server_brokertopicmetrics_messagesinpersec_count", "counter", "1",
            {"topic": _lit("Orders")}),
     Family(("click",), "kafka_server_brokertopicmetrics_bytesinpersec_count", "counter", _UNITS,
-           {"topic": _lit("Orders")}, 1000000.0),
+           {"topic": _lit("Orders")}, 10000000.0),
     Family(("click",), "kafka_log_log_size", "cumulative", _UNITS, {"topic": _lit("Orders")}, 1000000.0),
     Family(("click",), "kube_persistentvolumeclaim_resource_requests_storage_bytes", "gauge",
            "10000000000000.0", {"persistentvolumeclaim": _PVC}),
@@ -194,7 +194,9 @@ def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
     name plus ``lkey``; they are the identity used for grouping and matching
     (maps cannot be grouping or join keys).
     """
-    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
+    comps = sorted({c for f in families for c in _emitting(f)})
+    events = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
+              .where(F.col("event_type").isin(comps)))
     gauges = [f for f in families if f.kind == "gauge"]
     accs = [f for f in families if f.kind != "gauge"]
     parts = []
@@ -217,6 +219,37 @@ def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
                       F.concat(F.col("metric"), lk).alias("series"), "ts", "sample_id", "value")
 
 
+class SampleSource:
+    """Lazily derived samples, built per metric name.
+
+    A selector names its metric, so only that metric's families are expanded
+    and only the components that emit it are read (the ``event_type`` filter
+    reaches the parquet scan).  This plays the role that partitioning a stored
+    sample table by ``metric`` plays at scale: a selector never touches other
+    metrics' rows.  The per-metric DataFrames are memoised so that a query
+    using one selector twice gets one plan subtree (and reused exchanges).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, families=FAMILIES,
+                 bucket_ms: int = HOUR_MS):
+        self.spark, self.sf_dir, self.families, self.bucket_ms = spark, sf_dir, families, bucket_ms
+        self._memo: dict[str, DataFrame] = {}
+
+    def metrics(self) -> list[str]:
+        return sorted({f.metric for f in self.families})
+
+    def for_metric(self, metric: str) -> DataFrame:
+        if metric not in self._memo:
+            fams = [f for f in self.families if f.metric == metric]
+            if not fams:
+                raise KeyError(f"no samples are derived for metric {metric!r}")
+            self._memo[metric] = metric_samples(self.spark, self.sf_dir, fams, self.bucket_ms)
+        return self._memo[metric]
+
+    def all(self) -> DataFrame:
+        return metric_samples(self.spark, self.sf_dir, self.families, self.bucket_ms)
+
+
 # ---------------------------------------------------------------- SQL side
 
 def _sql_map(lab: dict[str, str]) -> str:
