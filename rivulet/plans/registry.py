@@ -18,6 +18,7 @@ _MODULES = (
     "rivulet.plans.topic_queries",
     "rivulet.plans.metric_queries",
     "rivulet.plans.alert_queries",
+    "rivulet.plans.rewrite_queries",
 )
 
 
