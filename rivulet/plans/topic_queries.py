@@ -1 +1,200 @@
-"""Registered queries (filled in below)."""
+"""Topic read, replay, offset, lag, sizing and mirroring queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import schema as S
+from ..operators import topics as tp
+from ..sources.topic import order_records, records_sql
+from .order_queries import ORDER_STREAM_SQL
+from .registry import register, round6
+
+REC = records_sql(ORDER_STREAM_SQL)
+OFF = '"offset"'   # reserved word in the oracle dialect
+BASE_COLS = f"topic, partition, {OFF}, timestamp, key, value"
+
+# Parameters of the sample procedures (points in the generated month).
+REPLAY_FROM_MS = 1705276800000        # 2024-01-15T00:00:00Z
+RESET_TO_MS = 1705708800000           # 2024-01-20T00:00:00Z
+GROUPS = (("jdbc-sink-orders", 1705968000000),    # consumed up to 2024-01-23
+          ("orders-analytics", 1705104000000))    # consumed up to 2024-01-13
+RETENTION_DAYS, REPLICATION, BROKERS = 7, 3, 3    # sizing example parameters
+
+
+def R(spark, sf):
+    return order_records(spark, sf)
+
+
+@register("read_from_beginning", oracle=f"{REC} SELECT {BASE_COLS} FROM records")
+def q_read_from_beginning(spark, sf):
+    return tp.from_beginning(R(spark, sf))
+
+
+@register("read_partition_offset", oracle=f"{REC} SELECT {BASE_COLS} FROM records WHERE partition = 0 AND {OFF} >= 100")
+def q_read_partition_offset(spark, sf):
+    return tp.from_partition_offset(R(spark, sf), 0, 100)
+
+
+@register("read_from_timestamp", oracle=f"{REC} SELECT {BASE_COLS} FROM records WHERE timestamp >= {REPLAY_FROM_MS}")
+def q_read_from_timestamp(spark, sf):
+    return tp.from_timestamp(R(spark, sf), REPLAY_FROM_MS)
+
+
+@register("read_limit_n", oracle=f"{REC} SELECT {BASE_COLS} FROM records ORDER BY timestamp, partition, {OFF} LIMIT 10")
+def q_read_limit_n(spark, sf):
+    return tp.first_n(R(spark, sf), 10)
+
+
+@register("read_key_ts", oracle=f"""{REC} SELECT partition, {OFF},
+  timestamp_type || ':' || CAST(timestamp AS VARCHAR) || ' | ' || COALESCE(key, 'null') || ' | ' || COALESCE(value, 'null') AS line
+FROM records""")
+def q_read_key_ts(spark, sf):
+    return tp.console_lines(R(spark, sf), " | ")
+
+
+VALUE_SCHEMA = T.StructType([
+    T.StructField("ordertime", T.LongType()), T.StructField("orderid", T.IntegerType()),
+    T.StructField("itemid", T.StringType()), T.StructField("orderunits", T.DoubleType()),
+    T.StructField("address", S.ADDRESS)])
+
+
+@register("decode_json", oracle=f"""{REC},
+parsed AS (SELECT partition, {OFF}, key, json_transform(value,
+  '{{"ordertime":"BIGINT","orderid":"INTEGER","itemid":"VARCHAR","orderunits":"DOUBLE",
+    "address":{{"city":"VARCHAR","state":"VARCHAR","zipcode":"BIGINT"}}}}') AS v FROM records)
+SELECT partition, {OFF}, key, v.ordertime AS ordertime, v.orderid AS orderid, v.itemid AS itemid,
+       v.orderunits AS orderunits, v.address.city AS address_city, v.address.state AS address_state,
+       v.address.zipcode AS address_zipcode, CAST(NULL AS VARCHAR) AS _corrupt_record
+FROM parsed""")
+def q_decode_json(spark, sf):
+    d = tp.decode_json(R(spark, sf), VALUE_SCHEMA)
+    return d.select("partition", "offset", "key", "ordertime", "orderid", "itemid", "orderunits",
+                    F.col("address.city").alias("address_city"), F.col("address.state").alias("address_state"),
+                    F.col("address.zipcode").alias("address_zipcode"), "_corrupt_record")
+
+
+@register("decode_base64", oracle=f"""{REC} SELECT partition, {OFF}, key, value,
+  CAST(json_extract(value, '$.orderunits') AS DOUBLE) AS orderunits
+FROM (SELECT partition, {OFF}, key, decode(from_base64(to_base64(encode(value)))) AS value FROM records)""")
+def q_decode_base64(spark, sf):
+    """Values in the binary embedded format (base64 text) decoded back to
+    JSON, then a field read from the decoded document."""
+    r = R(spark, sf).select("partition", "offset", "key", F.base64(F.col("value")).alias("value"))
+    d = tp.decode_base64(r)
+    return d.withColumn("orderunits", F.get_json_object("value", "$.orderunits").cast("double"))
+
+
+@register("parse_key_headers", oracle=f"""{REC},
+lines AS (SELECT 'itemid:' || json_extract_string(value, '$.itemid') || ',partition:' || CAST(partition AS VARCHAR)
+                 || chr(9) || key || ':' || value AS line FROM records),
+split AS (SELECT split_part(line, chr(9), 1) AS h,
+                 substr(line, strlen(split_part(line, chr(9), 1)) + 2) AS rest FROM lines)
+SELECT split_part(rest, ':', 1) AS key,
+       substr(rest, strlen(split_part(rest, ':', 1)) + 2) AS value,
+       split_part(split_part(h, ',', 1), ':', 2) AS header_itemid,
+       split_part(split_part(h, ',', 2), ':', 2) AS header_partition
+FROM split""")
+def q_parse_key_headers(spark, sf):
+    """Producer input lines with headers (``h:v,h:v<TAB>key:value``) parsed
+    back into key, value and header map."""
+    r = R(spark, sf)
+    lines = r.select(F.concat(F.lit("itemid:"), F.get_json_object("value", "$.itemid"),
+                              F.lit(",partition:"), F.col("partition").cast("string"),
+                              F.lit("\t"), F.col("key"), F.lit(":"), F.col("value")).alias("line"))
+    p = tp.parse_producer_lines(lines)
+    return p.select("key", "value",
+                    F.element_at("headers", F.lit("itemid")).alias("header_itemid"),
+                    F.element_at("headers", F.lit("partition")).alias("header_partition"))
+
+
+@register("offsets_latest", oracle=f"{REC} SELECT topic, partition, MAX({OFF}) + 1 AS log_end_offset FROM records GROUP BY topic, partition")
+def q_offsets_latest(spark, sf):
+    return tp.end_offsets(R(spark, sf))
+
+
+@register("offsets_earliest", oracle=f"{REC} SELECT topic, partition, MIN({OFF}) AS log_start_offset FROM records GROUP BY topic, partition")
+def q_offsets_earliest(spark, sf):
+    return tp.start_offsets(R(spark, sf))
+
+
+@register("topic_message_count", oracle=f"""{REC} SELECT topic, CAST(SUM(e) AS BIGINT) AS messages
+FROM (SELECT topic, partition, MAX({OFF}) + 1 AS e FROM records GROUP BY topic, partition) GROUP BY topic""")
+def q_topic_message_count(spark, sf):
+    return tp.message_count(R(spark, sf))
+
+
+def _committed_sql() -> str:
+    parts = [f"""SELECT '{g}' AS "group", topic, partition,
+      CAST(SUM(CASE WHEN timestamp < {t} THEN 1 ELSE 0 END) AS BIGINT) AS current_offset
+    FROM records GROUP BY topic, partition""" for g, t in GROUPS]
+    return " UNION ALL ".join(parts)
+
+
+LAG_SQL = f"""{REC},
+committed AS ({_committed_sql()}),
+ends AS (SELECT topic, partition, MAX({OFF}) + 1 AS log_end_offset FROM records GROUP BY topic, partition),
+lag AS (SELECT c."group", c.topic, c.partition, c.current_offset, e.log_end_offset,
+               e.log_end_offset - c.current_offset AS lag
+        FROM committed c JOIN ends e ON c.topic = e.topic AND c.partition = e.partition)"""
+
+
+def _lag(spark, sf):
+    r = R(spark, sf)
+    committed = None
+    for g, t in GROUPS:
+        c = tp.committed_at(r, g, t)
+        committed = c if committed is None else committed.unionByName(c)
+    return tp.consumer_lag(committed, tp.end_offsets(r)), committed, r
+
+
+@register("consumer_lag", oracle=f'{LAG_SQL} SELECT * FROM lag')
+def q_consumer_lag(spark, sf):
+    return _lag(spark, sf)[0]
+
+
+@register("lag_by_topic", oracle=f'{LAG_SQL} SELECT "group", topic, CAST(SUM(lag) AS BIGINT) AS lag FROM lag GROUP BY "group", topic')
+def q_lag_by_topic(spark, sf):
+    return tp.lag_by_topic(_lag(spark, sf)[0])
+
+
+@register("offset_reset", oracle=f"""{LAG_SQL},
+b AS (SELECT topic, partition, MIN({OFF}) AS lo, MAX({OFF}) + 1 AS hi,
+             MIN(CASE WHEN timestamp >= {RESET_TO_MS} THEN {OFF} END) AS first_at
+      FROM records GROUP BY topic, partition)
+SELECT c."group", c.topic, c.partition, s.strategy, c.current_offset,
+  CAST(CASE s.strategy WHEN 'to-earliest' THEN b.lo
+                       WHEN 'to-offset' THEN least(greatest(1000, b.lo), b.hi)
+                       ELSE COALESCE(b.first_at, b.hi) END AS BIGINT) AS new_offset
+FROM committed c JOIN b ON c.topic = b.topic AND c.partition = b.partition,
+     (VALUES ('to-earliest'), ('to-offset'), ('to-datetime')) s(strategy)""")
+def q_offset_reset(spark, sf):
+    """Dry run of the three reset procedures for every group and partition."""
+    _, committed, r = _lag(spark, sf)
+    plans = [tp.reset_plan(committed, r, "to-earliest"),
+             tp.reset_plan(committed, r, "to-offset", 1000),
+             tp.reset_plan(committed, r, "to-datetime", RESET_TO_MS)]
+    out = plans[0]
+    for p in plans[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("storage_sizing", oracle=f"""{REC},
+daily AS (SELECT topic, timestamp // 86400000 AS day, SUM(strlen(key) + strlen(value)) AS bytes
+          FROM records GROUP BY topic, timestamp // 86400000),
+per AS (SELECT topic, COUNT(*) AS days, AVG(bytes) AS daily_bytes FROM daily GROUP BY topic)
+SELECT topic, days, ROUND(daily_bytes, 6) AS daily_bytes,
+       ROUND(daily_bytes * {RETENTION_DAYS} * {REPLICATION} * 1.2, 6) AS required_bytes,
+       ROUND(daily_bytes * {RETENTION_DAYS} * {REPLICATION} * 1.2 / {BROKERS}, 6) AS per_broker_bytes
+FROM per""")
+def q_storage_sizing(spark, sf):
+    s = tp.storage_required(R(spark, sf), RETENTION_DAYS, REPLICATION, BROKERS)
+    return s.select("topic", "days", *[round6(c).alias(c) for c in
+                                       ("daily_bytes", "required_bytes", "per_broker_bytes")])
+
+
+@register("mirror_topics", oracle=f"{REC} SELECT 'source.' || topic AS topic, partition, {OFF}, timestamp, key, value FROM records WHERE regexp_full_match(topic, '.*')")
+def q_mirror_topics(spark, sf):
+    return tp.mirror(tp.from_beginning(R(spark, sf)), ".*", "source.")
