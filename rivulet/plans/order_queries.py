@@ -116,18 +116,24 @@ def q_filter_eq(spark, sf):
     return _json_address(op.orders_in_state(order_stream(spark, sf), STATE))
 
 
-@register("filter_gt", oracle=f"""WITH {ORDER_STREAM_SQL}
+FILTER_GT_SQL = f"""WITH {ORDER_STREAM_SQL}
 SELECT orderid, itemid, orderunits, address.city AS city, address.state AS state
-FROM order_stream WHERE orderunits > {MIN_UNITS}""")
+FROM order_stream WHERE orderunits > {MIN_UNITS}"""
+
+
+@register("filter_gt", oracle=FILTER_GT_SQL)
 def q_filter_gt(spark, sf):
     return op.large_orders(order_stream(spark, sf), MIN_UNITS)
 
 
-@register("orders_by_state", oracle=f"""WITH {ORDER_STREAM_SQL}
+ORDERS_BY_STATE_SQL = f"""WITH {ORDER_STREAM_SQL}
 SELECT address.state AS state, COUNT(*) AS order_count,
        ROUND(SUM(orderunits), 6) AS total_units,
        COUNT(DISTINCT itemid) AS unique_items
-FROM order_stream GROUP BY address.state""")
+FROM order_stream GROUP BY address.state"""
+
+
+@register("orders_by_state", oracle=ORDERS_BY_STATE_SQL)
 def q_orders_by_state(spark, sf):
     return rounded(op.orders_by_state(order_stream(spark, sf)), "total_units")
 

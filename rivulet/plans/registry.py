@@ -19,6 +19,7 @@ _MODULES = (
     "rivulet.plans.metric_queries",
     "rivulet.plans.alert_queries",
     "rivulet.plans.rewrite_queries",
+    "rivulet.plans.stream_queries",
 )
 
 

@@ -81,7 +81,8 @@ FROM (SELECT partition, {OFF}, key, decode(from_base64(to_base64(encode(value)))
 def q_decode_base64(spark, sf):
     """Values in the binary embedded format (base64 text) decoded back to
     JSON, then a field read from the decoded document."""
-    r = R(spark, sf).select("partition", "offset", "key", F.base64(F.col("value")).alias("value"))
+    r = R(spark, sf).select("partition", "offset", "key",
+                            F.regexp_replace(F.base64(F.col("value")), "[\\r\\n]", "").alias("value"))
     d = tp.decode_base64(r)
     return d.withColumn("orderunits", F.get_json_object("value", "$.orderunits").cast("double"))
 
