@@ -17,12 +17,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import go_float_text, label
-from .sequence import run_starts
 
 import re
 
@@ -39,16 +38,27 @@ class AlertRule:
 
 
 def hold_states(active: DataFrame, step_ms: int, for_col: str = "for_ms",
-                keys: Sequence[str] = ("alert", "lkey"), bucket_steps: int = 1440) -> DataFrame:
+                keys: Sequence[str] = ("alert", "lkey")) -> DataFrame:
     """Add ``active_since`` (ms) and ``state`` (pending | firing) to the rows
-    of an active-element table ``(alert, lkey, t, ..., for_ms)``."""
-    k = active.withColumn("_k", (F.col("t") / F.lit(step_ms)).cast("bigint"))
-    r = run_starts(k, list(keys), "_k", bucket_steps, out_col="_run_k")
+    of an active-element table ``(alert, lkey, t, ..., for_ms)``.
+
+    The rows of one (alert, series) key are its active evaluation steps, so
+    their number is bounded by the evaluated time span divided by the step --
+    not by the input volume.  One window partition per key is therefore
+    bounded, and both window functions share one partitioning and sort:
+    ``lag`` finds the gaps, a running ``max`` carries the step where the
+    current run began.
+    """
+    k = F.col("_k")
+    w = Window.partitionBy(*keys).orderBy("_k")
+    run = (active.withColumn("_k", (F.col("t") / F.lit(step_ms)).cast("bigint"))
+           .withColumn("_gap_at", F.when(F.lag("_k").over(w).isNull() | (k - F.lag("_k").over(w) > 1), k))
+           .withColumn("_run_k", F.max("_gap_at").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     since = F.col("_run_k") * F.lit(step_ms)
-    return (r.withColumn("active_since", since)
+    return (run.withColumn("active_since", since)
             .withColumn("state", F.when(F.col("t") - since >= F.col(for_col), F.lit("firing"))
                         .otherwise(F.lit("pending")))
-            .drop("_k", "_run_k"))
+            .drop("_k", "_gap_at", "_run_k"))
 
 
 # ---------------------------------------------------------------- templates

@@ -117,7 +117,9 @@ def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "co
     for k, rules in rules_by_key.items():
         chain = None
         for i, r in enumerate(rules):
-            hit = bean.rlike(r.full)
+            # ``rlike`` finds the pattern anywhere, which is what the wrapped
+            # ``^.*(?:p).*$`` full match accepts, without its backtracking.
+            hit = bean.rlike(r.pattern)
             chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
         ridx = F.when(key == k, chain) if ridx is None else ridx.when(key == k, chain)
     df = readings.withColumn("rule", ridx).where(F.col("rule").isNotNull())

@@ -11,10 +11,15 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
+from ..functions.labels import all_match
 from ..operators import timeseries as ts
 from . import sqlgen as q
 
 
+def _shared(samples, key, build):
+    return samples.memo(key, build) if hasattr(samples, "memo") else build()
+
+
 @dataclass(frozen=True)
 class Params:
     step_ms: int
@@ -46,8 +51,12 @@ class Inst(Node):
     matchers: tuple = ()
 
     def df(self, samples, p):
-        return ts.instant(ts.select_series(samples, self.metric, self.matchers),
-                          p.step_ms, p.lookback_ms)
+        # The per-series pick does not depend on the matchers (they are
+        # constant within a series), so the metric's instant vector is built
+        # once and shared by every expression selecting from it.
+        vec = _shared(samples, ("instant", self.metric, p.step_ms, p.lookback_ms),
+                      lambda: ts.instant(ts.select_series(samples, self.metric), p.step_ms, p.lookback_ms))
+        return vec.where(all_match("labels", self.matchers))
 
     def sql(self, ctes, p):
         s, v = _name("sel"), _name("inst")
@@ -62,8 +71,9 @@ class Rate(Node):
     range_ms: int = 300_000
 
     def df(self, samples, p):
-        return ts.rate(ts.select_series(samples, self.metric, self.matchers),
-                       p.rng(self.range_ms), p.step_ms)
+        vec = _shared(samples, ("rate", self.metric, p.rng(self.range_ms), p.step_ms),
+                      lambda: ts.rate(ts.select_series(samples, self.metric), p.rng(self.range_ms), p.step_ms))
+        return vec.where(all_match("labels", self.matchers))
 
     def sql(self, ctes, p):
         s, v = _name("sel"), _name("rate")
@@ -79,8 +89,9 @@ class Delta(Node):
     range_ms: int = 300_000
 
     def df(self, samples, p):
-        return ts.delta(ts.select_series(samples, self.metric, self.matchers),
-                        p.rng(self.range_ms), p.step_ms)
+        vec = _shared(samples, ("delta", self.metric, p.rng(self.range_ms), p.step_ms),
+                      lambda: ts.delta(ts.select_series(samples, self.metric), p.rng(self.range_ms), p.step_ms))
+        return vec.where(all_match("labels", self.matchers))
 
     def sql(self, ctes, p):
         s, v = _name("sel"), _name("delta")

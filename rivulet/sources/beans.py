@@ -128,13 +128,12 @@ def bean_readings(spark: SparkSession, sf_dir: str, component=None) -> DataFrame
     types = sorted({et for et, *_ in rs})
     ev = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
           .where(F.col("event_type").isin(types)))
-    arr = None
-    for et in types:
-        structs = [F.struct(F.lit(comp).alias("component"), F.expr(b).alias("bean"),
-                            F.expr(v).alias("value"))
-                   for t, comp, b, v in rs if t == et]
-        cond = F.col("event_type") == F.lit(et)
-        arr = F.when(cond, F.array(*structs)) if arr is None else arr.when(cond, F.array(*structs))
+    case = "CASE " + " ".join(
+        f"WHEN event_type = '{et}' THEN array("
+        + ", ".join(f"named_struct('component', '{comp}', 'bean', {b}, 'value', {v})"
+                    for t, comp, b, v in rs if t == et) + ")"
+        for et in types) + " END"
+    arr = F.expr(case)
     return ev.select(F.col("event_id").alias("sample_id"), epoch_millis("ts").alias("ts"),
                      F.explode(arr).alias("r")).select("r.component", "r.bean", "ts", "sample_id", "r.value")
 

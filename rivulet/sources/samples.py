@@ -156,34 +156,28 @@ def _label_exprs(fam: Family, comp: str) -> dict[str, str]:
 
 # ---------------------------------------------------------------- Spark side
 
-def _spark_struct(fam: Family, comp: str):
+def _struct_sql(fam: Family, comp: str) -> str:
+    """One family's sample struct as Spark SQL text (parsed once on the JVM)."""
     lab = _label_exprs(fam, comp)
-    kv = []
-    for k in sorted(lab):
-        kv += [F.lit(k), F.expr(lab[k].replace(" || ", " || ")).cast("string")]
-    is_acc = fam.kind != "gauge"
-    return F.struct(
-        F.lit(fam.metric).alias("metric"),
-        F.create_map(*kv).alias("labels"),
-        F.lit(fam.kind).alias("kind"),
-        (F.lit(None).cast("double") if is_acc else F.expr(fam.expr).cast("double")).alias("gauge"),
-        (F.expr(fam.expr).cast("bigint") if is_acc else F.lit(None).cast("bigint")).alias("inc"),
-        F.lit(fam.scale).cast("double").alias("scale"))
+    kv = ", ".join(f"{_lit(k)}, CAST({lab[k]} AS STRING)" for k in sorted(lab))
+    acc = fam.kind != "gauge"
+    gauge = "CAST(NULL AS DOUBLE)" if acc else f"CAST({fam.expr} AS DOUBLE)"
+    inc = f"CAST({fam.expr} AS BIGINT)" if acc else "CAST(NULL AS BIGINT)"
+    return (f"named_struct('metric', {_lit(fam.metric)}, 'labels', map({kv}), 'kind', {_lit(fam.kind)}, "
+            f"'gauge', {gauge}, 'inc', {inc}, 'scale', CAST({fam.scale!r} AS DOUBLE))")
 
 
 def _scrapes(events: DataFrame, families) -> DataFrame:
-    by_comp: dict[str, list] = {}
+    by_comp: dict[str, list[str]] = {}
     for fam in families:
         for comp in _emitting(fam):
-            by_comp.setdefault(comp, []).append(_spark_struct(fam, comp))
-    arr = None
-    for comp, structs in by_comp.items():
-        cond = F.col("event_type") == F.lit(comp)
-        arr = F.when(cond, F.array(*structs)) if arr is None else arr.when(cond, F.array(*structs))
+            by_comp.setdefault(comp, []).append(_struct_sql(fam, comp))
+    case = "CASE " + " ".join(f"WHEN event_type = {_lit(c)} THEN array({', '.join(st)})"
+                              for c, st in by_comp.items()) + " END"
     return events.select(
         F.col("event_id").alias("sample_id"),
         epoch_millis("ts").alias("ts"),
-        F.explode(arr).alias("s")).select("sample_id", "ts", "s.*")
+        F.explode(F.expr(case)).alias("s")).select("sample_id", "ts", "s.*")
 
 
 def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
@@ -249,6 +243,14 @@ class SampleSource:
     def all(self) -> DataFrame:
         return metric_samples(self.spark, self.sf_dir, self.families, self.bucket_ms)
 
+    def memo(self, key: tuple, build):
+        """Memoise a derived DataFrame (e.g. a metric's instant vector) so that
+        expressions sharing it reference one plan subtree."""
+        k = ("derived",) + tuple(key)
+        if k not in self._memo:
+            self._memo[k] = build()
+        return self._memo[k]
+
 
 # ---------------------------------------------------------------- SQL side
 
