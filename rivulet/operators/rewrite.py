@@ -79,6 +79,12 @@ def safe_name(c: Column) -> Column:
 
 
 _BEAN = r"^([^<]*)<([^>]*)><([^>]*)>([^:]*)"
+_ID, _PAIR, _KV = "\x03", "\x01", "\x02"   # delimiters that never occur in readings
+
+
+def _default_rest(bean: Column) -> Column:
+    props = F.regexp_extract(bean, _BEAN, 2)
+    return F.regexp_extract(props, r"^[^,]*,\s*(.*)$", 1)
 
 
 def default_name(bean: Column) -> tuple[Column, Column]:
@@ -101,67 +107,129 @@ def _java_template(template: str) -> str:
     return template.replace("\\", "\\\\")
 
 
+_META = set(".^$*+?{}[]()|\\")
+
+
+def required_literals(pattern: str, min_len: int = 4) -> list[str]:
+    """Literal runs that every match of ``pattern`` must contain.
+
+    Only text outside groups and classes counts; a character made optional by
+    ``?``, ``*`` or ``{`` is dropped, and a top-level ``|`` means nothing is
+    required.  Used as a cheap ``contains`` pre-check before the regex.
+    """
+    runs, cur, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        nxt = pattern[i + 1] if i + 1 < len(pattern) else ""
+        if c == "\\":
+            esc = pattern[i + 1:i + 2]
+            lit = esc if esc and not esc.isalnum() else None
+            i += 2
+            if depth == 0 and lit is not None and (pattern[i:i + 1] not in ("?", "*", "{")):
+                cur += lit
+            else:
+                runs.append(cur); cur = ""
+            continue
+        if c == "(":
+            depth += 1; runs.append(cur); cur = ""
+        elif c == ")":
+            depth -= 1
+        elif c == "[":
+            j = pattern.index("]", i + 1)
+            i = j
+            runs.append(cur); cur = ""
+        elif c == "|" and depth == 0:
+            return []
+        elif depth == 0:
+            if c in _META:
+                runs.append(cur); cur = ""
+            elif nxt in ("?", "*", "{"):
+                runs.append(cur); cur = ""
+            else:
+                cur += c
+        i += 1
+    runs.append(cur)
+    return [r for r in runs if len(r) >= min_len]
+
+
+def _hit(bean: Column, r: BeanRule) -> Column:
+    """Does the rule's pattern occur in the reading?  Literal pre-checks first
+    (``contains`` is a byte search), the regex only when they pass."""
+    lits = sorted(required_literals(r.pattern), key=len, reverse=True)[:2]
+    cond = None
+    for l in lits:
+        c = bean.contains(l)
+        cond = c if cond is None else cond & c
+    rx = bean.rlike(r.pattern)
+    return rx if cond is None else cond & rx
+
+
 def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "component",
                      bean_col: str = "bean", value_col: str = "value") -> DataFrame:
     """Rewrite readings into ``metric, labels, lkey, type, value, rule``.
 
     ``rules_by_key`` maps a value of ``key_col`` (the component) to its
     ordered rule list; the first rule whose pattern occurs in the reading wins
-    and unmatched readings are dropped.  Each output column is one ``CASE``
-    over the (component, rule) pair whose branches hold a single
-    ``regexp_replace`` with a literal pattern: only the winning branch runs
-    per row, and the patterns compile once per task.
+    (``rule`` is its index in that list) and unmatched readings are dropped.
+
+    Per row exactly one expression runs the rule patterns: a ``CASE`` over the
+    component and then over the rules in order, whose winning branch expands
+    *all* of that rule's templates with a single ``regexp_replace`` into one
+    delimited string ``id \x03 name \x01 key \x02 value ...``.  Unmatched
+    rows are removed by exploding a zero- or one-element array: a ``Generate``
+    is a barrier that later filters cannot be pushed below, so the pattern
+    chain is never inlined (and re-evaluated) into downstream predicates.
+    Type, constant value and rule index are then array lookups by rule id.
     """
     bean, key = F.col(bean_col), F.col(key_col)
-    ridx = None
+    flat: list[tuple[str, int, BeanRule]] = []
+    case = None
     for k, rules in rules_by_key.items():
         chain = None
         for i, r in enumerate(rules):
-            # ``rlike`` finds the pattern anywhere, which is what the wrapped
-            # ``^.*(?:p).*$`` full match accepts, without its backtracking.
-            hit = bean.rlike(r.pattern)
-            chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
-        ridx = F.when(key == k, chain) if ridx is None else ridx.when(key == k, chain)
-    df = readings.withColumn("rule", ridx).where(F.col("rule").isNotNull())
-
-    def by_rule(fn) -> Column:
-        expr = None
-        for k, rules in rules_by_key.items():
-            for i, r in enumerate(rules):
-                cond = (key == k) & (F.col("rule") == i)
-                v = fn(r)
-                expr = F.when(cond, v) if expr is None else expr.when(cond, v)
-        return expr
-
-    def sub(r: BeanRule, t: str) -> Column:
-        return F.regexp_replace(bean, r.full, _java_template(t))
-
-    def name_of(r: BeanRule) -> Column:
-        return sub(r, r.name) if r.name else default_name(bean)[0]
-
-    def labels_of(r: BeanRule) -> Column:
-        if not r.name:
-            return default_name(bean)[1]
-        if not r.labels:
-            return F.create_map().cast("map<string,string>")
-        return F.map_from_arrays(F.array(*[sub(r, k) for k in r.labels]),
-                                 F.array(*[sub(r, v) for v in r.labels.values()]))
-
-    raw = df.select(
-        *[c for c in readings.columns if c not in (bean_col, value_col)],
-        by_rule(name_of).alias("_name"),
-        by_rule(labels_of).alias("_labels"),
-        by_rule(lambda r: F.lit(r.type or "UNTYPED")).alias("type"),
-        by_rule(lambda r: F.lit(float(r.value)) if r.value is not None
-                else F.col(value_col).cast("double")).alias("value"),
-        "rule")
-    labels = F.map_filter(F.transform_keys("_labels", lambda k, _: safe_name(k)),
-                          lambda k, _: k != F.lit(""))
-    out = raw.select("*", safe_name(F.col("_name")).alias("metric"), labels.alias("labels")) \
-             .drop("_name", "_labels")
+            gid = len(flat)
+            flat.append((k, i, r))
+            hit = _hit(bean, r)             # finds p anywhere == full match of ^.*(?:p).*$
+            out = _expanded(bean, r, gid)
+            chain = F.when(hit, out) if chain is None else chain.when(hit, out)
+        case = F.when(key == k, chain) if case is None else case.when(key == k, chain)
+
+    others = [c for c in readings.columns if c not in (bean_col,)]
+    hit = readings.select(*others, case.alias("_c"))
+    kept = hit.select(*others, F.explode(F.when(F.col("_c").isNotNull(), F.array("_c"))
+                                         .otherwise(F.array().cast("array<string>"))).alias("_m"))
+    head = F.split(F.col("_m"), _ID)
+    gid = head[0].cast("int")
+    parts = F.split(head[1], _PAIR)
+    kv = F.transform(F.slice(parts, 2, 1 << 20), lambda x: F.split(x, _KV))
+    labels = F.map_from_arrays(F.transform(kv, lambda a: safe_name(a[0])), F.transform(kv, lambda a: a[1]))
+    labels = F.map_filter(labels, lambda k, _: k != F.lit(""))
+
+    def lookup(values, dtype):
+        return F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), gid + 1)
+
+    const = lookup([None if r.value is None else float(r.value) for _, _, r in flat], "double")
+    out = kept.select(
+        *[c for c in others if c != value_col],
+        safe_name(parts[0]).alias("metric"),
+        labels.alias("labels"),
+        lookup([r.type or "UNTYPED" for _, _, r in flat], "string").alias("type"),
+        F.coalesce(const, F.col(value_col).cast("double")).alias("value"),
+        lookup([i for _, i, _ in flat], "int").alias("rule"))
     return out.withColumn("lkey", labels_key("labels"))
 
 
+def _expanded(bean: Column, r: BeanRule, gid: int) -> Column:
+    """``id \x03 name (\x01 key \x02 value)*`` for the winning rule."""
+    if not r.name:
+        name, rest = default_name(bean)[0], _default_rest(bean)
+        pairs = F.regexp_replace(F.regexp_replace(rest, r",\s+", _PAIR), "=", _KV)
+        return F.concat(F.lit(f"{gid}{_ID}"), name,
+                        F.when(rest != "", F.concat(F.lit(_PAIR), pairs)).otherwise(F.lit("")))
+    t = f"{gid}{_ID}" + r.name + "".join(_PAIR + k + _KV + v for k, v in r.labels.items())
+    return F.regexp_replace(bean, r.full, _java_template(t))
+
+
 # ---------------------------------------------------------------- relabeling
 
 @dataclass(frozen=True)

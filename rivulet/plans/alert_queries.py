@@ -312,3 +312,72 @@ def q_severity_map(spark, sf):
     ev = evaluate(SampleSource(spark, sf), [r.alert for r in RULES], DENSE)
     return (ev.groupBy("severity", "severity_level", "state")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("alert").alias("n_alerts")))
+
+
+# ---------------------------------------------------------------- severity tiers
+
+# Production thresholds per signal -- (signal, tier, op,
+# threshold, hold seconds).
+TIERS = [
+    ("under_replicated", "warning", ">", 0.0, 60.0), ("under_replicated", "critical", ">", 0.0, 300.0),
+    ("offline_partitions", "critical", ">", 0.0, 0.0),
+    ("consumer_lag", "warning", ">", 10000.0, 300.0), ("consumer_lag", "critical", ">", 100000.0, 300.0),
+    ("disk_usage", "warning", ">", 0.70, 0.0), ("disk_usage", "critical", ">", 0.85, 0.0),
+    ("cpu_usage", "warning", ">", 0.70, 600.0), ("cpu_usage", "critical", ">", 0.90, 300.0),
+    ("jvm_heap", "warning", ">", 0.80, 0.0), ("jvm_heap", "critical", ">", 0.90, 0.0),
+    ("request_latency", "warning", ">", 500.0, 0.0), ("request_latency", "critical", ">", 2000.0, 0.0),
+    ("broker_down", "critical", "==", 0.0, 0.0),
+]
+
+SIGNALS = {
+    "under_replicated": Inst("kafka_server_replicamanager_value", (("name", "=", "UnderReplicatedPartitions"),)),
+    "offline_partitions": Agg("sum", ("env",), Inst(
+        "kafka_controller_kafkacontroller_value", (("name", "=", "OfflinePartitionsCount"),))),
+    "consumer_lag": Inst("kafka_server_fetcherlagmetrics_consumerlag"),
+    "disk_usage": Bin("/", Inst("kubelet_volume_stats_used_bytes", PVC_KAFKA),
+                      Inst("kubelet_volume_stats_capacity_bytes", PVC_KAFKA)),
+    "cpu_usage": Bin("/", Agg("sum", ("pod",), Rate("container_cpu_usage_seconds_total", (), M5)),
+                     Agg("sum", ("pod",), Inst("kube_pod_container_resource_limits", (("resource", "=", "cpu"),)))),
+    "jvm_heap": Bin("/", Inst("jvm_memory_bytes_used", (("area", "=", "heap"),)),
+                    Inst("jvm_memory_bytes_max", (("area", "=", "heap"),))),
+    "request_latency": Inst("kafka_network_requestmetrics_99thpercentile", (("name", "=", "TotalTimeMs"),)),
+    "broker_down": Inst("up", (("job", "=", "kafka-broker"),)),
+}
+
+
+def tiered(samples, p: Params):
+    parts = [SIGNALS[s].df(samples, p).select(F.lit(s).alias("signal"), "t", "lkey", "value") for s in SIGNALS]
+    sig = parts[0]
+    for x in parts[1:]:
+        sig = sig.unionByName(x)
+    tiers = samples.spark.createDataFrame(TIERS, al.TIER_SCHEMA)
+    m = al.tier_matches(sig, tiers).withColumn("for_ms", (F.col("for_s") * 1000).cast("bigint"))
+    st = al.hold_states(m, p.step_ms, keys=("signal", "tier", "lkey"))
+    return st.select("signal", "tier", (F.col("t") / 1000).cast("bigint").alias("t"), "lkey",
+                     round6("value").alias("value"), "state")
+
+
+def tiered_sql(p: Params) -> str:
+    ctes = [q.samples_cte()]
+    sel = []
+    for s, tree in SIGNALS.items():
+        v = tree.sql(ctes, p)
+        sel.append(f"SELECT {q.lit(s)} AS signal, t, lkey, value FROM {v}")
+    ctes.append("sig AS (" + " UNION ALL ".join(sel) + ")")
+    vals = ", ".join(f"({q.lit(a)}, {q.lit(b)}, {q.lit(c)}, {d!r}, {e!r})" for a, b, c, d, e in TIERS)
+    ctes.append(f"tiers AS (SELECT * FROM (VALUES {vals}) x(signal, tier, op, threshold, for_s))")
+    ctes.append("""m AS (SELECT s.signal, tr.tier, s.t, s.lkey, s.value, CAST(tr.for_s * 1000 AS BIGINT) AS for_ms
+  FROM sig s JOIN tiers tr ON s.signal = tr.signal
+  WHERE (tr.op = '>' AND s.value > tr.threshold) OR (tr.op = '<' AND s.value < tr.threshold)
+     OR (tr.op = '==' AND s.value = tr.threshold) OR (tr.op = '>=' AND s.value >= tr.threshold))""")
+    st = p.step_ms
+    ctes.append(f"""g AS (SELECT *, t // {st} - ROW_NUMBER() OVER (PARTITION BY signal, tier, lkey ORDER BY t) AS grp FROM m)""")
+    ctes.append(f"h AS (SELECT *, MIN(t // {st}) OVER (PARTITION BY signal, tier, lkey, grp) * {st} AS since FROM g)")
+    return q.with_(*ctes, final="""SELECT signal, tier, t // 1000 AS t, lkey, ROUND(value, 6) AS value,
+  CASE WHEN t - since >= for_ms THEN 'firing' ELSE 'pending' END AS state FROM h""")
+
+
+@register("severity_tiers", oracle=tiered_sql(REF))
+def q_severity_tiers(spark, sf):
+    """Warning and critical tiers per signal, each with its own hold."""
+    return tiered(SampleSource(spark, sf), REF)

@@ -52,9 +52,10 @@ class KeyedTable:
             touched = [r[0] for r in new.select(BUCKET).distinct().collect()]   # <= buckets ids
             old = self.spark.read.parquet(self.path).where(F.col(BUCKET).isin(touched))
             merged = latest_per_key(old.unionByName(new, allowMissingColumns=True), self.keys, self.order)
+            # the merged buckets replace their own source: cut the lineage first
+            merged = merged.checkpoint(eager=True)
         else:
             merged = new
-        merged = merged.checkpoint(eager=True)
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(self.path))
 
