@@ -16,7 +16,7 @@ from ..sources.orders import order_stream
 from ..sources.samples import SampleSource
 from ..sources.topic import order_records
 from ..streaming import alert_state, sources as src, storage, tables
-from ..streaming.sinks import KeyedTable, OrdersSink
+from ..streaming.sinks import FlakyTable, KeyedTable, OrdersSink
 from . import alert_queries as aq
 from . import order_queries as oq
 from .registry import register, round6, rounded
@@ -106,26 +106,31 @@ def _sink_input(spark, sf):
     return src.stage_topic(spark, "sink-input", (sf, "unchunked-base64"), build, order_col="timestamp", chunks=3)
 
 
-def _run_sink(spark, sf):
+def _run_sink(spark, sf, flaky: bool = False):
     path = _sink_input(spark, sf)
     schema = "topic string, partition int, offset long, timestamp long, key string, value string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path + "/data")
     table, dlq, ck = (storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "dlq"),
                       storage.fresh_path(spark, "streams"))
-    sink = OrdersSink(spark, table, dlq)
+    kt = KeyedTable(spark, table, ["orderid"], ["ordertime", "_partition", "_offset"], 16)
+    sink = OrdersSink(spark, table, dlq, table=FlakyTable(kt) if flaky else kt,
+                      retry_timeout_s=60.0, retry_max_delay_s=5.0)
     q = stream.writeStream.option("checkpointLocation", ck).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
     return table, dlq
 
 
-@register("sink_upsert_pk", oracle=f"""{REC}
+SINK_SQL = f"""{REC}
 SELECT CAST(key AS INTEGER) AS orderid, timestamp AS ordertime,
        json_extract_string(value, '$.itemid') AS itemid,
        CAST(json_extract(value, '$.orderunits') AS DOUBLE) AS orderunits,
        json_extract_string(value, '$.address.city') AS address_city,
        json_extract_string(value, '$.address.state') AS address_state,
        CAST(json_extract(value, '$.address.zipcode') AS BIGINT) AS address_zipcode
-FROM records""")
+FROM records"""
+
+
+@register("sink_upsert_pk", oracle=SINK_SQL)
 def q_sink_upsert_pk(spark, sf):
     """Records decoded, validated, flattened and upserted by ``orderid``;
     duplicated deliveries collapse to one row per key."""
@@ -134,6 +139,16 @@ def q_sink_upsert_pk(spark, sf):
         "orderid", "ordertime", "itemid", "orderunits", "address_city", "address_state", "address_zipcode")
 
 
+@register("sink_retry", oracle=SINK_SQL)
+def q_sink_retry(spark, sf):
+    """The same sink while every micro-batch's first table write fails with a
+    transient error: the bounded retry re-runs the idempotent upsert and the
+    table ends up exactly as without failures."""
+    table, _ = _run_sink(spark, sf, flaky=True)
+    return spark.read.parquet(table).select(
+        "orderid", "ordertime", "itemid", "orderunits", "address_city", "address_state", "address_zipcode")
+
+
 @register("sink_dlq", oracle=f"""{REC}
 SELECT key, to_base64(encode(value)) AS value, 'Orders-binary' AS topic, partition, "offset",
        'jdbc-sink-orders' AS connector, 'VALUE_CONVERTER' AS stage,

@@ -132,12 +132,16 @@ def dead_letters(invalid: DataFrame, batch_id: int, connector: str) -> DataFrame
 
 
 class OrdersSink:
-    """The upsert sink with dead-letter routing, as a ``foreachBatch`` body."""
+    """The upsert sink with dead-letter routing, as a ``foreachBatch`` body.
+
+    ``table`` may be any object with ``upsert(df)`` (a :class:`KeyedTable` by
+    default); writes go through :func:`with_retries`.
+    """
 
     def __init__(self, spark: SparkSession, table_path: str, dlq_path: str,
                  connector: str = "jdbc-sink-orders", buckets: int = 16,
-                 retry_timeout_s: float = 60.0, retry_max_delay_s: float = 5.0):
-        self.table = KeyedTable(spark, table_path, ["orderid"], ["ordertime", "_partition", "_offset"], buckets)
+                 retry_timeout_s: float = 60.0, retry_max_delay_s: float = 5.0, table=None):
+        self.table = table or KeyedTable(spark, table_path, ["orderid"], ["ordertime", "_partition", "_offset"], buckets)
         self.dlq_path, self.connector = dlq_path, connector
         self.retry_timeout_s, self.retry_max_delay_s = retry_timeout_s, retry_max_delay_s
 
@@ -152,3 +156,18 @@ class OrdersSink:
                          self.retry_timeout_s, self.retry_max_delay_s)
         finally:
             checked.unpersist()
+
+
+class FlakyTable:
+    """A table whose first ``failures`` upserts of every batch fail with a
+    transient error before reaching storage (used to exercise retries)."""
+
+    def __init__(self, table: KeyedTable, failures: int = 1):
+        self.table, self.failures, self._seen = table, failures, 0
+
+    def upsert(self, df: DataFrame) -> None:
+        if self._seen < self.failures:
+            self._seen += 1
+            raise IOError("transient write failure")
+        self._seen = 0
+        self.table.upsert(df)

@@ -112,3 +112,16 @@ def test_generator_pacing(spark):
         .where("d IS NOT NULL").agg(F.min("d"), F.max("d")).first()
     assert gaps[0] >= 1 and gaps[1] <= 1000
     assert g.select("orderid").distinct().count() == 500
+
+
+def test_generator_stream_runs(spark):
+    q = (src.generated_orders(spark, rows_per_second=50).writeStream.format("memory")
+         .queryName("gen_orders").option("checkpointLocation", storage.fresh_path(spark, "gen"))
+         .trigger(processingTime="500 milliseconds").start())
+    try:
+        q.awaitTermination(4)
+    finally:
+        q.stop()
+    rows = spark.table("gen_orders").collect()
+    assert len(rows) > 0
+    assert all(r.itemid.startswith("Item_") and r.address.city.startswith("City_") for r in rows)
