@@ -72,6 +72,15 @@ def previous_values(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: s
     return joined.select(*out)
 
 
+def next_values(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
+                carry: Sequence[str], bucket_width: int, prefix: str = "next_") -> DataFrame:
+    """Add ``next_<c>``: the value on the following row of the same series
+    (``previous_values`` over the reversed order)."""
+    rev = df.withColumn("_rts", -F.col(ts_col)).withColumn("_rtb", -F.col(tiebreak))
+    out = previous_values(rev, keys, "_rts", "_rtb", carry, bucket_width, prefix=prefix)
+    return out.drop("_rts", "_rtb")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
                 value_col: str, out_col: str, bucket_width: int) -> DataFrame:
     """Add ``out_col`` = sum of ``value_col`` over all earlier-or-equal rows of

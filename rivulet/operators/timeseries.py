@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import all_match, drop_empty, label, labels_key
-from .sequence import previous_values
+from .sequence import next_values, previous_values
 
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
@@ -61,14 +61,23 @@ def _expand(df: DataFrame, lo: Column, hi: Column, step_ms: int) -> DataFrame:
             .drop("_first", "_last"))
 
 
-def instant(sel: DataFrame, step_ms: int, lookback_ms: int = 5 * MINUTE_MS) -> DataFrame:
+def instant(sel: DataFrame, step_ms: int, lookback_ms: int = 5 * MINUTE_MS,
+            bucket_ms: int = HOUR_MS) -> DataFrame:
     """Instant vector at every step: per series the latest sample in the
-    look-back window."""
-    ex = _expand(sel, F.col("ts"), F.col("ts") + F.lit(lookback_ms - 1), step_ms)
-    picked = (ex.groupBy("series", "t")
-              .agg(F.max_by(F.struct("value", "metric", "labels", "lkey"),
-                            F.struct("ts", "sample_id")).alias("s")))
-    return picked.select("t", "s.metric", "s.labels", "s.lkey", "s.value")
+    look-back window ``(t - lookback, t]``.
+
+    Each sample is the answer for the steps from its own time until its
+    successor arrives or it goes stale, whichever is first.  The successor
+    comes from the bucketed ``next_values`` (one shuffle of the samples, no
+    whole-series task); the sample is then expanded only over its own steps,
+    so every (series, step) is produced exactly once and no aggregation -- and
+    no shuffle of the expanded rows -- is needed.
+    """
+    n = next_values(sel, ["series"], "ts", "sample_id", ["ts"], bucket_ms)
+    until = F.least(F.col("ts") + F.lit(lookback_ms - 1),
+                    F.coalesce(F.col("next_ts") - F.lit(1), F.col("ts") + F.lit(lookback_ms - 1)))
+    ex = _expand(n, F.col("ts"), until, step_ms)
+    return ex.select("t", "metric", "labels", "lkey", "value")
 
 
 def _pairs(sel: DataFrame, bucket_ms: int) -> DataFrame:
