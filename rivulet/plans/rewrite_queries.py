@@ -204,3 +204,4 @@ _relabel_query("relabel_labelmap", RS.LABELMAP_RELABEL)
 _relabel_query("relabel_job_connect", RS.CONNECT_RELABEL, drop_meta=True)
 _relabel_query("relabel_job_broker", RS.BROKER_RELABEL, drop_meta=True)
 _relabel_query("relabel_servicemonitor", RS.SERVICEMONITOR_RELABEL, drop_meta=True)
+_relabel_query("relabel_pod_monitoring", RS.POD_MONITORING_RELABEL, drop_meta=True)

@@ -143,6 +143,15 @@ SERVICEMONITOR_RELABEL = (
     Relabel("replace", (), "(.*)", "job", "kafka-broker"),
     Relabel("replace", (), "(.*)", "env", "local-poc"),
     Relabel("replace", (), "(.*)", "namespace", "confluent"),
+    Relabel("replace", (), "(.*)", "cluster", "docker-desktop"),
+)
+# Pod monitoring: select pods by app label, copy pod and namespace metadata,
+# then the metric relabeling that sets a constant env.
+POD_MONITORING_RELABEL = (
+    Relabel("keep", ("__meta_kubernetes_pod_label_app",), "kafka"),
+    Relabel("replace", ("__meta_kubernetes_pod_name",), "(.*)", "pod"),
+    Relabel("replace", ("__meta_kubernetes_namespace",), "(.*)", "namespace"),
+    Relabel("replace", (), "(.*)", "env", "dev-gke"),
 )
 # Standard pod-label mapping (the guide lists the action without a config).
 LABELMAP_RELABEL = (Relabel("labelmap", (), "__meta_kubernetes_pod_label_(.+)"),)

@@ -155,6 +155,7 @@ _POD = f"{_PREFIX} || '-' || {_U3}"
 TARGET_LABELS = {
     "__address__": f"{_POD} || '.' || {_PREFIX} || '.confluent.svc.cluster.local:7778'",
     "__meta_kubernetes_pod_name": _POD,
+    "__meta_kubernetes_namespace": "'confluent'",
     "__meta_kubernetes_pod_label_app": _PREFIX,
     "__meta_kubernetes_pod_label_platform_confluent_io_type": _PREFIX,
     "__meta_kubernetes_pod_container_port_name": "CASE WHEN value < 5 THEN 'jmx' ELSE 'prometheus' END",
