@@ -51,13 +51,6 @@ def all_match(labels, matchers) -> Column:
     return cond
 
 
-def with_label(labels, name: str, value) -> Column:
-    """Set (or replace) one label; an empty value removes it."""
-    v = F.lit(value) if isinstance(value, str) else value
-    rest = F.map_filter(_c(labels), lambda k, _: k != F.lit(name))
-    return F.when(v == F.lit(""), rest).otherwise(
-        F.map_concat(rest, F.create_map(F.lit(name), v)))
-
 
 def drop_empty(labels) -> Column:
     return F.map_filter(_c(labels), lambda _, v: v != F.lit(""))

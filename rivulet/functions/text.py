@@ -14,13 +14,3 @@ def cast_varchar(col) -> Column:
     """``CAST(x AS VARCHAR)``; doubles print as ``5.0`` / ``1.0E7``."""
     return _c(col).cast("string")
 
-
-def concat_plus(*parts) -> Column:
-    """String ``+``: NULL when any operand is NULL (plain ``concat``)."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) and not p.isidentifier() else _c(p)
-                      for p in parts])
-
-
-def concat_text(*parts) -> Column:
-    """``concat`` where plain ``str`` arguments are literals, Columns are columns."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])

@@ -24,10 +24,6 @@ def epoch_millis(ts) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH_NTZ), _c(ts))
 
 
-def epoch_seconds(ts) -> Column:
-    """Epoch seconds (BIGINT, floored) of an NTZ timestamp taken as UTC."""
-    return F.floor(epoch_millis(ts) / F.lit(1000)).cast("bigint")
-
 
 def ntz_from_millis(ms) -> Column:
     """UTC wall-clock NTZ timestamp for epoch milliseconds."""
@@ -69,9 +65,3 @@ def duration_seconds(text: str) -> float:
         d, h, mi, s = (float(g) if g else 0.0 for g in m.groups())
         return d * 86400 + h * 3600 + mi * 60 + s
     raise ValueError(f"unrecognised duration: {text!r}")
-
-
-def spark_interval(text: str) -> str:
-    """A duration as a Spark interval string, e.g. ``'300 seconds'``."""
-    secs = duration_seconds(text)
-    return f"{int(secs)} seconds" if secs == int(secs) else f"{int(secs * 1000)} milliseconds"

@@ -7,13 +7,14 @@ until it has been active for the rule's ``for`` duration and ``firing`` from
 then on.  A step where the element is absent ends the run, and the next
 appearance starts a new one.
 
-Runs are found with the bucketed gaps-and-islands primitive, so a long-lived
-hot series does not end up in one task.
+The rows of one (alert, series) are its active steps, bounded by the
+evaluated span divided by the step, so runs are found with one window
+partition per key (see :func:`hold_states`).
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,8 +24,6 @@ from pyspark.sql import types as T
 
 from ..functions.labels import go_float_text, label
 
-import re
-
 
 @dataclass(frozen=True)
 class AlertRule:
@@ -137,7 +136,3 @@ def tier_matches(signals: DataFrame, tiers: DataFrame) -> DataFrame:
                .when(F.col("op") == "==", v == th).when(F.col("op") == ">=", v >= th)
                .otherwise(F.lit(False)))
     return j.where(crossed)
-
-
-def finite(x: float) -> bool:
-    return not (math.isinf(x) or math.isnan(x))

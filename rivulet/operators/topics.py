@@ -7,8 +7,6 @@ filters below prune files, the way a consumer seeks instead of scanning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.time import duration_seconds
 from ..operators import alerts as al
-from ..operators import timeseries as ts
 from ..sources.samples import SampleSource
 from . import sqlgen as q
 from .registry import register, round6

@@ -31,7 +31,8 @@ def _staged_orders(spark, sf, chunks=CHUNKS):
 
 
 def _order_file_stream(spark, sf):
-    return src.file_stream(spark, _staged_orders(spark, sf), S.ORDER, max_files_per_trigger=1)
+    path, files = _staged_orders(spark, sf)
+    return src.file_stream(spark, path, S.ORDER, max_files_per_trigger=files)
 
 
 @register("push_query", oracle=oq.FILTER_GT_SQL)
@@ -82,14 +83,14 @@ def q_late_data(spark, sf):
     whole month, so after the first one the watermark (max event time minus
     24 hours) has passed most windows and later partitions' older rows are
     dropped as late.  (Rows-only check: the result depends on delivery.)"""
-    path = src.stage_topic(spark, "orders-by-partition", (sf,),
+    path, files = src.stage_topic(spark, "orders-by-partition", (sf,),
                            lambda: order_records(spark, sf).select(
                                F.col("key").alias("orderid"), F.col("timestamp").alias("ordertime"),
                                F.get_json_object("value", "$.itemid").alias("itemid"),
                                F.get_json_object("value", "$.orderunits").cast("double").alias("orderunits"),
                                F.lit(None).cast(S.ADDRESS).alias("address"), "partition"),
                            order_col="partition", chunks=6)
-    s = src.with_event_time(src.file_stream(spark, path, S.ORDER, max_files_per_trigger=1))
+    s = src.with_event_time(src.file_stream(spark, path, S.ORDER, max_files_per_trigger=files))
     t = _keyed_run(spark, tables.tumbling_by_item(s), ["itemid", "window_start"])
     return rounded(t.select("itemid", "window_start", "window_end", "order_count", "total_units"),
                    "total_units")
@@ -107,9 +108,9 @@ def _sink_input(spark, sf):
 
 
 def _run_sink(spark, sf, flaky: bool = False):
-    path = _sink_input(spark, sf)
+    path, files = _sink_input(spark, sf)
     schema = "topic string, partition int, offset long, timestamp long, key string, value string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path + "/data")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "/data")
     table, dlq, ck = (storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "dlq"),
                       storage.fresh_path(spark, "streams"))
     kt = KeyedTable(spark, table, ["orderid"], ["ordertime", "_partition", "_offset"], 16)
@@ -172,13 +173,13 @@ def q_alert_for_stream(spark, sf):
     """The rule set's ``for`` holds computed by a stateful stream over the
     active elements, delivered in time order."""
     p = aq.DENSE
-    path = src.stage_topic(
+    path, files = src.stage_topic(
         spark, "alert-active", (sf,),
         lambda: aq.active_elements(SampleSource(spark, sf), [r.alert for r in aq.RULES], p)
         .select("alert", "lkey", "t", "value", "for_ms"),
         order_col="t", chunks=CHUNKS)
     active = src.file_stream(spark, path, "alert string, lkey string, t long, value double, for_ms long",
-                             max_files_per_trigger=1)
+                             max_files_per_trigger=files)
     out, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
     q = tables.run_append(alert_state.hold_stream(active, p.step_ms), out, ck)
     q.awaitTermination()

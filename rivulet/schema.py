@@ -33,7 +33,7 @@ TOPIC_RECORD = T.StructType([
     T.StructField("topic", T.StringType()),
     T.StructField("partition", T.IntegerType()),
     T.StructField("offset", T.LongType()),
-    T.StructField("timestamp", T.TimestampNTZType()),
+    T.StructField("timestamp", T.LongType()),           # epoch ms (CreateTime)
     T.StructField("key", T.StringType()),
     T.StructField("value", T.StringType()),
     T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
@@ -43,13 +43,14 @@ TOPIC_RECORD = T.StructType([
 SAMPLE = T.StructType([
     T.StructField("metric", T.StringType()),
     T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("ts", T.LongType()),          # epoch seconds
+    T.StructField("ts", T.LongType()),          # epoch ms
     T.StructField("value", T.DoubleType()),
 ])
 
 # A raw managed-bean reading before name/label rewriting.
 BEAN_ROW = T.StructType([
+    T.StructField("component", T.StringType()),
     T.StructField("bean", T.StringType()),
-    T.StructField("ts", T.LongType()),
+    T.StructField("ts", T.LongType()),                  # epoch ms
     T.StructField("value", T.DoubleType()),
 ])

@@ -9,37 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import schema as S
 from ..functions.time import instant_from_millis
 from . import storage
 
 
+ROWS_PER_FILE = 2_000_000
+STAGE_FORMAT = "2"          # part of the staging key: bump when the layout changes
+
+
 def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
-                order_col: str | None = None, chunks: int = 1) -> str:
+                order_col: str | None = None, chunks: int = 1,
+                rows_per_file: int = ROWS_PER_FILE) -> tuple[str, int]:
     """Write a batch DataFrame once as the files of a topic stand-in.
 
-    With ``order_col`` the rows are written in ``chunks`` time-ordered
-    files, one write per chunk, so that a file stream with
-    ``maxFilesPerTrigger=1`` delivers them in order (the way a partition is
-    consumed).  The folder is keyed by ``key``; an existing complete folder
-    is reused.
+    Returns ``(path, files_per_chunk)``.  With ``order_col`` the rows are
+    cut into ``chunks`` consecutive ranges of that column, written one range
+    after the other; each range is range-partitioned on the column into the
+    same number ``F`` of files (sized from the largest range).  A file stream
+    reading ``F`` files per trigger then delivers exactly one range per
+    micro-batch, in order, while every range is still written by ``F``
+    parallel tasks.  The folder is keyed by ``key``; a complete folder is
+    reused.
     """
-    path = storage.keyed_path(spark, "topics", name, *map(str, key), str(chunks))
-    if storage.exists(spark, path + "/_COMPLETE"):
-        return path
+    path = storage.keyed_path(spark, "topics", STAGE_FORMAT, name, *map(str, key), str(chunks))
+    marker = path + "/_COMPLETE"
+    if storage.exists(spark, marker):
+        files = spark.read.parquet(marker).first()["files"]
+        return path, files
     storage.delete(spark, path)
     df = build()
     if order_col is None or chunks <= 1:
         df.write.parquet(path + "/data")
+        files = 0
     else:
         b = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
         lo, hi = b["lo"], b["hi"] + 1
         width = (hi - lo + chunks - 1) // chunks
-        for i in range(chunks):          # a bounded number of sequential writes
+        cid = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int")
+        largest = df.groupBy(cid.alias("c")).count().agg(F.max("count")).first()[0]   # <= chunks rows
+        files = max(1, -(-largest // rows_per_file))
+        for i in range(chunks):          # a bounded number of sequential writes, in order
             part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
-            part.coalesce(1).write.mode("append").parquet(path + "/data")
-    spark.createDataFrame([(1,)], "x int").coalesce(1).write.mode("overwrite").parquet(path + "/_COMPLETE")
-    return path
+            part.repartitionByRange(files, order_col).write.mode("append").parquet(path + "/data")
+    spark.createDataFrame([(files,)], "files int").write.mode("overwrite").parquet(marker)
+    return path, files
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType,
