@@ -47,9 +47,10 @@ def q_push_query(spark, sf):
 def _keyed_run(spark, agg, keys):
     path, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
     t = KeyedTable(spark, path, keys, ["_v"], buckets=8)
-    q = (agg.writeStream.outputMode("update").option("checkpointLocation", ck)
-         .foreachBatch(lambda b, i: t.upsert(b.withColumn("_v", F.lit(i))))
-         .trigger(availableNow=True).start())
+    w = (agg.writeStream.outputMode("update").option("checkpointLocation", ck)
+         .foreachBatch(lambda b, i: t.upsert(b.withColumn("_v", F.lit(i)))).trigger(availableNow=True))
+    with tables.state_partitions(spark):
+        q = w.start()
     q.awaitTermination()
     return t.read().drop("_v")
 
@@ -116,7 +117,8 @@ def _run_sink(spark, sf, flaky: bool = False):
     kt = KeyedTable(spark, table, ["orderid"], ["ordertime", "_partition", "_offset"], 16)
     sink = OrdersSink(spark, table, dlq, table=FlakyTable(kt) if flaky else kt,
                       retry_timeout_s=60.0, retry_max_delay_s=5.0)
-    q = stream.writeStream.option("checkpointLocation", ck).foreachBatch(sink).trigger(availableNow=True).start()
+    with tables.state_partitions(spark):
+        q = stream.writeStream.option("checkpointLocation", ck).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
     return table, dlq
 

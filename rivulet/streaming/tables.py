@@ -15,6 +15,7 @@ the query's checkpoint location in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,22 @@ from .sinks import KeyedTable
 DEFAULT_LATENESS = "24 hours"
 
 
+@contextmanager
+def state_partitions(spark, n: int | None = None):
+    """Start a stateful stream with ``n`` state partitions (default: the
+    cluster's default parallelism, one wave of tasks), restoring the session's
+    shuffle-partition setting afterwards.  The count is fixed in the stream's
+    checkpoint at its first start, so it is chosen for the state, not for the
+    batch jobs sharing the session."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_append(df: DataFrame, out_path: str, checkpoint: str, query_name: str | None = None,
                available_now: bool = True) -> StreamingQuery:
     """Push query into an append-only parquet sink (exactly-once through the
@@ -34,7 +51,8 @@ def run_append(df: DataFrame, out_path: str, checkpoint: str, query_name: str |
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    with state_partitions(df.sparkSession):
+        return w.start()
 
 
 def run_keyed(df: DataFrame, table: KeyedTable, checkpoint: str, query_name: str | None = None,
@@ -45,7 +63,8 @@ def run_keyed(df: DataFrame, table: KeyedTable, checkpoint: str, query_name: str
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    with state_partitions(df.sparkSession):
+        return w.start()
 
 
 def orders_by_state_table(stream: DataFrame) -> DataFrame:
