@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import rulesets as RS
 from ..functions.labels import labels_key
 from ..operators import rewrite as rw
-from ..sources.beans import bean_readings, readings_sql_cte, scrape_targets, scrape_targets_sql
+from ..sources.beans import (bean_readings, readings_sql_cte, scrape_targets, scrape_targets_sql,
+                             service_endpoints, service_endpoints_sql)
 from .registry import register
 from .sqlgen import lit
 
@@ -181,27 +182,29 @@ _LK = ("'{' || array_to_string(list_sort(list_transform(map_entries(labels), "
        "lambda e: e.key || '=\"' || e.value || '\"')), ',') || '}'")
 
 
-def _relabel_query(qid: str, steps, drop_meta: bool = False):
+def _relabel_query(qid: str, steps, drop_meta: bool = False, endpoints: bool = False):
+    src_df = service_endpoints if endpoints else scrape_targets
+    src_sql = service_endpoints_sql() if endpoints else scrape_targets_sql()
     final_labels = ("map_from_entries(list_filter(map_entries(labels), lambda e: NOT starts_with(e.key, '__')))"
                     if drop_meta else "labels")
     sql = (f"SELECT sample_id, ts, {_LK.replace('labels', 'l2')} AS lkey, value FROM "
-           f"(SELECT sample_id, ts, {final_labels} AS l2, value FROM {relabel_sql(steps, scrape_targets_sql())} z)")
+           f"(SELECT sample_id, ts, {final_labels} AS l2, value FROM {relabel_sql(steps, src_sql)} z)")
 
     @register(qid, oracle=sql)
     def _q(spark, sf):
-        df = rw.relabel(scrape_targets(spark, sf), steps)
+        df = rw.relabel(src_df(spark, sf), steps)
         labels = rw.drop_meta(F.col("labels")) if drop_meta else F.col("labels")
         return df.select("sample_id", "ts", labels_key(labels).alias("lkey"), "value")
     return _q
 
 
 _relabel_query("relabel_keep", RS.CONNECT_RELABEL[:2])
-_relabel_query("relabel_drop", RS.SERVICEMONITOR_RELABEL[:1])
+_relabel_query("relabel_drop", RS.SERVICEMONITOR_RELABEL[:1], endpoints=True)
 _relabel_query("relabel_replace", RS.BROKER_RELABEL[:1])
 _relabel_query("relabel_copy", RS.CONNECT_RELABEL[2:3])
 _relabel_query("relabel_static", RS.CONNECT_RELABEL[3:5])
 _relabel_query("relabel_labelmap", RS.LABELMAP_RELABEL)
 _relabel_query("relabel_job_connect", RS.CONNECT_RELABEL, drop_meta=True)
 _relabel_query("relabel_job_broker", RS.BROKER_RELABEL, drop_meta=True)
-_relabel_query("relabel_servicemonitor", RS.SERVICEMONITOR_RELABEL, drop_meta=True)
+_relabel_query("relabel_servicemonitor", RS.SERVICEMONITOR_RELABEL, drop_meta=True, endpoints=True)
 _relabel_query("relabel_pod_monitoring", RS.POD_MONITORING_RELABEL, drop_meta=True)

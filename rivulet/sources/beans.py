@@ -159,8 +159,7 @@ TARGET_LABELS = {
     "__meta_kubernetes_pod_label_app": _PREFIX,
     "__meta_kubernetes_pod_label_platform_confluent_io_type": _PREFIX,
     "__meta_kubernetes_pod_container_port_name": "CASE WHEN value < 5 THEN 'jmx' ELSE 'prometheus' END",
-    "__meta_kubernetes_service_name":
-        f"CASE WHEN user_id % 4 = 0 THEN {_PREFIX} || '-' || {_U3} || '-internal' ELSE {_PREFIX} END",
+    "__meta_kubernetes_service_name": _PREFIX,
     "__name__": "'up'",
 }
 
@@ -180,3 +179,35 @@ def scrape_targets_sql() -> str:
     m = "MAP {" + ", ".join(f"'{k}': {TARGET_LABELS[k]}" for k in sorted(TARGET_LABELS)) + "}"
     return (f"(SELECT event_id AS sample_id, epoch_us(ts) // 1000 AS ts, {m} AS labels, "
             f"CAST(CASE WHEN value < 2 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS value FROM events)")
+
+
+def _internal_service_sql() -> str:
+    return f"{_PREFIX} || '-' || {_U3} || '-internal'"
+
+
+def service_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets as service discovery reports them: every pod is found once
+    through its component's headless service and once through its own
+    ``<pod>-internal`` service, so each scrape appears twice (one scan, one
+    two-element explode)."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
+    svc_key = "__meta_kubernetes_service_name"
+    kv = []
+    for k in sorted(TARGET_LABELS):
+        if k != svc_key:
+            kv += [F.lit(k), F.expr(TARGET_LABELS[k])]
+    svc = F.explode(F.array(F.expr(TARGET_LABELS[svc_key]), F.expr(_internal_service_sql())))
+    return (ev.select(F.col("event_id").alias("sample_id"), epoch_millis("ts").alias("ts"),
+                      F.create_map(*kv).alias("base"), svc.alias("svc"),
+                      F.when(F.col("value") < 2, 0.0).otherwise(1.0).alias("value"))
+            .select("sample_id", "ts", F.map_concat("base", F.create_map(F.lit(svc_key), F.col("svc"))).alias("labels"),
+                    "value"))
+
+
+def service_endpoints_sql() -> str:
+    svc_key = "__meta_kubernetes_service_name"
+    base = "MAP {" + ", ".join(f"'{k}': {TARGET_LABELS[k]}" for k in sorted(TARGET_LABELS) if k != svc_key) + "}"
+    return (f"(SELECT sample_id, ts, map_concat(base, MAP {{'{svc_key}': svc}}) AS labels, value FROM "
+            f"(SELECT event_id AS sample_id, epoch_us(ts) // 1000 AS ts, {base} AS base, "
+            f"unnest([{TARGET_LABELS[svc_key]}, {_internal_service_sql()}]) AS svc, "
+            f"CAST(CASE WHEN value < 2 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS value FROM events))")
