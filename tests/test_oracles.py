@@ -26,3 +26,15 @@ def test_entry_smoke(spark):
 def test_query_matches_oracle(spark, duck, name):
     r = check_oracles.compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SMALL)
     assert r["status"] in ("match", "rows-only"), r
+
+
+@pytest.mark.parametrize("name", ["flat_stream", "tumbling_1m", "instant_lookup", "read_from_timestamp",
+                                  "stream_tumbling_1m"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        r = check_oracles.compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SMALL)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r["status"] == "match", r
