@@ -72,6 +72,35 @@ def previous_values(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: s
     return joined.select(*out)
 
 
+def neighbor_within(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
+                    carry: Sequence[str], horizon: int, direction: str = "next",
+                    prefix: str | None = None) -> DataFrame:
+    """Add ``<prefix><c>`` from the next (or previous) row of the same series,
+    but only when that row lies within ``horizon`` of this one; NULL otherwise.
+
+    Callers that only care about neighbours within a horizon (a sample's
+    successor before it goes stale, a counter's predecessor inside the rate
+    range) need no summary pass: time is cut into buckets of width
+    ``horizon`` and every row is also copied into the adjacent bucket, so one
+    window per (series, bucket) -- one shuffle, no join -- sees every
+    neighbour that is less than a bucket away.  A hot series is still spread
+    over its buckets.  (Rows further apart than ``horizon`` may or may not be
+    reported; callers treat both the same.)
+    """
+    keys = list(keys)
+    prefix = prefix or f"{direction}_"
+    b = F.floor(F.col(ts_col) / F.lit(horizon)).cast("bigint")
+    shift = -1 if direction == "next" else 1     # copies go where they are the neighbour
+    dup = df.select("*", F.explode(F.array(
+        F.struct(b.alias("b"), F.lit(False).alias("c")),
+        F.struct((b + F.lit(shift)).alias("b"), F.lit(True).alias("c")))).alias("_d"))
+    dup = dup.select(*df.columns, F.col("_d.b").alias(_B), F.col("_d.c").alias("_copy"))
+    w = Window.partitionBy(*keys, _B).orderBy(ts_col, tiebreak)
+    fn = F.lead if direction == "next" else F.lag
+    out = dup.select("*", *[fn(c).over(w).alias(prefix + c) for c in carry])
+    return out.where(~F.col("_copy")).drop(_B, "_copy")
+
+
 def next_values(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
                 carry: Sequence[str], bucket_width: int, prefix: str = "next_") -> DataFrame:
     """Add ``next_<c>``: the value on the following row of the same series

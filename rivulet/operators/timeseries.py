@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import all_match, drop_empty, label, labels_key
-from .sequence import next_values, previous_values
+from .sequence import neighbor_within
 
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
@@ -61,34 +61,35 @@ def _expand(df: DataFrame, lo: Column, hi: Column, step_ms: int) -> DataFrame:
             .drop("_first", "_last"))
 
 
-def instant(sel: DataFrame, step_ms: int, lookback_ms: int = 5 * MINUTE_MS,
-            bucket_ms: int = HOUR_MS) -> DataFrame:
+def instant(sel: DataFrame, step_ms: int, lookback_ms: int = 5 * MINUTE_MS) -> DataFrame:
     """Instant vector at every step: per series the latest sample in the
     look-back window ``(t - lookback, t]``.
 
     Each sample is the answer for the steps from its own time until its
-    successor arrives or it goes stale, whichever is first.  The successor
-    comes from the bucketed ``next_values`` (one shuffle of the samples, no
+    successor arrives or it goes stale, whichever is first.  Only a successor
+    within the look-back matters, so it comes from ``neighbor_within`` (one
+    shuffle of the samples keyed by series and look-back bucket, no
     whole-series task); the sample is then expanded only over its own steps,
     so every (series, step) is produced exactly once and no aggregation -- and
     no shuffle of the expanded rows -- is needed.
     """
-    n = next_values(sel, ["series"], "ts", "sample_id", ["ts"], bucket_ms)
+    n = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts"], lookback_ms, "next")
     until = F.least(F.col("ts") + F.lit(lookback_ms - 1),
                     F.coalesce(F.col("next_ts") - F.lit(1), F.col("ts") + F.lit(lookback_ms - 1)))
     ex = _expand(n, F.col("ts"), until, step_ms)
     return ex.select("t", "metric", "labels", "lkey", "value")
 
 
-def _pairs(sel: DataFrame, bucket_ms: int) -> DataFrame:
-    p = previous_values(sel, ["series"], "ts", "sample_id", ["ts", "value"], bucket_ms)
-    return p.where(F.col("prev_ts").isNotNull())
+def _pairs(sel: DataFrame, range_ms: int) -> DataFrame:
+    """Consecutive sample pairs less than ``range_ms`` apart (only those can
+    both fall in one range window)."""
+    p = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts", "value"], range_ms, "previous", "prev_")
+    return p.where(F.col("prev_ts").isNotNull() & (F.col("ts") - F.col("prev_ts") < F.lit(range_ms)))
 
 
-def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = False,
-             bucket_ms: int = HOUR_MS) -> DataFrame:
+def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = False) -> DataFrame:
     """Reset-aware counter increase over ``(t - range, t]`` (or per second)."""
-    pairs = _pairs(sel, bucket_ms).withColumn(
+    pairs = _pairs(sel, range_ms).withColumn(
         "d", F.when(F.col("value") >= F.col("prev_value"), F.col("value") - F.col("prev_value"))
               .otherwise(F.col("value")))
     ex = _expand(pairs, F.col("ts"), F.col("prev_ts") + F.lit(range_ms - 1), step_ms)
@@ -100,9 +101,9 @@ def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = Fal
                       val.alias("value"))
 
 
-def rate(sel: DataFrame, range_ms: int, step_ms: int, bucket_ms: int = HOUR_MS) -> DataFrame:
+def rate(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
     """``rate(m[range])``: per-second increase."""
-    return increase(sel, range_ms, step_ms, per_second=True, bucket_ms=bucket_ms)
+    return increase(sel, range_ms, step_ms, per_second=True)
 
 
 def delta(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:

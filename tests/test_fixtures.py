@@ -36,13 +36,6 @@ def test_counter_increase_with_reset(spark):
     assert at(ts.increase(s, 30_000, MIN), 0) == {}
 
 
-def test_rate_buckets_do_not_change_result(spark):
-    s = samples(spark, [({"i": "a"}, k * MIN, v) for k, v in enumerate([0, 10, 20, 5, 15])])
-    a = {(r.t, r.value) for r in ts.increase(s, 5 * MIN, MIN, bucket_ms=MIN).collect()}
-    b = {(r.t, r.value) for r in ts.increase(s, 5 * MIN, MIN, bucket_ms=3_600_000).collect()}
-    assert a == b
-
-
 def test_delta_with_missing_sample(spark):
     s = samples(spark, [({"i": "g"}, 0, 5.0), ({"i": "g"}, MIN, 7.0), ({"i": "g"}, 3 * MIN, 4.0)])
     d = ts.delta(s, 5 * MIN, MIN)
