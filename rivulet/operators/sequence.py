@@ -17,6 +17,13 @@ single core.  Here each series is cut into time buckets:
 
 The bucket width is a tuning knob: it bounds the rows sorted together in
 step 1; smaller buckets give more, smaller tasks and a larger summary.
+
+When only neighbours within a horizon matter (a sample's successor before it
+goes stale, a counter's predecessor inside a rate window),
+:func:`neighbor_within` needs no summary at all: buckets of the horizon's
+width plus one copy of each row in the adjacent bucket, one window, one
+shuffle.  Unbounded quantities (offsets, counter running sums) use the
+summary form.
 """
 
 from __future__ import annotations
@@ -101,15 +108,6 @@ def neighbor_within(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: s
     return out.where(~F.col("_copy")).drop(_B, "_copy")
 
 
-def next_values(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
-                carry: Sequence[str], bucket_width: int, prefix: str = "next_") -> DataFrame:
-    """Add ``next_<c>``: the value on the following row of the same series
-    (``previous_values`` over the reversed order)."""
-    rev = df.withColumn("_rts", -F.col(ts_col)).withColumn("_rtb", -F.col(tiebreak))
-    out = previous_values(rev, keys, "_rts", "_rtb", carry, bucket_width, prefix=prefix)
-    return out.drop("_rts", "_rtb")
-
-
 def running_sum(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
                 value_col: str, out_col: str, bucket_width: int) -> DataFrame:
     """Add ``out_col`` = sum of ``value_col`` over all earlier-or-equal rows of
