@@ -16,7 +16,7 @@ from ..sources.orders import order_stream
 from ..sources.samples import SampleSource
 from ..sources.topic import order_records
 from ..streaming import alert_state, sources as src, storage, tables
-from ..streaming.sinks import FlakyTable, KeyedTable, OrdersSink
+from ..streaming.sinks import FlakyTable, KeyedTable, OrdersSink, orders_table
 from . import alert_queries as aq
 from . import order_queries as oq
 from .registry import register, round6, rounded
@@ -114,7 +114,7 @@ def _run_sink(spark, sf, flaky: bool = False):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "/data")
     table, dlq, ck = (storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "dlq"),
                       storage.fresh_path(spark, "streams"))
-    kt = KeyedTable(spark, table, ["orderid"], ["ordertime", "_partition", "_offset"], 16)
+    kt = orders_table(spark, table, range_width=1000)
     sink = OrdersSink(spark, table, dlq, table=FlakyTable(kt) if flaky else kt,
                       retry_timeout_s=60.0, retry_max_delay_s=5.0)
     with tables.state_partitions(spark):

@@ -125,3 +125,18 @@ def test_generator_stream_runs(spark):
     rows = spark.table("gen_orders").collect()
     assert len(rows) > 0
     assert all(r.itemid.startswith("Item_") and r.address.city.startswith("City_") for r in rows)
+
+
+def test_range_buckets_rewrite_only_touched_ranges(spark):
+    path = storage.fresh_path(spark, "rt")
+    t = KeyedTable(spark, path, ["k"], ["ts"], range_width=100)
+    t.upsert(spark.createDataFrame([(k, 1, "a") for k in range(0, 300)], "k int, ts int, v string"))
+    before = {f.name: f for f in __import__("os").scandir(path) if f.name.startswith("_bucket=")}
+    mtimes = {n: __import__("os").stat(f.path).st_mtime_ns for n, f in before.items()}
+    t.upsert(spark.createDataFrame([(250, 2, "b"), (301, 1, "c")], "k int, ts int, v string"))
+    after = {f.name: __import__("os").stat(f.path).st_mtime_ns for f in __import__("os").scandir(path)
+             if f.name.startswith("_bucket=")}
+    assert sorted(after) == ["_bucket=0", "_bucket=1", "_bucket=2", "_bucket=3"]
+    assert after["_bucket=0"] == mtimes["_bucket=0"] and after["_bucket=1"] == mtimes["_bucket=1"]
+    rows = {r.k: r.v for r in t.read().collect()}
+    assert len(rows) == 301 and rows[250] == "b" and rows[301] == "c" and rows[0] == "a"
