@@ -2,6 +2,11 @@
 
 Selecting the columns at the read lets Catalyst prune the parquet scan
 (``ReadSchema`` shows only these fields) before anything else happens.
+
+The relation (schema from the footer, file listing) is reused while the
+table's modification time is unchanged, so queries composed of many reads of
+one table do not re-read its footer each time; a rewritten table is picked up
+because its modification time changes.
 """
 
 from __future__ import annotations
@@ -10,12 +15,25 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RELATIONS: dict[tuple, DataFrame] = {}
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def _mtime(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (spark.sparkContext.applicationId, path, _mtime(spark, path))
+    df = _RELATIONS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _RELATIONS[key] = df
     return df.select(*columns) if columns else df
