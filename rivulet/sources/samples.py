@@ -43,7 +43,10 @@ ENV = "dev"
 NAMESPACE = "confluent"
 CLUSTER = "local"
 COUNTER_RESET_MS = 1705276800000          # 2024-01-15T00:00:00Z
-HOUR_MS = 3_600_000
+# Bucket width of the per-series running sums: bounds the rows one task sorts
+# for a hot series (a minute of it) while the per-bucket summary never has
+# more rows than the input.
+SEQ_BUCKET_MS = 60_000
 
 
 @dataclass(frozen=True)
@@ -180,7 +183,7 @@ def _scrapes(events: DataFrame, families) -> DataFrame:
 
 
 def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
-                   bucket_ms: int = HOUR_MS) -> DataFrame:
+                   bucket_ms: int = SEQ_BUCKET_MS) -> DataFrame:
     """``metric, labels, lkey, series, ts (epoch ms), sample_id, value``.
 
     ``lkey`` is the canonical text of the label set and ``series`` the metric
@@ -224,7 +227,7 @@ class SampleSource:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, families=FAMILIES,
-                 bucket_ms: int = HOUR_MS):
+                 bucket_ms: int = SEQ_BUCKET_MS):
         self.spark, self.sf_dir, self.families, self.bucket_ms = spark, sf_dir, families, bucket_ms
         self._memo: dict[str, DataFrame] = {}
 

@@ -27,7 +27,8 @@ from .orders import order_stream
 
 TOPIC = "Orders"
 PARTITIONS = 6
-HOUR_MS = 3_600_000
+# Bucket width of the offset running count (a minute of one partition per task).
+SEQ_BUCKET_MS = 60_000
 
 
 def key_partition(key: Column, partitions: int = PARTITIONS) -> Column:
@@ -42,7 +43,7 @@ def order_value(orders: DataFrame) -> Column:
 
 
 def order_records(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS,
-                  topic: str = TOPIC, bucket_ms: int = HOUR_MS) -> DataFrame:
+                  topic: str = TOPIC, bucket_ms: int = SEQ_BUCKET_MS) -> DataFrame:
     """``topic, partition, offset, timestamp, timestamp_type, key, value, headers``."""
     o = order_stream(spark, sf_dir)
     rec = o.select(
