@@ -93,12 +93,14 @@ def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = Fal
         "d", F.when(F.col("value") >= F.col("prev_value"), F.col("value") - F.col("prev_value"))
               .otherwise(F.col("value")))
     ex = _expand(pairs, F.col("ts"), F.col("prev_ts") + F.lit(range_ms - 1), step_ms)
-    agg = (ex.groupBy("series", "t")
-           .agg(F.sum("d").alias("inc"), F.any_value("labels").alias("labels"),
-                F.any_value("lkey").alias("lkey")))
+    # labels are a function of the series: carried as a grouping key (the map's
+    # entry array) rather than in the aggregation buffer, which keeps the
+    # buffer a single double and the aggregate a hash aggregate.
+    agg = (ex.groupBy("series", "t", "lkey", F.map_entries("labels").alias("_le"))
+           .agg(F.sum("d").alias("inc")))
     val = F.col("inc") / F.lit(range_ms / 1000.0) if per_second else F.col("inc")
-    return agg.select("t", F.lit(None).cast("string").alias("metric"), "labels", "lkey",
-                      val.alias("value"))
+    return agg.select("t", F.lit(None).cast("string").alias("metric"),
+                      F.map_from_entries("_le").alias("labels"), "lkey", val.alias("value"))
 
 
 def rate(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
@@ -224,8 +226,9 @@ def tag_rollup(sel: DataFrame, interval_ms: int, space_agg: str, by: Sequence[st
     ``space_agg`` per tag group.  Both steps are partial/final aggregates.
     """
     t = (F.floor(F.col("ts") / F.lit(interval_ms)) * F.lit(interval_ms)).cast("bigint")
-    per_series = (sel.groupBy("series", t.alias("t"))
-                  .agg(F.avg("value").alias("value"), F.any_value("labels").alias("labels")))
+    per_series = (sel.groupBy("series", t.alias("t"), F.map_entries("labels").alias("_le"))
+                  .agg(F.avg("value").alias("value"))
+                  .withColumn("labels", F.map_from_entries("_le")).drop("_le"))
     return aggregate(per_series, space_agg, by)
 
 
