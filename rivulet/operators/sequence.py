@@ -82,8 +82,9 @@ def previous_values(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: s
 def neighbor_within(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
                     carry: Sequence[str], horizon: int, direction: str = "next",
                     prefix: str | None = None) -> DataFrame:
-    """Add ``<prefix><c>`` from the next (or previous) row of the same series,
-    but only when that row lies within ``horizon`` of this one; NULL otherwise.
+    """Add ``<prefix><c>`` from the next (or previous, or with ``both``
+    ``next_<c>`` and ``prev_<c>``) row of the same series, but only when that
+    row lies within ``horizon`` of this one; NULL otherwise.
 
     Callers that only care about neighbours within a horizon (a sample's
     successor before it goes stale, a counter's predecessor inside the rate
@@ -95,16 +96,22 @@ def neighbor_within(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: s
     reported; callers treat both the same.)
     """
     keys = list(keys)
-    prefix = prefix or f"{direction}_"
     b = F.floor(F.col(ts_col) / F.lit(horizon)).cast("bigint")
-    shift = -1 if direction == "next" else 1     # copies go where they are the neighbour
+    # copies go to the bucket(s) where they are the neighbour
+    shifts = {"next": [-1], "previous": [1], "both": [-1, 1]}[direction]
     dup = df.select("*", F.explode(F.array(
         F.struct(b.alias("b"), F.lit(False).alias("c")),
-        F.struct((b + F.lit(shift)).alias("b"), F.lit(True).alias("c")))).alias("_d"))
+        *[F.struct((b + F.lit(sh)).alias("b"), F.lit(True).alias("c")) for sh in shifts])).alias("_d"))
     dup = dup.select(*df.columns, F.col("_d.b").alias(_B), F.col("_d.c").alias("_copy"))
     w = Window.partitionBy(*keys, _B).orderBy(ts_col, tiebreak)
-    fn = F.lead if direction == "next" else F.lag
-    out = dup.select("*", *[fn(c).over(w).alias(prefix + c) for c in carry])
+    cols = []
+    if direction in ("next", "both"):
+        pre = prefix if (prefix and direction == "next") else "next_"
+        cols += [F.lead(c).over(w).alias(pre + c) for c in carry]
+    if direction in ("previous", "both"):
+        pre = prefix if (prefix and direction == "previous") else "prev_" if direction == "both" else "previous_"
+        cols += [F.lag(c).over(w).alias(pre + c) for c in carry]
+    out = dup.select("*", *cols)
     return out.where(~F.col("_copy")).drop(_B, "_copy")
 
 

@@ -109,15 +109,34 @@ def rate(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
 
 
 def delta(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
-    """``delta(m[range])``: last minus first sample in ``(t - range, t]``."""
-    ex = _expand(sel, F.col("ts"), F.col("ts") + F.lit(range_ms - 1), step_ms)
-    order = F.struct("ts", "sample_id")
-    agg = (ex.groupBy("series", "t")
-           .agg(F.count(F.lit(1)).alias("n"),
-                (F.max_by("value", order) - F.min_by("value", order)).alias("value"),
-                F.any_value("labels").alias("labels"), F.any_value("lkey").alias("lkey")))
-    return agg.where(F.col("n") >= 2).select(
-        "t", F.lit(None).cast("string").alias("metric"), "labels", "lkey", "value")
+    """``delta(m[range])``: last minus first sample in ``(t - range, t]``.
+
+    Every sample knows its neighbours within the range (one window, see
+    ``neighbor_within``).  It is the window's *last* sample at the steps from
+    its own time until its successor or the range end, and its *first* sample
+    from when its predecessor leaves the window until it leaves itself.  Both
+    roles are emitted as rows and combined per (series, step) with sums and
+    maxima only -- a hash aggregate -- keeping steps where first and last are
+    different samples (at least two in the window).
+    """
+    n = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts"], range_ms, "both")
+    end = F.col("ts") + F.lit(range_ms - 1)
+    last = _expand(n, F.col("ts"), F.least(end, F.coalesce(F.col("next_ts") - F.lit(1), end)), step_ms) \
+        .select("series", "t", "lkey", "labels", F.col("value").alias("v_last"),
+                F.lit(None).cast("double").alias("v_first"), F.col("sample_id").alias("id_last"),
+                F.lit(None).cast("long").alias("id_first"))
+    start = F.greatest(F.col("ts"), F.coalesce(F.col("prev_ts") + F.lit(range_ms), F.col("ts")))
+    first = _expand(n, start, end, step_ms) \
+        .select("series", "t", "lkey", "labels", F.lit(None).cast("double").alias("v_last"),
+                F.col("value").alias("v_first"), F.lit(None).cast("long").alias("id_last"),
+                F.col("sample_id").alias("id_first"))
+    agg = (last.unionByName(first)
+           .groupBy("series", "t", "lkey", F.map_entries("labels").alias("_le"))
+           .agg(F.sum("v_last").alias("v_last"), F.sum("v_first").alias("v_first"),
+                F.max("id_last").alias("id_last"), F.max("id_first").alias("id_first")))
+    return agg.where(F.col("id_last") != F.col("id_first")).select(
+        "t", F.lit(None).cast("string").alias("metric"), F.map_from_entries("_le").alias("labels"), "lkey",
+        (F.col("v_last") - F.col("v_first")).alias("value"))
 
 
 # ---------------------------------------------------------------- aggregation
