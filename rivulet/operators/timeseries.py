@@ -4,12 +4,14 @@ Vectors are DataFrames ``t, metric, labels, lkey, value`` where ``t`` is an
 evaluation step (epoch ms, a multiple of the step), ``lkey`` the canonical
 label text used for grouping and vector matching.
 
-Evaluation steps are never materialised as a grid: each sample (or each
-consecutive sample pair) is expanded only to the steps whose look-back or
-range window contains it, so the work is bounded by
-``samples * window / step`` and grows with the data, not with the time span
-times the series count.  Per-step results are then hash aggregates keyed by
-``(series, t)``, which spread a hot series over many tasks.
+Evaluation steps are never materialised as a grid: each sample is expanded
+only to the steps where it is the answer (the newest sample before its
+successor arrives or it goes stale, a rate pair's window, a delta's first or
+last sample), so the work is bounded by ``samples * window / step`` and grows
+with the data, not with the time span times the series count.  Neighbours
+come from one window per (series, window-sized time bucket); per-step
+results are hash aggregates keyed by ``(series, t)`` with the label set
+carried as a grouping key, which spreads a hot series over many tasks.
 
 Semantics chosen where engines differ (documented in the README):
 
