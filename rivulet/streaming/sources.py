@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from . import storage
 
 
 ROWS_PER_FILE = 2_000_000
-STAGE_FORMAT = "2"          # part of the staging key: bump when the layout changes
+STAGE_FORMAT = "3"          # part of the staging key: bump when the layout changes
 
 
 def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
@@ -37,20 +38,25 @@ def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[],
         files = spark.read.parquet(marker).first()["files"]
         return path, files
     storage.delete(spark, path)
-    df = build()
     if order_col is None or chunks <= 1:
-        df.write.parquet(path + "/data")
+        build().write.parquet(path + "/data")
         files = 0
     else:
+        # computed once (bounds, sizes and every range read the same rows);
+        # spills to disk when it does not fit, and is recomputed if lost
+        df = build().persist(StorageLevel.MEMORY_AND_DISK)
         b = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
         lo, hi = b["lo"], b["hi"] + 1
         width = (hi - lo + chunks - 1) // chunks
         cid = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int")
         largest = df.groupBy(cid.alias("c")).count().agg(F.max("count")).first()[0]   # <= chunks rows
         files = max(1, -(-largest // rows_per_file))
-        for i in range(chunks):          # a bounded number of sequential writes, in order
-            part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
-            part.repartitionByRange(files, order_col).write.mode("append").parquet(path + "/data")
+        try:
+            for i in range(chunks):      # a bounded number of sequential writes, in order
+                part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
+                part.repartitionByRange(files, order_col).write.mode("append").parquet(path + "/data")
+        finally:
+            df.unpersist()
     spark.createDataFrame([(files,)], "files int").write.mode("overwrite").parquet(marker)
     return path, files
 
