@@ -20,6 +20,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,14 +63,19 @@ class KeyedTable:
 
     def upsert(self, batch: DataFrame) -> None:
         new = latest_per_key(batch, self.keys, self.order).withColumn(BUCKET, self._bucket())
-        if storage.exists(self.spark, self.path):
-            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]   # <= buckets ids
+        if not storage.exists(self.spark, self.path):
+            (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(BUCKET).parquet(self.path))
+            return
+        new = new.persist(StorageLevel.MEMORY_AND_DISK)      # read twice below
+        try:
+            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]   # bucket ids only
             old = self.spark.read.parquet(self.path).where(F.col(BUCKET).isin(touched))
             merged = latest_per_key(old.unionByName(new, allowMissingColumns=True), self.keys, self.order)
             # the merged buckets replace their own source: cut the lineage first
             merged = merged.checkpoint(eager=True)
-        else:
-            merged = new
+        finally:
+            new.unpersist()
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(self.path))
 
