@@ -352,3 +352,66 @@ def q_unit_divide_guard(spark, sf):
     a = ts.tag_rollup(ts.select_series(s, "jvm.heap_memory", TAG_SCOPE), TAG_INTERVAL, "avg")
     b = ts.tag_rollup(ts.select_series(s, "jvm.heap_memory_max", TAG_SCOPE), TAG_INTERVAL, "avg")
     return out(ts.arith(ts.binary(a, b, "/"), "*", 100))
+
+
+# ---------------------------------------------------------------- broker dashboard panels
+
+PANEL_SCOPE = [("job", "=", "kafka-broker"), ("env", "=~", "dev"), ("namespace", "=~", "confluent"),
+               ("cluster", "=~", "local"), ("instance", "=~", "kafka-.*")]
+DISK = "kafka_server_kafkaserver_value"
+
+
+def _legend(vec, template):
+    return vec.select((F.col("t") / 1000).cast("bigint").alias("t"),
+                      render_template(template, "labels").alias("legend"), round6("value").alias("value"))
+
+
+def _legend_sql(src: str, *parts: str) -> str:
+    text = " || ".join(f"COALESCE(labels['{p[1:]}'], '')" if p.startswith("$") else q.lit(p) for p in parts)
+    return f"SELECT t // 1000 AS t, {text} AS legend, ROUND(value, 6) AS value FROM {src}"
+
+
+@register("dashboard_disk_io", oracle=_sql(
+    q.sel("r", DISK, PANEL_SCOPE + [("name", "=", "linux-disk-read-bytes")]),
+    q.sel("w", DISK, PANEL_SCOPE + [("name", "=", "linux-disk-write-bytes")]),
+    q.instant("ir", "r", DSTEP, DLOOKBACK), q.instant("iw", "w", DSTEP, DLOOKBACK),
+    final=_legend_sql("ir", "$instance", " - Read") + " UNION ALL " + _legend_sql("iw", "$instance", " - Write")))
+def q_dashboard_disk_io(spark, sf):
+    """Disk read / write bytes per broker (two series on one panel)."""
+    s = S(spark, sf)
+    r = ts.instant(ts.select_series(s, DISK, PANEL_SCOPE + [("name", "=", "linux-disk-read-bytes")]), DSTEP, DLOOKBACK)
+    w = ts.instant(ts.select_series(s, DISK, PANEL_SCOPE + [("name", "=", "linux-disk-write-bytes")]), DSTEP, DLOOKBACK)
+    return _legend(r, "{{instance}} - Read").unionByName(_legend(w, "{{instance}} - Write"))
+
+
+HEAP = [("area", "=", "heap")]
+
+
+@register("dashboard_heap_pct", oracle=_sql(
+    q.sel("a", "jvm_memory_bytes_used", PANEL_SCOPE + HEAP), q.sel("b", "jvm_memory_bytes_max", PANEL_SCOPE + HEAP),
+    q.instant("ia", "a", DSTEP, DLOOKBACK), q.instant("ib", "b", DSTEP, DLOOKBACK),
+    q.binary("d", "ia", "ib", "/"), q.arith("v", "d", "*", 100), final=_legend_sql("v", "$instance")))
+def q_dashboard_heap_pct(spark, sf):
+    """Heap used / max x 100 per broker."""
+    s = S(spark, sf)
+    a = ts.instant(ts.select_series(s, "jvm_memory_bytes_used", PANEL_SCOPE + HEAP), DSTEP, DLOOKBACK)
+    b = ts.instant(ts.select_series(s, "jvm_memory_bytes_max", PANEL_SCOPE + HEAP), DSTEP, DLOOKBACK)
+    return _legend(ts.arith(ts.binary(a, b, "/"), "*", 100), "{{instance}}")
+
+
+@register("dashboard_gc_time", oracle=_sql(
+    q.sel("s", "jvm_gc_collection_seconds_sum", PANEL_SCOPE), q.increase("v", "s", DRANGE, DSTEP, True),
+    final=_legend_sql("v", "$instance", " - ", "$gc")))
+def q_dashboard_gc_time(spark, sf):
+    """GC seconds per second per broker and collector."""
+    r = ts.rate(ts.select_series(S(spark, sf), "jvm_gc_collection_seconds_sum", PANEL_SCOPE), DRANGE, DSTEP)
+    return _legend(r, "{{instance}} - {{gc}}")
+
+
+@register("dashboard_threads", oracle=_sql(
+    q.sel("s", "jvm_threads_current", PANEL_SCOPE), q.instant("v", "s", DSTEP, DLOOKBACK),
+    final=_legend_sql("v", "$instance")))
+def q_dashboard_threads(spark, sf):
+    """Live JVM threads per broker."""
+    return _legend(ts.instant(ts.select_series(S(spark, sf), "jvm_threads_current", PANEL_SCOPE), DSTEP, DLOOKBACK),
+                   "{{instance}}")

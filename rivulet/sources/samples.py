@@ -132,6 +132,12 @@ FAMILIES: tuple[Family, ...] = (
     Family(("view",), "jvm.heap_memory", "gauge", "value * 1000000.0"),
     Family(("view",), "jvm.heap_memory_max", "gauge", "1000000000.0"),
     Family(("view",), "jvm.cpu_load.process", "gauge", "value / 500.0"),
+    # dashboard panels: threads on every component, broker disk I/O counters
+    Family((), "jvm_threads_current", "gauge", "20.0 + FLOOR(value / 10)"),
+    Family(("click",), "kafka_server_kafkaserver_value", "cumulative", _UNITS,
+           {"name": _lit("linux-disk-read-bytes")}, 4096.0),
+    Family(("click",), "kafka_server_kafkaserver_value", "cumulative", _UNITS,
+           {"name": _lit("linux-disk-write-bytes")}, 8192.0),
 )
 
 
