@@ -174,3 +174,13 @@ def test_flatten_and_concat_with_nulls(spark):
     assert rows[2].address_state is None and rows[2].address_zipcode == 5
     loc = {r.id: r.l for r in df.select("id", F.concat("address.city", F.lit(", "), "address.state").alias("l")).collect()}
     assert loc == {1: None, 2: None}
+
+
+def test_orders_by_state_approx_distinct(spark):
+    from rivulet.operators import orders as op
+    rows = [(str(i), i, f"Item_{i % 7}", 1.0, ("c", "S" if i % 2 else "T", 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "orderid string, ordertime long, itemid string, orderunits double, "
+                                     "address struct<city:string,state:string,zipcode:bigint>")
+    exact = {r.state: r.unique_items for r in op.orders_by_state(df).collect()}
+    approx = {r.state: r.unique_items for r in op.orders_by_state(df, approx=True).collect()}
+    assert exact == approx == {"S": 7, "T": 7}
