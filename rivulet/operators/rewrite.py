@@ -152,14 +152,48 @@ def required_literals(pattern: str, min_len: int = 4) -> list[str]:
     return [r for r in runs if len(r) >= min_len]
 
 
+def required_count(pattern: str, ch: str = "=") -> int:
+    """How many ``ch`` characters every match must contain: occurrences
+    outside groups and classes that no quantifier makes optional (a top-level
+    ``|`` means none)."""
+    n, depth, i = 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        nxt = pattern[i + 1:i + 2]
+        if c == "\\":
+            i += 2
+            continue
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "[":
+            i = pattern.index("]", i + 1)
+        elif c == "|" and depth == 0:
+            return 0
+        elif depth == 0 and c == ch and nxt not in ("?", "*", "{"):
+            n += 1
+        i += 1
+    return n
+
+
+def _eq_count(bean: Column) -> Column:
+    return F.length(bean) - F.length(F.replace(bean, F.lit("="), F.lit("")))
+
+
 def _hit(bean: Column, r: BeanRule) -> Column:
-    """Does the rule's pattern occur in the reading?  Literal pre-checks first
-    (``contains`` is a byte search), the regex only when they pass."""
+    """Does the rule's pattern occur in the reading?  Cheap necessary
+    conditions first -- its required literals (``contains`` is a byte search)
+    and its required number of ``=`` -- the regex only when they pass."""
     lits = sorted(required_literals(r.pattern), key=len, reverse=True)[:2]
     cond = None
     for l in lits:
         c = bean.contains(l)
         cond = c if cond is None else cond & c
+    k = required_count(r.pattern, "=")
+    if k > 2:
+        c = _eq_count(bean) >= F.lit(k)
+        cond = c if cond is None else cond & c
     rx = bean.rlike(r.pattern)
     return rx if cond is None else cond & rx
 
