@@ -415,3 +415,30 @@ def q_dashboard_threads(spark, sf):
     """Live JVM threads per broker."""
     return _legend(ts.instant(ts.select_series(S(spark, sf), "jvm_threads_current", PANEL_SCOPE), DSTEP, DLOOKBACK),
                    "{{instance}}")
+
+
+# The four chained template variables of the broker dashboard: each lists a
+# label's values under the selections made for the previous ones.
+VAR_CHAIN = [
+    ("namespace", [("pod", "=~", "kafka-.*"), ("container", "=", "kafka")]),
+    ("cluster", [("namespace", "=~", "confluent"), ("pod", "=~", "kafka-.*"), ("container", "=", "kafka")]),
+    ("env", [("namespace", "=~", "confluent"), ("cluster", "=~", "local"), ("pod", "=~", "kafka-.*"),
+             ("container", "=", "kafka")]),
+    ("pod", [("namespace", "=~", "confluent"), ("env", "=~", "dev"), ("cluster", "=~", "local"),
+             ("pod", "=~", "kafka-.*"), ("container", "=", "kafka")]),
+]
+
+
+@register("label_values_chain", oracle=q.with_(q.samples_cte(), final=" UNION ALL ".join(
+    f"SELECT DISTINCT '{var}' AS variable, labels['{var}'] AS value FROM samples WHERE metric = '{LIMITS}' AND "
+    + " AND ".join(q.matcher(*m) for m in scope) + f" AND labels['{var}'] IS NOT NULL"
+    for var, scope in VAR_CHAIN)))
+def q_label_values_chain(spark, sf):
+    """Drop-down values of the dashboard's chained variables."""
+    s = S(spark, sf)
+    parts = [ts.label_values(ts.select_series(s, LIMITS, scope), var)
+             .select(F.lit(var).alias("variable"), F.col(var).alias("value")) for var, scope in VAR_CHAIN]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
