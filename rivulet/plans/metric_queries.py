@@ -442,3 +442,23 @@ def q_label_values_chain(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# Guide queries over the metrics: lag by topic and ingress by topic.
+BYTES_IN = "kafka_server_brokertopicmetrics_bytesinpersec_count"
+
+
+@register("lag_by_topic_metric", oracle=_sql(
+    q.sel("s", LAG), q.instant("i", "s", STEP, LOOKBACK), q.aggregate("v", "i", "sum", ["topic"])))
+def q_lag_by_topic_metric(spark, sf):
+    """``sum by (topic) (kafka_server_fetcherlagmetrics_consumerlag)``."""
+    i = ts.instant(ts.select_series(S(spark, sf), LAG), STEP, LOOKBACK)
+    return out(ts.aggregate(i, "sum", ["topic"]))
+
+
+@register("bytes_in_by_topic", oracle=_sql(
+    q.sel("s", BYTES_IN), q.increase("r", "s", DRANGE, DSTEP, True), q.aggregate("v", "r", "sum", ["topic"])))
+def q_bytes_in_by_topic(spark, sf):
+    """``sum by (topic) (rate(kafka_server_brokertopicmetrics_bytesinpersec_count[range]))``."""
+    r = ts.rate(ts.select_series(S(spark, sf), BYTES_IN), DRANGE, DSTEP)
+    return out(ts.aggregate(r, "sum", ["topic"]))
