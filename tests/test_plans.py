@@ -45,3 +45,15 @@ def test_series_sequences_shuffle_on_series_and_time_bucket(spark):
         txt = _plan(spark, name)
         parts = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", txt)
         assert any("_bucket" in p for p in parts), (name, parts)
+
+
+def test_instant_vector_needs_no_aggregation_and_one_shuffle(spark):
+    txt = _plan(spark, "instant_lookup").split("\n\n(1)")[0]
+    assert "Aggregate" not in txt
+    assert txt.count("Exchange") == 1
+
+
+def test_range_functions_use_hash_aggregates(spark):
+    for name in ("rate_dense", "delta_dense", "tag_avg_by"):
+        txt = _plan(spark, name).split("\n\n(1)")[0]
+        assert "SortAggregate" not in txt and "HashAggregate" in txt, name
