@@ -57,6 +57,7 @@ def text_udf(make: Callable[[], Callable[..., list[tuple]]], schema: T.StructTyp
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         fn = make()
         for columns in batches:
+            columns = (columns,) if isinstance(columns, pa.Array) else columns
             rows = fn(*[c.to_pylist() for c in columns])
             cols = list(zip(*rows)) if rows else [()] * len(fields)
             yield pa.StructArray.from_arrays(
