@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import wordbpe
-from .common import read
+from . import ppm, simhash, wordbpe
+from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +17,20 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    scored = ppm.identify(docs, ppm.split_training())
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"),
+                         "langid.lang_pred", "langid.score", "langid.bits_per_byte")
+
+
+def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op2_bpe_automaton,
+    op2_bpe_automaton, op4_ppm_language, op6_simhash_popcount,
 )}
 
 #: SQL by query name, where SQL can express the method.
