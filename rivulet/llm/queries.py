@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, simhash, wordbpe
+from . import packing, ppm, simhash, wordbpe
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,14 @@ def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return packing.pack(docs, keep_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op2_bpe_automaton, op4_ppm_language, op6_simhash_popcount,
+    op2_bpe_automaton, op4_ppm_language, op6_simhash_popcount, op8_mixture_packing,
 )}
 
 #: SQL by query name, where SQL can express the method.
