@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, ppm, simhash, wordbpe
+from . import fertility, packing, ppm, simhash, wordbpe
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return fertility.judge(docs, carry=["doc_id"]).select(
+        "doc.doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
+        "f.base_failed", "kept", "f.n_pieces", "f.chars_per_token", "f.byte_share", "f.entropy")
+
+
 def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     scored = ppm.identify(docs, ppm.split_training())
@@ -36,7 +43,7 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op2_bpe_automaton, op4_ppm_language, op6_simhash_popcount, op8_mixture_packing,
+    op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language, op6_simhash_popcount, op8_mixture_packing,
 )}
 
 #: SQL by query name, where SQL can express the method.
