@@ -10,9 +10,9 @@ The ranges (bands) are learned per language, or per script where a document name
 language, from all documents that pass the base rules, equal texts counting once:
 quartiles by mergeable sketches, then the outer fences ``quartile -/+ FENCE x
 interquartile range``, never narrower than a fixed tolerance around the quartile.
-Entropy grows with the length of a text, so its bands are also per size class (powers
-of four of the token count).  A document outside a band is rejected; a group with
-fewer than ``LEAST`` documents has no band and rejects nothing.
+Entropy grows with the length of a text and short texts vary more, so bands are also
+per size class (powers of two of the token count).  A document outside a band is
+rejected; a class with fewer than ``LEAST`` documents has no band and rejects nothing.
 
 Base rules: fewer than 50 words, or over half of the words in repeated 3-word windows.
 
@@ -37,12 +37,12 @@ from .common import RecentCache, scratch, small_batches, text_udf
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-FENCE = 4.0
+FENCE = 3.0
 LEAST = 30
 #: Least distance of a fence from its quartile: part of it (ratio) or absolute.
-TOLERANCE_CHARS = 0.30
-TOLERANCE_BYTES = 0.08
-TOLERANCE_ENTROPY = 1.0
+TOLERANCE_CHARS = 0.05
+TOLERANCE_BYTES = 0.02
+TOLERANCE_ENTROPY = 0.3
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Scripts told apart where a document names no language.
@@ -145,36 +145,31 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary:
     return text_udf(make, FIGURES)(text, lang)
 
 
-def _size_class() -> Column:
-    return F.floor(F.log2(F.greatest("n_pieces", F.lit(1))) / 2)
+def _size_class(pieces: str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(pieces), F.lit(1))))
 
 
 def bands(figures: DataFrame) -> DataFrame:
     """Bands per (band_group, size_class) from figures with a ``text_key`` column."""
+    measured = ("n_pieces", "chars_per_token", "byte_share", "entropy")
     once = (figures.filter(~F.col("base_failed") & F.col("band_group").isNotNull())
-            .groupBy("band_group", "text_key")
-            .agg(*[F.min(c).alias(c) for c in ("n_pieces", "chars_per_token", "byte_share", "entropy")])
-            .withColumn("size_class", _size_class()))
-
-    def quartiles(c):
-        return F.percentile_approx(c, [0.25, 0.75], 2000)
-
-    def fences(q, low_tol, high_tol):
-        iqr = (F.col(q)[1] - F.col(q)[0]) * FENCE
-        return (F.col(q)[0] - F.greatest(iqr, low_tol), F.col(q)[1] + F.greatest(iqr, high_tol))
-    whole = once.groupBy("band_group").agg(F.count(F.lit(1)).alias("n"), quartiles("chars_per_token").alias("c"),
-                                           quartiles("byte_share").alias("b"))
-    c_low, c_high = fences("c", F.col("c")[0] * TOLERANCE_CHARS, F.col("c")[1] * TOLERANCE_CHARS)
-    _, b_high = fences("b", F.lit(TOLERANCE_BYTES), F.lit(TOLERANCE_BYTES))
-    whole = whole.filter(F.col("n") >= LEAST).select("band_group", c_low.alias("chars_low"), c_high.alias("chars_high"),
-                                                     b_high.alias("byte_high"))
-    sized = once.groupBy("band_group", "size_class").agg(F.count(F.lit(1)).alias("n"), quartiles("entropy").alias("e"))
-    e_low, e_high = fences("e", F.lit(TOLERANCE_ENTROPY), F.lit(TOLERANCE_ENTROPY))
-    sized = sized.filter(F.col("n") >= LEAST).select(F.col("band_group").alias("g"), "size_class",
-                                                     e_low.alias("entropy_low"), e_high.alias("entropy_high"))
-    return (sized.join(whole, sized.g == whole.band_group, "full")
-            .select(F.coalesce("band_group", "g").alias("bg"), "size_class",
-                    "chars_low", "chars_high", "byte_high", "entropy_low", "entropy_high"))
+            .groupBy("band_group", "text_key").agg(*[F.min(c).alias(c) for c in measured])
+            .withColumn("size_class", _size_class("n_pieces")))
+    q = once.groupBy("band_group", "size_class").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.percentile_approx(c, [0.25, 0.75], 2000).alias(c) for c in measured[1:]]).filter(F.col("n") >= LEAST)
+
+    def low(c, tolerance):
+        return F.col(c)[0] - F.greatest((F.col(c)[1] - F.col(c)[0]) * FENCE, tolerance)
+
+    def high(c, tolerance):
+        return F.col(c)[1] + F.greatest((F.col(c)[1] - F.col(c)[0]) * FENCE, tolerance)
+    per = F.col("chars_per_token")[0] * TOLERANCE_CHARS
+    return q.select(F.col("band_group").alias("bg"), F.col("size_class").alias("bs"),
+                    low("chars_per_token", per).alias("chars_low"), high("chars_per_token", per).alias("chars_high"),
+                    high("byte_share", F.lit(TOLERANCE_BYTES)).alias("byte_high"),
+                    low("entropy", F.lit(TOLERANCE_ENTROPY)).alias("entropy_low"),
+                    high("entropy", F.lit(TOLERANCE_ENTROPY)).alias("entropy_high"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None,
@@ -187,17 +182,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
     rows = scratch(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"),
                                F.xxhash64(text).alias("text_key"),
                                measure(docs, text, lang, vocabulary).alias("f")), "fertility")
+    # a handful of rows per language; written, so that the join sees their real size
     band = scratch(bands(rows.select("text_key", "f.*")), "fertility-bands")
-    # a few bands per language: one range over all size classes for the first two figures
-    wide = band.groupBy("bg").agg(F.max("chars_low").alias("chars_low"), F.max("chars_high").alias("chars_high"),
-                                  F.max("byte_high").alias("byte_high"),
-                                  F.map_from_entries(F.collect_list(F.when(F.col("size_class").isNotNull(), F.struct(
-                                      "size_class", F.struct("entropy_low", "entropy_high"))))).alias("e"))
-    size = F.floor(F.log2(F.greatest(F.col("f.n_pieces"), F.lit(1))) / 2)
-    ent = F.col("e")[size]
-    outside = ((F.col("f.chars_per_token") < F.col("chars_low")) | (F.col("f.chars_per_token") > F.col("chars_high")),
-               F.col("f.byte_share") > F.col("byte_high"),
-               (F.col("f.entropy") < ent["entropy_low"]) | (F.col("f.entropy") > ent["entropy_high"]))
-    rejected = F.coalesce(outside[0], F.lit(False)) | F.coalesce(outside[1], F.lit(False)) | F.coalesce(outside[2], F.lit(False))
-    joined = rows.join(wide, rows.f.band_group == wide.bg, "left")
-    return joined.select("doc", "f", (~F.col("f.base_failed") & ~rejected).alias("kept"))
+    joined = rows.join(band, (rows.f.band_group == band.bg) & (_size_class("f.n_pieces") == band.bs), "left")
+    inside = (F.col("f.chars_per_token").between(F.col("chars_low"), F.col("chars_high"))
+              & (F.col("f.byte_share") <= F.col("byte_high"))
+              & F.col("f.entropy").between(F.col("entropy_low"), F.col("entropy_high")))
+    return joined.select("doc", "f", (~F.col("f.base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
