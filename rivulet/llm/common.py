@@ -78,7 +78,7 @@ class RecentCache(dict):
     Values are recomputed after they fall out, so a bound never changes a result.
     """
 
-    def __init__(self, compute: Callable, limit: int = 200_000):
+    def __init__(self, compute: Callable, limit: int = 500_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 

@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     last = END_ID.to_bytes(4, "little")
 
     def make():
-        encode = load(path).encode
+        encode = load(path, by_library=True).encode
 
         def run(texts):
             out = []
@@ -90,16 +90,16 @@ def _running_all(df: DataFrame, keys: list[str], total: str, out: str, block: in
     Blocks hold ``block`` values of the first key, and block totals are summed the same
     way until one block is left, so no task sees more than a bounded number of rows.
     """
-    head = keys[0]
-    part = F.floor(F.col(head) / block).alias("_block")
-    sums = df.groupBy(part).agg(F.sum(total).alias("_total"))
-    top = sums.agg(F.max("_block")).first()[0]
-    if not top:                                              # one block (or no row): order it directly
-        return _running(df.withColumn("_block", F.floor(F.col(head) / block)), total, ["_block"], keys, out).drop("_block")
-    before = _running_all(sums, ["_block"], "_total", "_before", max(block, 1000))
-    inner = _running(df.withColumn("_b", F.floor(F.col(head) / block)), total, ["_b"], keys, "_inner")
-    return (inner.join(before.select("_block", "_before"), inner["_b"] == before["_block"])
-            .withColumn(out, F.col("_inner") + F.col("_before")).drop("_b", "_block", "_inner", "_before"))
+    name = f"block_of_{keys[0]}"
+    blocked = df.withColumn(name, F.floor(F.col(keys[0]) / block))
+    sums = blocked.groupBy(name).agg(F.sum(total).alias("block_total"))
+    inner = _running(blocked, total, [name], keys, out)
+    if not sums.agg(F.max(name)).first()[0]:                 # one block, or no row
+        return inner.drop(name)
+    before = _running_all(sums, [name], "block_total", "block_before", 1000).select(
+        F.col(name).alias("block_key"), "block_before")
+    return (inner.join(before, inner[name] == before["block_key"])
+            .withColumn(out, F.col(out) + F.col("block_before")).drop(name, "block_key", "block_before"))
 
 
 def _shares(sources: DataFrame, targets: Mapping[str, float] | None) -> Column:

@@ -154,17 +154,22 @@ class MergeAutomaton:
 class WordBpe:
     """Whole texts to ids and back, as the vocabulary file's normalizer and splitter say."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ", 1)) for m in model["merges"]]
         # the word end is one character that no byte stands for, so every symbol has a known length
-        self.end = END
         suffix = model["end_of_word_suffix"]
-        spell = lambda label: label.removesuffix(suffix) + END if label.endswith(suffix) else label
-        self.automaton = MergeAutomaton([(spell(u), spell(v)) for u, v in merges],
-                                        {spell(label): i for label, i in model["vocab"].items()})
+
+        def spell(label: str) -> str:
+            return label.removesuffix(suffix) + END if label.endswith(suffix) else label
+        if by_library:
+            self.piece = self._library(path)
+        else:
+            merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+            self.automaton = MergeAutomaton([(spell(u), spell(v)) for u, v in merges],
+                                            {spell(label): i for label, i in model["vocab"].items()})
+            self.piece = self._path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.bytes = byte_alphabet()
@@ -174,19 +179,35 @@ class WordBpe:
             self.labels[i] = label
         self.cache = RecentCache(self._word)
 
+    @staticmethod
+    def _library(path: str):
+        """Ids of one piece by the tokenizers library instead of the automaton."""
+        from tokenizers import Tokenizer
+        model = Tokenizer.from_file(path).model
+        return lambda piece: [t.id for t in model.tokenize(piece)]
+
+    def _path(self, piece: str) -> list[int]:
+        return self.automaton.walk(piece + END)
+
     def _word(self, word: str) -> bytes:
         """Ids (little-endian 32-bit) of one run of characters without white space."""
-        if not word.isascii():
+        if word.isascii():
+            word = word.lower()
+        else:
             word = unicodedata.normalize("NFC", word)
             word = "".join([c.lower() for c in word])    # character by character
+        if word.isalpha():
+            pieces = (word,)
+        elif word[:-1].isalpha() and word[-1] in ".,":
+            pieces = (word[:-1], word[-1])
         else:
-            word = word.lower()
+            pieces = SPLIT.findall(word)
         ids: list[int] = []
-        table, walk, end = self.bytes, self.automaton.walk, self.end
-        for piece in SPLIT.findall(word):
+        table = self.bytes
+        for piece in pieces:
             if not (piece.isascii() and piece.isprintable()):
                 piece = "".join([table[b] for b in piece.encode()])
-            ids += walk(piece + end)
+            ids += self.piece(piece)
         return packed(ids)
 
     def _plain(self, text: str) -> bytes:
@@ -213,9 +234,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> WordBpe:
-    """One compiled automaton per worker process."""
-    return WordBpe(path)
+def load(path: str, by_library: bool = False) -> WordBpe:
+    """One compiled vocabulary per worker process."""
+    return WordBpe(path, by_library)
 
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()),
