@@ -152,8 +152,8 @@ class ContextTrees:
 
 
 def identify(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
-             doc_id: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """Adds ``langid`` = struct(lang_pred, score, bits_per_byte) to every row of ``docs``."""
+             doc_id: str = "doc_id", sample_bytes: int = SAMPLE_BYTES, out: str = "langid") -> DataFrame:
+    """Adds ``out`` = struct(lang_pred, score, bits_per_byte) to every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     counts = [tuple(r) for r in train_counts(docs, train, text, lang, doc_id, sample_bytes).collect()]
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, train: Column, text: str = "text", lang: str = "la
     def make():
         model = trees.value
         return lambda texts: [model.predict(t) for t in texts]
-    return docs.withColumn("langid", text_udf(make, VERDICT)(text))
+    return docs.withColumn(out, text_udf(make, VERDICT)(text))
 
 
 def split_training(doc_id: str = "doc_id") -> Column:

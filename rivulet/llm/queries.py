@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, packing, ppm, simhash, wordbpe
+from . import fertility, packing, ppm, simhash, surrogates, wordbpe
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents", "doc_id", "text"), count="n_replaced")
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -43,7 +47,7 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language, op6_simhash_popcount, op8_mixture_packing,
+    op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language, op6_simhash_popcount, op8_mixture_packing,
 )}
 
 #: SQL by query name, where SQL can express the method.

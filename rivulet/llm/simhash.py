@@ -123,6 +123,14 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> D
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def groups(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, root): the smallest fingerprint reachable from each fingerprint of ``nodes`` (fp, unique)."""
+    found = scratch(links(nodes, max_bits), "simhash-links")
+    roots = components.roots(found)                          # only fingerprints that have links
+    return (nodes.join(roots, nodes.fp == roots.node, "left")
+            .select(F.col("fp").alias("key"), F.coalesce("root", "fp").alias("root")))
+
+
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
             max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: doc_id, fp (signed) and component_id, the smallest doc_id of its group."""
@@ -130,15 +138,28 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     prints = scratch(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, shingle).alias("fp")),
                      "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = scratch(links(nodes, max_bits), "simhash-links")
-    roots = components.roots(found)                          # only fingerprints that have links
-    groups = (nodes.join(roots, nodes.fp == roots.node, "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    heads = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = groups.join(heads, "root").select(F.col("fp").alias("key"), "component_id")
+    rooted = groups(nodes.select("fp"), max_bits)
+    member = nodes.join(rooted, nodes.fp == rooted.key).select("key", "first", "root")
+    heads = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = member.join(heads, "root").select("key", "component_id")
     return prints.join(label, prints.fp == label.key).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                max_bits: int = MAX_BITS) -> DataFrame:
+    """The row with the smallest doc_id of every group (of repeated rows one), all columns."""
+    small_batches(docs.sparkSession)
+    rows = scratch(docs.select(F.monotonically_increasing_id().alias("row"),
+                               F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                               fingerprints(docs, text, shingle).alias("fp")), "simhash-rows")
+    first = F.min(F.struct(F.col("doc")[doc_id].alias("id"), "row")).alias("first")
+    nodes = rows.groupBy("fp").agg(first)
+    rooted = groups(nodes.select("fp"), max_bits)
+    keep = (nodes.join(rooted, nodes.fp == rooted.key).groupBy("root").agg(F.min("first").alias("first"))
+            .select(F.col("first.row").alias("keep")))
+    return rows.join(keep, rows.row == keep.keep, "left_semi").select("doc.*")
+
+
 def hexadecimal(fp: Column) -> Column:
     """16 lower-case hex digits of a signed 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -89,6 +89,9 @@ PATTERNS = (
 )
 #: Literals without which a kind's patterns can't match: plain searches spare most texts the patterns.
 NEEDS = {"email": ("@",), "secret": ("=", ":", "AKIA", "ASIA")}
+#: Words without one of which no name pattern can match (an opening mark may precede).
+_TRIGGERS = frozenset(mark + word for mark in ("", "(", "[", '"', "'", "“", "„", "«", "‘", "—", "-", "/")
+                      for word in (*_TITLES, *[t + "." for t in _TITLES], *_GIVEN_NAMES))
 _DIGIT, _HEX = re.compile(r"[0-9]"), re.compile(r"[0-9a-f]+")
 
 Span = tuple[int, int, str, str]
@@ -184,6 +187,8 @@ def _script(s: str) -> str:
 def _names(text: str) -> list[Span]:
     found: list[Span] = []
     surnames: set[str] = set()
+    if _TRIGGERS.isdisjoint(text.split()):
+        return found
     titles = [t for t in _TITLES if t + " " in text or t + ". " in text]
     given = [n for n in _GIVEN_NAMES if n + " " in text]
     matches = []
