@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, packing, ppm, simhash, surrogates, wordbpe
+from . import brown, fertility, packing, ppm, simhash, surrogates, wordbpe
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = brown.score(read(spark, sf_dir, "documents", "doc_id", "text"), brown.split_training())
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score", "perplexity")
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     return packing.pack(docs, keep_ids=False).select(
@@ -47,7 +53,8 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language, op6_simhash_popcount, op8_mixture_packing,
+    op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language, op6_simhash_popcount, op7_brown_classes,
+    op8_mixture_packing,
 )}
 
 #: SQL by query name, where SQL can express the method.
