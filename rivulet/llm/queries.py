@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, fertility, packing, ppm, simhash, surrogates, wordbpe
+from . import brown, fertility, lattice, packing, ppm, simhash, surrogates, wordbpe
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "langid.lang_pred", "langid.score", "langid.bits_per_byte")
 
 
+def op5_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -53,7 +57,8 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language, op6_simhash_popcount, op7_brown_classes,
+    op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language,
+    op5_lattice_neardup, op6_simhash_popcount, op7_brown_classes,
     op8_mixture_packing,
 )}
 
