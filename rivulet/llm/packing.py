@@ -32,6 +32,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Mapping
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,15 @@ _PIECES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Stru
 _CUT = T.StructType([T.StructField("pieces", _PIECES)])
 
 
+def _narrow(ids: bytes, wide: bool) -> bytes:
+    """Stored form of 32-bit ids: 16 bits where the vocabulary allows it."""
+    return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+
+
+def _widen(stored: bytes, n: int) -> bytes:
+    return stored if len(stored) == 4 * n else np.frombuffer(stored, "<u2").astype("<u4").tobytes()
+
+
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
               vocabulary: str | None = None) -> DataFrame:
     """(row, doc_id, source, n, ids): every document's ids with the end id, written once."""
@@ -62,13 +72,13 @@ def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     last = END_ID.to_bytes(4, "little")
 
     def make():
-        encode = load(path, by_library=True).encode
+        bpe = load(path, by_library=True)
 
         def run(texts):
             out = []
             for t in texts:
-                ids = encode(t) + last
-                out.append((ids, len(ids) // 4))
+                ids = bpe.encode(t) + last
+                out.append((_narrow(ids, bpe.wide), len(ids) // 4))
             return out
         return run
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
@@ -156,10 +166,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     places = schedule(tokens, window, targets).withColumnRenamed("row", "r")
 
     def make():
-        def run(all_ids, starts):
+        def run(stored, lengths, starts):
             out = []
-            for ids, place in zip(all_ids, starts):
-                n, at, pieces = len(ids) // 4, 0, []
+            for ids, n, place in zip(stored, lengths, starts):
+                ids, at, pieces = _widen(ids, n), 0, []
                 while at < n:
                     seq, offset = divmod(place + at, sequence)
                     take = min(n - at, sequence - offset)
@@ -171,7 +181,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
             return out
         return run
     cut = tokens.join(places, tokens.row == places.r).select(
-        "doc_id", "source", "window", F.col("n").alias("doc_tokens"), text_udf(make, _CUT)("ids", "place").alias("c"))
+        "doc_id", "source", "window", F.col("n").alias("doc_tokens"), text_udf(make, _CUT)("ids", "n", "place").alias("c"))
     cols = ["start", "length", "ids_crc32", "sequence_id", "offset"] + (["ids"] if keep_ids else [])
     return (cut.select("doc_id", "source", "window", "doc_tokens", F.explode("c.pieces").alias("p"))
             .select("doc_id", "source", "window", "doc_tokens", *[f"p.{c}" for c in cols]))

@@ -68,6 +68,32 @@ def packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+BYTES = byte_alphabet()
+
+
+def pieces(word: str) -> list[str]:
+    """Normalized, pre-split pieces of a run without white space, as byte-level symbols."""
+    if word.isascii():
+        word = word.lower()
+    else:
+        word = unicodedata.normalize("NFC", word)
+        word = "".join([c.lower() for c in word])        # character by character
+    if word.isalpha():
+        found = [word]
+    elif word[:-1].isalpha() and word[-1] in ".,":
+        found = [word[:-1], word[-1]]
+    else:
+        found = SPLIT.findall(word)
+    return [p if p.isascii() and p.isprintable() else "".join([BYTES[b] for b in p.encode()]) for p in found]
+
+
+def words_of(text: str) -> list[str]:
+    """Runs between Unicode white space."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):       # str.split knows four more separators
+        return [w for w in SPACE.split(text) if w]
+    return text.split()
+
+
 class MergeAutomaton:
     """The automaton of a merge list; arcs are resolved on first use and kept."""
 
@@ -172,8 +198,8 @@ class WordBpe:
             self.piece = self._path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.bytes = byte_alphabet()
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
+        self.wide = size > 1 << 16               # ids need more than 16 bits
         self.labels = [""] * size
         for label, i in [*model["vocab"].items(), *self.special.items()]:
             self.labels[i] = label
@@ -191,30 +217,13 @@ class WordBpe:
 
     def _word(self, word: str) -> bytes:
         """Ids (little-endian 32-bit) of one run of characters without white space."""
-        if word.isascii():
-            word = word.lower()
-        else:
-            word = unicodedata.normalize("NFC", word)
-            word = "".join([c.lower() for c in word])    # character by character
-        if word.isalpha():
-            pieces = (word,)
-        elif word[:-1].isalpha() and word[-1] in ".,":
-            pieces = (word[:-1], word[-1])
-        else:
-            pieces = SPLIT.findall(word)
         ids: list[int] = []
-        table = self.bytes
-        for piece in pieces:
-            if not (piece.isascii() and piece.isprintable()):
-                piece = "".join([table[b] for b in piece.encode()])
+        for piece in pieces(word):
             ids += self.piece(piece)
         return packed(ids)
 
     def _plain(self, text: str) -> bytes:
-        words = text.split()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            words = [w for w in SPACE.split(text) if w]  # str.split knows four more separators
-        return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(map(self.cache.__getitem__, words_of(text)))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
