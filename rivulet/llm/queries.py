@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, fertility, lattice, packing, ppm, simhash, surrogates, wordbpe, wordpiece
+from . import brown, extract, fertility, lattice, packing, ppm, simhash, surrogates, wordbpe, wordpiece
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -60,10 +60,15 @@ def op9_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_gbt_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "main.text", "main.n_chars")
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language,
     op5_lattice_neardup, op6_simhash_popcount, op7_brown_classes,
-    op8_mixture_packing, op9_longest_match_counts,
+    op8_mixture_packing, op9_longest_match_counts, op10_gbt_extraction,
 )}
 
 #: SQL by query name, where SQL can express the method.
