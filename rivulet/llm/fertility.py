@@ -12,7 +12,8 @@ quartiles by mergeable sketches, then the outer fences ``quartile -/+ FENCE x
 interquartile range``, never narrower than a fixed tolerance around the quartile.
 Entropy grows with the length of a text and short texts vary more, so bands are also
 per size class (powers of two of the token count).  A document outside a band is
-rejected; a class with fewer than ``LEAST`` documents has no band and rejects nothing.
+rejected; a size class with fewer than ``LEAST`` documents uses the language's band of
+the first two figures, and a language with fewer has no band and rejects nothing.
 
 Base rules: fewer than 50 words, or over half of the words in repeated 3-word windows.
 
@@ -150,11 +151,14 @@ def _size_class(pieces: str) -> Column:
 
 
 def bands(figures: DataFrame) -> DataFrame:
-    """Bands per (band_group, size_class) from figures with a ``text_key`` column."""
+    """Bands per (band_group, size_class) from figures with a ``text_key`` column.
+
+    Size class -1 holds the band of the whole group, for sizes that have none of their own.
+    """
     measured = ("n_pieces", "chars_per_token", "byte_share", "entropy")
     once = (figures.filter(~F.col("base_failed") & F.col("band_group").isNotNull())
             .groupBy("band_group", "text_key").agg(*[F.min(c).alias(c) for c in measured])
-            .withColumn("size_class", _size_class("n_pieces")))
+            .withColumn("size_class", F.explode(F.array(_size_class("n_pieces"), F.lit(-1).cast("long")))))
     q = once.groupBy("band_group", "size_class").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.percentile_approx(c, [0.25, 0.75], 2000).alias(c) for c in measured[1:]]).filter(F.col("n") >= LEAST)
@@ -165,11 +169,12 @@ def bands(figures: DataFrame) -> DataFrame:
     def high(c, tolerance):
         return F.col(c)[1] + F.greatest((F.col(c)[1] - F.col(c)[0]) * FENCE, tolerance)
     per = F.col("chars_per_token")[0] * TOLERANCE_CHARS
+    own = F.col("size_class") >= 0                           # entropy depends on size: no band for all sizes
     return q.select(F.col("band_group").alias("bg"), F.col("size_class").alias("bs"),
                     low("chars_per_token", per).alias("chars_low"), high("chars_per_token", per).alias("chars_high"),
                     high("byte_share", F.lit(TOLERANCE_BYTES)).alias("byte_high"),
-                    low("entropy", F.lit(TOLERANCE_ENTROPY)).alias("entropy_low"),
-                    high("entropy", F.lit(TOLERANCE_ENTROPY)).alias("entropy_high"))
+                    F.when(own, low("entropy", F.lit(TOLERANCE_ENTROPY))).alias("entropy_low"),
+                    F.when(own, high("entropy", F.lit(TOLERANCE_ENTROPY))).alias("entropy_high"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None,
@@ -184,8 +189,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
                                measure(docs, text, lang, vocabulary).alias("f")), "fertility")
     # a handful of rows per language; written, so that the join sees their real size
     band = scratch(bands(rows.select("text_key", "f.*")), "fertility-bands")
-    joined = rows.join(band, (rows.f.band_group == band.bg) & (_size_class("f.n_pieces") == band.bs), "left")
-    inside = (F.col("f.chars_per_token").between(F.col("chars_low"), F.col("chars_high"))
-              & (F.col("f.byte_share") <= F.col("byte_high"))
-              & F.col("f.entropy").between(F.col("entropy_low"), F.col("entropy_high")))
-    return joined.select("doc", "f", (~F.col("f.base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
+    whole = band.filter("bs < 0").select(F.col("bg").alias("wg"), *[F.col(c).alias(f"w_{c}") for c in
+                                                                     ("chars_low", "chars_high", "byte_high")])
+    joined = (rows.join(band.filter("bs >= 0"), (rows.f.band_group == F.col("bg")) & (_size_class("f.n_pieces") == F.col("bs")), "left")
+              .join(whole, rows.f.band_group == F.col("wg"), "left"))
+
+    def edge(c):
+        return F.coalesce(c, f"w_{c}")
+    inside = (F.coalesce(F.col("f.chars_per_token").between(edge("chars_low"), edge("chars_high")), F.lit(True))
+              & F.coalesce(F.col("f.byte_share") <= edge("byte_high"), F.lit(True))
+              & F.coalesce(F.col("f.entropy").between(F.col("entropy_low"), F.col("entropy_high")), F.lit(True)))
+    return joined.select("doc", "f", (~F.col("f.base_failed") & inside).alias("kept"))
