@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers of this session find the package where the driver found it.
+
+    Needed where the driver got it from ``sys.path`` alone; a cluster that ships the package
+    (``--py-files``) is not affected.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def text_udf(make: Callable[[], Callable[..., list[tuple]]], schema: T.StructType):
     """A column function over whole texts.
 
@@ -51,6 +65,7 @@ def text_udf(make: Callable[[], Callable[..., list[tuple]]], schema: T.StructTyp
     The function is marked non-deterministic only so that Catalyst never
     evaluates it twice (once for a filter, once for the projection).
     """
+    let_workers_import(SparkSession.active())
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
 
     @F.arrow_udf(schema)
