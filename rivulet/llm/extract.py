@@ -37,9 +37,9 @@ from pyspark.sql import types as T
 
 from .common import scratch, small_batches, text_udf
 
-TRAIN_PAGES = 300
-FORMS = 3
-TREES = 20
+TRAIN_PAGES = 250
+FORMS = 5
+TREES = 30
 DEPTH = 5
 
 # Element kinds of HTML, and attribute tokens by what they commonly mark.
@@ -196,13 +196,13 @@ class Page:
         good = np.array([sum(w in GOOD for w in t) for t in self.tokens])
         bad = np.array([sum(w in BAD for w in t) for t in self.tokens])
         talk = np.array([sum(w in TALK for w in t) for t in self.tokens])
-        good_above, bad_above, talk_above, within = (np.zeros(n) for _ in range(4))
-        for v in range(1, n):
+        good_path, bad_path, talk_path, within = (np.zeros(n) for _ in range(4))
+        for v in range(1, n):                    # sums on the way down to the node, itself included
             p = parent[v]
-            good_above[v] = good_above[p] + good[p]
-            bad_above[v] = bad_above[p] + bad[p] + (kind[p] in (4, 5, 6, 8)) + (kind[p] == 7 and not within[p])
-            talk_above[v] = talk_above[p] + talk[p]
-            within[v] = max(within[p], float(kind[p] == 0))
+            good_path[v] = good_path[p] + good[v]
+            bad_path[v] = bad_path[p] + bad[v] + (kind[v] in (4, 5, 6, 8)) + (kind[v] == 7 and not within[p])
+            talk_path[v] = talk_path[p] + talk[v]
+            within[v] = max(within[p], float(kind[v] == 0))
         up = np.maximum(parent, 0)
         density = links / np.maximum(chars, 1)
         same = np.zeros(n)
@@ -212,7 +212,7 @@ class Page:
         for v in range(1, n):
             same[v] = siblings[(parent[v], self.tag[v])] / children[parent[v]]
         x[:, 10], x[:, 11], x[:, 12] = np.minimum(good, 3), np.minimum(bad, 3), np.minimum(talk, 2)
-        x[:, 13], x[:, 14], x[:, 15], x[:, 16] = (np.minimum(good_above, 3), np.minimum(bad_above, 3), np.minimum(talk_above, 2), within)
+        x[:, 13], x[:, 14], x[:, 15], x[:, 16] = (np.minimum(good_path, 3), np.minimum(bad_path, 3), np.minimum(talk_path, 2), within)
         x[:, 17] = np.minimum(self.depth, 20)
         x[:, 18] = index / np.maximum(children[up], 1)
         x[:, 19] = np.log1p(children[up])
@@ -305,8 +305,11 @@ def changed(source: str, seed: int) -> str:
             one = rng.choice(sorted(TALK))
             body = f'<div class="{one}s">' + "".join(f'<div class="{one}"><p>{cut}</p></div>' for _ in range(rng.randint(1, 5))) + "</div>"
         return body
+    alone = re.search(r"<(article|main)\b.*</\1>", source, re.I | re.S)
+    if alone and rng.random() < 0.25:            # nothing but the article
+        source = alone[0]
     if rng.random() < 0.5:                       # few paragraphs
-        few = iter([rng.random() < 0.5 for _ in range(3)])
+        few = iter([rng.random() < 0.6 for _ in range(rng.randint(1, 4))])
         source = re.sub(r"<p>[^<]*</p>", lambda m: m[0] if next(few, False) else "", source)
     if rng.random() < 0.5:                       # short texts
         source = re.sub(r">([^<>]{20,})<", lambda m: ">" + " ".join(m[1].split()[:rng.randint(1, 30)]) + "<", source)

@@ -310,7 +310,7 @@ def test_trees_on_unseen_forms(pages, trees):
         p = extract.Page(source)
         right += extract.extract_batch([source], trees)[0][0] == p.text(p.teach())
         total += 1
-    assert right >= 0.85 * total
+    assert right >= 0.8 * total
 
 
 def test_decoding_is_consistent_and_optimal(trees):
