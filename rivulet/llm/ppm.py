@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, text_udf
+from .common import crc_mod, scratch, small_batches, text_udf
 
 ORDER = 3
 SAMPLE_BYTES = 2_000_000
@@ -64,9 +64,10 @@ def train_counts(docs: DataFrame, train: Column, text: str = "text", lang: str =
     """(lang, gram, n): 4-gram counts of the bounded training sample."""
     rows = (docs.filter(train & F.col(text).isNotNull() & F.col(lang).isNotNull())
             .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id")))
-    share = (rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-             .select(F.col("lang").alias("l"),
-                     (F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("share")))
+    # one row per language; written, so that the join sees its real size and needn't move the texts
+    share = scratch(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+                    .select(F.col("lang").alias("l"),
+                            (F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("share")), "ppm-shares")
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.join(share, rows.lang == share.l).filter(chance < F.col("share"))
     return (picked.select("lang", F.explode(text_udf(lambda: _grams, _GRAMS)("text")["grams"]).alias("g"))
