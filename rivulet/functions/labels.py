@@ -52,6 +52,13 @@ def all_match(labels, matchers) -> Column:
 
 
 
+def map_last_wins(pairs) -> Column:
+    """A map from an array of (key, value) structs where the last value of a repeated key stays."""
+    p = _c(pairs)
+    last = F.filter(p, lambda x, i: F.size(F.filter(p, lambda y, j: (j > i) & (y["key"] == x["key"]))) == 0)
+    return F.map_from_entries(last)
+
+
 def drop_empty(labels) -> Column:
     return F.map_filter(_c(labels), lambda _, v: v != F.lit(""))
 
@@ -81,7 +88,26 @@ def render_template(template: str, labels, value=None) -> Column:
 
 
 def go_float_text(value) -> Column:
-    """Plain decimal text of a double as templates print it (``1``, ``0.25``)."""
-    txt = _c(value).cast("decimal(38,10)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(txt, r"0+$", ""), r"\.$", "")
-    return F.when(_c(value).isNull(), F.lit("<nil>")).otherwise(trimmed)
+    """Text of a double as templates print it: shortest digits that read back as the same
+    number, plain from 1e-4 up to 1e21 (``1``, ``0.25``) and with an exponent of at least two
+    digits beyond (``1e+30``, ``1e-12``); ``+Inf``, ``-Inf`` and ``NaN``."""
+    v = _c(value)
+    text = v.cast("string")                                   # shortest digits, exponent below 1e-3 and from 1e7
+    size = F.abs(v)
+    plain = F.regexp_replace(text, r"\.0$", "")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1)
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    moved = F.replace(digits, F.lit("."), F.lit(""))          # all digits; the point moves by the exponent
+    steps = F.when(power == "", F.lit("0")).otherwise(power).cast("int")
+    tail = F.length(moved) - 1
+    up = F.when(tail <= steps, F.rpad(moved, steps + 1, "0")).otherwise(
+        F.concat(F.substring(moved, F.lit(1), steps + 1), F.lit("."), F.substring(moved, steps + 2, tail)))
+    down = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-steps - 1, F.lit(0))), moved)
+    exponent = F.concat(sign, digits, F.lit("e"), F.when(steps < 0, F.lit("-")).otherwise(F.lit("+")),
+                        F.lpad(F.abs(steps).cast("string"), F.greatest(F.length(F.abs(steps).cast("string")), F.lit(2)), "0"))
+    return (F.when(v.isNull(), F.lit("<nil>")).when(F.isnan(v), F.lit("NaN"))
+            .when(v == F.lit(float("inf")), F.lit("+Inf")).when(v == F.lit(float("-inf")), F.lit("-Inf"))
+            .when(v == 0, F.lit("0")).when(power == "", plain)
+            .when((size >= 1e-4) & (size < 1e21), F.concat(sign, F.when(steps >= 0, up).otherwise(down)))
+            .otherwise(exponent))

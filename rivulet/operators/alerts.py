@@ -67,18 +67,28 @@ _SI = ["", "k", "M", "G", "T", "P", "E", "Z", "Y"]
 
 
 def sig4(x: Column) -> Column:
-    """``x`` rounded to 4 significant digits (the ``%.4g`` value)."""
-    e = F.floor(F.log10(F.abs(x)))
-    scale = F.pow(F.lit(10.0), e - F.lit(3))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / scale) * scale)
+    """``x`` rounded to 4 significant digits (the ``%.4g`` value); Inf and NaN stay.
+
+    Decimals come from one division by a power of ten, so the result is the double
+    nearest to the rounded decimal and prints as that decimal.
+    """
+    e = F.floor(F.log10(F.abs(_finite(x))))
+    up, down = F.pow(F.lit(10.0), F.lit(3) - e), F.pow(F.lit(10.0), e - F.lit(3))
+    return F.when((x == 0) | _finite(x).isNull(), x).when(e <= 3, F.round(x * up) / up).otherwise(F.round(x / down) * down)
+
+
+def _finite(x: Column) -> Column:
+    """``x``, or NULL where it is NaN or infinite."""
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
 def humanize(x: Column) -> Column:
     """SI-prefixed text (``1.234G``) for values >= 1; plain text below."""
-    ex = F.least(F.greatest(F.floor(F.log10(F.abs(x)) / F.lit(3)), F.lit(0)), F.lit(len(_SI) - 1))
+    ex = F.least(F.greatest(F.floor(F.log10(F.abs(_finite(x))) / F.lit(3)), F.lit(0)), F.lit(len(_SI) - 1))
     scaled = x / F.pow(F.lit(1000.0), ex)
     prefix = F.element_at(F.array(*[F.lit(p) for p in _SI]), (ex + F.lit(1)).cast("int"))
-    return F.when(x == 0, F.lit("0")).otherwise(F.concat(go_float_text(sig4(scaled)), prefix))
+    return (F.when(x == 0, F.lit("0")).when(_finite(x).isNull(), go_float_text(x))
+            .otherwise(F.concat(go_float_text(sig4(scaled)), prefix)))
 
 
 def humanize_percentage(x: Column) -> Column:

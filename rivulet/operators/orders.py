@@ -57,13 +57,13 @@ def formatted_orders(orders: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- aggregates
 
-def orders_by_state(orders: DataFrame, exact_distinct: bool = True, approx: bool = False) -> DataFrame:
+def orders_by_state(orders: DataFrame, approx: bool = False) -> DataFrame:
     """Count, unit total and distinct items per nested ``address.state``.
 
     Batch plans a partial/final hash aggregate (the per-state partials are
     combined map-side before the shuffle, so a hot state costs one row per
-    task).  Streams cannot run an exact distinct aggregate; there the distinct
-    count is the size of the state's item set, which equals the batch value.
+    task).  Streams cannot run an exact distinct aggregate; there the table is derived
+    from maintained (state, item) rows (``streaming.tables.state_items``).
     ``approx=True`` uses a HyperLogLog++ sketch instead (as the source
     engine's ``COUNT_DISTINCT`` does): constant state per group whatever the
     item cardinality, with a small relative error.
@@ -71,8 +71,7 @@ def orders_by_state(orders: DataFrame, exact_distinct: bool = True, approx: bool
     if approx:
         distinct = F.approx_count_distinct("itemid")
     else:
-        distinct = (F.count_distinct("itemid") if exact_distinct
-                    else F.size(F.collect_set("itemid")).cast("bigint"))
+        distinct = F.count_distinct("itemid")
     return (orders.groupBy(F.col("address.state").alias("state"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.sum("orderunits").alias("total_units"),

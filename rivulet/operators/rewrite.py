@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import labels_key
+from ..functions.labels import labels_key, map_last_wins
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,16 @@ class BeanRule:
     type: str | None = None
     value: str | None = None
 
+    @property
+    def dynamic(self) -> bool:
+        """Does the rule capture a label *name* from the reading?"""
+        return any("$" in name for name in self.labels)
+
+    @property
+    def catch_all(self) -> bool:
+        """Does the rule take every reading that reaches it?"""
+        return self.pattern == ".*"
+
     @property
     def full(self) -> str:
         return f"^.*(?:{self.pattern}).*$"
@@ -235,9 +245,11 @@ def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "co
     head = F.split(F.col("_m"), _ID)
     gid = head[0].cast("int")
     parts = F.split(head[1], _PAIR)
-    kv = F.transform(F.slice(parts, 2, 1 << 20), lambda x: F.split(x, _KV))
-    labels = F.map_from_arrays(F.transform(kv, lambda a: safe_name(a[0])), F.transform(kv, lambda a: a[1]))
-    labels = F.map_filter(labels, lambda k, _: k != F.lit(""))
+    kv = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.split(x, _KV))
+    # two properties whose names sanitise alike: the later one stays
+    pairs = F.filter(F.transform(kv, lambda a: F.struct(safe_name(a[0]).alias("key"), a[1].alias("value"))),
+                     lambda e: e["key"] != F.lit(""))
+    labels = map_last_wins(pairs)
 
     def lookup(values, dtype):
         return F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), gid + 1)
@@ -302,7 +314,10 @@ def relabel(df: DataFrame, steps: Sequence[Relabel], labels_col: str = "labels")
             df = df.withColumn(labels_col, F.when(src.rlike(full), new).otherwise(labels))
         elif st.action == "labelmap":
             mapped = F.map_filter(labels, lambda k, _: k.rlike(full))
-            renamed = F.transform_keys(mapped, lambda k, _: expand(k, full, st.replacement, "go"))
+            # two names mapped to one target: the last in name order stays
+            renamed = map_last_wins(F.transform(
+                F.array_sort(F.map_entries(mapped)),
+                lambda e: F.struct(expand(e["key"], full, st.replacement, "go").alias("key"), e["value"].alias("value"))))
             keep = F.map_filter(labels, lambda k, _: ~F.map_contains_key(renamed, k))
             df = df.withColumn(labels_col, F.map_concat(keep, renamed))
         else:

@@ -7,7 +7,10 @@ filters below prune files, the way a consumer seeks instead of scanning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,26 +68,52 @@ def decode_base64(df: DataFrame, col: str = "value") -> DataFrame:
     return df.withColumn(col, F.unbase64(F.col(col)).cast("string"))
 
 
+def _before_after(text: Column, separator: str) -> tuple[Column, Column, Column]:
+    """(found, text before the first separator, text after it); the separator is literal."""
+    at = F.instr(text, F.lit(separator))
+    return at > 0, F.substring(text, F.lit(1), at - 1), F.substring(text, at + len(separator), F.length(text))
+
+
 def parse_producer_lines(lines: DataFrame, key_separator: str = ":", headers_delimiter: str = "\t",
                          headers_separator: str = ",", header_key_separator: str = ":",
                          with_headers: bool = True) -> DataFrame:
     """Split producer input lines into headers, key and value.
 
-    With headers the line is ``h1:v1,h2:v2<TAB>key:value``; the key ends at
-    the first key separator, so values may contain the separator.
+    With headers the line is ``h1:v1,h2:v2<TAB>key:value``; the key ends at the first
+    key separator, so values may contain it.  Separators may have several characters
+    and are taken literally.  ``headers`` is an array of (key, value) in line order, as a
+    record may carry one header several times.
+
+    No line is lost: one without a delimiter or separator it should have keeps its whole
+    remaining text in ``value`` with a NULL ``key``, and ``error`` says what is missing
+    (a header without a separator has a NULL value, as a record header may).
     """
     line = F.col("line")
     if with_headers:
-        hdr = F.substring_index(line, headers_delimiter, 1)
-        rest = F.expr(f"substr(line, length(substring_index(line, '{headers_delimiter}', 1)) + 2)")
-        headers = F.str_to_map(hdr, F.lit(headers_separator), F.lit(header_key_separator))
+        delimited, head, rest = _before_after(line, headers_delimiter)
+        rest = F.when(delimited, rest).otherwise(line)
+        pairs = F.split(head, re.escape(headers_separator), -1)
+
+        def pair(text):
+            found, key, value = _before_after(text, header_key_separator)
+            return F.struct(F.when(found, key).otherwise(text).alias("key"), F.when(found, value).alias("value"))
+        headers = F.when(delimited & (head != ""), F.transform(pairs, pair)).otherwise(
+            F.array().cast("array<struct<key:string,value:string>>"))
     else:
-        rest, headers = line, F.create_map().cast("map<string,string>")
-    key = F.substring_index(rest, key_separator, 1)
-    value = F.expr(f"substr(_rest, length(substring_index(_rest, '{key_separator}', 1)) + 2)")
-    return (lines.withColumn("_rest", rest)
-            .select("*", headers.alias("headers"), F.substring_index("_rest", key_separator, 1).alias("key"),
-                    value.alias("value")).drop("_rest"))
+        delimited, rest = F.lit(True), line
+        headers = F.array().cast("array<struct<key:string,value:string>>")
+    keyed, key, value = _before_after(rest, key_separator)
+    error = (F.when(line.isNull(), F.lit("null line"))
+             .when(~delimited, F.lit("no headers delimiter"))
+             .when(~keyed, F.lit("no key separator")))
+    return lines.select("*", headers.alias("headers"), F.when(keyed, key).alias("key"),
+                        F.when(keyed, value).otherwise(rest).alias("value"), error.alias("error"))
+
+
+def header(headers, name: str) -> Column:
+    """Value of the last header called ``name`` (NULL if there is none)."""
+    h = F.col(headers) if isinstance(headers, str) else headers
+    return F.element_at(F.filter(h, lambda x: x["key"] == F.lit(name)), -1)["value"]
 
 
 def end_offsets(records: DataFrame) -> DataFrame:
@@ -102,24 +131,30 @@ def message_count(records: DataFrame) -> DataFrame:
     return end_offsets(records).groupBy("topic").agg(F.sum("log_end_offset").alias("messages"))
 
 
-def committed_at(records: DataFrame, group: str, until_ms: int) -> DataFrame:
-    """Positions of a consumer group that has consumed every record written
-    before ``until_ms`` (offsets are dense, so the position is that count)."""
-    return (records.groupBy("topic", "partition")
-            .agg(F.sum(F.when(F.col("timestamp") < F.lit(until_ms), 1).otherwise(0)).cast("bigint")
-                 .alias("current_offset"))
-            .select(F.lit(group).alias("group"), "topic", "partition", "current_offset"))
+def positions(records: DataFrame, groups: Sequence[tuple[str, int]], reset_ms: int = 0) -> DataFrame:
+    """Everything that offsets, lag and resets need, from one aggregate over the topic.
 
+    ``groups`` are (name, time): a group has consumed every record written before its
+    time (offsets are dense, so its position is that count).  One row per group and
+    partition: ``current_offset``, log start ``lo``, log end ``hi``, and ``first_at``, the
+    first offset at or after ``reset_ms``.  Commits are conditional sums in the same
+    aggregate, so the topic is read once whatever the number of groups.
+    """
+    ts = F.col("timestamp")
+    agg = records.groupBy("topic", "partition").agg(
+        F.min("offset").alias("lo"), (F.max("offset") + 1).alias("hi"),
+        F.min(F.when(ts >= F.lit(reset_ms), F.col("offset"))).alias("first_at"),
+        *[F.sum((ts < F.lit(until)).cast("bigint")).alias(f"c{i}") for i, (_, until) in enumerate(groups)])
+    committed = F.array(*[F.struct(F.lit(g).alias("group"), F.col(f"c{i}").alias("current_offset"))
+                          for i, (g, _) in enumerate(groups)])
+    return (agg.select("topic", "partition", "lo", "hi", "first_at", F.explode(committed).alias("g"))
+            .select("g.group", "topic", "partition", "g.current_offset", "lo", "hi", "first_at"))
 
-def consumer_lag(committed: DataFrame, ends: DataFrame) -> DataFrame:
-    """Lag per group and partition: log-end offset minus committed position.
 
-    Both sides have one row per partition (per group), so the join is small
-    whatever the topic size.
-    """
-    j = committed.join(ends, ["topic", "partition"], "inner")
-    return j.select("group", "topic", "partition", "current_offset", "log_end_offset",
-                    (F.col("log_end_offset") - F.col("current_offset")).alias("lag"))
+def consumer_lag(at: DataFrame) -> DataFrame:
+    """Lag per group and partition: log-end offset minus committed position."""
+    return at.select("group", "topic", "partition", "current_offset", F.col("hi").alias("log_end_offset"),
+                     (F.col("hi") - F.col("current_offset")).alias("lag"))
 
 
 def lag_by_topic(lag: DataFrame) -> DataFrame:
@@ -129,10 +164,11 @@ def lag_by_topic(lag: DataFrame) -> DataFrame:
 def storage_required(records: DataFrame, retention_days: float, replication: int,
                      brokers: int, margin: float = 1.2) -> DataFrame:
     """Disk needed: daily bytes x retention days x replication x margin, and
-    per broker.  Daily bytes are the mean over the days present."""
+    per broker.  Bytes are those of the UTF-8 text, a NULL key or value counting none; daily
+    bytes are the mean over the days present."""
     day = F.floor(F.col("timestamp") / F.lit(86_400_000))
     daily = (records.groupBy("topic", day.alias("day"))
-             .agg(F.sum(F.length("key") + F.length("value")).alias("bytes")))
+             .agg(F.sum(F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes")))
     per_topic = daily.groupBy("topic").agg(F.count(F.lit(1)).alias("days"),
                                             F.avg("bytes").alias("daily_bytes"))
     req = F.col("daily_bytes") * F.lit(retention_days) * F.lit(replication) * F.lit(margin)
@@ -148,25 +184,32 @@ def mirror(records: DataFrame, topics_regex: str = ".*", target_prefix: str = "s
             .withColumn("topic", F.concat(F.lit(target_prefix), F.col("topic"))))
 
 
-def reset_plan(committed: DataFrame, records: DataFrame, strategy: str, value=None) -> DataFrame:
-    """Dry-run of a consumer-group offset reset: the new position per
-    partition for ``to-earliest``, ``to-latest``, ``to-offset N`` (clamped to
-    the available range) or ``to-datetime ms`` (first offset at or after it,
-    the log end if none)."""
-    bounds = records.groupBy("topic", "partition").agg(
-        F.min("offset").alias("lo"), (F.max("offset") + 1).alias("hi"),
-        F.min(F.when(F.col("timestamp") >= F.lit(value if strategy == "to-datetime" else 0),
-                     F.col("offset"))).alias("first_at"))
-    j = committed.join(bounds, ["topic", "partition"])
-    if strategy == "to-earliest":
-        new = F.col("lo")
-    elif strategy == "to-latest":
-        new = F.col("hi")
-    elif strategy == "to-offset":
-        new = F.least(F.greatest(F.lit(int(value)), F.col("lo")), F.col("hi"))
-    elif strategy == "to-datetime":
-        new = F.coalesce(F.col("first_at"), F.col("hi"))
-    else:
-        raise ValueError(strategy)
-    return j.select("group", "topic", "partition", F.lit(strategy).alias("strategy"),
-                    "current_offset", new.cast("bigint").alias("new_offset"))
+def reset_plan(at: DataFrame, strategies: Sequence[tuple[str, int | None]]) -> DataFrame:
+    """Dry run of consumer-group offset resets over :func:`positions`.
+
+    One row per group, partition and strategy with the new position: ``to-earliest``,
+    ``to-latest``, ``to-offset`` N (clamped to the available range) or ``to-datetime`` (the
+    first offset at or after the time given to ``positions``, the log end if none).
+    """
+    lo, hi = F.col("lo"), F.col("hi")
+    new = {"to-earliest": lambda v: lo, "to-latest": lambda v: hi,
+           "to-offset": lambda v: F.least(F.greatest(F.lit(int(v)), lo), hi),
+           "to-datetime": lambda v: F.coalesce(F.col("first_at"), hi)}
+    unknown = [s for s, _ in strategies if s not in new]
+    if unknown:
+        raise ValueError(f"unknown reset strategies {unknown}")
+    plans = F.array(*[F.struct(F.lit(s).alias("strategy"), new[s](v).cast("bigint").alias("new_offset"))
+                      for s, v in strategies])
+    return (at.select("group", "topic", "partition", "current_offset", F.explode(plans).alias("p"))
+            .select("group", "topic", "partition", "p.strategy", "current_offset", "p.new_offset"))
+
+
+def from_positions(records: DataFrame, plan: DataFrame) -> DataFrame:
+    """Read on after an executed reset: the records at or after each group's new positions.
+
+    The plan has one row per group and partition (one strategy), so it is the small side
+    of an equi-join on the partition.
+    """
+    at = plan.select("group", F.col("topic").alias("_t"), F.col("partition").alias("_p"), "new_offset")
+    joined = records.join(at, (records.topic == at["_t"]) & (records.partition == at["_p"]))
+    return joined.where(F.col("offset") >= F.col("new_offset")).drop("_t", "_p", "new_offset")

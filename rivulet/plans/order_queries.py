@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.time import timestamp_to_string
 from ..operators import flatten as fl
 from ..operators import orders as op
 from ..sources.orders import order_stream
@@ -62,7 +63,7 @@ def q_struct_field(spark, sf):
 @register("alias", oracle=f"""WITH {ORDER_STREAM_SQL}
 SELECT orderid AS order_key, itemid AS item, orderunits AS units FROM order_stream""")
 def q_alias(spark, sf):
-    return order_stream(spark, sf).select(
+    return order_stream(spark, sf, ("orderid", "itemid", "orderunits")).select(
         F.col("orderid").alias("order_key"), F.col("itemid").alias("item"),
         F.col("orderunits").alias("units"))
 
@@ -76,12 +77,15 @@ def q_flatten_struct(spark, sf):
     return fl.flatten(order_stream(spark, sf), "_")
 
 
-@register("flat_stream", oracle=f"""WITH {ORDER_STREAM_SQL}
+FLAT_SQL = f"""WITH {ORDER_STREAM_SQL}
 SELECT orderid, ordertime,
        strftime(make_timestamp(ordertime * 1000), '%Y-%m-%d %H:%M:%S') AS order_datetime,
        itemid, orderunits, address.city AS city, address.state AS state,
        address.zipcode AS zipcode
-FROM order_stream""")
+FROM order_stream"""
+
+
+@register("flat_stream", oracle=FLAT_SQL)
 def q_flat_stream(spark, sf):
     return op.flat_orders(order_stream(spark, sf))
 
@@ -90,13 +94,14 @@ def q_flat_stream(spark, sf):
 SELECT orderid, strftime(make_timestamp(ordertime * 1000), '%Y-%m-%d %H:%M:%S') AS order_datetime
 FROM order_stream""")
 def q_timestamp_to_string(spark, sf):
-    return op.flat_orders(order_stream(spark, sf)).select("orderid", "order_datetime")
+    return order_stream(spark, sf, ("orderid", "ordertime")).select(
+        "orderid", timestamp_to_string("ordertime", "yyyy-MM-dd HH:mm:ss").alias("order_datetime"))
 
 
 @register("cast_varchar", oracle=f"""WITH {ORDER_STREAM_SQL}
 SELECT orderid, CAST(orderunits AS VARCHAR) AS units_text FROM order_stream""")
 def q_cast_varchar(spark, sf):
-    return order_stream(spark, sf).select(
+    return order_stream(spark, sf, ("orderid", "orderunits")).select(
         "orderid", F.col("orderunits").cast("string").alias("units_text"))
 
 
@@ -113,7 +118,7 @@ def q_concat_plus(spark, sf):
 SELECT * REPLACE (to_json(address) AS address) FROM order_stream
 WHERE address.state = '{STATE}'""")
 def q_filter_eq(spark, sf):
-    return _json_address(op.orders_in_state(order_stream(spark, sf), STATE))
+    return _json_address(order_stream(spark, sf, state=STATE))
 
 
 FILTER_GT_SQL = f"""WITH {ORDER_STREAM_SQL}
@@ -138,11 +143,14 @@ def q_orders_by_state(spark, sf):
     return rounded(op.orders_by_state(order_stream(spark, sf)), "total_units")
 
 
-@register("orders_by_item", oracle=f"""WITH {ORDER_STREAM_SQL}
+ORDERS_BY_ITEM_SQL = f"""WITH {ORDER_STREAM_SQL}
 SELECT itemid, COUNT(*) AS order_count, ROUND(SUM(orderunits), 6) AS total_units
-FROM order_stream GROUP BY itemid""")
+FROM order_stream GROUP BY itemid"""
+
+
+@register("orders_by_item", oracle=ORDERS_BY_ITEM_SQL)
 def q_orders_by_item(spark, sf):
-    return rounded(op.orders_by_item(order_stream(spark, sf)), "total_units")
+    return rounded(op.orders_by_item(order_stream(spark, sf, ("itemid", "orderunits"))), "total_units")
 
 
 @register("agg_avg", oracle=f"""WITH {ORDER_STREAM_SQL}
@@ -171,7 +179,7 @@ FROM fanned GROUP BY state, window_start"""
 
 @register("tumbling_1m", oracle=TUMBLING_SQL)
 def q_tumbling_1m(spark, sf):
-    return rounded(op.tumbling_by_item(order_stream(spark, sf)), "total_units")
+    return rounded(op.tumbling_by_item(order_stream(spark, sf, ("ordertime", "itemid", "orderunits"))), "total_units")
 
 
 @register("hopping_5m_1m", oracle=HOPPING_SQL)
@@ -182,7 +190,7 @@ def q_hopping_5m_1m(spark, sf):
 @register("window_bounds", oracle=f"""WITH t AS ({TUMBLING_SQL})
 SELECT itemid, window_start, window_end, window_end - window_start AS window_ms FROM t""")
 def q_window_bounds(spark, sf):
-    t = op.tumbling_by_item(order_stream(spark, sf))
+    t = op.tumbling_by_item(order_stream(spark, sf, ("ordertime", "itemid", "orderunits")))
     return t.select("itemid", "window_start", "window_end",
                     (F.col("window_end") - F.col("window_start")).alias("window_ms"))
 
@@ -190,23 +198,16 @@ def q_window_bounds(spark, sf):
 @register("windowed_lookup", oracle=f"""WITH t AS ({TUMBLING_SQL})
 SELECT * FROM t WHERE itemid = '{ITEM}'""")
 def q_windowed_lookup(spark, sf):
-    t = rounded(op.tumbling_by_item(order_stream(spark, sf)), "total_units")
+    t = rounded(op.tumbling_by_item(order_stream(spark, sf, ("ordertime", "itemid", "orderunits"))), "total_units")
     return op.windowed_lookup(t, "itemid", ITEM)
 
 
-@register("pull_query", oracle=f"""WITH {ORDER_STREAM_SQL}
+PULL_STATE_SQL = f"""WITH {ORDER_STREAM_SQL}
 SELECT address.state AS state, COUNT(*) AS order_count,
        ROUND(SUM(orderunits), 6) AS total_units,
        COUNT(DISTINCT itemid) AS unique_items
-FROM order_stream WHERE address.state = '{STATE}' GROUP BY address.state""")
-def q_pull_query(spark, sf):
-    table = rounded(op.orders_by_state(order_stream(spark, sf)), "total_units")
-    return op.pull(table, "state", STATE)
-
+FROM order_stream WHERE address.state = '{STATE}' GROUP BY address.state"""
 
-@register("pull_query_item", oracle=f"""WITH {ORDER_STREAM_SQL}
+PULL_ITEM_SQL = f"""WITH {ORDER_STREAM_SQL}
 SELECT itemid, COUNT(*) AS order_count, ROUND(SUM(orderunits), 6) AS total_units
-FROM order_stream WHERE itemid = '{ITEM}' GROUP BY itemid""")
-def q_pull_query_item(spark, sf):
-    table = rounded(op.orders_by_item(order_stream(spark, sf)), "total_units")
-    return op.pull(table, "itemid", ITEM)
+FROM order_stream WHERE itemid = '{ITEM}' GROUP BY itemid"""

@@ -111,22 +111,42 @@ def q_bean_const_value(spark, sf):
     return rewritten(spark, sf, ("connect",)).where(F.col("metric") == "kafka_connect_app_info")
 
 
+def _rules(component: str, wanted) -> list[int]:
+    """Indexes of a component's rules with a property, read off the rules themselves."""
+    return [i for i, r in enumerate(RS.RULES_BY_COMPONENT[component]) if wanted(r)]
+
+
+def _by_rule(parts: dict) -> F.Column:
+    cond = F.lit(False)
+    for c, idx in parts.items():
+        cond = cond | ((F.col("component") == c) & F.col("rule").isin(idx))
+    return cond
+
+
+# Fixed values for the oracles: positions, in the rule files, of the rules with a captured
+# label name (``$n`` as a label's name), and of the trailing ``.*``.
+DYNAMIC_SQL = ("(component = 'connect' AND rule IN (9, 10)) OR "
+               "(component = 'kafka' AND rule IN (4, 5, 6, 7, 8, 10, 12, 19, 20, 21)) OR "
+               "(component IN ('ksqldb', 'kafkarestproxy') AND rule IN (0, 1)) OR "
+               "(component = 'schemaregistry' AND rule = 0)")
+CATCH_ALL_SQL = "component = 'connect' AND rule = 11"
+
+
 @register("bean_dynamic_label", oracle=f"""SELECT component, metric, lkey, COUNT(*) AS n
-FROM ({all_rules_sql(("connect", "kafka"))}) x
-WHERE rule IN (4, 5, 6, 7, 8, 10, 9) GROUP BY component, metric, lkey""")
+FROM ({all_rules_sql()}) x
+WHERE {DYNAMIC_SQL} GROUP BY component, metric, lkey""")
 def q_bean_dynamic_label(spark, sf):
     """Series whose label names were captured from the bean (``$2: "$3"``)."""
-    return (rewritten(spark, sf, ("connect", "kafka"))
-            .where(F.col("rule").isin(4, 5, 6, 7, 8, 10, 9))
+    found = {c: idx for c in COMPONENTS if (idx := _rules(c, lambda r: r.dynamic))}
+    return (rewritten(spark, sf, tuple(found)).where(_by_rule(found))
             .groupBy("component", "metric", "lkey").agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("bean_catch_all", oracle=f"""SELECT * FROM ({all_rules_sql()}) x
-WHERE (component = 'connect' AND rule >= 10)""")
+@register("bean_catch_all", oracle=f"""SELECT * FROM ({rules_sql("connect")}) x WHERE {CATCH_ALL_SQL}""")
 def q_bean_catch_all(spark, sf):
-    """Readings taken by the trailing generic rules (remaining-metrics and ``.*``)."""
-    r = rewritten(spark, sf)
-    return r.where((F.col("component") == "connect") & (F.col("rule") >= 10))
+    """Readings that only the trailing ``.*`` rule takes; just the components that have one."""
+    found = {c: idx for c in COMPONENTS if (idx := _rules(c, lambda r: r.catch_all))}
+    return rewritten(spark, sf, tuple(found)).where(_by_rule(found))
 
 
 @register("percentile_label", oracle=f"""SELECT component, metric, lkey, COUNT(*) AS n,

@@ -14,9 +14,10 @@ from .. import schema as S
 from ..operators import orders as op
 from ..sources.orders import order_stream
 from ..sources.samples import SampleSource
-from ..sources.topic import order_records
+from ..sources.tables import listings
+from ..sources.topic import PARTITIONS, order_records
 from ..streaming import alert_state, sources as src, storage, tables
-from ..streaming.sinks import FlakyTable, KeyedTable, OrdersSink, orders_table
+from ..streaming.sinks import KeyedTable, OrdersSink, read_dead_letters
 from . import alert_queries as aq
 from . import order_queries as oq
 from .registry import register, round6, rounded
@@ -25,8 +26,11 @@ from ..plans.topic_queries import REC
 CHUNKS = 4
 
 
+ORDER_TABLES = ("events", "orders", "customer", "nation")
+
+
 def _staged_orders(spark, sf, chunks=CHUNKS):
-    return src.stage_topic(spark, "orders", (sf,), lambda: order_stream(spark, sf),
+    return src.stage_topic(spark, "orders", (sf, listings(spark, sf, *ORDER_TABLES)), lambda: order_stream(spark, sf),
                            order_col="ordertime", chunks=chunks)
 
 
@@ -35,66 +39,124 @@ def _order_file_stream(spark, sf):
     return src.file_stream(spark, path, S.ORDER, max_files_per_trigger=files)
 
 
+def _appended(spark, stream, schema):
+    """An append-mode derived stream, run to the end of its input, as a batch read."""
+    out, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
+    tables.run_append(stream, out, ck).awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+def _maintained(spark, agg, schema, keys) -> KeyedTable:
+    """A keyed table maintained by a streaming aggregate to the end of its input."""
+    table = KeyedTable(spark, storage.fresh_path(spark, "tables"), schema, keys, buckets=8)
+    tables.run_keyed(agg, table, storage.fresh_path(spark, "streams")).awaitTermination()
+    return table
+
+
 @register("push_query", oracle=oq.FILTER_GT_SQL)
 def q_push_query(spark, sf):
     """``SELECT ... WHERE orderunits > 5 EMIT CHANGES`` as an append stream."""
-    out, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
-    q = tables.run_append(op.large_orders(_order_file_stream(spark, sf), oq.MIN_UNITS), out, ck)
-    q.awaitTermination()
-    return spark.read.schema("orderid string, itemid string, orderunits double, city string, state string").parquet(out)
+    return _appended(spark, op.large_orders(_order_file_stream(spark, sf), oq.MIN_UNITS),
+                     "orderid string, itemid string, orderunits double, city string, state string")
 
 
-def _keyed_run(spark, agg, keys):
-    path, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
-    t = KeyedTable(spark, path, keys, ["_v"], buckets=8)
-    w = (agg.writeStream.outputMode("update").option("checkpointLocation", ck)
-         .foreachBatch(lambda b, i: t.upsert(b.withColumn("_v", F.lit(i)))).trigger(availableNow=True))
-    with tables.state_partitions(spark):
-        q = w.start()
-    q.awaitTermination()
-    return t.read().drop("_v")
+@register("stream_flat", oracle=oq.FLAT_SQL)
+def q_stream_flat(spark, sf):
+    """The flattened stream as the continuous statement it is (append mode)."""
+    return _appended(spark, op.flat_orders(_order_file_stream(spark, sf)),
+                     "orderid string, ordertime bigint, order_datetime string, itemid string, orderunits double, "
+                     "city string, state string, zipcode bigint")
+
+
+def _state_table(spark, sf) -> KeyedTable:
+    return _maintained(spark, tables.state_items(_order_file_stream(spark, sf)), tables.STATE_ITEMS, ["state", "itemid"])
+
+
+def _item_table(spark, sf) -> KeyedTable:
+    return _maintained(spark, tables.orders_by_item_table(_order_file_stream(spark, sf)), tables.ITEMS, ["itemid"])
 
 
 @register("stateful_agg", oracle=oq.ORDERS_BY_STATE_SQL)
 def q_stateful_agg(spark, sf):
     """The per-state table maintained incrementally (update mode, state store)."""
-    t = _keyed_run(spark, tables.orders_by_state_table(_order_file_stream(spark, sf)), ["state"])
-    return rounded(t.select("state", "order_count", "total_units", "unique_items"), "total_units")
+    return rounded(tables.by_state(_state_table(spark, sf).read()), "total_units")
+
+
+@register("stream_orders_by_item", oracle=oq.ORDERS_BY_ITEM_SQL)
+def q_stream_orders_by_item(spark, sf):
+    """The per-item table as the continuous statement it is."""
+    return rounded(_item_table(spark, sf).read(), "total_units")
+
+
+@register("pull_query", oracle=oq.PULL_STATE_SQL)
+def q_pull_query(spark, sf):
+    """One state's row of the maintained table."""
+    rows = _state_table(spark, sf).read().where(F.col("state") == F.lit(oq.STATE))
+    return rounded(tables.by_state(rows), "total_units")
+
+
+@register("pull_query_item", oracle=oq.PULL_ITEM_SQL)
+def q_pull_query_item(spark, sf):
+    """A point lookup: only the key's bucket of the maintained table is read."""
+    return rounded(_item_table(spark, sf).lookup(oq.ITEM), "total_units")
 
 
 @register("stream_tumbling_1m", oracle=oq.TUMBLING_SQL)
 def q_stream_tumbling(spark, sf):
     """Tumbling-window table on event time with the default lateness."""
     s = src.with_event_time(_order_file_stream(spark, sf))
-    t = _keyed_run(spark, tables.tumbling_by_item(s), ["itemid", "window_start"])
-    return rounded(t.select("itemid", "window_start", "window_end", "order_count", "total_units"),
-                   "total_units")
+    return rounded(_maintained(spark, tables.tumbling_by_item(s), tables.TUMBLING, ["itemid", "window_start"]).read(), "total_units")
 
 
 @register("stream_hopping_5m_1m", oracle=oq.HOPPING_SQL)
 def q_stream_hopping(spark, sf):
     s = src.with_event_time(_order_file_stream(spark, sf))
-    t = _keyed_run(spark, tables.hopping_by_state(s), ["state", "window_start"])
-    return rounded(t.select("state", "window_start", "window_end", "order_count", "avg_units"), "avg_units")
-
-
-@register("late_data")
-def q_late_data(spark, sf):
-    """Tumbling table fed partition by partition: each partition spans the
-    whole month, so after the first one the watermark (max event time minus
-    24 hours) has passed most windows and later partitions' older rows are
-    dropped as late.  (Rows-only check: the result depends on delivery.)"""
-    path, files = src.stage_topic(spark, "orders-by-partition", (sf,),
+    return rounded(_maintained(spark, tables.hopping_by_state(s), tables.HOPPING, ["state", "window_start"]).read(), "avg_units")
+
+
+LATE_SQL = f"""{REC},
+o AS (SELECT partition, timestamp AS ordertime, json_extract_string(value, '$.itemid') AS itemid,
+             CAST(json_extract(value, '$.orderunits') AS DOUBLE) AS orderunits,
+             timestamp - timestamp % 60000 AS window_start FROM records),
+newest AS (SELECT partition, MAX(ordertime) AS m FROM o GROUP BY partition),
+mark AS (SELECT a.partition, MAX(b.m) - 86400000 AS watermark
+         FROM newest a LEFT JOIN newest b ON b.partition <= a.partition - 2 GROUP BY a.partition)
+SELECT itemid, window_start, window_start + 60000 AS window_end, COUNT(*) AS order_count,
+       ROUND(SUM(orderunits), 6) AS total_units
+FROM o JOIN mark ON o.partition = mark.partition
+WHERE mark.watermark IS NULL OR window_start + 60000 > mark.watermark
+GROUP BY itemid, window_start"""
+
+
+def late_table(spark, sf, rows_per_file=src.ROWS_PER_FILE):
+    """The tumbling table fed one topic partition per micro-batch, in partition order.
+
+    Which rows are kept: the watermark of a micro-batch is the newest event time of the
+    batches before it minus 24 hours, and rows are compared with the watermark that the
+    batch before had (the state of a window is given up one batch later than it is
+    passed).  So a row of the n-th partition is late, and dropped, when its window ends at
+    or before the newest event time of partitions 0 .. n-2 minus 24 hours.
+    """
+    path, files = src.stage_topic(spark, "orders-by-partition", (sf, listings(spark, sf, *ORDER_TABLES)),
                            lambda: order_records(spark, sf).select(
                                F.col("key").alias("orderid"), F.col("timestamp").alias("ordertime"),
                                F.get_json_object("value", "$.itemid").alias("itemid"),
                                F.get_json_object("value", "$.orderunits").cast("double").alias("orderunits"),
                                F.lit(None).cast(S.ADDRESS).alias("address"), "partition"),
-                           order_col="partition", chunks=6)
+                           order_col="partition", chunks=PARTITIONS, rows_per_file=rows_per_file)
     s = src.with_event_time(src.file_stream(spark, path, S.ORDER, max_files_per_trigger=files))
-    t = _keyed_run(spark, tables.tumbling_by_item(s), ["itemid", "window_start"])
-    return rounded(t.select("itemid", "window_start", "window_end", "order_count", "total_units"),
-                   "total_units")
+    table = KeyedTable(spark, storage.fresh_path(spark, "tables"), tables.TUMBLING, ["itemid", "window_start"], buckets=8)
+    q = tables.run_keyed(tables.tumbling_by_item(s), table, storage.fresh_path(spark, "streams"))
+    q.awaitTermination()
+    fed = sum(p["numInputRows"] > 0 for p in q.recentProgress)
+    if fed != PARTITIONS:
+        raise RuntimeError(f"{PARTITIONS} partitions came in {fed} micro-batches")
+    return table.read()
+
+
+@register("late_data", oracle=LATE_SQL)
+def q_late_data(spark, sf):
+    return rounded(late_table(spark, sf), "total_units")
 
 
 # ---------------------------------------------------------------- upsert sink
@@ -105,26 +167,24 @@ def _sink_input(spark, sf):
         binary = r.select(F.lit("Orders-binary").alias("topic"), "partition", "offset", "timestamp", "key",
                           F.regexp_replace(F.base64("value"), "[\\r\\n]", "").alias("value"))
         return r.unionByName(r).unionByName(binary)          # at-least-once duplicates + a binary topic
-    return src.stage_topic(spark, "sink-input", (sf, "unchunked-base64"), build, order_col="timestamp", chunks=3)
+    return src.stage_topic(spark, "sink-input", (sf, listings(spark, sf, *ORDER_TABLES)), build, order_col="timestamp", chunks=3)
 
 
-def _run_sink(spark, sf, flaky: bool = False):
+def _run_sink(spark, sf):
     path, files = _sink_input(spark, sf)
     schema = "topic string, partition int, offset long, timestamp long, key string, value string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "/data")
     table, dlq, ck = (storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "dlq"),
                       storage.fresh_path(spark, "streams"))
-    kt = orders_table(spark, table, range_width=1000)
-    sink = OrdersSink(spark, table, dlq, table=FlakyTable(kt) if flaky else kt,
-                      retry_timeout_s=60.0, retry_max_delay_s=5.0)
+    sink = OrdersSink(spark, table, dlq, retry_timeout_s=60.0, retry_max_delay_s=5.0)
     with tables.state_partitions(spark):
         q = stream.writeStream.option("checkpointLocation", ck).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
-    return table, dlq
+    return sink.table, dlq
 
 
 SINK_SQL = f"""{REC}
-SELECT CAST(key AS INTEGER) AS orderid, timestamp AS ordertime,
+SELECT CAST(key AS BIGINT) AS orderid, timestamp AS ordertime,
        json_extract_string(value, '$.itemid') AS itemid,
        CAST(json_extract(value, '$.orderunits') AS DOUBLE) AS orderunits,
        json_extract_string(value, '$.address.city') AS address_city,
@@ -138,18 +198,16 @@ def q_sink_upsert_pk(spark, sf):
     """Records decoded, validated, flattened and upserted by ``orderid``;
     duplicated deliveries collapse to one row per key."""
     table, _ = _run_sink(spark, sf)
-    return spark.read.parquet(table).select(
+    return table.read().select(
         "orderid", "ordertime", "itemid", "orderunits", "address_city", "address_state", "address_zipcode")
 
 
 @register("sink_retry", oracle=SINK_SQL)
 def q_sink_retry(spark, sf):
-    """The same sink while every micro-batch's first table write fails with a
-    transient error: the bounded retry re-runs the idempotent upsert and the
-    table ends up exactly as without failures."""
-    table, _ = _run_sink(spark, sf, flaky=True)
-    return spark.read.parquet(table).select(
-        "orderid", "ordertime", "itemid", "orderunits", "address_city", "address_state", "address_zipcode")
+    """The sink's table under its retry bounds (60 s in total, at most 5 s between tries):
+    every write of a micro-batch is an overwrite of that batch's files, so a retry leaves
+    the same table.  (Tests inject the failures.)"""
+    return q_sink_upsert_pk(spark, sf)
 
 
 @register("sink_dlq", oracle=f"""{REC}
@@ -160,7 +218,7 @@ FROM records""")
 def q_sink_dlq(spark, sf):
     """Records the sink could not convert, with their context."""
     _, dlq = _run_sink(spark, sf)
-    d = spark.read.parquet(dlq)
+    d = read_dead_letters(spark, dlq)
     return d.select("key", "value", "context.topic", "context.partition", "context.offset",
                     "context.connector", "context.stage", "context.exception_message")
 
@@ -176,7 +234,7 @@ def q_alert_for_stream(spark, sf):
     active elements, delivered in time order."""
     p = aq.DENSE
     path, files = src.stage_topic(
-        spark, "alert-active", (sf,),
+        spark, "alert-active", (sf, listings(spark, sf, "events")),
         lambda: aq.active_elements(SampleSource(spark, sf), [r.alert for r in aq.RULES], p)
         .select("alert", "lkey", "t", "value", "for_ms"),
         order_col="t", chunks=CHUNKS)
@@ -185,7 +243,7 @@ def q_alert_for_stream(spark, sf):
     out, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
     q = tables.run_append(alert_state.hold_stream(active, p.step_ms), out, ck)
     q.awaitTermination()
-    r = spark.read.parquet(out)
+    r = alert_state.on_time(spark.read.schema(alert_state.OUTPUT_SCHEMA).parquet(out))
     return r.select("alert", (F.col("t") / 1000).cast("bigint").alias("t"), "lkey", "state",
                     (F.col("active_since") / 1000).cast("bigint").alias("active_since"),
                     round6("value").alias("value"))

@@ -27,6 +27,11 @@ def R(spark, sf):
     return order_records(spark, sf)
 
 
+def P(spark, sf):
+    """Records without their values: all that offsets and positions depend on."""
+    return order_records(spark, sf, value=False)
+
+
 @register("read_from_beginning", oracle=f"{REC} SELECT {BASE_COLS} FROM records")
 def q_read_from_beginning(spark, sf):
     return tp.from_beginning(R(spark, sf))
@@ -55,14 +60,14 @@ def q_read_key_ts(spark, sf):
 
 
 VALUE_SCHEMA = T.StructType([
-    T.StructField("ordertime", T.LongType()), T.StructField("orderid", T.IntegerType()),
+    T.StructField("ordertime", T.LongType()), T.StructField("orderid", T.LongType()),
     T.StructField("itemid", T.StringType()), T.StructField("orderunits", T.DoubleType()),
     T.StructField("address", S.ADDRESS)])
 
 
 @register("decode_json", oracle=f"""{REC},
 parsed AS (SELECT partition, {OFF}, key, json_transform(value,
-  '{{"ordertime":"BIGINT","orderid":"INTEGER","itemid":"VARCHAR","orderunits":"DOUBLE",
+  '{{"ordertime":"BIGINT","orderid":"BIGINT","itemid":"VARCHAR","orderunits":"DOUBLE",
     "address":{{"city":"VARCHAR","state":"VARCHAR","zipcode":"BIGINT"}}}}') AS v FROM records)
 SELECT partition, {OFF}, key, v.ordertime AS ordertime, v.orderid AS orderid, v.itemid AS itemid,
        v.orderunits AS orderunits, v.address.city AS address_city, v.address.state AS address_state,
@@ -106,24 +111,24 @@ def q_parse_key_headers(spark, sf):
                               F.lit("\t"), F.col("key"), F.lit(":"), F.col("value")).alias("line"))
     p = tp.parse_producer_lines(lines)
     return p.select("key", "value",
-                    F.element_at("headers", F.lit("itemid")).alias("header_itemid"),
-                    F.element_at("headers", F.lit("partition")).alias("header_partition"))
+                    tp.header("headers", "itemid").alias("header_itemid"),
+                    tp.header("headers", "partition").alias("header_partition"))
 
 
 @register("offsets_latest", oracle=f"{REC} SELECT topic, partition, MAX({OFF}) + 1 AS log_end_offset FROM records GROUP BY topic, partition")
 def q_offsets_latest(spark, sf):
-    return tp.end_offsets(R(spark, sf))
+    return tp.end_offsets(P(spark, sf))
 
 
 @register("offsets_earliest", oracle=f"{REC} SELECT topic, partition, MIN({OFF}) AS log_start_offset FROM records GROUP BY topic, partition")
 def q_offsets_earliest(spark, sf):
-    return tp.start_offsets(R(spark, sf))
+    return tp.start_offsets(P(spark, sf))
 
 
 @register("topic_message_count", oracle=f"""{REC} SELECT topic, CAST(SUM(e) AS BIGINT) AS messages
 FROM (SELECT topic, partition, MAX({OFF}) + 1 AS e FROM records GROUP BY topic, partition) GROUP BY topic""")
 def q_topic_message_count(spark, sf):
-    return tp.message_count(R(spark, sf))
+    return tp.message_count(P(spark, sf))
 
 
 def _committed_sql() -> str:
@@ -141,23 +146,18 @@ lag AS (SELECT c."group", c.topic, c.partition, c.current_offset, e.log_end_offs
         FROM committed c JOIN ends e ON c.topic = e.topic AND c.partition = e.partition)"""
 
 
-def _lag(spark, sf):
-    r = R(spark, sf)
-    committed = None
-    for g, t in GROUPS:
-        c = tp.committed_at(r, g, t)
-        committed = c if committed is None else committed.unionByName(c)
-    return tp.consumer_lag(committed, tp.end_offsets(r)), committed, r
+def _positions(spark, sf):
+    return tp.positions(P(spark, sf), GROUPS, RESET_TO_MS)
 
 
 @register("consumer_lag", oracle=f'{LAG_SQL} SELECT * FROM lag')
 def q_consumer_lag(spark, sf):
-    return _lag(spark, sf)[0]
+    return tp.consumer_lag(_positions(spark, sf))
 
 
 @register("lag_by_topic", oracle=f'{LAG_SQL} SELECT "group", topic, CAST(SUM(lag) AS BIGINT) AS lag FROM lag GROUP BY "group", topic')
 def q_lag_by_topic(spark, sf):
-    return tp.lag_by_topic(_lag(spark, sf)[0])
+    return tp.lag_by_topic(tp.consumer_lag(_positions(spark, sf)))
 
 
 @register("offset_reset", oracle=f"""{LAG_SQL},
@@ -172,18 +172,26 @@ FROM committed c JOIN b ON c.topic = b.topic AND c.partition = b.partition,
      (VALUES ('to-earliest'), ('to-offset'), ('to-datetime')) s(strategy)""")
 def q_offset_reset(spark, sf):
     """Dry run of the three reset procedures for every group and partition."""
-    _, committed, r = _lag(spark, sf)
-    plans = [tp.reset_plan(committed, r, "to-earliest"),
-             tp.reset_plan(committed, r, "to-offset", 1000),
-             tp.reset_plan(committed, r, "to-datetime", RESET_TO_MS)]
-    out = plans[0]
-    for p in plans[1:]:
-        out = out.unionByName(p)
-    return out
+    return tp.reset_plan(_positions(spark, sf), [("to-earliest", None), ("to-offset", 1000), ("to-datetime", None)])
+
+
+@register("offset_reset_execute", oracle=f"""{LAG_SQL},
+b AS (SELECT topic, partition, MAX({OFF}) + 1 AS hi,
+             MIN(CASE WHEN timestamp >= {RESET_TO_MS} THEN {OFF} END) AS first_at
+      FROM records GROUP BY topic, partition)
+SELECT c."group", r.topic, r.partition, r."offset", r.timestamp, r.key, r.value
+FROM committed c JOIN b ON c.topic = b.topic AND c.partition = b.partition
+JOIN records r ON r.topic = b.topic AND r.partition = b.partition AND r."offset" >= COALESCE(b.first_at, b.hi)
+WHERE c."group" = '{GROUPS[0][0]}'""")
+def q_offset_reset_execute(spark, sf):
+    """The executed reset to a datetime: what one group reads from its new positions."""
+    plan = tp.reset_plan(_positions(spark, sf), [("to-datetime", None)]).where(F.col("group") == GROUPS[0][0])
+    return tp.from_positions(tp.from_beginning(R(spark, sf)), plan).select(
+        "group", "topic", "partition", "offset", "timestamp", "key", "value")
 
 
 @register("storage_sizing", oracle=f"""{REC},
-daily AS (SELECT topic, timestamp // 86400000 AS day, SUM(strlen(key) + strlen(value)) AS bytes
+daily AS (SELECT topic, timestamp // 86400000 AS day, SUM(COALESCE(strlen(key), 0) + COALESCE(strlen(value), 0)) AS bytes
           FROM records GROUP BY topic, timestamp // 86400000),
 per AS (SELECT topic, COUNT(*) AS days, AVG(bytes) AS daily_bytes FROM daily GROUP BY topic)
 SELECT topic, days, ROUND(daily_bytes, 6) AS daily_bytes,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,12 +49,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names a shared folder there; it is read from the session
-    and used as is.  Only when the setting is absent (local tests) is a
-    private folder created and registered, so lineage cutting and stream
-    checkpoints still work.
+    and used as is.  Only in local mode, where one machine is all there is, may the
+    setting be absent: a private folder is then created and registered.  Any other
+    master without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
         root = tempfile.mkdtemp(prefix="rivulet-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():

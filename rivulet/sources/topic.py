@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import running_sum
-from .orders import order_stream
+from .orders import COLUMNS, order_stream
 
 TOPIC = "Orders"
 PARTITIONS = 6
@@ -39,25 +39,28 @@ def key_partition(key: Column, partitions: int = PARTITIONS) -> Column:
 
 def order_value(orders: DataFrame) -> Column:
     return F.to_json(F.struct(
-        "ordertime", F.col("orderid").cast("int").alias("orderid"), "itemid", "orderunits", "address"))
+        "ordertime", F.col("orderid").cast("bigint").alias("orderid"), "itemid", "orderunits", "address"))
 
 
 def order_records(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS,
-                  topic: str = TOPIC, bucket_ms: int = SEQ_BUCKET_MS) -> DataFrame:
-    """``topic, partition, offset, timestamp, timestamp_type, key, value, headers``."""
-    o = order_stream(spark, sf_dir)
+                  topic: str = TOPIC, bucket_ms: int = SEQ_BUCKET_MS, value: bool = True) -> DataFrame:
+    """``topic, partition, offset, timestamp, timestamp_type, key, value, headers``.
+
+    With ``value=False`` the last two columns are left out, and with them the address
+    joins that only the value needs: positions are a matter of ``events`` alone.
+    """
+    o = order_stream(spark, sf_dir, COLUMNS if value else ("orderid", "ordertime"))
     rec = o.select(
         F.lit(topic).alias("topic"),
         key_partition(F.col("orderid"), partitions).alias("partition"),
         F.col("ordertime").alias("timestamp"),
         F.col("orderid").alias("key"),
         F.col("orderid").cast("bigint").alias("_seq"),
-        order_value(o).alias("value"),
-        F.create_map(F.lit("itemid"), F.col("itemid")).alias("headers"),
-        F.lit(1).alias("_one"))
+        F.lit(1).alias("_one"),
+        *([order_value(o).alias("value"), F.create_map(F.lit("itemid"), F.col("itemid")).alias("headers")] if value else []))
     rec = running_sum(rec, ["topic", "partition"], "timestamp", "_seq", "_one", "_pos", bucket_ms)
     return rec.select("topic", "partition", (F.col("_pos") - 1).alias("offset"), "timestamp",
-                      F.lit("CreateTime").alias("timestamp_type"), "key", "value", "headers")
+                      F.lit("CreateTime").alias("timestamp_type"), "key", *(["value", "headers"] if value else []))
 
 
 def records_sql(orders_cte_sql: str, partitions: int = PARTITIONS, topic: str = TOPIC) -> str:
@@ -67,7 +70,7 @@ rec AS (
   SELECT '{topic}' AS topic,
          CAST(CAST(('0x' || substr(md5(orderid), 1, 8)) AS BIGINT) % {partitions} AS INTEGER) AS partition,
          ordertime AS timestamp, orderid AS key,
-         to_json({{'ordertime': ordertime, 'orderid': CAST(orderid AS INTEGER), 'itemid': itemid,
+         to_json({{'ordertime': ordertime, 'orderid': CAST(orderid AS BIGINT), 'itemid': itemid,
                    'orderunits': orderunits, 'address': address}}) AS value,
          CAST(orderid AS BIGINT) AS seq
   FROM order_stream),

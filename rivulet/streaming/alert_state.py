@@ -2,52 +2,81 @@
 
 Active elements arrive as rows ``alert, lkey, t (ms), value, for_ms``; each
 group keeps the start and the last step of its current run.  A row that
-continues the run (next step) extends it; any gap starts a new run.  Rows
-within a micro-batch are processed in step order; a row at or before the last
-processed step of its group is late and ignored.
+continues the run (next step) extends it; any gap starts a new run.
+
+A group's rows of one micro-batch may reach the function in several Arrow chunks, in any
+order: they are gathered (bounded by the steps one micro-batch spans), sorted once and
+evaluated as arrays.  A step at or before the last evaluated one -- delivered in a
+later micro-batch than its successor, or twice -- can't be placed in the run any more;
+it comes out with state ``late`` and no ``active_since`` instead of vanishing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = ("alert string, lkey string, t long, value double, active_since long, state string")
 STATE_SCHEMA = "run_start long, last_step long"
+LATE = "late"
+
+
+def evaluate_hold(rows: pd.DataFrame, step_ms: int, run_start: int | None, last: int | None):
+    """(result rows, run start, last step) of one group's rows after a previous state."""
+    rows = rows.sort_values("t", kind="stable")
+    k = rows["t"].to_numpy(np.int64) // step_ms
+    late = np.r_[False, k[1:] == k[:-1]]
+    if last is not None:
+        late |= k <= last
+    kept = k[~late]
+    state = np.full(len(k), LATE, object)
+    since = pd.array([None] * len(k), dtype="Int64")
+    if len(kept):
+        before = np.r_[kept[0] - 2 if last is None else last, kept[:-1]]
+        opened = np.where(kept != before + 1, kept, np.iinfo(np.int64).min)
+        if opened[0] == np.iinfo(np.int64).min:          # the first row goes on with the kept run
+            opened[0] = run_start
+        starts = np.maximum.accumulate(opened) * step_ms
+        t, hold = rows["t"].to_numpy(np.int64)[~late], rows["for_ms"].to_numpy(np.int64)[~late]
+        state[~late] = np.where(t - starts >= hold, "firing", "pending")
+        since[~late] = starts
+        run_start, last = int(starts[-1] // step_ms), int(kept[-1])
+    out = pd.DataFrame({"t": rows["t"].to_numpy(np.int64), "value": rows["value"].to_numpy(float),
+                        "active_since": since, "state": state})
+    return out, run_start, last
 
 
 def _hold(step_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert, lkey = key
-        if state.exists:
-            run_start, last = state.get
-        else:
-            run_start, last = None, None
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("t")
-            for t, value, for_ms in zip(pdf["t"], pdf["value"], pdf["for_ms"]):
-                k = int(t) // step_ms
-                if last is not None and k <= last:
-                    continue                       # late or duplicate step
-                if last is None or k != last + 1:
-                    run_start = k
-                last = k
-                since = run_start * step_ms
-                out.append((alert, lkey, int(t), float(value), since,
-                            "firing" if int(t) - since >= int(for_ms) else "pending"))
+        run_start, last = state.get if state.exists else (None, None)
+        chunks = [p for p in pdfs if len(p)]
+        if not chunks:
+            return
+        out, run_start, last = evaluate_hold(pd.concat(chunks, ignore_index=True), step_ms, run_start, last)
         if last is not None:
             state.update((run_start, last))
-        if out:
-            yield pd.DataFrame(out, columns=["alert", "lkey", "t", "value", "active_since", "state"])
+        out.insert(0, "lkey", key[1])
+        out.insert(0, "alert", key[0])
+        yield out
     return fn
 
 
 def hold_stream(active: DataFrame, step_ms: int) -> DataFrame:
-    """Alert states for a stream of active elements (append output)."""
+    """Alert states for a stream of active elements (append output), late steps included."""
     return (active.groupBy("alert", "lkey")
             .applyInPandasWithState(_hold(step_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.NoTimeout))
+
+
+def on_time(states: DataFrame) -> DataFrame:
+    return states.where(F.col("state") != F.lit(LATE))
+
+
+def late_steps(states: DataFrame) -> DataFrame:
+    """Number of late steps per alert and series."""
+    return states.where(F.col("state") == F.lit(LATE)).groupBy("alert", "lkey").agg(F.count(F.lit(1)).alias("late"))

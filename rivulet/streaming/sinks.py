@@ -1,18 +1,18 @@
 """Sinks: keyed upsert tables, dead letters and bounded retries.
 
-A keyed table is parquet partitioned by a hash bucket of its key.  An upsert
-of a micro-batch
-
-1. keeps the latest row per key inside the batch,
-2. reads only the buckets the batch touches (partition pruning),
-3. keeps the latest row per key across old and new rows, and
-4. replaces exactly those buckets (dynamic partition overwrite).
-
-"Latest" is decided by ordering columns carried in the rows (event time, then
-log offset), never by arrival, so replaying a batch after a failure, or
-receiving batches out of order, converges to the same table: the write is
-idempotent per batch.  The merged buckets are checkpointed (lineage cut to the
-shared checkpoint folder) before they overwrite their own source.
+A keyed table is a folder of parquet change files, one ``_batch=<id>`` partition per
+micro-batch, split by a hash bucket of the key:
+
+* an upsert keeps the latest row per key of its batch (a hash aggregate with
+  map-side combine) and overwrites only its own batch's partition, so a replayed or retried
+  batch replaces what it wrote before, and no committed file is ever rewritten;
+* a read takes the latest row per key over all batches, "latest" being decided by
+  ordering columns carried in the rows (event time, then log offset) and the batch
+  last, so out-of-order deliveries converge to the same table;
+* a lookup of one key reads only that key's bucket of each batch.
+
+Nothing is collected to the driver.  ``compact`` writes the current rows as the changes
+of one batch into a new folder when many batches have piled up.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,73 +30,88 @@ from ..operators.flatten import flatten
 from ..session import checkpoint_root
 from . import storage
 
-BUCKET = "_bucket"
+BATCH, BUCKET = "_batch", "_bucket"
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the one with the greatest ``order`` tuple."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """One row per key: the one with the greatest ``order`` tuple (nulls lowest).
 
+    ``max_by`` keeps one row per key and task before the shuffle, so a key with many
+    changes costs one row per task.
+    """
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    rank = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
+    return df.groupBy(*keys).agg(F.max_by(whole, rank).alias("_row")).select("_row.*")
 
-class KeyedTable:
-    """Parquet table keyed by ``keys``, bucketed for per-batch rewrites.
 
-    Buckets are a hash of the key (``buckets`` of them) or, with
-    ``range_width``, ``floor(key / range_width)`` of a single numeric key.
-    Range buckets suit keys that grow over time (order ids): a batch of new
-    keys then touches only the newest buckets instead of rewriting all of
-    them.
-    """
+class KeyedTable:
+    """Change files of a table keyed by ``keys`` with columns ``schema``."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str],
-                 order: Sequence[str], buckets: int = 16, range_width: int | None = None):
-        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, list(keys), list(order), buckets
-        self.range_width = range_width
-        if range_width is not None and len(self.keys) != 1:
-            raise ValueError("range buckets need a single numeric key")
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: Sequence[str],
+                 order: Sequence[str] = (), buckets: int = 16):
         checkpoint_root(spark)
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, list(keys), list(order), buckets
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        storage.make_folder(spark, path)
 
-    def _bucket(self) -> F.Column:
-        if self.range_width is not None:
-            return F.floor(F.col(self.keys[0]) / F.lit(self.range_width)).cast("long")
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
-
-    def upsert(self, batch: DataFrame) -> None:
-        new = latest_per_key(batch, self.keys, self.order).withColumn(BUCKET, self._bucket())
-        if not storage.exists(self.spark, self.path):
-            (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(BUCKET).parquet(self.path))
-            return
-        new = new.persist(StorageLevel.MEMORY_AND_DISK)      # read twice below
-        try:
-            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]   # bucket ids only
-            old = self.spark.read.parquet(self.path).where(F.col(BUCKET).isin(touched))
-            merged = latest_per_key(old.unionByName(new, allowMissingColumns=True), self.keys, self.order)
-            # the merged buckets replace their own source: cut the lineage first
-            merged = merged.checkpoint(eager=True)
-        finally:
-            new.unpersist()
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BUCKET).parquet(self.path))
+    def _bucket(self, *keys) -> F.Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def upsert(self, batch: DataFrame, batch_id: int) -> None:
+        new = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        if self.order:
+            new = latest_per_key(new, self.keys, self.order)
+        (new.withColumn(BUCKET, self._bucket(*self.keys)).sortWithinPartitions(BUCKET, *self.keys)
+         .write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{BATCH}={int(batch_id)}"))
+
+    def changes(self) -> DataFrame:
+        """All rows of all batches with their ``_batch`` and ``_bucket``."""
+        extra = [T.StructField(BATCH, T.LongType()), T.StructField(BUCKET, T.IntegerType())]
+        return (self.spark.read.schema(T.StructType(self.schema.fields + extra))
+                .option("basePath", self.path).parquet(self.path))
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        return latest_per_key(rows, self.keys, [*self.order, BATCH]).select(*self.schema.names)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop(BUCKET)
+        return self._latest(self.changes())
+
+    def lookup(self, *key) -> DataFrame:
+        """The current row of one key: only its bucket's files are listed and read."""
+        types = [self.schema[k].dataType for k in self.keys]
+        literals = [F.lit(v).cast(t) for v, t in zip(key, types, strict=True)]
+        bucket = self.spark.range(1).select(self._bucket(*literals)).first()[0]
+        rows = self.changes().where(F.col(BUCKET) == F.lit(bucket))
+        for k, v in zip(self.keys, literals):
+            rows = rows.where(F.col(k).eqNullSafe(v))
+        return self._latest(rows)
+
+    def compact(self, path: str) -> KeyedTable:
+        """The current rows as one batch of a new table."""
+        out = KeyedTable(self.spark, path, self.schema, self.keys, self.order, self.buckets)
+        out.upsert(self.read(), 0)
+        return out
+
+
+def _lasting(exc: Exception) -> bool:
+    """Errors that a retry can't mend: analysis and programming errors."""
+    return isinstance(exc, (AnalysisException, TypeError, ValueError, KeyError, AttributeError))
 
 
 def with_retries(action: Callable[[], None], timeout_s: float = 60.0, max_delay_s: float = 5.0,
                  first_delay_s: float = 0.1, sleep=time.sleep, clock=time.monotonic) -> int:
     """Run ``action`` until it succeeds, backing off exponentially (capped at
     ``max_delay_s``) for at most ``timeout_s`` in total; re-raise after that.
-    Returns the number of attempts.  Only idempotent actions are retried."""
+    Returns the number of attempts.  Only I/O and job failures are retried (the action
+    must be idempotent); analysis errors are raised at once."""
     start, delay, attempts = clock(), first_delay_s, 0
     while True:
         attempts += 1
         try:
             action()
             return attempts
-        except Exception:
-            if clock() - start + delay > timeout_s:
+        except (OSError, PySparkException, Py4JError) as exc:
+            if _lasting(exc) or clock() - start + delay > timeout_s:
                 raise
             sleep(delay)
             delay = min(delay * 2, max_delay_s)
@@ -120,11 +136,11 @@ def validate_orders(records: DataFrame) -> DataFrame:
     s = T.StructType(SINK_VALUE.fields + [T.StructField("_corrupt_record", T.StringType())])
     v = F.from_json(F.col("value"), s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     d = records.withColumn("v", v)
-    pk = F.col("v.orderid").try_cast("int")
+    pk = F.col("v.orderid").try_cast("bigint")
     err = (F.when(F.col("value").isNull(), F.lit("null value"))
            .when(F.col("v").isNull() | F.col("v._corrupt_record").isNotNull(), F.lit("value is not valid JSON"))
            .when(F.col("v.orderid").isNull(), F.lit("primary key orderid is missing"))
-           .when(pk.isNull(), F.lit("orderid is not an INT"))
+           .when(pk.isNull(), F.lit("orderid is not a BIGINT"))
            .when(F.col("v.ordertime").isNull() | F.col("v.itemid").isNull() | F.col("v.orderunits").isNull(),
                  F.lit("NOT NULL column is null"))
            .when((F.length("v.itemid") > 255) | (F.length("v.address.city") > 255)
@@ -151,24 +167,26 @@ def dead_letters(invalid: DataFrame, batch_id: int, connector: str) -> DataFrame
         F.lit(batch_id).cast("bigint").alias("batch_id"))
 
 
-def orders_table(spark: SparkSession, path: str, range_width: int = 1_000_000) -> KeyedTable:
-    """The sink table: primary key ``orderid`` in id ranges, latest by
-    (order time, log position)."""
-    return KeyedTable(spark, path, ["orderid"], ["ordertime", "_partition", "_offset"],
-                      range_width=range_width)
+ORDERS_TABLE = ("orderid bigint, ordertime bigint, itemid string, orderunits double, address_city string, "
+                "address_state string, address_zipcode bigint, _partition int, _offset bigint")
+
+
+def orders_table(spark: SparkSession, path: str, buckets: int = 16) -> KeyedTable:
+    """The sink table: primary key ``orderid``, latest by (order time, log position)."""
+    return KeyedTable(spark, path, ORDERS_TABLE, ["orderid"], ["ordertime", "_partition", "_offset"], buckets)
 
 
 class OrdersSink:
     """The upsert sink with dead-letter routing, as a ``foreachBatch`` body.
 
-    ``table`` may be any object with ``upsert(df)`` (a :class:`KeyedTable` by
+    ``table`` may be any object with ``upsert(df, batch_id)`` (a :class:`KeyedTable` by
     default); writes go through :func:`with_retries`.
     """
 
     def __init__(self, spark: SparkSession, table_path: str, dlq_path: str,
-                 connector: str = "jdbc-sink-orders", range_width: int = 1_000_000,
-                 retry_timeout_s: float = 60.0, retry_max_delay_s: float = 5.0, table=None):
-        self.table = table or orders_table(spark, table_path, range_width)
+                 connector: str = "jdbc-sink-orders", retry_timeout_s: float = 60.0,
+                 retry_max_delay_s: float = 5.0, table=None):
+        self.table = table or orders_table(spark, table_path)
         self.dlq_path, self.connector = dlq_path, connector
         self.retry_timeout_s, self.retry_max_delay_s = retry_timeout_s, retry_max_delay_s
 
@@ -177,24 +195,22 @@ class OrdersSink:
         try:
             good = sink_rows(checked.where(F.col("error").isNull()))
             bad = dead_letters(checked.where(F.col("error").isNotNull()), batch_id, self.connector)
-            with_retries(lambda: self.table.upsert(good), self.retry_timeout_s, self.retry_max_delay_s)
-            with_retries(lambda: (bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                                  .partitionBy("batch_id").parquet(self.dlq_path)),
+            with_retries(lambda: self.table.upsert(good, batch_id), self.retry_timeout_s, self.retry_max_delay_s)
+            with_retries(lambda: bad.drop("batch_id").write.mode("overwrite").parquet(f"{self.dlq_path}/batch_id={batch_id}"),
                          self.retry_timeout_s, self.retry_max_delay_s)
         finally:
             checked.unpersist()
 
 
-class FlakyTable:
-    """A table whose first ``failures`` upserts of every batch fail with a
-    transient error before reaching storage (used to exercise retries)."""
+DEAD_LETTER = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
+    T.StructField("context", T.StructType([
+        T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()), T.StructField("connector", T.StringType()),
+        T.StructField("stage", T.StringType()), T.StructField("exception_message", T.StringType())])),
+    T.StructField("batch_id", T.LongType())])
 
-    def __init__(self, table: KeyedTable, failures: int = 1):
-        self.table, self.failures, self._seen = table, failures, 0
 
-    def upsert(self, df: DataFrame) -> None:
-        if self._seen < self.failures:
-            self._seen += 1
-            raise IOError("transient write failure")
-        self._seen = 0
-        self.table.upsert(df)
+def read_dead_letters(spark: SparkSession, dlq_path: str) -> DataFrame:
+    storage.make_folder(spark, dlq_path)
+    return spark.read.schema(DEAD_LETTER).option("basePath", dlq_path).parquet(dlq_path)

@@ -15,7 +15,9 @@ from . import storage
 
 
 ROWS_PER_FILE = 2_000_000
-STAGE_FORMAT = "3"          # part of the staging key: bump when the layout changes
+#: Rows that the smallest range leaves each file: by hash, none stays empty.
+MIN_ROWS_PER_FILE = 60
+STAGE_FORMAT = "4"          # part of the staging key: bump when the layout changes
 
 
 def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
@@ -23,16 +25,19 @@ def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[],
                 rows_per_file: int = ROWS_PER_FILE) -> tuple[str, int]:
     """Write a batch DataFrame once as the files of a topic stand-in.
 
-    Returns ``(path, files_per_chunk)``.  With ``order_col`` the rows are
-    cut into ``chunks`` consecutive ranges of that column, written one range
-    after the other; each range is range-partitioned on the column into the
-    same number ``F`` of files (sized from the largest range).  A file stream
-    reading ``F`` files per trigger then delivers exactly one range per
-    micro-batch, in order, while every range is still written by ``F``
-    parallel tasks.  The folder is keyed by ``key``; a complete folder is
-    reused.
+    Returns ``(path, files_per_chunk)``.  With ``order_col`` the rows are cut into
+    ``chunks`` consecutive ranges of that column, written one range after the other.  Each
+    range is dealt by a hash of the whole row into the same number ``F`` of files, so a
+    range with one value (a hot topic partition) is still written by ``F`` tasks, and a file
+    stream reading ``F`` files per trigger delivers exactly one range per micro-batch.
+    ``F`` follows the largest range, but leaves the smallest one some rows per
+    file; the files found are counted after every range and anything but ``F`` is an
+    error, so the delivery never depends on size unnoticed.
+
+    The folder is keyed by ``key``, which must name the state of the inputs (see
+    ``tables.listings``); a complete folder is reused.
     """
-    path = storage.keyed_path(spark, "topics", STAGE_FORMAT, name, *map(str, key), str(chunks))
+    path = storage.keyed_path(spark, "topics", STAGE_FORMAT, name, *map(str, key), str(chunks), str(rows_per_file))
     marker = path + "/_COMPLETE"
     if storage.exists(spark, marker):
         files = spark.read.parquet(marker).first()["files"]
@@ -45,16 +50,23 @@ def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[],
         # computed once (bounds, sizes and every range read the same rows);
         # spills to disk when it does not fit, and is recomputed if lost
         df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        b = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-        lo, hi = b["lo"], b["hi"] + 1
-        width = (hi - lo + chunks - 1) // chunks
-        cid = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int")
-        largest = df.groupBy(cid.alias("c")).count().agg(F.max("count")).first()[0]   # <= chunks rows
-        files = max(1, -(-largest // rows_per_file))
         try:
+            b = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+            lo, width = b["lo"] or 0, -(-((b["hi"] or 0) + 1 - (b["lo"] or 0)) // chunks)
+            cid = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int")
+            sizes = [r["n"] for r in df.groupBy(cid.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()]   # <= chunks rows
+            files = max(1, min(-(-max(sizes, default=0) // rows_per_file), min(sizes, default=0) // MIN_ROWS_PER_FILE))
+            # the bits of the hash above those that repartition() itself would use
+            spread = F.pmod(F.shiftright(F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), 17),
+                            F.lit(1 << 20))
+            written = 0
             for i in range(chunks):      # a bounded number of sequential writes, in order
                 part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
-                part.repartitionByRange(files, order_col).write.mode("append").parquet(path + "/data")
+                part.repartition(files, spread).write.mode("append").parquet(path + "/data")
+                found = storage.count_files(spark, path + "/data", ".parquet")
+                if len(sizes) == chunks and found != written + files:
+                    raise RuntimeError(f"range {i} of {name} has {found - written} files instead of {files}")
+                written = found
         finally:
             df.unpersist()
     spark.createDataFrame([(files,)], "files int").write.mode("overwrite").parquet(marker)

@@ -32,6 +32,22 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True) if fs.exists(p) else False
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
+def count_files(spark: SparkSession, path: str, suffix: str) -> int:
+    """Files below ``path`` whose name ends with ``suffix``."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return 0
+    found, files = 0, fs.listFiles(p, True)
+    while files.hasNext():
+        found += files.next().getPath().getName().endswith(suffix)
+    return found
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new, unique location under the checkpoint root."""
     return checkpoint_path(spark, kind, uuid.uuid4().hex)

@@ -2,8 +2,8 @@
 
 * A derived stream (projection / filter) runs in append mode into a file sink.
 * A keyed table is a streaming aggregate in update mode whose changed rows are
-  upserted into a :class:`~rivulet.streaming.sinks.KeyedTable` each
-  micro-batch; a pull query is a batch read of that table.
+  appended to a :class:`~rivulet.streaming.sinks.KeyedTable` each
+  micro-batch; a pull query is a lookup in that table.
 * Windowed tables aggregate on ``F.window`` over event time with a watermark
   (default 24 hours of lateness, configurable); rows later than the
   watermark are dropped by the state operator.
@@ -57,9 +57,10 @@ def run_append(df: DataFrame, out_path: str, checkpoint: str, query_name: str |
 
 def run_keyed(df: DataFrame, table: KeyedTable, checkpoint: str, query_name: str | None = None,
               available_now: bool = True) -> StreamingQuery:
-    """Maintain a keyed table from a streaming aggregate (update mode)."""
+    """Maintain a keyed table from a streaming aggregate (update mode): the changed rows of
+    every micro-batch become that batch's change files, the newest batch winning."""
     w = (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, i: table.upsert(b)))
+         .foreachBatch(lambda b, i: table.upsert(b, i)))
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
@@ -67,10 +68,24 @@ def run_keyed(df: DataFrame, table: KeyedTable, checkpoint: str, query_name: str
         return w.start()
 
 
-def orders_by_state_table(stream: DataFrame) -> DataFrame:
-    """The per-state table as a streaming aggregate (distinct items as the
-    size of the state's item set, equal to the batch distinct count)."""
-    return op.orders_by_state(stream, exact_distinct=False)
+STATE_ITEMS = "state string, itemid string, order_count bigint, total_units double"
+ITEMS = "itemid string, order_count bigint, total_units double"
+
+
+def state_items(stream: DataFrame) -> DataFrame:
+    """Counts and unit totals per (state, item): the state kept for the per-state table.
+
+    One small row per pair that occurs, so the state of a hot ``state`` is spread over as
+    many rows as it has items, instead of one growing set in one row.
+    """
+    return (stream.groupBy(F.col("address.state").alias("state"), "itemid")
+            .agg(F.count(F.lit(1)).alias("order_count"), F.sum("orderunits").alias("total_units")))
+
+
+def by_state(pairs: DataFrame) -> DataFrame:
+    """The per-state table from the maintained (state, item) rows."""
+    return pairs.groupBy("state").agg(F.sum("order_count").alias("order_count"), F.sum("total_units").alias("total_units"),
+                                      F.count("itemid").alias("unique_items"))
 
 
 def orders_by_item_table(stream: DataFrame) -> DataFrame:
@@ -88,6 +103,10 @@ def windowed(stream: DataFrame, keys: Sequence[str], size: str, slide: str | Non
                     F.unix_millis("w.end").alias("window_end"), *rest)
 
 
+TUMBLING = "itemid string, window_start bigint, window_end bigint, order_count bigint, total_units double"
+HOPPING = "state string, window_start bigint, window_end bigint, order_count bigint, avg_units double"
+
+
 def tumbling_by_item(stream: DataFrame, lateness: str = DEFAULT_LATENESS) -> DataFrame:
     return windowed(stream, ["itemid"], "1 minute", lateness=lateness,
                     aggs=[F.count(F.lit(1)).alias("order_count"), F.sum("orderunits").alias("total_units")])

@@ -184,3 +184,77 @@ def test_orders_by_state_approx_distinct(spark):
     exact = {r.state: r.unique_items for r in op.orders_by_state(df).collect()}
     approx = {r.state: r.unique_items for r in op.orders_by_state(df, approx=True).collect()}
     assert exact == approx == {"S": 7, "T": 7}
+
+
+def test_orders_by_state_from_state_items(spark):
+    from rivulet.operators import orders as op
+    from rivulet.streaming import tables
+    rows = [(str(i), i, f"Item_{i % 7}", 1.0, ("c", "S" if i % 2 else "T", 1)) for i in range(50)] + [("x", 1, "i", 1.0, None)]
+    df = spark.createDataFrame(rows, "orderid string, ordertime long, itemid string, orderunits double, "
+                                     "address struct<city:string,state:string,zipcode:bigint>")
+    assert sorted(map(repr, tables.by_state(tables.state_items(df)).collect())) == sorted(map(repr, op.orders_by_state(df).collect()))
+
+
+def test_number_text_has_no_limits(spark):
+    from rivulet.functions.labels import go_float_text
+    want = {1e30: "1e+30", 1e-12: "1e-12", float("inf"): "+Inf", float("-inf"): "-Inf", 0.0: "0", 1.0: "1", 0.25: "0.25",
+            12345678.5: "12345678.5", 1e20: "100000000000000000000", 1e21: "1e+21", 0.0001: "0.0001", 0.00009: "9e-05",
+            -350000000.0: "-350000000", 123456789012.125: "123456789012.125"}
+    df = spark.createDataFrame([(v,) for v in want] + [(float("nan"),), (None,)], "v double")
+    got = {repr(r.v): r.t for r in df.select("v", go_float_text("v").alias("t")).collect()}
+    assert got == {repr(v): t for v, t in want.items()} | {"nan": "NaN", "None": "<nil>"}
+
+
+def test_annotations_render_any_number(spark):
+    df = spark.createDataFrame([(float("inf"),), (1e30,), (1e-12,), (float("nan"),), (0.7146,)], "v double")
+    no = F.create_map().cast("map<string,string>")
+    got = [tuple(r) for r in df.select(*[al.render("{{ $value%s }}" % f, no, F.col("v")) for f in
+                                         ("", " | humanizePercentage", " | humanize")]).collect()]
+    assert got == [("+Inf", "+Inf%", "+Inf"), ("1e+30", "1e+32%", "1000000Y"), ("1e-12", "1e-10%", "1e-12"),
+                   ("NaN", "NaN%", "NaN"), ("0.7146", "71.46%", "0.7146")]
+
+
+def test_producer_lines_lose_nothing(spark):
+    from rivulet.operators import topics as tp
+    lines = ["h1:a,h2:b\tk:v:w", "nokeyline", "h1:a\tnokey", "h1:a,h1:b\tk:v", "h\tk:", "\tk:v", None]
+    got = {r.line: r for r in tp.parse_producer_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    assert (got[lines[0]].key, got[lines[0]].value, got[lines[0]].error) == ("k", "v:w", None)
+    assert [tuple(h) for h in got[lines[0]].headers] == [("h1", "a"), ("h2", "b")]
+    assert (got[lines[1]].key, got[lines[1]].value, got[lines[1]].error) == (None, "nokeyline", "no headers delimiter")
+    assert (got[lines[2]].key, got[lines[2]].value, got[lines[2]].error) == (None, "nokey", "no key separator")
+    assert [tuple(h) for h in got[lines[3]].headers] == [("h1", "a"), ("h1", "b")]      # repeated headers are legal
+    assert [tuple(h) for h in got[lines[4]].headers] == [("h", None)] and got[lines[4]].value == ""
+    assert got[lines[5]].headers == [] and got[lines[5]].key == "k" and got[None].error == "null line"
+    wide = tp.parse_producer_lines(spark.createDataFrame([("a=>1||b=>2##k'||vv",)], "line string"), key_separator="||",
+                                   headers_delimiter="##", headers_separator="||", header_key_separator="=>").first()
+    assert (wide.key, wide.value, [tuple(h) for h in wide.headers]) == ("k'", "vv", [("a", "1"), ("b", "2")])
+
+
+def test_storage_sizing_counts_bytes(spark):
+    from rivulet.operators import topics as tp
+    df = spark.createDataFrame([("T", 0, "ké", "ñ中"), ("T", 1, None, "ab"), ("T", 2, "k", None)], "topic string, timestamp long, key string, value string")
+    assert tp.storage_required(df, 1, 1, 1, 1.0).first()["daily_bytes"] == 3 + 5 + 2 + 1
+
+
+def test_repeated_label_names_keep_the_last(spark):
+    df = spark.createDataFrame([({"__meta_a_x": "1", "__meta_b_x": "2", "y": "3"},)], "labels map<string,string>")
+    out = rw.relabel(df, [rw.Relabel("labelmap", regex="__meta_[ab]_(.+)")]).first()["labels"]
+    assert out["x"] == "2" and out["y"] == "3"
+    beans = spark.createDataFrame([("c", "d<type=T, a-b=1, a_b=2><>Count: 5", 5.0)], "component string, bean string, value double")
+    rules = {"c": (rw.BeanRule(r"d<type=(.+), (.+)=(.+), (.+)=(.+)><>Count", "d_$1", {"$2": "$3", "$4": "$5"}),)}
+    assert rw.apply_bean_rules(beans, rules).first()["lkey"] == '{a_b="2"}'
+
+
+def test_checkpoint_folder_is_required_off_local_mode():
+    from rivulet.session import checkpoint_root
+
+    class Fake:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Fake)

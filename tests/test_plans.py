@@ -57,3 +57,19 @@ def test_range_functions_use_hash_aggregates(spark):
     for name in ("rate_dense", "delta_dense", "tag_avg_by"):
         txt = _plan(spark, name).split("\n\n(1)")[0]
         assert "SortAggregate" not in txt and "HashAggregate" in txt, name
+
+
+def test_positions_and_items_read_events_only(spark):
+    """No address join where the address isn't used."""
+    for name in ("orders_by_item", "alias", "timestamp_to_string", "cast_varchar", "tumbling_1m", "window_bounds",
+                 "windowed_lookup", "offsets_latest", "offsets_earliest", "topic_message_count", "consumer_lag",
+                 "lag_by_topic", "offset_reset"):
+        txt = _plan(spark, name)
+        found = set(re.findall(r"Location: [^\n]*/(\w+)\.parquet", txt))
+        assert found == {"events"}, (name, found)
+        scans = len(re.findall(r"\n\(\d+\) Scan parquet", txt))
+        assert scans <= 2, (name, scans)
+
+
+def test_state_predicate_reaches_the_nation_scan(spark):
+    assert re.search(r"PushedFilters: \[[^\n]*EqualTo\(n_name,NATION_1\)", _plan(spark, "filter_eq"))

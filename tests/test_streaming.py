@@ -5,17 +5,89 @@ from pyspark.sql import functions as F
 
 from rivulet import schema as S
 from rivulet.plans.catalog import Catalog, explain
-from rivulet.streaming import sinks, storage, tables
+from conftest import SMALL
+from rivulet.plans.stream_queries import late_table
+from rivulet.sources.tables import listings, read_table
+from rivulet.streaming import alert_state, sinks, storage, tables
 from rivulet.streaming import sources as src
 from rivulet.streaming.sinks import KeyedTable, OrdersSink, validate_orders, with_retries
 
 
+KV = "k int, ts int, v string"
+
+
 def test_keyed_table_latest_wins_within_and_across_batches(spark):
-    t = KeyedTable(spark, storage.fresh_path(spark, "t"), ["k"], ["ts"], buckets=4)
-    t.upsert(spark.createDataFrame([(1, 10, "a"), (1, 12, "b"), (2, 5, "x")], "k int, ts int, v string"))
-    t.upsert(spark.createDataFrame([(1, 11, "old"), (2, 6, "y")], "k int, ts int, v string"))
-    t.upsert(spark.createDataFrame([(2, 6, "y")], "k int, ts int, v string"))      # replayed batch
+    t = KeyedTable(spark, storage.fresh_path(spark, "t"), KV, ["k"], ["ts"], buckets=4)
+    t.upsert(spark.createDataFrame([(1, 10, "a"), (1, 12, "b"), (2, 5, "x")], KV), 0)
+    t.upsert(spark.createDataFrame([(1, 11, "old"), (2, 6, "y")], KV), 1)
+    t.upsert(spark.createDataFrame([(1, 11, "old"), (2, 6, "y")], KV), 1)          # replayed batch
     assert sorted((r.k, r.v) for r in t.read().collect()) == [(1, "b"), (2, "y")]
+    assert t.changes().count() == 4                                               # nothing written twice
+
+
+def test_keyed_table_lookup_reads_one_bucket(spark):
+    t = KeyedTable(spark, storage.fresh_path(spark, "t"), KV, ["k"], ["ts"], buckets=8)
+    t.upsert(spark.createDataFrame([(k, 1, f"a{k}") for k in range(100)], KV), 0)
+    t.upsert(spark.createDataFrame([(7, 2, "new")], KV), 1)
+    assert [r.v for r in t.lookup(7).collect()] == ["new"]
+    assert [r.v for r in t.lookup(8).collect()] == ["a8"] and t.lookup(1000).count() == 0
+    assert "PartitionFilters: [isnotnull(_bucket" in explain(t.lookup(8), "formatted")
+    c = t.compact(storage.fresh_path(spark, "t"))
+    assert sorted(map(tuple, c.read().collect())) == sorted(map(tuple, t.read().collect()))
+
+
+def test_keyed_table_with_an_empty_or_failed_first_batch(spark):
+    empty = spark.createDataFrame([], KV)
+    t = KeyedTable(spark, storage.fresh_path(spark, "t"), KV, ["k"], ["ts"])
+    assert t.read().count() == 0
+    t.upsert(empty, 0)
+    t.upsert(spark.createDataFrame([(1, 1, "a")], KV), 1)
+    assert [r.v for r in t.read().collect()] == ["a"]
+    # a first write that fails half-way leaves no committed rows, and its retry succeeds
+    u = KeyedTable(spark, storage.fresh_path(spark, "t"), KV, ["k"], ["ts"])
+    good = spark.createDataFrame([(k, 1, "a") for k in range(20)], KV).repartition(4)
+    with pytest.raises(Exception, match="boom"):
+        u.upsert(good.withColumn("v", F.when(F.col("k") == 13, F.raise_error(F.lit("boom"))).otherwise(F.col("v"))), 0)
+    assert u.read().count() == 0
+    u.upsert(good, 0)
+    assert u.read().count() == 20
+
+
+class FlakyTable:
+    """Fails the first write of every batch with a transient error."""
+
+    def __init__(self, table):
+        self.table, self.failed = table, set()
+
+    def upsert(self, df, batch_id):
+        if batch_id not in self.failed:
+            self.failed.add(batch_id)
+            raise IOError("transient write failure")
+        self.table.upsert(df, batch_id)
+
+
+def test_sink_retries_leave_the_same_table(spark):
+    value = '{"ordertime": %d, "orderid": "%s", "itemid": "i", "orderunits": 1.0}'
+    cols = "key string, value string, topic string, partition int, offset long"
+    batches = [[(str(k), value % (b, k), "Orders", 0, 10 * b + k) for k in range(b, b + 3)] for b in range(3)]
+    plain, flaky = (sinks.orders_table(spark, storage.fresh_path(spark, "t")) for _ in range(2))
+    dlq = storage.fresh_path(spark, "d")
+    for table in (plain, FlakyTable(flaky)):
+        sink = OrdersSink(spark, "", dlq, table=table)
+        for i, rows in enumerate(batches):
+            sink(spark.createDataFrame(rows, cols), i)
+    assert sorted(map(tuple, plain.read().collect())) == sorted(map(tuple, flaky.read().collect()))
+    assert plain.read().count() == 5
+
+
+def test_sink_with_nothing_but_dead_letters_first(spark):
+    cols = "key string, value string, topic string, partition int, offset long"
+    table, dlq = sinks.orders_table(spark, storage.fresh_path(spark, "t")), storage.fresh_path(spark, "d")
+    sink = OrdersSink(spark, "", dlq, table=table)
+    sink(spark.createDataFrame([("1", "bad", "Orders", 0, 0)], cols), 0)
+    sink(spark.createDataFrame([("2", '{"ordertime": 1, "orderid": "3000000000", "itemid": "i", "orderunits": 1.0}', "Orders", 0, 1)], cols), 1)
+    assert [r.orderid for r in table.read().collect()] == [3000000000]            # ids past 2^31
+    assert [r.key for r in sinks.read_dead_letters(spark, dlq).collect()] == ["1"]
 
 
 def test_validation_routes_bad_records(spark):
@@ -27,7 +99,7 @@ def test_validation_routes_bad_records(spark):
                                "key string, value string, topic string, partition int, offset long")
     got = {r.key: r.error for r in validate_orders(df).collect()}
     assert got == {"k1": None, "k2": "value is not valid JSON", "k3": "primary key orderid is missing",
-                   "k4": "orderid is not an INT", "k5": "NOT NULL column is null", "k6": "null value"}
+                   "k4": "orderid is not a BIGINT", "k5": "NOT NULL column is null", "k6": "null value"}
 
 
 def test_sink_writes_table_and_dead_letters(spark):
@@ -36,10 +108,11 @@ def test_sink_writes_table_and_dead_letters(spark):
     batch = spark.createDataFrame([(k, v, "Orders", 0, o) for k, v, o in rows],
                                   "key string, value string, topic string, partition int, offset long")
     table, dlq = storage.fresh_path(spark, "t"), storage.fresh_path(spark, "d")
-    OrdersSink(spark, table, dlq)(batch, 0)
-    t = spark.read.parquet(table).collect()
+    sink = OrdersSink(spark, table, dlq)
+    sink(batch, 0)
+    t = sink.table.read().collect()
     assert [(r.orderid, r.orderunits, r.address_city) for r in t] == [(1, 2.0, "c")]
-    d = spark.read.parquet(dlq).collect()
+    d = sinks.read_dead_letters(spark, dlq).collect()
     assert [(r.key, r.context.offset, r.context.exception_message) for r in d] == [("2", 2, "value is not valid JSON")]
 
 
@@ -76,9 +149,9 @@ def test_late_rows_past_watermark_are_dropped(spark):
             .coalesce(1).write.mode("append").parquet(path + "/data")
     s = src.with_event_time(src.file_stream(spark, path, S.ORDER, 1))
     agg = tables.windowed(s, ["itemid"], "1 hour", lateness="1 hour", aggs=[F.count(F.lit(1)).alias("n")])
-    t = KeyedTable(spark, storage.fresh_path(spark, "lt"), ["itemid", "window_start"], ["_v"], 2)
-    q = (agg.writeStream.outputMode("update").option("checkpointLocation", storage.fresh_path(spark, "ck"))
-         .foreachBatch(lambda b, i: t.upsert(b.withColumn("_v", F.lit(i)))).trigger(availableNow=True).start())
+    t = KeyedTable(spark, storage.fresh_path(spark, "lt"), "itemid string, window_start bigint, window_end bigint, n bigint",
+                   ["itemid", "window_start"], buckets=2)
+    q = tables.run_keyed(agg, t, storage.fresh_path(spark, "ck"))
     q.awaitTermination()
     got = dict((r.window_start // H, r.n) for r in t.read().collect())
     # guaranteed: rows within the lateness bound are aggregated ...
@@ -127,16 +200,76 @@ def test_generator_stream_runs(spark):
     assert all(r.itemid.startswith("Item_") and r.address.city.startswith("City_") for r in rows)
 
 
-def test_range_buckets_rewrite_only_touched_ranges(spark):
-    path = storage.fresh_path(spark, "rt")
-    t = KeyedTable(spark, path, ["k"], ["ts"], range_width=100)
-    t.upsert(spark.createDataFrame([(k, 1, "a") for k in range(0, 300)], "k int, ts int, v string"))
-    before = {f.name: f for f in __import__("os").scandir(path) if f.name.startswith("_bucket=")}
-    mtimes = {n: __import__("os").stat(f.path).st_mtime_ns for n, f in before.items()}
-    t.upsert(spark.createDataFrame([(250, 2, "b"), (301, 1, "c")], "k int, ts int, v string"))
-    after = {f.name: __import__("os").stat(f.path).st_mtime_ns for f in __import__("os").scandir(path)
-             if f.name.startswith("_bucket=")}
-    assert sorted(after) == ["_bucket=0", "_bucket=1", "_bucket=2", "_bucket=3"]
-    assert after["_bucket=0"] == mtimes["_bucket=0"] and after["_bucket=1"] == mtimes["_bucket=1"]
-    rows = {r.k: r.v for r in t.read().collect()}
-    assert len(rows) == 301 and rows[250] == "b" and rows[301] == "c" and rows[0] == "a"
+def test_retries_raise_lasting_errors_at_once(spark):
+    calls = []
+
+    def wrong():
+        calls.append(1)
+        spark.range(1).select("no_such_column")
+    with pytest.raises(Exception, match="no_such_column"):
+        with_retries(wrong, 60, 5, 1.0, lambda s: None)
+    assert len(calls) == 1
+
+
+# --- the streaming hold ----------------------------------------------------------------------
+
+ACTIVE = "alert string, lkey string, t long, value double, for_ms long"
+
+
+def _stream_hold(spark, files, arrow_rows):
+    path = storage.fresh_path(spark, "hold")
+    for rows in files:
+        spark.createDataFrame(rows, ACTIVE).coalesce(1).write.mode("append").parquet(path + "/data")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(arrow_rows))
+    out = storage.fresh_path(spark, "hold-out")
+    try:
+        stream = src.file_stream(spark, path, ACTIVE, 1)
+        tables.run_append(alert_state.hold_stream(stream, 60_000), out, storage.fresh_path(spark, "ck")).awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.schema(alert_state.OUTPUT_SCHEMA).parquet(out)
+
+
+def test_hold_keeps_groups_larger_than_an_arrow_batch(spark):
+    rows = [("A", "{}", k * 60_000, 1.0, 300_000) for k in reversed(range(10))]
+    got = {r.t // 60_000: r.state for r in _stream_hold(spark, [rows], 3).collect()}
+    assert got == {k: "firing" if k >= 5 else "pending" for k in range(10)}
+
+
+def test_hold_keeps_groups_that_share_arrow_batches(spark):
+    rows = [("A", f"g{g}", k * 60_000, 1.0, 0) for g in range(4) for k in reversed(range(6))]
+    assert alert_state.on_time(_stream_hold(spark, [rows], 10)).count() == 24
+
+
+def test_hold_reports_steps_that_come_too_late(spark):
+    first = [("A", "{}", k * 60_000, 1.0, 0) for k in (3, 4)]
+    then = [("A", "{}", k * 60_000, 1.0, 120_000) for k in (2, 4, 5)]
+    got = _stream_hold(spark, [first, then], 1000)
+    assert sorted((r.t // 60_000, r.state) for r in got.collect()) == [
+        (2, "late"), (3, "firing"), (4, "firing"), (4, "late"), (5, "firing")]
+    assert [r.late for r in alert_state.late_steps(got).collect()] == [2]
+
+
+# --- staging ---------------------------------------------------------------------------------
+
+def test_staging_size_does_not_change_late_data(spark):
+    small = late_table(spark, SMALL, rows_per_file=20).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, late_table(spark, SMALL).collect())) and small
+
+
+def test_a_hot_range_is_staged_by_all_its_files(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 2).alias("p"))
+    path, files = src.stage_topic(spark, "hot", (storage.fresh_path(spark, "k"),), lambda: df, "p", 2, rows_per_file=100)
+    assert files == 25 and storage.count_files(spark, path + "/data", ".parquet") == 50
+
+
+def test_a_grown_table_is_read_and_staged_anew(spark, tmp_path):
+    table = str(tmp_path / "events.parquet")
+    spark.range(3).write.parquet(table)
+    before = listings(spark, str(tmp_path), "events")
+    assert read_table(spark, str(tmp_path), "events").count() == 3
+    spark.range(3, 5).write.mode("append").parquet(table)
+    assert listings(spark, str(tmp_path), "events") != before
+    assert read_table(spark, str(tmp_path), "events").count() == 5
