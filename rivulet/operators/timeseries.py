@@ -89,8 +89,11 @@ def _pairs(sel: DataFrame, range_ms: int) -> DataFrame:
     return p.where(F.col("prev_ts").isNotNull() & (F.col("ts") - F.col("prev_ts") < F.lit(range_ms)))
 
 
-def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = False) -> DataFrame:
-    """Reset-aware counter increase over ``(t - range, t]`` (or per second)."""
+def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = False, keep_metric: bool = False) -> DataFrame:
+    """Reset-aware counter increase over ``(t - range, t]`` (or per second).
+
+    The result has no metric name, unless ``keep_metric`` says that several metrics are
+    evaluated at once and told apart later."""
     pairs = _pairs(sel, range_ms).withColumn(
         "d", F.when(F.col("value") >= F.col("prev_value"), F.col("value") - F.col("prev_value"))
               .otherwise(F.col("value")))
@@ -98,19 +101,22 @@ def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = Fal
     # labels are a function of the series: carried as a grouping key (the map's
     # entry array) rather than in the aggregation buffer, which keeps the
     # buffer a single double and the aggregate a hash aggregate.
-    agg = (ex.groupBy("series", "t", "lkey", F.map_entries("labels").alias("_le"))
+    agg = (ex.groupBy("series", "metric", "t", "lkey", F.map_entries("labels").alias("_le"))
            .agg(F.sum("d").alias("inc")))
     val = F.col("inc") / F.lit(range_ms / 1000.0) if per_second else F.col("inc")
-    return agg.select("t", F.lit(None).cast("string").alias("metric"),
-                      F.map_from_entries("_le").alias("labels"), "lkey", val.alias("value"))
+    return agg.select("t", _metric(keep_metric), F.map_from_entries("_le").alias("labels"), "lkey", val.alias("value"))
+
+
+def _metric(keep: bool) -> Column:
+    return F.col("metric") if keep else F.lit(None).cast("string").alias("metric")
 
 
-def rate(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
+def rate(sel: DataFrame, range_ms: int, step_ms: int, keep_metric: bool = False) -> DataFrame:
     """``rate(m[range])``: per-second increase."""
-    return increase(sel, range_ms, step_ms, per_second=True)
+    return increase(sel, range_ms, step_ms, per_second=True, keep_metric=keep_metric)
 
 
-def delta(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
+def delta(sel: DataFrame, range_ms: int, step_ms: int, keep_metric: bool = False) -> DataFrame:
     """``delta(m[range])``: last minus first sample in ``(t - range, t]``.
 
     Every sample knows its neighbours within the range (one window, see
@@ -124,20 +130,20 @@ def delta(sel: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
     n = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts"], range_ms, "both")
     end = F.col("ts") + F.lit(range_ms - 1)
     last = _expand(n, F.col("ts"), F.least(end, F.coalesce(F.col("next_ts") - F.lit(1), end)), step_ms) \
-        .select("series", "t", "lkey", "labels", F.col("value").alias("v_last"),
+        .select("series", "metric", "t", "lkey", "labels", F.col("value").alias("v_last"),
                 F.lit(None).cast("double").alias("v_first"), F.col("sample_id").alias("id_last"),
                 F.lit(None).cast("long").alias("id_first"))
     start = F.greatest(F.col("ts"), F.coalesce(F.col("prev_ts") + F.lit(range_ms), F.col("ts")))
     first = _expand(n, start, end, step_ms) \
-        .select("series", "t", "lkey", "labels", F.lit(None).cast("double").alias("v_last"),
+        .select("series", "metric", "t", "lkey", "labels", F.lit(None).cast("double").alias("v_last"),
                 F.col("value").alias("v_first"), F.lit(None).cast("long").alias("id_last"),
                 F.col("sample_id").alias("id_first"))
     agg = (last.unionByName(first)
-           .groupBy("series", "t", "lkey", F.map_entries("labels").alias("_le"))
+           .groupBy("series", "metric", "t", "lkey", F.map_entries("labels").alias("_le"))
            .agg(F.sum("v_last").alias("v_last"), F.sum("v_first").alias("v_first"),
                 F.max("id_last").alias("id_last"), F.max("id_first").alias("id_first")))
     return agg.where(F.col("id_last") != F.col("id_first")).select(
-        "t", F.lit(None).cast("string").alias("metric"), F.map_from_entries("_le").alias("labels"), "lkey",
+        "t", _metric(keep_metric), F.map_from_entries("_le").alias("labels"), "lkey",
         (F.col("v_last") - F.col("v_first")).alias("value"))
 
 
@@ -200,12 +206,11 @@ def binary(left: DataFrame, right: DataFrame, op: str) -> DataFrame:
     same size class, so Spark plans it as a shuffle join (or broadcasts a side
     its statistics show to be small).
     """
-    l, r = left.alias("l"), right.alias("r")
-    j = l.join(r, (l["t"] == r["t"]) & (l["lkey"] == r["lkey"]), "inner")
-    lv, rv = l["value"], r["value"]
+    r = right.select(F.col("t").alias("_rt"), F.col("lkey").alias("_rlkey"), F.col("value").alias("_rvalue"))
+    j = left.join(r, (F.col("t") == F.col("_rt")) & (F.col("lkey") == F.col("_rlkey")), "inner")
+    lv, rv = F.col("value"), F.col("_rvalue")
     out = {"+": lv + rv, "-": lv - rv, "*": lv * rv, "/": ieee_divide(lv, rv)}[op]
-    return j.select(l["t"], F.lit(None).cast("string").alias("metric"), l["labels"],
-                    l["lkey"], out.alias("value"))
+    return j.select("t", F.lit(None).cast("string").alias("metric"), "labels", "lkey", out.alias("value"))
 
 
 def topk(vec: DataFrame, k: int) -> DataFrame:

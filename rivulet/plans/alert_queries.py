@@ -16,7 +16,7 @@ from ..operators import alerts as al
 from ..sources.samples import SampleSource
 from . import sqlgen as q
 from .registry import register, round6
-from .vexpr import Agg, Bin, Cmp, Delta, Inst, Params, Rate
+from .vexpr import Agg, Bin, Cmp, Delta, Inst, Params, Rate, Vectors
 
 REF = Params(step_ms=60_000, lookback_ms=300_000)                         # 60 s groups
 DENSE = Params(step_ms=3_600_000, lookback_ms=7_200_000, range_scale=72)  # 1 h grid, 6 h ranges
@@ -174,6 +174,8 @@ GROUPS = {
 
 def active_elements(samples, names, p: Params):
     """Union of every rule's active elements, tagged with rule metadata."""
+    if len(names) > 1:
+        samples = Vectors(samples, [EXPR_TREE[n] for n in names], p)
     parts = []
     for n in names:
         r = RULE_BY_NAME[n]
@@ -345,6 +347,7 @@ SIGNALS = {
 
 
 def tiered(samples, p: Params):
+    samples = Vectors(samples, list(SIGNALS.values()), p)
     parts = [SIGNALS[s].df(samples, p).select(F.lit(s).alias("signal"), "t", "lkey", "value") for s in SIGNALS]
     sig = parts[0]
     for x in parts[1:]:

@@ -240,6 +240,14 @@ class SampleSource:
     def metrics(self) -> list[str]:
         return sorted({f.metric for f in self.families})
 
+    def for_metrics(self, metrics) -> DataFrame:
+        """Samples of several metrics from one pass over ``events``."""
+        fams = [f for f in self.families if f.metric in set(metrics)]
+        missing = sorted(set(metrics) - {f.metric for f in fams})
+        if missing:
+            raise KeyError(f"no samples are derived for metrics {missing}")
+        return metric_samples(self.spark, self.sf_dir, fams, self.bucket_ms)
+
     def for_metric(self, metric: str) -> DataFrame:
         if metric not in self._memo:
             fams = [f for f in self.families if f.metric == metric]
