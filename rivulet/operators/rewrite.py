@@ -43,6 +43,11 @@ class BeanRule:
         """Does the rule capture a label *name* from the reading?"""
         return any("$" in name for name in self.labels)
 
+    @property
+    def reaches_value(self) -> bool:
+        """Can a group of the pattern reach into the value text behind the bean?"""
+        return re.search(r"\(\.[+*]\)$|: ?\(", self.pattern) is not None
+
     @property
     def catch_all(self) -> bool:
         """Does the rule take every reading that reaches it?"""
@@ -208,6 +213,12 @@ def _hit(bean: Column, r: BeanRule) -> Column:
     return rx if cond is None else cond & rx
 
 
+#: Two values that stand in for a reading's value when a bean is rewritten by itself.
+_STAND_INS = ("0", "1.5")
+#: Characters without which a value text can't be taken for a part of the bean.
+_BEAN_MARKS = "<>=,:\x01\x02\x03"
+
+
 def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "component",
                      bean_col: str = "bean", value_col: str = "value") -> DataFrame:
     """Rewrite readings into ``metric, labels, lkey, type, value, rule``.
@@ -216,53 +227,93 @@ def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "co
     ordered rule list; the first rule whose pattern occurs in the reading wins
     (``rule`` is its index in that list) and unmatched readings are dropped.
 
-    Per row exactly one expression runs the rule patterns: a ``CASE`` over the
-    component and then over the rules in order, whose winning branch expands
-    *all* of that rule's templates with a single ``regexp_replace`` into one
-    delimited string ``id \x03 name \x01 key \x02 value ...``.  Unmatched
-    rows are removed by exploding a zero- or one-element array: a ``Generate``
+    Which rule wins depends on the bean and not on its value (the rule files mark their
+    rules as cacheable by bean for that reason), and few distinct beans exist.  So the
+    rules run over the distinct ``(component, bean)`` pairs, and the result is joined back
+    by hash.  Every bean is rewritten with two stand-in values: where both give the same,
+    that is the result for any value; where they differ (a rule whose last group reaches
+    into the value text), the reading itself is expanded, by the winning rule alone.
+    Readings whose value text could be mistaken for a part of the bean run through the
+    whole list themselves.
+
+    The list is one ``CASE`` over the component and then over the rules in order, whose
+    winning branch expands *all* of that rule's templates with a single
+    ``regexp_replace`` into one delimited string ``id \x03 name \x01 key \x02 value ...``.
+    Unmatched rows are removed by exploding a zero- or one-element array: a ``Generate``
     is a barrier that later filters cannot be pushed below, so the pattern
     chain is never inlined (and re-evaluated) into downstream predicates.
     Type, constant value and rule index are then array lookups by rule id.
     """
-    bean, key = F.col(bean_col), F.col(key_col)
-    flat: list[tuple[str, int, BeanRule]] = []
-    case = None
-    for k, rules in rules_by_key.items():
-        chain = None
-        for i, r in enumerate(rules):
-            gid = len(flat)
-            flat.append((k, i, r))
-            hit = _hit(bean, r)             # finds p anywhere == full match of ^.*(?:p).*$
-            out = _expanded(bean, r, gid)
-            chain = F.when(hit, out) if chain is None else chain.when(hit, out)
-        case = F.when(key == k, chain) if case is None else case.when(key == k, chain)
-
-    others = [c for c in readings.columns if c not in (bean_col,)]
-    hit = readings.select(*others, case.alias("_c"))
-    kept = hit.select(*others, F.explode(F.when(F.col("_c").isNotNull(), F.array("_c"))
-                                         .otherwise(F.array().cast("array<string>"))).alias("_m"))
-    head = F.split(F.col("_m"), _ID)
+    flat = [(k, i, r) for k, rules in rules_by_key.items() for i, r in enumerate(rules)]
+    bean = F.col(bean_col)
+    tail = F.substring_index(bean, ">", -1)                   # attribute: value
+    cut = F.instr(tail, ": ")
+    text = F.substring(tail, cut + 2, F.length(tail))
+    plain = (cut > 0) & (text != "") & (F.translate(text, _BEAN_MARKS, "") == text)
+    marked = readings.withColumn("_bean", F.when(F.coalesce(plain, F.lit(False)), F.substring(
+        bean, F.lit(1), F.length(bean) - F.length(tail) + cut - 1)))
+
+    beans = marked.where(F.col("_bean").isNotNull()).select(key_col, "_bean").distinct()
+    tried = (beans.withColumn("_v", F.explode(F.array(*[F.lit(v) for v in _STAND_INS])))
+             .withColumn("_t", F.concat("_bean", F.lit(": "), "_v"))
+             .select(key_col, "_bean", _chain(F.col("_t"), F.col(key_col), rules_by_key).alias("_c")))
+    known = (tried.groupBy(F.col(key_col).alias("_k"), F.col("_bean").alias("_b"))
+             .agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
+             .select("_k", "_b", F.split("_low", _ID)[0].cast("int").alias("_won"),
+                     # a result that no value changes is named, labelled and typed once per bean
+                     F.when(F.col("_low") == F.col("_high"), _parsed(F.col("_low"), flat)).alias("_fixed")))
+    joined = marked.join(known, (F.col(key_col) == F.col("_k")) & (F.col("_bean") == F.col("_b")), "left")
+
+    # beans whose result holds the value text, and readings that are no plain bean and value
+    case = F.when(F.col("_fixed").isNotNull(), F.lit("")).when(
+        F.col("_bean").isNotNull() & F.col("_won").isNull(), F.lit(None).cast("string"))
+    for gid, (_, _, r) in enumerate(flat):
+        if r.reaches_value:
+            case = case.when(F.col("_won") == gid, _expanded(bean, r, gid))
+    case = case.otherwise(_chain(bean, F.col(key_col), rules_by_key))
+
+    others = [c for c in readings.columns if c not in (bean_col, value_col)]
+    hit = joined.select(*others, value_col, "_fixed", case.alias("_c"))
+    kept = hit.select(*others, value_col, "_fixed", F.explode(
+        F.when(F.col("_c").isNotNull(), F.array("_c")).otherwise(F.array().cast("array<string>"))).alias("_m"))
+    out = kept.select(*others, value_col, F.when(F.col("_fixed").isNotNull(), F.col("_fixed"))
+                      .otherwise(_parsed(F.col("_m"), flat)).alias("_r"))
+    return out.select(*others, "_r.metric", "_r.labels", "_r.type",
+                      F.coalesce("_r.const", F.col(value_col).cast("double")).alias("value"), "_r.rule",
+                      labels_key(F.col("_r.labels")).alias("lkey"))
+
+
+def _parsed(text: Column, flat: list) -> Column:
+    """Struct of name, labels, type, constant value and rule index from an expanded text."""
+    head = F.split(text, _ID)
     gid = head[0].cast("int")
     parts = F.split(head[1], _PAIR)
     kv = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.split(x, _KV))
     # two properties whose names sanitise alike: the later one stays
     pairs = F.filter(F.transform(kv, lambda a: F.struct(safe_name(a[0]).alias("key"), a[1].alias("value"))),
                      lambda e: e["key"] != F.lit(""))
-    labels = map_last_wins(pairs)
 
     def lookup(values, dtype):
         return F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), gid + 1)
-
-    const = lookup([None if r.value is None else float(r.value) for _, _, r in flat], "double")
-    out = kept.select(
-        *[c for c in others if c != value_col],
-        safe_name(parts[0]).alias("metric"),
-        labels.alias("labels"),
+    return F.struct(
+        safe_name(parts[0]).alias("metric"), map_last_wins(pairs).alias("labels"),
         lookup([r.type or "UNTYPED" for _, _, r in flat], "string").alias("type"),
-        F.coalesce(const, F.col(value_col).cast("double")).alias("value"),
+        lookup([None if r.value is None else float(r.value) for _, _, r in flat], "double").alias("const"),
         lookup([i for _, i, _ in flat], "int").alias("rule"))
-    return out.withColumn("lkey", labels_key("labels"))
+
+
+def _chain(text: Column, key: Column, rules_by_key: dict) -> Column:
+    """The rule lists as one ``CASE``: the winner's expansion, NULL without one."""
+    case, gid = None, 0
+    for k, rules in rules_by_key.items():
+        chain = None
+        for r in rules:
+            hit = _hit(text, r)             # finds p anywhere == full match of ^.*(?:p).*$
+            out = _expanded(text, r, gid)
+            chain = F.when(hit, out) if chain is None else chain.when(hit, out)
+            gid += 1
+        case = F.when(key == k, chain) if case is None else case.when(key == k, chain)
+    return case
 
 
 def _expanded(bean: Column, r: BeanRule, gid: int) -> Column:
