@@ -29,7 +29,6 @@ from ..functions.labels import go_float_text, label
 class AlertRule:
     group: str
     alert: str
-    expr: str           # the rule's expression as written
     for_s: float
     severity: str
     summary: str
