@@ -87,27 +87,39 @@ def render_template(template: str, labels, value=None) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` uses it.
+
+    An expression repeated in a formula is repeated in the generated code as well;
+    bound to the variable of a one-element ``transform`` it is not.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def go_float_text(value) -> Column:
     """Text of a double as templates print it: shortest digits that read back as the same
     number, plain from 1e-4 up to 1e21 (``1``, ``0.25``) and with an exponent of at least two
     digits beyond (``1e+30``, ``1e-12``); ``+Inf``, ``-Inf`` and ``NaN``."""
-    v = _c(value)
-    text = v.cast("string")                                   # shortest digits, exponent below 1e-3 and from 1e7
-    size = F.abs(v)
-    plain = F.regexp_replace(text, r"\.0$", "")
-    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$", "")
-    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1)
-    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    moved = F.replace(digits, F.lit("."), F.lit(""))          # all digits; the point moves by the exponent
-    steps = F.when(power == "", F.lit("0")).otherwise(power).cast("int")
-    tail = F.length(moved) - 1
-    up = F.when(tail <= steps, F.rpad(moved, steps + 1, "0")).otherwise(
-        F.concat(F.substring(moved, F.lit(1), steps + 1), F.lit("."), F.substring(moved, steps + 2, tail)))
-    down = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-steps - 1, F.lit(0))), moved)
-    exponent = F.concat(sign, digits, F.lit("e"), F.when(steps < 0, F.lit("-")).otherwise(F.lit("+")),
-                        F.lpad(F.abs(steps).cast("string"), F.greatest(F.length(F.abs(steps).cast("string")), F.lit(2)), "0"))
-    return (F.when(v.isNull(), F.lit("<nil>")).when(F.isnan(v), F.lit("NaN"))
-            .when(v == F.lit(float("inf")), F.lit("+Inf")).when(v == F.lit(float("-inf")), F.lit("-Inf"))
-            .when(v == 0, F.lit("0")).when(power == "", plain)
-            .when((size >= 1e-4) & (size < 1e21), F.concat(sign, F.when(steps >= 0, up).otherwise(down)))
-            .otherwise(exponent))
+    def finite(v, text):                                      # shortest digits, exponent below 1e-3 and from 1e7
+        power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1)
+        digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$", "")
+        steps = F.when(power == "", F.lit("0")).otherwise(power).cast("int")
+        return F.when(~text.contains("E"), F.regexp_replace(text, r"\.0$", "")).otherwise(
+            let(F.struct(digits.alias("d"), steps.alias("s")), lambda x: scaled(v, x["d"], x["s"])))
+
+    def scaled(v, digits, steps):
+        sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+        moved = F.replace(digits, F.lit("."), F.lit(""))      # all digits; the point moves by the exponent
+        tail = F.length(moved) - 1
+        up = F.when(tail <= steps, F.rpad(moved, steps + 1, "0")).otherwise(
+            F.concat(F.substring(moved, F.lit(1), steps + 1), F.lit("."), F.substring(moved, steps + 2, tail)))
+        down = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-steps - 1, F.lit(0))), moved)
+        power = F.abs(steps).cast("string")
+        exponent = F.concat(digits, F.lit("e"), F.when(steps < 0, F.lit("-")).otherwise(F.lit("+")),
+                            F.lpad(power, F.greatest(F.length(power), F.lit(2)), "0"))
+        plain = (F.abs(v) >= 1e-4) & (F.abs(v) < 1e21)
+        return F.concat(sign, F.when(~plain, exponent).when(steps >= 0, up).otherwise(down))
+    return let(_c(value).cast("double"), lambda v: (
+        F.when(v.isNull(), F.lit("<nil>")).when(F.isnan(v), F.lit("NaN"))
+        .when(v == F.lit(float("inf")), F.lit("+Inf")).when(v == F.lit(float("-inf")), F.lit("-Inf"))
+        .when(v == 0, F.lit("0")).otherwise(let(v.cast("string"), lambda text: finite(v, text)))))

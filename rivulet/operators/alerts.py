@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import go_float_text, label
+from ..functions.labels import go_float_text, label, let
 
 
 @dataclass(frozen=True)
@@ -65,49 +65,63 @@ _TOKEN = re.compile(r"\{\{\s*(\$labels\.([A-Za-z_][A-Za-z0-9_]*)|\$value(?:\s*\|
 _SI = ["", "k", "M", "G", "T", "P", "E", "Z", "Y"]
 
 
+def _finite(x: Column) -> Column:
+    """``x``, or NULL where it is NaN or infinite."""
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
 def sig4(x: Column) -> Column:
     """``x`` rounded to 4 significant digits (the ``%.4g`` value); Inf and NaN stay.
 
     Decimals come from one division by a power of ten, so the result is the double
     nearest to the rounded decimal and prints as that decimal.
     """
-    e = F.floor(F.log10(F.abs(_finite(x))))
-    up, down = F.pow(F.lit(10.0), F.lit(3) - e), F.pow(F.lit(10.0), e - F.lit(3))
-    return F.when((x == 0) | _finite(x).isNull(), x).when(e <= 3, F.round(x * up) / up).otherwise(F.round(x / down) * down)
-
-
-def _finite(x: Column) -> Column:
-    """``x``, or NULL where it is NaN or infinite."""
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    def rounded(v, e):
+        up, down = F.pow(F.lit(10.0), F.lit(3) - e), F.pow(F.lit(10.0), e - F.lit(3))
+        return F.when(e <= 3, F.round(v * up) / up).otherwise(F.round(v / down) * down)
+    return let(x, lambda v: F.when((v == 0) | _finite(v).isNull(), v).otherwise(
+        let(F.floor(F.log10(F.abs(_finite(v)))), lambda e: rounded(v, e))))
 
 
 def humanize(x: Column) -> Column:
     """SI-prefixed text (``1.234G``) for values >= 1; plain text below."""
-    ex = F.least(F.greatest(F.floor(F.log10(F.abs(_finite(x))) / F.lit(3)), F.lit(0)), F.lit(len(_SI) - 1))
-    scaled = x / F.pow(F.lit(1000.0), ex)
-    prefix = F.element_at(F.array(*[F.lit(p) for p in _SI]), (ex + F.lit(1)).cast("int"))
-    return (F.when(x == 0, F.lit("0")).when(_finite(x).isNull(), go_float_text(x))
-            .otherwise(F.concat(go_float_text(sig4(scaled)), prefix)))
+    def scaled(v, ex):
+        prefix = F.element_at(F.array(*[F.lit(p) for p in _SI]), (ex + F.lit(1)).cast("int"))
+        return F.concat(go_float_text(sig4(v / F.pow(F.lit(1000.0), ex))), prefix)
+
+    def third(v):
+        return F.least(F.greatest(F.floor(F.log10(F.abs(_finite(v))) / F.lit(3)), F.lit(0)), F.lit(len(_SI) - 1))
+    return let(x, lambda v: F.when(v == 0, F.lit("0")).when(_finite(v).isNull(), go_float_text(v))
+               .otherwise(let(third(v), lambda ex: scaled(v, ex))))
 
 
 def humanize_percentage(x: Column) -> Column:
     return F.concat(go_float_text(sig4(x * F.lit(100.0))), F.lit("%"))
 
 
-def render(template: str, labels: Column, value: Column) -> Column:
-    """Render an annotation template with ``$labels.x`` and ``$value``."""
+def number_forms(templates: Sequence[str]) -> list[str]:
+    """Which forms of the value (``""``, ``humanize``, ``humanizePercentage``) templates print."""
+    return sorted({m.group(3) or "" for t in templates for m in _TOKEN.finditer(t) if not m.group(2)})
+
+
+def number_text(form: str, value: Column) -> Column:
+    return {"": go_float_text, "humanize": humanize, "humanizePercentage": humanize_percentage}[form](value)
+
+
+def render(template: str, labels: Column, value: Column, texts: dict[str, Column] | None = None) -> Column:
+    """Render an annotation template with ``$labels.x`` and ``$value``.
+
+    ``texts`` gives the value's forms as columns where many templates share them.
+    """
     parts, pos = [], 0
     for m in _TOKEN.finditer(template):
         if m.start() > pos:
             parts.append(F.lit(template[pos:m.start()]))
         if m.group(2):
             parts.append(label(labels, m.group(2)))
-        elif m.group(3) == "humanize":
-            parts.append(humanize(value))
-        elif m.group(3) == "humanizePercentage":
-            parts.append(humanize_percentage(value))
         else:
-            parts.append(go_float_text(value))
+            form = m.group(3) or ""
+            parts.append(texts[form] if texts else number_text(form, value))
         pos = m.end()
     if pos < len(template):
         parts.append(F.lit(template[pos:]))

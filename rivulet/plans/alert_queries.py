@@ -150,31 +150,48 @@ GROUPS = {
 # ---------------------------------------------------------------- Spark side
 
 def active_elements(samples, names, p: Params):
-    """Union of every rule's active elements, tagged with rule metadata."""
+    """Union of every rule's active elements with the rule's hold."""
     if len(names) > 1:
         samples = Vectors(samples, [EXPR_TREE[n] for n in names], p)
-    parts = []
+    out = None
     for n in names:
-        r = RULE_BY_NAME[n]
-        v = EXPR_TREE[n].df(samples, p)
-        parts.append(v.select(
-            F.lit(r.alert).alias("alert"), "t", "labels", "lkey", "value",
-            F.lit(int(r.for_s * 1000)).cast("bigint").alias("for_ms"),
-            F.lit(r.severity).alias("severity"),
-            al.render(r.summary, F.col("labels"), round6("value")).alias("summary"),
-            al.render(r.description, F.col("labels"), round6("value")).alias("description")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+        hold = int(RULE_BY_NAME[n].for_s * 1000)
+        v = EXPR_TREE[n].df(samples, p).select(F.lit(n).alias("alert"), "t", "labels", "lkey", "value",
+                                               F.lit(hold).cast("bigint").alias("for_ms"))
+        out = v if out is None else out.unionByName(v)
     return out
 
 
+def annotate(states, names):
+    """Severity and annotation texts, looked up by the rule's name.
+
+    Placed above the hold's window, so that the value is printed by one expression for all
+    rules instead of one per branch of the union.
+    """
+    rules = [RULE_BY_NAME[n] for n in names]
+    forms = al.number_forms([x for r in rules for x in (r.summary, r.description)])
+    texts = {f: F.col(f"_text_{f}") for f in forms}
+
+    def by_rule(make):
+        case = None
+        for r in rules:
+            hit = (F.col("alert") == F.lit(r.alert), make(r))
+            case = F.when(*hit) if case is None else case.when(*hit)
+        return case
+    shown = states.withColumn("_shown", round6("value")).select(
+        "*", *[al.number_text(f, F.col("_shown")).alias(f"_text_{f}") for f in forms])
+    return shown.withColumns({
+        "severity": by_rule(lambda r: F.lit(r.severity)),
+        "summary": by_rule(lambda r: al.render(r.summary, F.col("labels"), F.col("_shown"), texts)),
+        "description": by_rule(lambda r: al.render(r.description, F.col("labels"), F.col("_shown"), texts))})
+
+
 def evaluate(samples, names, p: Params):
-    st = al.hold_states(active_elements(samples, names, p), p.step_ms)
+    st = annotate(al.hold_states(active_elements(samples, names, p), p.step_ms), names)
     return st.select(
         "alert", (F.col("t") / 1000).cast("bigint").alias("t"), "lkey", "state",
         (F.col("active_since") / 1000).cast("bigint").alias("active_since"),
-        round6("value").alias("value"), "severity",
+        F.col("_shown").alias("value"), "severity",
         al.severity_level(F.col("severity")).alias("severity_level"), "summary", "description")
 
 
