@@ -370,11 +370,6 @@ def _finder(text: str):
     return text_udf(make, _FOUND)(text)["spans"]
 
 
-def _domain(kind):
-    """Surrogates must differ within a kind; the genders and scripts of names have kinds of their own."""
-    return F.col(kind)
-
-
 def attempts(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, attempt > 0): entities whose first surrogate collided."""
     def make():
