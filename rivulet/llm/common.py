@@ -35,7 +35,7 @@ def scratch(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` once into the shared folder and return it reread."""
     spark = df.sparkSession
     path = checkpoint_path(spark, "llm", kind, uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,7 +93,7 @@ class RecentCache(dict):
     Values are recomputed after they fall out, so a bound never changes a result.
     """
 
-    def __init__(self, compute: Callable, limit: int = 500_000):
+    def __init__(self, compute: Callable, limit: int = 400_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
