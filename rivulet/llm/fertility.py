@@ -106,7 +106,7 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.vocab_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.cache = RecentCache(self._word)
+        self.cache = RecentCache(self._word, 250_000)
 
     def _word(self, word: bytes) -> bytes:
         return np.array(self.model.encode(word.decode("utf-8", "replace")), "<u4").tobytes()

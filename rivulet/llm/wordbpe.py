@@ -88,7 +88,17 @@ def pieces(word: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs between Unicode white space."""
+    """Runs between Unicode white space.
+
+    Latin-1 text is lower-cased at once: there the order of lower-casing and
+    normalizing doesn't matter, and fewer different words are left to remember.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = text.lower()
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):       # str.split knows four more separators
         return [w for w in SPACE.split(text) if w]
     return text.split()
@@ -203,7 +213,7 @@ class WordBpe:
         self.labels = [""] * size
         for label, i in [*model["vocab"].items(), *self.special.items()]:
             self.labels[i] = label
-        self.cache = RecentCache(self._word)
+        self.cache = RecentCache(self._word, 500_000)
 
     @staticmethod
     def _library(path: str):
@@ -217,6 +227,8 @@ class WordBpe:
 
     def _word(self, word: str) -> bytes:
         """Ids (little-endian 32-bit) of one run of characters without white space."""
+        if word[-1] in ".,;:!?" and word[:-1].isalpha() and word[:-1].lower().isalpha():
+            return self.cache[word[:-1]] + self.cache[word[-1]]      # two pieces, encoded one by one
         ids: list[int] = []
         for piece in pieces(word):
             ids += self.piece(piece)
