@@ -118,10 +118,15 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))])
+_KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("homes", T.IntegerType())])
 
 
 def _cell_column(column: str):
+    """Struct of a vector's cells, each once (homes first), and the number of homes."""
+    def once(k: np.ndarray) -> tuple:
+        homes = set(k[:, 0].tolist())
+        return [*homes, *(set(k[:, 1:].ravel().tolist()) - homes)], len(homes)
+
     def make():
         def run(vectors):
             out: list = [None] * len(vectors)
@@ -130,10 +135,10 @@ def _cell_column(column: str):
                 by_dim.setdefault(len(v), []).append(i)
             for at in by_dim.values():
                 for i, k in zip(at, cells(_unit([vectors[i] for i in at]))):
-                    out[i] = (k.ravel().tolist(),)
+                    out[i] = once(k)
             return out
         return run
-    return text_udf(make, _KEYS)(column)["keys"]
+    return text_udf(make, _KEYS)(column)
 
 
 def _first_common(kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
@@ -263,10 +268,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                       .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("size"))
                       .select(F.monotonically_increasing_id().alias("cid"), "label", "embedding", "first", "size"), "lattice-classes")
     # labels of any type become a number, so that rows of one label and cell can be compared in the tasks
-    named = classes.select("cid", F.xxhash64("label").alias("label"), F.posexplode(_cell_column("embedding")).alias("at", "key"))
-    named = scratch(named.select("cid", "label", "key", (F.col("at") % CELLS == 0).alias("home")).distinct(), "lattice-cells")
-    # a vector may name a cell twice (as home and as probe): one row, home if any is
-    member = named.groupBy("label", "key", "cid").agg(F.max("home").alias("home"))
+    named = classes.select("cid", F.xxhash64("label").alias("label"), _cell_column("embedding").alias("c")).select(
+        "cid", "label", F.col("c.homes").alias("homes"), F.posexplode("c.keys").alias("at", "key"))
+    member = scratch(named.select("cid", "label", "key", (F.col("at") < F.col("homes")).alias("home")), "lattice-cells")
     full = (member.groupBy(F.col("label").alias("l"), F.col("key").alias("k"))
             .agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).filter("n > 1 and any"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
