@@ -75,10 +75,13 @@ SURNAME_LENGTH = 4
 _TITLES = tuple(sorted({h for hs in HONORIFICS.values() for h in hs}, key=len, reverse=True))
 _GIVEN_NAMES = tuple(n for names in GIVEN.values() for n in names)
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+#: What names a secret; its value reaches to the closing quote, or without quotes to white space.
+_LABEL = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key))[\"']?\s{0,3}[=:]\s{0,3}"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key))[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_\-]{8,200})")),
+    ("secret", re.compile(_LABEL + r"(?P<q>[\"'])(?P<v>(?:\\.|(?!(?P=q))[^\\\r\n]){8,})(?P=q)")),
+    ("secret", re.compile(_LABEL + r"[\"']?+(?P<v>(?:[^\s\"']|[\"'](?![\s,;:)\]}>]|\Z)){8,}(?<![.,;:!?)\]}>\"']))")),
     ("hex", re.compile(r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,31}[a-f])(?=[0-9a-f]{0,31}[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])")),
@@ -119,6 +122,8 @@ def permute(value: int, size: int, key: bytes, label: str) -> int:
 
 def _shape(text: str, key: bytes, label: str) -> str:
     """Permute all strings of the same character shape (digits, lower and upper letters)."""
+    # letters of other alphabets become ASCII letters: none of the original's stays
+    text = "".join(c if c.isascii() or not c.isalnum() else chr((65 if c.isupper() else 97) + ord(c) % 26) for c in text)
     kinds = [("0", 10) if c.isdigit() and c.isascii() else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z"
              else (c, 1) for c in text]
     value, size = 0, 1
@@ -177,6 +182,8 @@ def _canonical(kind: str, s: str) -> str | None:
         elif s.startswith("+"):
             return "+" + d if 8 <= len(d) <= 15 else None
         return d if 9 <= len(d) <= 11 else None
+    if kind == "secret":
+        return s if any(c.isalnum() for c in s) else None
     return s
 
 
@@ -193,9 +200,9 @@ def _names(text: str) -> list[Span]:
     given = [n for n in _GIVEN_NAMES if n + " " in text]
     matches = []
     if titles:
-        matches += re.finditer(rf"(?<!\w)(?P<t>{'|'.join(map(re.escape, titles))})\.? (?P<n>{_NAME}(?: {_NAME}){{0,2}})", text)
+        matches += re.finditer(rf"(?<!\w)(?P<t>{'|'.join(map(re.escape, titles))})\.? (?P<n>{_NAME}(?: {_NAME})*)", text)
     if given:
-        matches += re.finditer(rf"(?<!\w)(?P<t>)(?P<n>(?:{'|'.join(given)}) {_NAME})(?!\w)", text)
+        matches += re.finditer(rf"(?<!\w)(?P<t>)(?P<n>(?:{'|'.join(given)})(?: {_NAME})+)(?!\w)", text)
     for m in matches:
         gender = next((g for g, hs in HONORIFICS.items() if m.group("t") in hs), "x")
         at = m.start("n")

@@ -302,3 +302,19 @@ def test_clean_documents_are_left_alone(real):
     assert wrong == []
     left = [r.t for r in both.collect() for f in surrogates.detect(r.text) if f[2] != "x" and r.text[f[0]:f[1]] in r.t]
     assert left == []
+
+
+def test_secrets_and_names_are_taken_whole():
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    values = ["aB3" * 120, jwt, "P@ssw0rd!x", "пароль1234", "abcdefg==~z"]
+    for v in values:
+        for text in (f"token={v} end", f'"password": "{v}", end', f"secret: '{v}'. end", f"see (api_key={v}). end"):
+            spans = surrogates.detect(text)
+            assert [text[a:b] for a, b, *_ in spans] == [v], text
+            new = surrogates.rewrite(text, [(*spans[0], 0)], b"k")
+            assert not any(part in new for part in regex.findall(r"[^\W_]{4,}", v)) and new.endswith("end")
+    spoken = 'pwd="correct horse battery staple" end'
+    assert [spoken[a:b] for a, b, *_ in surrogates.detect(spoken)] == ["correct horse battery staple"]
+    assert surrogates.detect("password: ----------") == []
+    for text in ("Mr. Johann Carl Friedrich Gauss came", "John Ronald Reuel Tolkien came"):
+        assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == text.removeprefix("Mr. ").split()[:-1]
