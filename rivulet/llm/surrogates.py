@@ -17,10 +17,15 @@ walked on until it lands inside the domain):
   same script.  ``Mr. John Smith`` and a later ``Smith`` get one surname.
 
 A permutation keeps different originals apart within one domain.  The collision check
-covers the rest: over all distinct entities of the corpus, a surrogate that equals
-any original, or the surrogate of another entity, is drawn again under the next
-attempt number until no conflict is left.  Attempts are joined back to the documents
-that hold entities; documents without any pass through untouched.
+covers the rest: over all distinct entities of a family (all names of a script;
+secrets with hex digests; else one kind), a surrogate that equals any original, or the
+surrogate of another entity, is drawn again under the next attempt number, which also
+widens names, e-mail addresses and secrets, until no conflict is left.  Domains that
+can't widen (addresses, phone, card and social security numbers) and are over a quarter
+full are permuted as one cycle: surrogates are distinct and differ from their own
+original, but may equal another one.  A given name without a known gender takes the one
+that another mention in the corpus tells.  Attempts are joined back to the documents that hold
+entities; documents without any pass through untouched.
 
 Defined results: a null text stays null; empty texts and texts without an entity are
 unchanged; of overlapping matches the earlier, then the longer one counts; repeated
@@ -71,6 +76,8 @@ SYLLABLES = {
     "cyrillic": ("бар", "вол", "гор", "дам", "зар", "кал", "лан", "мар", "нор", "пол", "рос", "сав", "тар", "фед", "хар", "чер"),
 }
 SURNAME_LENGTH = 4
+#: Attempt number of the entities of a filled domain.
+CYCLE = -1
 
 _TITLES = tuple(sorted({h for hs in HONORIFICS.values() for h in hs}, key=len, reverse=True))
 _GIVEN_NAMES = tuple(n for names in GIVEN.values() for n in names)
@@ -106,21 +113,26 @@ def _round(key: bytes, label: str, i: int, half: int) -> int:
     return int.from_bytes(hmac.digest(key, f"{label}|{i}|{half}".encode(), "sha256")[:16], "big")
 
 
-def permute(value: int, size: int, key: bytes, label: str) -> int:
-    """A keyed permutation of range(size): a Feistel network, walked until inside."""
+def permute(value: int, size: int, key: bytes, label: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a Feistel network, walked until inside."""
     if size < 2:
         return value
     half = max(2, 1 << -(-(size - 1).bit_length() // 2))
     while True:
         a, b = divmod(value, half)
-        for i in range(8):
-            a, b = b, (a + _round(key, label, i, b)) % half
+        for i in reversed(range(8)) if back else range(8):
+            a, b = ((b - _round(key, label, i, a)) % half, a) if back else (b, (a + _round(key, label, i, b)) % half)
         value = a * half + b
         if value < size:
             return value
 
 
-def _shape(text: str, key: bytes, label: str) -> str:
+def cycle(value: int, size: int, key: bytes, label: str) -> int:
+    """A keyed permutation that is one cycle: no value keeps its place, also not if walked into a part of the range."""
+    return permute((permute(value, size, key, label, True) + 1) % size, size, key, label)
+
+
+def _shape(text: str, key: bytes, label: str, move=permute) -> str:
     """Permute all strings of the same character shape (digits, lower and upper letters)."""
     # letters of other alphabets become ASCII letters: none of the original's stays
     text = "".join(c if c.isascii() or not c.isalnum() else chr((65 if c.isupper() else 97) + ord(c) % 26) for c in text)
@@ -130,7 +142,7 @@ def _shape(text: str, key: bytes, label: str) -> str:
     for c, (base, n) in zip(text, kinds):
         if n > 1:
             value, size = value * n + ord(c) - ord(base), size * n
-    value = permute(value, size, key, label + "".join(k for k, _ in kinds))
+    value = move(value, size, key, label + "".join(k for k, _ in kinds))
     out = []
     for base, n in reversed(kinds):
         if n > 1:
@@ -251,20 +263,21 @@ def detect(text: str | None) -> list[Span]:
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     """The canonical form of the replacement under one attempt number."""
     label = f"{kind}|{attempt}|"
+    move = cycle if attempt == CYCLE else permute
     if kind == "card":
         n = len(canonical) - 2
-        body = canonical[0] + f"{permute(int(canonical[1:-1]), 10 ** n, key, label + canonical[0] + str(n)):0{n}d}"
+        body = canonical[0] + f"{move(int(canonical[1:-1]), 10 ** n, key, label + canonical[0] + str(n)):0{n}d}"
         return body + str(-luhn(body + "0") % 10)
     if kind == "ip":
         value = int.from_bytes(bytes(map(int, canonical.split("."))), "big")
         block = _ip_block(value)
         if block:
             bits = 32 - block[1]
-            value = block[0] << bits | permute(value & (1 << bits) - 1, 1 << bits, key, label + str(block))
+            value = block[0] << bits | move(value & (1 << bits) - 1, 1 << bits, key, label + str(block))
         else:
             while True:                                      # a walk of the permutation inside public unicast space
                 public = value >> 24 < 224
-                value = permute(value, 1 << 32, key, label)
+                value = move(value, 1 << 32, key, label)
                 if not _ip_block(value) and (value >> 24 < 224) == public:
                     break
         return ".".join(map(str, value.to_bytes(4, "big")))
@@ -280,7 +293,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     if kind in ("ssn", "phone"):
         out = canonical
         while True:                                          # stay inside the domain of valid numbers
-            out = _shape(out, key, label) if out[0] != "+" else out[:3] + _shape(out[3:], key, label + out[:3])
+            out = _shape(out, key, label, move) if out[0] != "+" else out[:3] + _shape(out[3:], key, label + out[:3], move)
             if kind == "ssn" and _canonical("ssn", f"{out[:3]}-{out[3:5]}-{out[5:]}") is None:
                 continue
             if kind == "phone" and len(out) == 10 and out[0] != "+" and canonical[0] > "1" and canonical[3] > "1" \
@@ -290,7 +303,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     if kind == "email":
         name, _, domain = canonical.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_shape(name, key, label + domain)}@{_shape(host, key, 'host|' + top)}.{top}"
+        return f"{_shape(name, key, label + domain)}{_longer(canonical, attempt, key)}@{_shape(host, key, 'host|' + top)}.{top}"
     if kind.startswith("given:"):
         _, gender, script = kind.split(":")
         names = GIVEN.get((gender, script)) or GIVEN[("m", script)] + GIVEN[("f", script)]
@@ -305,7 +318,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         script = kind.split(":")[1]
         parts = SYLLABLES[script]
         return "".join(_spell(hash_int(f"{attempt}|{canonical}", key), parts, SURNAME_LENGTH + attempt // 8))
-    return _shape(canonical, key, label)
+    return _shape(canonical, key, label) + _longer(canonical, attempt, key)
 
 
 def hash_int(s: str, key: bytes = b"") -> int:
@@ -321,7 +334,13 @@ def _spell(value: int, parts: tuple[str, ...], n: int) -> list[str]:
 
 
 def _suffix(canonical: str, attempt: int, script: str, key: bytes) -> str:
-    return "".join(_spell(hash_int(f"given|{attempt}|{canonical}", key), SYLLABLES[script], 2))
+    """Grows by a syllable every eight attempts, so that no number of people fills the names."""
+    return "".join(_spell(hash_int(f"given|{attempt}|{canonical}", key), SYLLABLES[script], 2 + attempt // 8))
+
+
+def _longer(canonical: str, attempt: int, key: bytes) -> str:
+    """Letters that widen the domain of a shape: none at first, one more every four attempts."""
+    return "".join(_spell(hash_int(f"shape|{attempt}|{canonical}", key), tuple("abcdefghijklmnopqrstuvwxyz"), attempt // 4))
 
 
 def render(kind: str, original: str, form: str) -> str:
@@ -366,6 +385,8 @@ def _drawn(kind: str, canonical: str, attempt: int, key: bytes) -> str:
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
                       T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType())])
 _FOUND = T.StructType([T.StructField("spans", T.ArrayType(_SPAN))])
+_PLACE = T.StructType([T.StructField("family", T.StringType()), T.StructField("domain", T.StringType()),
+                       T.StructField("size", T.DoubleType())])
 _FORM = T.StructType([T.StructField("form", T.StringType())])
 _TEXT = T.StructType([T.StructField("text", T.StringType())])
 
@@ -377,32 +398,77 @@ def _finder(text: str):
     return text_udf(make, _FOUND)(text)["spans"]
 
 
+def family(kind: str) -> str:
+    """Kinds whose forms may equal each other share a family, within which surrogates are kept apart."""
+    if kind.startswith(("given:", "surname:")):
+        return "name:" + kind.rsplit(":", 1)[1]
+    return "secret" if kind == "hex" else kind
+
+
+def domain(kind: str, canonical: str) -> tuple[str | None, float | None]:
+    """Name and size of the fixed domain that holds an entity and its surrogate; no name if it widens."""
+    if kind == "ip":
+        block = _ip_block(int.from_bytes(bytes(map(int, canonical.split("."))), "big"))
+        return f"ip|{block}", float(1 << (32 - block[1] if block else 31))
+    if kind == "card":
+        return f"card|{canonical[0]}|{len(canonical)}", float(10 ** (len(canonical) - 2))
+    if kind in ("ssn", "phone"):
+        fixed = canonical[:3] if canonical[0] == "+" else ""
+        return f"{kind}|{fixed}|{len(canonical)}", float(10 ** (len(canonical) - len(fixed)))
+    return None, None
+
+
 def attempts(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical, attempt > 0): entities whose first surrogate collided."""
+    """(kind, canonical, attempt, drawn): entities that aren't drawn as ``kind`` with attempt 0.
+
+    ``drawn`` is the kind to draw from: a given name whose gender no title tells has the gender
+    that the corpus knows for it (the first of two).
+    """
     def make():
         return lambda kinds, forms, tries: [(surrogate(k, c, a, key),) for k, c, a in zip(kinds, forms, tries)]
+
+    def place():
+        return lambda kinds, forms: [(family(k), *domain(k, c)) for k, c in zip(kinds, forms)]
     draw = text_udf(make, _FORM)("kind", "canonical", "attempt")["form"]
     originals = scratch(entities.select("kind", "canonical").distinct(), "surrogates-entities")
-    drawn = scratch(originals.withColumn("attempt", F.lit(0)).withColumn("form", draw), "surrogates-drawn")
+    told = (originals.filter(F.col("kind").rlike("^given:[fm]:"))
+            .groupBy(F.col("canonical").alias("c"), F.substring_index("kind", ":", -1).alias("script")).agg(F.min("kind").alias("drawn")))
+    unsure = originals.filter(F.col("kind").startswith("given:x:"))
+    alias = scratch(unsure.join(told, (F.col("canonical") == F.col("c")) & (F.substring_index("kind", ":", -1) == F.col("script")))
+                    .select(F.col("kind").alias("told_kind"), F.col("canonical").alias("told_name"), "drawn"), "surrogates-aliases")
+    own = originals.join(alias, (F.col("kind") == F.col("told_kind")) & (F.col("canonical") == F.col("told_name")), "left_anti")
+    placed = scratch(own.withColumn("at", text_udf(place, _PLACE)("kind", "canonical")).select("kind", "canonical", "at.*"),
+                     "surrogates-places")
+    # a domain over a quarter full is permuted as one cycle: distinct, and none keeps its own form
+    full = scratch(placed.filter("domain is not null").groupBy(F.col("domain").alias("d"))
+                   .agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("s")).filter(F.col("n") * 4.0 > F.col("s")).select("d"),
+                   "surrogates-full")
+    cycled = placed.join(full, F.col("domain") == F.col("d"), "left_semi").select("kind", "canonical", F.lit(CYCLE).alias("attempt"))
+    drawn = scratch(placed.join(full, F.col("domain") == F.col("d"), "left_anti").select("family", "kind", "canonical")
+                    .withColumn("attempt", F.lit(0)).withColumn("form", draw), "surrogates-drawn")
     while True:
         # of entities that share a surrogate, one keeps it: the one settled first, then the smallest
-        owner = drawn.groupBy("kind", "form").agg(F.min(F.struct("attempt", "canonical")).alias("own"),
-                                                  F.count(F.lit(1)).alias("n"))
-        shared = (drawn.join(owner.filter("n > 1").select(F.col("kind").alias("k"), F.col("form").alias("f"),
-                                                          F.col("own.canonical").alias("keeper")),
-                             (F.col("kind") == F.col("k")) & (F.col("form") == F.col("f")))
-                  .filter(F.col("canonical") != F.col("keeper")).select("kind", "canonical"))
-        taken = drawn.join(originals.select(F.col("kind").alias("k"), F.col("canonical").alias("f")),
-                           (F.col("kind") == F.col("k")) & (F.col("form") == F.col("f")), "left_semi").select("kind", "canonical")
+        owner = drawn.groupBy("family", "form").agg(F.min(F.struct("attempt", "canonical", "kind")).alias("own"),
+                                                    F.count(F.lit(1)).alias("n"))
+        shared = (drawn.join(owner.filter("n > 1").select(F.col("family").alias("k"), F.col("form").alias("f"),
+                                                          F.col("own.canonical").alias("keeper"), F.col("own.kind").alias("keeps")),
+                             (F.col("family") == F.col("k")) & (F.col("form") == F.col("f")))
+                  .filter((F.col("canonical") != F.col("keeper")) | (F.col("kind") != F.col("keeps"))).select("kind", "canonical"))
+        taken = drawn.join(placed.select(F.col("family").alias("k"), F.col("canonical").alias("f")),
+                           (F.col("family") == F.col("k")) & (F.col("form") == F.col("f")), "left_semi").select("kind", "canonical")
         again = scratch(shared.union(taken).distinct(), "surrogates-again")
         if again.isEmpty():
-            return drawn.filter("attempt > 0").select("kind", "canonical", "attempt")
+            break
         left = again.select(F.col("kind").alias("k"), F.col("canonical").alias("c"), F.lit(True).alias("redo"))
         marked = drawn.join(left, (F.col("kind") == F.col("k")) & (F.col("canonical") == F.col("c")), "left")
-        kept = marked.filter("redo is null").select("kind", "canonical", "attempt", "form")
-        redone = (marked.filter("redo").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
+        kept = marked.filter("redo is null").select("family", "kind", "canonical", "attempt", "form")
+        redone = (marked.filter("redo").select("family", "kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
                   .withColumn("form", draw))
         drawn = scratch(kept.unionByName(redone), "surrogates-drawn")
+    tries = drawn.filter("attempt > 0").select("kind", "canonical", "attempt").union(cycled)
+    named = alias.join(tries, (F.col("drawn") == F.col("kind")) & (F.col("told_name") == F.col("canonical")), "left").select(
+        F.col("told_kind").alias("kind"), F.col("told_name").alias("canonical"), F.coalesce("attempt", F.lit(0)).alias("attempt"), "drawn")
+    return tries.withColumn("drawn", F.col("kind")).unionByName(named)
 
 
 def replace(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, count: str | None = None) -> DataFrame:
@@ -418,18 +484,18 @@ def replace(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, count
                    "surrogates-hits")
     mentions = hits.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     again = attempts(mentions.select("kind", "canonical"), key).select(
-        F.col("kind").alias("k"), F.col("canonical").alias("c"), "attempt")
+        F.col("kind").alias("k"), F.col("canonical").alias("c"), "attempt", "drawn")
     redrawn = (mentions.join(again, (F.col("kind") == F.col("k")) & (F.col("canonical") == F.col("c")))
                .groupBy(F.col("row").alias("r"))
-               .agg(F.collect_list(F.struct("start", "attempt")).alias("redo")))   # bounded by one document's mentions
+               .agg(F.collect_list(F.struct("start", "attempt", "drawn")).alias("redo")))   # bounded by one document's mentions
 
     def make():
         def run(texts, spans, redo):
             out = []
             for t, ss, rs in zip(texts, spans, redo):
-                tries = {r["start"]: r["attempt"] for r in rs or ()}
-                out.append((rewrite(t, [(s["start"], s["stop"], s["kind"], s["canonical"], tries.get(s["start"], 0))
-                                        for s in ss], key),))
+                tries = {r["start"]: (r["drawn"], r["attempt"]) for r in rs or ()}
+                out.append((rewrite(t, [(s["start"], s["stop"], kind, s["canonical"], attempt) for s in ss
+                                        for kind, attempt in [tries.get(s["start"], (s["kind"], 0))]], key),))
             return out
         return run
     done = hits.join(redrawn, hits.row == redrawn.r, "left").select(

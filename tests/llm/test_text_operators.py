@@ -318,3 +318,31 @@ def test_secrets_and_names_are_taken_whole():
     assert surrogates.detect("password: ----------") == []
     for text in ("Mr. Johann Carl Friedrich Gauss came", "John Ronald Reuel Tolkien came"):
         assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == text.removeprefix("Mr. ").split()[:-1]
+
+
+def test_collisions_across_kinds_and_in_filled_domains(spark):
+    names = [("given:" + g + ":latin", n.casefold()) for g in "fm" for n in surrogates.GIVEN[(g, "latin")]]
+    names += [("given:x:latin", n) for n in ("robin", "kim", "alice")] + [("given:f:latin", "robin"), ("surname:latin", "alice")]
+    ips = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)]
+    mails = [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{c}@{d}.org") for c in "ab" for d in "yz"]
+    entities = names + ips + mails + [("secret", f"-------{i}") for i in range(10)]
+    again = {(r.kind, r.canonical): (r.drawn, r.attempt)
+             for r in surrogates.attempts(spark.createDataFrame(entities, "kind string, canonical string"), b"k").collect()}
+    drawn = {e: surrogates.surrogate(*(lambda k, a: (k, e[1], a))(*again.get(e, (e[0], 0))), b"k") for e in entities}
+    for fam in ("name:latin", "ip", "email", "secret"):
+        mine = {e: f for e, f in drawn.items() if surrogates.family(e[0]) == fam}
+        people = {e: f for e, f in mine.items() if again.get(e, (e[0],))[0] == e[0]}
+        assert len(set(people.values())) == len(people)
+        assert all(f != e[1] for e, f in mine.items())
+        assert fam == "ip" or not set(mine.values()) & {e[1] for e in mine}
+    for one in ("robin", "alice"):                       # one person, whatever the title tells
+        assert drawn[("given:x:latin", one)] == drawn[("given:f:latin", one)]
+
+
+def test_cycle_moves_every_value():
+    for size in (2, 10, 97, 256):
+        at, seen = 0, set()
+        while at not in seen:
+            seen.add(at)
+            at = surrogates.cycle(at, size, b"k", "x")
+        assert len(seen) == size and at == 0
