@@ -16,7 +16,8 @@ landmark under other names, shorter texts, other blocks of text, and blocks of p
 so that the trees learn features instead of one site's template.
 
 All pages are extracted whole.  Scripts, styles, head, and other invisible elements are
-markup and never text.
+markup and never text.  Self-closing ones (but scripts and styles) are empty; pictures, buttons and other
+nested ones without an end reach to the next block.
 
 Defined results: null and empty html give an empty text; html without a kept block
 gives an empty text; without any training page nothing is fitted and the teacher's
@@ -55,16 +56,19 @@ BAD = frozenset("nav navbar navigation menu menubar footer header masthead sideb
                 "sharing related recommended more widget breadcrumb breadcrumbs pagination pager newsletter subscribe signup "
                 "login search form toolbar tags meta copyright legal dfp taboola outbrain skip toc complementary contentinfo".split())
 TALK = frozenset("comment comments commentlist reply replies respond disqus discussion reviews guestbook feedback".split())
+#: Elements that are hidden with all they hold, and may nest.
+HELD = frozenset("svg canvas audio video object select button datalist applet".split())
 CLOSES_P = frozenset(KINDS) - {"html", "body"}
 WITHIN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)),
           "tr": ("tr", ("table", "tbody", "thead", "tfoot")), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|select|canvas|audio|video|object|button)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|(?:title|textarea|noscript|template|iframe)(?![^>]*/>))(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|</(?P<end>[a-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(?P<odd>[a-z][^\s/>]*)[^>]*(?:>|\Z)", re.I | re.S)
+_HELD = re.compile(rf"<(?:{'|'.join(sorted(HELD))})(?=[\s/>])", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[.,;:!?…。、]")
@@ -96,7 +100,10 @@ class Page:
                     self.runs.append([stack[-1], text, min(linked, len(text))])
                 run, linked = [], 0
 
+        held = self._held(source) if _HELD.search(source) else {}
         for m in _TOKEN.finditer(source):
+            if m.start() < at:                           # inside a hidden element
+                continue
             if m.start() > at:
                 piece = source[at:m.start()]
                 run.append(piece)
@@ -110,13 +117,17 @@ class Page:
                         link = True
                     elif name in ("br", "hr", "img", "input", "wbr"):
                         run.append("" if name == "wbr" else " ")
-                    elif name in SKIPPED and not (m["attrs"] or "").endswith("/"):
+                    elif m.start() in held:
+                        at = held[m.start()]
+                    elif name in SKIPPED and not (m["attrs"] or "").rstrip().endswith("/"):
                         flush()
                         stack.append(self._node(name, stack[-1], (), False))
                     continue
                 flush()
                 link = False
                 self._close(stack, "head", ())           # page content ends an unclosed head
+                while self.tag[stack[-1]] in HELD:       # or any other hidden element without an end
+                    stack.pop()
                 if name in CLOSES_P:
                     self._close(stack, "p", ("td", "li", "div", "article", "section", "main"))
                 if name in WITHIN:
@@ -149,6 +160,27 @@ class Page:
             run.append(source[at:])
         flush()
 
+    @staticmethod
+    def _held(source: str) -> dict[int, int]:
+        """Where hidden elements that have an end begin -> where they end; the block around them must not end before."""
+        ends: dict[int, int] = {}
+        stack: list[tuple[str, int]] = []
+        for m in _TOKEN.finditer(source):
+            name = (m["tag"] or m["odd"] or m["end"] or "").lower()
+            if name not in HELD and name not in KINDS:
+                continue
+            if not m["end"]:
+                if name in KINDS or not (m["attrs"] or "").rstrip().endswith("/"):
+                    stack.append((name, m.start()))
+                continue
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    if name in HELD:
+                        ends[stack[i][1]] = m.end()
+                    del stack[i:]
+                    break
+        return ends
+
     def _node(self, tag: str, parent: int, tokens: tuple, shown: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)

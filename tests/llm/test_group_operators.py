@@ -378,3 +378,19 @@ def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns[0] == "doc_id" and out.count() > 0
     assert isinstance(out.schema["length"].dataType, T.LongType)
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<p>a</p><svg class='i' /><article>whole <b>article</b></article>", "a|whole article"),
+    ("<p>a</p><svg><path/></svg><article>text</article>", "a|text"),
+    ("<p>one <svg><svg><text>in</text></svg>rest</svg>two</p>", "one two"),
+    ("<object>x<object>y</object>z</object><p>text</p>", "text"),
+    ("<div><button>label<article>text</article></div><p>more</p>", "text|more"),
+    ("<li><canvas>x</li><p>text</p><button>no</button>", "text"),
+    ("<p>a</p><iframe src='x'/><p>b</p>", "a|b"),
+    ("<p>a <button><div>label</div></button>b</p>", "a b"),
+    ("<select><option>1<option>2</select><video><p>fallback</p></video><p>text</p>", "text"),
+])
+def test_hidden_elements_hide_only_what_they_hold(html, want):
+    p = extract.Page(html)
+    assert p.text(np.array(p.shown)).replace("\n\n", "|") == want
