@@ -14,9 +14,10 @@ the most frequent ones that fit ``TABLE_BYTES``; other positions are coded from
 two-byte context.  Bytes never seen in training share one symbol class and pay 8 more
 bits each.  The tables (bounded by ``TABLE_BYTES``) are broadcast.
 
-The fitting sample is bounded: about ``SAMPLE_BYTES`` of text per language, chosen by
-a hash of doc_id among all labelled training documents (a language with less text is
-used whole).  Every document is scored whole.
+The fitting sample is bounded: about ``SAMPLE_BYTES`` of text per language, in pieces of
+``PIECE_BYTES`` chosen by a hash of document and place among all labelled training documents
+(a language with less text is used whole; of any other at least one piece is taken).  Every
+document is scored whole.
 
 Defined results: null text, or a text without a letter, is ``und`` with score 0; a
 null label is no training row; with no training rows all is ``und``.  Among equal code
@@ -35,6 +36,7 @@ from .common import crc_mod, scratch, small_batches, text_udf
 
 ORDER = 3
 SAMPLE_BYTES = 2_000_000
+PIECE_BYTES = 4096
 TABLE_BYTES = 48_000_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -50,11 +52,14 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(b"   " + text.encode("utf-8", "replace").lower(), np.uint8)
 
 
-def _grams(texts) -> list[tuple]:
+def _grams(texts, picks=None) -> list[tuple]:
+    """4-gram counts of whole texts, or of the picked pieces (each with the context before it)."""
     out = []
-    for t in texts:
+    for k, t in enumerate(texts):
         b = _bytes(t).astype(np.uint32)
         g = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+        if picks is not None:
+            g = np.concatenate([g[i * PIECE_BYTES:(i + 1) * PIECE_BYTES] for i in picks[k]])
         out.append(([{"gram": int(k), "n": int(n)} for k, n in zip(*np.unique(g, return_counts=True))],))
     return out
 
@@ -62,15 +67,20 @@ def _grams(texts) -> list[tuple]:
 def train_counts(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                  doc_id: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(lang, gram, n): 4-gram counts of the bounded training sample."""
+    def chance(piece):
+        """In [0, 1), by document and piece."""
+        return F.pmod(F.xxhash64("id", piece), F.lit(1 << 30)) / float(1 << 30)
     rows = (docs.filter(train & F.col(text).isNotNull() & F.col(lang).isNotNull())
-            .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id")))
+            .select(F.col(lang).alias("lang"), F.col(text).alias("text"),
+                    F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text)).alias("id")))
     # one row per language; written, so that the join sees its real size and needn't move the texts
-    share = scratch(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-                    .select(F.col("lang").alias("l"),
+    share = scratch(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(chance(F.lit(0))).alias("first"))
+                    .select(F.col("lang").alias("l"), "first",
                             (F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("share")), "ppm-shares")
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(share, rows.lang == share.l).filter(chance < F.col("share"))
-    return (picked.select("lang", F.explode(text_udf(lambda: _grams, _GRAMS)("text")["grams"]).alias("g"))
+    last = F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / F.lit(PIECE_BYTES)).cast("int")
+    picks = F.filter(F.sequence(F.lit(0), last), lambda i: (chance(i) < F.col("share")) | ((i == 0) & (chance(F.lit(0)) == F.col("first"))))
+    picked = rows.join(share, rows.lang == share.l).withColumn("picks", picks).filter(F.size("picks") > 0)
+    return (picked.select("lang", F.explode(text_udf(lambda: _grams, _GRAMS)("text", "picks")["grams"]).alias("g"))
             .groupBy("lang", F.col("g.gram").alias("gram")).agg(F.sum("g.n").alias("n")))
 
 

@@ -346,3 +346,15 @@ def test_cycle_moves_every_value():
             seen.add(at)
             at = surrogates.cycle(at, size, b"k", "x")
         assert len(seen) == size and at == 0
+
+
+def test_long_documents_are_sampled_in_pieces(spark):
+    long = [(i, (EN if la == "en" else DE) * 4000, la) for i, la in enumerate(["en", "en", "de", "de"])]
+    long += [(9, "un petit texte", "fr"), (None, "", "xx")]
+    df = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    n = {r[0]: r[1] for r in ppm.train_counts(df, F.lit(True), sample_bytes=100_000).groupBy("lang").agg(F.sum("n")).collect()}
+    assert n["fr"] == len("un petit texte") and all(30_000 < n[la] < 250_000 for la in ("en", "de"))
+    few = ppm.train_counts(df, F.lit(True), sample_bytes=1).select("lang").distinct().collect()
+    assert {r[0] for r in few} >= {"en", "de", "fr"}
+    whole = {(r.gram, r.n) for r in ppm.train_counts(df, F.lit(True), sample_bytes=10 ** 9).filter("lang = 'de'").collect()}
+    assert whole == {(g["gram"], 2 * g["n"]) for g in ppm._grams([DE * 4000])[0][0]}
