@@ -12,8 +12,10 @@ quartiles by mergeable sketches, then the outer fences ``quartile -/+ FENCE x
 interquartile range``, never narrower than a fixed tolerance around the quartile.
 Entropy grows with the length of a text and short texts vary more, so bands are also
 per size class (powers of two of the token count).  A document outside a band is
-rejected; a size class with fewer than ``LEAST`` documents uses the language's band of
-the first two figures, and a language with fewer has no band and rejects nothing.
+rejected.  A size class with fewer than ``LEAST`` documents is merged with its neighbours
+until its own documents can't move a quartile (entropy then has one tolerance more per
+merged class); a language with fewer uses the bands of its documents' script, and a script
+with fewer those of the whole corpus, so that every document has a band.
 
 Base rules: fewer than 50 words, or over half of the words in repeated 3-word windows.
 
@@ -48,15 +50,14 @@ TOLERANCE_ENTROPY = 0.3
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Scripts told apart where a document names no language.
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai")
-_SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS]
-
 FIGURES = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()),
     T.StructField("n_symbols", T.LongType()), T.StructField("n_dup_lines", T.LongType()),
     T.StructField("n_repeat_words", T.LongType()), T.StructField("base_failed", T.BooleanType()),
     T.StructField("n_pieces", T.LongType()), T.StructField("chars_per_token", T.DoubleType()),
     T.StructField("byte_share", T.DoubleType()), T.StructField("entropy", T.DoubleType()),
-    T.StructField("band_group", T.StringType())])
+    T.StructField("band_group", T.StringType()), T.StructField("script_group", T.StringType())])
+_RANGE = "bg string, sg string, bs long, source string, lo long, hi long"
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -91,11 +92,23 @@ def duplicate_lines(text: str) -> int:
     return n
 
 
+@lru_cache(maxsize=1)
+def _script_table() -> np.ndarray:
+    """Code point -> 1 + its place in ``SCRIPTS``, or 0."""
+    points = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000])
+    every = "".join(map(chr, points))
+    table = np.zeros(0x110000, np.uint8)
+    for k, s in enumerate(SCRIPTS, 1):
+        for m in regex.finditer(rf"\p{{Script={s}}}+", every):
+            table[points[m.start():m.end()]] = k
+    return table
+
+
 def script(text: str) -> str:
     """The script with the most letters."""
-    counts = [(len(p.findall(text)), -k, s) for k, (s, p) in enumerate(_SCRIPT)]
-    best = max(counts)
-    return best[2] if best[0] else "none"
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = np.bincount(_script_table()[points], minlength=len(SCRIPTS) + 1)[1:]
+    return SCRIPTS[int(counts.argmax())] if counts.any() else "none"
 
 
 class Fertility:
@@ -125,9 +138,10 @@ class Fertility:
             counts = np.unique(ids, return_counts=True)[1] / total
             per, share = chars / total, float(self.is_byte[ids].mean())
             entropy = float(-(counts * np.log2(counts)).sum()) + 0.0
-        group = None if not total else "lang:" + lang if lang is not None else "script:" + script(text)
+        written = "script:" + script(text) if total else None
+        group = None if not total else "lang:" + lang if lang is not None else written
         return (n, chars, len(SYMBOLS.findall(text or "")), duplicate_lines(text or ""), repeat, failed,
-                total, per, share, entropy, group)
+                total, per, share, entropy, group, written)
 
 
 @lru_cache(maxsize=4)
@@ -150,18 +164,60 @@ def _size_class(pieces: str) -> Column:
     return F.floor(F.log2(F.greatest(F.col(pieces), F.lit(1))))
 
 
-def bands(figures: DataFrame) -> DataFrame:
-    """Bands per (band_group, size_class) from figures with a ``text_key`` column.
+MEASURED = ("n_pieces", "chars_per_token", "byte_share", "entropy")
 
-    Size class -1 holds the band of the whole group, for sizes that have none of their own.
-    """
-    measured = ("n_pieces", "chars_per_token", "byte_share", "entropy")
-    once = (figures.filter(~F.col("base_failed") & F.col("band_group").isNotNull())
-            .groupBy("band_group", "text_key").agg(*[F.min(c).alias(c) for c in measured])
-            .withColumn("size_class", F.explode(F.array(_size_class("n_pieces"), F.lit(-1).cast("long")))))
-    q = once.groupBy("band_group", "size_class").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(c, [0.25, 0.75], 2000).alias(c) for c in measured[1:]]).filter(F.col("n") >= LEAST)
+
+def _once(figures: DataFrame, *groups: str) -> DataFrame:
+    """Figures of distinct texts per group that a document is in."""
+    return (figures.withColumn("source", F.explode(F.array(*groups)))
+            .groupBy("source", "text_key").agg(*[F.min(c).alias(c) for c in MEASURED])
+            .withColumn("size_class", _size_class("n_pieces")))
+
+
+def _range(sizes: dict[int, int], at: int) -> tuple[int, int]:
+    """Size classes to learn the band of class ``at`` from."""
+    if sizes.get(at, 0) >= LEAST:
+        return at, at
+    for d in range(1, 64):
+        if sum(n for k, n in sizes.items() if abs(k - at) <= d) >= 4 * LEAST:
+            return at - d, at + d
+    return 0, 63
+
+
+def bands(figures: DataFrame) -> DataFrame:
+    """Bands per (band_group, script_group, size_class) found in figures with a ``text_key`` column."""
+    spark = figures.sparkSession
+    good = figures.filter(~F.col("base_failed") & F.col("band_group").isNotNull())
+    once = scratch(_once(good, "band_group"), "fertility-once")
+
+    def sizes_of(texts):                                     # a handful of rows per group
+        sizes: dict[str, dict[int, int]] = {}
+        for r in texts.groupBy("source", "size_class").count().collect():
+            sizes.setdefault(r[0], {})[r[1]] = r[2]
+        return sizes
+    own = sizes_of(once)
+    if any(sum(n.values()) < LEAST for n in own.values()):
+        wider = scratch(_once(good, "script_group", F.lit("corpus")), "fertility-wider")
+        wide = sizes_of(wider)
+        # a group without a language has the same name and texts, or fewer, as its script
+        once = once.withColumn("level", F.lit(0)).unionByName(wider.withColumn("level", F.lit(1)))
+    else:
+        wide, once = {}, once.withColumn("level", F.lit(0))
+    keys = good.select("band_group", "script_group", _size_class("n_pieces").alias("k")).distinct().collect()
+    ranges = []
+    for group, written, k in keys:
+        level, source, sizes = 0, group, own[group]
+        for name in (written, "corpus"):
+            if sum(sizes.values()) < LEAST:
+                level, source, sizes = 1, name, wide[name]
+        ranges.append((group, written, k, source, *_range(sizes, k), level))
+    # written, so that the joins see their real size
+    ranges = scratch(spark.createDataFrame(ranges, _RANGE + ", at_level int").coalesce(1), "fertility-ranges")
+    wanted = scratch(ranges.select(F.col("source").alias("s"), "lo", "hi", "at_level").distinct().coalesce(1), "fertility-wanted")
+    q = (once.join(F.broadcast(wanted), (F.col("source") == F.col("s")) & (F.col("level") == F.col("at_level"))
+                   & F.col("size_class").between(F.col("lo"), F.col("hi")))
+         .groupBy("source", "at_level", "lo", "hi")
+         .agg(*[F.percentile_approx(c, [0.25, 0.75], 2000).alias(c) for c in MEASURED[1:]]))
 
     def low(c, tolerance):
         return F.col(c)[0] - F.greatest((F.col(c)[1] - F.col(c)[0]) * FENCE, tolerance)
@@ -169,12 +225,12 @@ def bands(figures: DataFrame) -> DataFrame:
     def high(c, tolerance):
         return F.col(c)[1] + F.greatest((F.col(c)[1] - F.col(c)[0]) * FENCE, tolerance)
     per = F.col("chars_per_token")[0] * TOLERANCE_CHARS
-    own = F.col("size_class") >= 0                           # entropy depends on size: no band for all sizes
-    return q.select(F.col("band_group").alias("bg"), F.col("size_class").alias("bs"),
-                    low("chars_per_token", per).alias("chars_low"), high("chars_per_token", per).alias("chars_high"),
-                    high("byte_share", F.lit(TOLERANCE_BYTES)).alias("byte_high"),
-                    F.when(own, low("entropy", F.lit(TOLERANCE_ENTROPY))).alias("entropy_low"),
-                    F.when(own, high("entropy", F.lit(TOLERANCE_ENTROPY))).alias("entropy_high"))
+    apart = F.least(F.col("hi") - F.col("lo"), F.lit(10)) * F.lit(TOLERANCE_ENTROPY / 2)      # classes on one side
+    return ranges.join(q, ["source", "at_level", "lo", "hi"]).select(
+        "bg", "sg", "bs", low("chars_per_token", per).alias("chars_low"), high("chars_per_token", per).alias("chars_high"),
+        high("byte_share", F.lit(TOLERANCE_BYTES)).alias("byte_high"),
+        (low("entropy", F.lit(TOLERANCE_ENTROPY)) - apart).alias("entropy_low"),
+        (high("entropy", F.lit(TOLERANCE_ENTROPY)) + apart).alias("entropy_high"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None,
@@ -189,14 +245,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
                                measure(docs, text, lang, vocabulary).alias("f")), "fertility")
     # a handful of rows per language; written, so that the join sees their real size
     band = scratch(bands(rows.select("text_key", "f.*")), "fertility-bands")
-    whole = band.filter("bs < 0").select(F.col("bg").alias("wg"), *[F.col(c).alias(f"w_{c}") for c in
-                                                                     ("chars_low", "chars_high", "byte_high")])
-    joined = (rows.join(band.filter("bs >= 0"), (rows.f.band_group == F.col("bg")) & (_size_class("f.n_pieces") == F.col("bs")), "left")
-              .join(whole, rows.f.band_group == F.col("wg"), "left"))
-
-    def edge(c):
-        return F.coalesce(c, f"w_{c}")
-    inside = (F.coalesce(F.col("f.chars_per_token").between(edge("chars_low"), edge("chars_high")), F.lit(True))
-              & F.coalesce(F.col("f.byte_share") <= edge("byte_high"), F.lit(True))
-              & F.coalesce(F.col("f.entropy").between(F.col("entropy_low"), F.col("entropy_high")), F.lit(True)))
-    return joined.select("doc", "f", (~F.col("f.base_failed") & inside).alias("kept"))
+    joined = rows.join(band, (rows.f.band_group == F.col("bg")) & (rows.f.script_group == F.col("sg"))
+                       & (_size_class("f.n_pieces") == F.col("bs")), "left")
+    inside = (F.col("f.chars_per_token").between(F.col("chars_low"), F.col("chars_high")) & (F.col("f.byte_share") <= F.col("byte_high"))
+              & F.col("f.entropy").between(F.col("entropy_low"), F.col("entropy_high")))
+    return joined.select("doc", "f", (~F.col("f.base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

@@ -358,3 +358,23 @@ def test_long_documents_are_sampled_in_pieces(spark):
     assert {r[0] for r in few} >= {"en", "de", "fr"}
     whole = {(r.gram, r.n) for r in ppm.train_counts(df, F.lit(True), sample_bytes=10 ** 9).filter("lang = 'de'").collect()}
     assert whole == {(g["gram"], 2 * g["n"]) for g in ppm._grams([DE * 4000])[0][0]}
+
+
+def test_sparse_languages_and_sizes_have_bands(spark):
+    rng = random.Random(2)
+    words = [a + b for a in ("river", "morning", "window", "letter", "people") for b in ("", "s", "land", "side", "man", "house", "time")]
+
+    def plain(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def noise(n):                                        # every base rule holds, no word does
+        return " ".join("".join(chr(0x10400 + rng.randrange(40)) for _ in range(6)) for _ in range(n))
+    clean = [(i, plain(rng.choice((150, 300))), "en") for i in range(160)] + [(200 + i, plain(n), "en") for i, n in enumerate((1500, 3000))]
+    clean += [(300, plain(200), "rare"), (301, plain(200), None)]
+    bad = [(1000, noise(200), "rare"), (1001, noise(200), "en"), (1002, noise(5000), "en"), (1003, noise(200), None),
+           (1004, " ".join(f"river{'*' * (1 + i % 60)}" for i in range(3000)), "rare")]
+    df = spark.createDataFrame(clean + bad, "doc_id long, text string, lang string")
+    got = {r.doc.doc_id: (r.f.base_failed, r.kept) for r in fertility.judge(df, carry=["doc_id"]).collect()}
+    assert all(got[i] == (False, True) for i, *_ in clean if not got[i][0]), got
+    assert not any(got[i][1] for i, *_ in bad), got
+    assert not got[1000][0]                              # rejected by a band
