@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, extract, fertility, lattice, packing, ppm, simhash, surrogates, wordbpe, wordpiece
+from . import (brown, centroids, extract, fertility, lattice, oracles, packing, ppm, replies, simhash, spelling, surrogates,
+               wordbpe, wordpiece)
 from .common import crc_mod, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +66,33 @@ def op10_gbt_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "main.text", "main.n_chars")
 
 
+#: A conversation whose texts look like control strings, beside those of the table.
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(PROBE, rows.schema))
+    found = replies.read_back(replies.conversations(*replies.turn_chain(rows)))
+    return found.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_simplex_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_pii_surrogates, op2_bpe_automaton, op3_tokeniser_fertility, op4_ppm_language,
     op5_lattice_neardup, op6_simhash_popcount, op7_brown_classes,
     op8_mixture_packing, op9_longest_match_counts, op10_gbt_extraction,
+    op11_reply_trees, op12_spelling_variants, op13_simplex_centroids,
 )}
 
 #: SQL by query name, where SQL can express the method.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_reply_trees": oracles.REPLIES, "op12_spelling_variants": oracles.SPELLING, "op13_simplex_centroids": oracles.CENTROIDS,
+}
