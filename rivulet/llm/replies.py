@@ -16,15 +16,15 @@ from a root to a leaf.
 
 The template marks each turn by its role.  Control strings inside texts and roles are escaped by a
 backslash after their first character (one more, where there are some already), which is reversible;
-in roles a backslash and a line break are written as ``\\\\`` and ``\\n`` as well.  The loss mask is a list of spans in code points, one
-for the text of each assistant turn, without the marks.
+in roles a backslash and a line break are written as ``\\\\`` and ``\\n`` as well.  The loss mask is a list of
+spans in code points, one for the text of each assistant turn, without the marks.
 
 Defined results: a null role or text is empty; a null conversation id is a conversation of its own; a
 parent that doesn't exist makes a root; on a cycle of replies the message numbered first is the root;
 of rows that share a message id the first in the order of parent, role, text and score counts; a null score
 is 0; equal scores rank by the order of leaves; texts of any length are formatted whole; an empty table gives
 an empty result; further columns aren't read.  Rows by turn are ordered by turn (null first), then role and
-text, and repeated rows are turns of their own.
+a hash of the text, and repeated rows are turns of their own.
 """
 
 from __future__ import annotations
@@ -159,9 +159,9 @@ def _without_cycles(links: DataFrame, endless: DataFrame, rounds: int) -> DataFr
             .select("node", F.col("parent").alias("up"), F.col("parent").alias("low")))
     for _ in range(rounds):
         step = scratch(_twice(step, F.least("a.low", "b.low").alias("low")), "replies-cycle")
-    heads = step.filter("low = node").select(F.col("node").alias("head"))
-    return (links.join(heads, links.node == heads.head, "left")
-            .select("node", F.when(F.col("head").isNull(), F.col("parent")).alias("parent"), "score"))
+    heads = step.filter("low = node").select(F.col("node").alias("least"))
+    return (links.join(heads, links.node == heads.least, "left")
+            .select("node", F.when(F.col("least").isNull(), F.col("parent")).alias("parent"), "score"))
 
 
 def branches(links: DataFrame, tables: list[DataFrame], keep: int | None = 1) -> DataFrame:
