@@ -59,6 +59,17 @@ def hold_states(active: DataFrame, step_ms: int, for_col: str = "for_ms",
             .drop("_k", "_gap_at", "_run_k"))
 
 
+def resolutions(states: DataFrame, step_ms: int, keys: Sequence[str] = ("alert", "lkey")) -> DataFrame:
+    """Where firing runs end: keys, ``active_since`` and ``t``, the first step at which the alert is missing.
+
+    ``states`` is the result of :func:`hold_states`; a run is a (key, ``active_since``) group, and it fired if its
+    last step lies ``for`` after its first one.
+    """
+    runs = states.groupBy(*keys, "active_since").agg(F.max("t").alias("_last"), F.max("for_ms").alias("_for"))
+    return (runs.where(F.col("_last") - F.col("active_since") >= F.col("_for"))
+            .select(*keys, "active_since", (F.col("_last") + F.lit(step_ms)).alias("t")))
+
+
 # ---------------------------------------------------------------- templates
 
 _TOKEN = re.compile(r"\{\{\s*(\$labels\.([A-Za-z_][A-Za-z0-9_]*)|\$value(?:\s*\|\s*(humanizePercentage|humanize))?)\s*\}\}")

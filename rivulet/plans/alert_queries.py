@@ -297,6 +297,20 @@ def q_alert_no_traffic(spark, sf):
 _reg("alert_for", [r.alert for r in RULES], DENSE)
 
 
+@register("alert_resolved", oracle=f"""SELECT alert, lkey, severity, active_since, MAX(t) + {DENSE.step_ms // 1000} AS t
+FROM ({evaluate_sql([r.alert for r in RULES], DENSE)}) ev
+GROUP BY alert, lkey, severity, active_since HAVING bool_or(state = 'firing')""")
+def q_alert_resolved(spark, sf):
+    """The ends of all alerts that fired: the step from which each one is resolved."""
+    names = [r.alert for r in RULES]
+    held = al.hold_states(active_elements(SampleSource(spark, sf), names, DENSE), DENSE.step_ms)
+    ends = al.resolutions(held, DENSE.step_ms)
+    severity = F.create_map(*[F.lit(x) for r in RULES for x in (r.alert, r.severity)])
+    return ends.select("alert", "lkey", F.element_at(severity, F.col("alert")).alias("severity"),
+                       (F.col("active_since") / 1000).cast("bigint").alias("active_since"),
+                       (F.col("t") / 1000).cast("bigint").alias("t"))
+
+
 @register("severity_map", oracle=f"""SELECT severity, severity_level, state, COUNT(*) AS n_rows,
        COUNT(DISTINCT alert) AS n_alerts
 FROM ({evaluate_sql([r.alert for r in RULES], DENSE)}) ev

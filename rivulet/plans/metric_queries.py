@@ -126,11 +126,14 @@ def q_scalar_arith(spark, sf):
     return out(ts.arith(ts.aggregate(i, "sum", ["pod"]), "*", 1000))
 
 
-@register("ratio_vector", oracle=_sql(
+RATIO_SQL = _sql(
     q.sel("a", "jvm_memory_bytes_used", [("area", "=", "heap")]),
     q.sel("b", "jvm_memory_bytes_max", [("area", "=", "heap")]),
     q.instant("ia", "a", STEP, LOOKBACK), q.instant("ib", "b", STEP, LOOKBACK),
-    q.binary("v", "ia", "ib", "/")))
+    q.binary("v", "ia", "ib", "/"))
+
+
+@register("ratio_vector", oracle=RATIO_SQL)
 def q_ratio_vector(spark, sf):
     s = S(spark, sf)
     a = ts.instant(ts.select_series(s, "jvm_memory_bytes_used", [("area", "=", "heap")]), STEP, LOOKBACK)
@@ -163,12 +166,18 @@ def q_compare_filter(spark, sf):
 
 # ---------------------------------------------------------------- range functions
 
-@register("rate_5m", oracle=_sql(q.sel("s", MSGS), q.increase("v", "s", RANGE, STEP, True)))
+RATE_5M_SQL = _sql(q.sel("s", MSGS), q.increase("v", "s", RANGE, STEP, True))
+RATE_DENSE_SQL = _sql(q.sel("s", CPU), q.increase("v", "s", DRANGE, DSTEP, True))
+DELTA_5M_SQL = _sql(q.sel("s", LAG), q.delta("v", "s", RANGE, STEP))
+DELTA_DENSE_SQL = _sql(q.sel("s", LAG), q.delta("v", "s", DRANGE, DSTEP))
+
+
+@register("rate_5m", oracle=RATE_5M_SQL)
 def q_rate_5m(spark, sf):
     return out(ts.rate(ts.select_series(S(spark, sf), MSGS), RANGE, STEP))
 
 
-@register("rate_dense", oracle=_sql(q.sel("s", CPU), q.increase("v", "s", DRANGE, DSTEP, True)))
+@register("rate_dense", oracle=RATE_DENSE_SQL)
 def q_rate_dense(spark, sf):
     return out(ts.rate(ts.select_series(S(spark, sf), CPU), DRANGE, DSTEP))
 
@@ -181,12 +190,12 @@ def q_increase_dense(spark, sf):
                            DRANGE, DSTEP))
 
 
-@register("delta_5m", oracle=_sql(q.sel("s", LAG), q.delta("v", "s", RANGE, STEP)))
+@register("delta_5m", oracle=DELTA_5M_SQL)
 def q_delta_5m(spark, sf):
     return out(ts.delta(ts.select_series(S(spark, sf), LAG), RANGE, STEP))
 
 
-@register("delta_dense", oracle=_sql(q.sel("s", LAG), q.delta("v", "s", DRANGE, DSTEP)))
+@register("delta_dense", oracle=DELTA_DENSE_SQL)
 def q_delta_dense(spark, sf):
     return out(ts.delta(ts.select_series(S(spark, sf), LAG), DRANGE, DSTEP))
 

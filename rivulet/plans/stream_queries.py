@@ -9,16 +9,19 @@ a batch read of what the sink holds -- the state a pull query would see.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators import orders as op
+from ..operators import timeseries as ts
 from ..sources.orders import order_stream
 from ..sources.samples import SampleSource
 from ..sources.tables import listings
 from ..sources.topic import PARTITIONS, order_records
-from ..streaming import alert_state, sources as src, storage, tables
+from ..streaming import alert_state, panes, sources as src, storage, tables
 from ..streaming.sinks import KeyedTable, OrdersSink, read_dead_letters
 from . import alert_queries as aq
+from . import metric_queries as mq
 from . import order_queries as oq
 from .registry import register, round6, rounded
 from ..plans.topic_queries import REC
@@ -226,24 +229,141 @@ def q_sink_dlq(spark, sf):
 # ---------------------------------------------------------------- streaming alert hold
 
 ALERT_COLS = "alert, t, lkey, state, active_since, value"
+RULE_NAMES = [r.alert for r in aq.RULES]
+ACTIVE = "alert string, lkey string, t long, value double, for_ms long"
 
 
-@register("alert_for_stream", oracle=f"SELECT {ALERT_COLS} FROM ({aq.evaluate_sql([r.alert for r in aq.RULES], aq.DENSE)}) e")
-def q_alert_for_stream(spark, sf):
-    """The rule set's ``for`` holds computed by a stateful stream over the
-    active elements, delivered in time order."""
-    p = aq.DENSE
-    path, files = src.stage_topic(
-        spark, "alert-active", (sf, listings(spark, sf, "events")),
-        lambda: aq.active_elements(SampleSource(spark, sf), [r.alert for r in aq.RULES], p)
-        .select("alert", "lkey", "t", "value", "for_ms"),
-        order_col="t", chunks=CHUNKS)
-    active = src.file_stream(spark, path, "alert string, lkey string, t long, value double, for_ms long",
-                             max_files_per_trigger=files)
+def _closed(rows, column, after_ms: int, **marks):
+    """``rows`` and one closing row ``after_ms`` past the newest: it moves the watermark past all of them.
+
+    (A live topic needs none: its next records do that.)  ``marks`` are columns of the closing row.
+    """
+    last = rows.agg(F.max(column).alias("_last")).where("_last is not null")
+    cells = [(F.col("_last") + F.lit(after_ms)).alias(f.name) if f.name == column
+             else F.lit(marks.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    return rows.unionByName(last.select(*cells))
+
+
+def alert_life(spark, sf, names, p: aq.Params, rows_per_file=src.ROWS_PER_FILE):
+    """Pending, firing and resolved states of rules, by a stateful stream over their active elements."""
+    def build():
+        rows = aq.active_elements(SampleSource(spark, sf), names, p).select("alert", "lkey", "t", "value", "for_ms")
+        return _closed(rows, "t", 2 * p.step_ms, alert="", lkey="", value=0.0, for_ms=0)
+    path, files = src.stage_topic(spark, "alert-steps", (sf, listings(spark, sf, "events"), *names, p), build, order_col="t",
+                                  chunks=CHUNKS, rows_per_file=rows_per_file)
+    active = src.file_stream(spark, path, ACTIVE, max_files_per_trigger=files)
     out, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
     q = tables.run_append(alert_state.hold_stream(active, p.step_ms), out, ck)
     q.awaitTermination()
-    r = alert_state.on_time(spark.read.schema(alert_state.OUTPUT_SCHEMA).parquet(out))
+    if alert_state.dropped_rows(q):
+        raise RuntimeError(f"{alert_state.dropped_rows(q)} active steps came too late")
+    r = spark.read.schema(alert_state.OUTPUT_SCHEMA).parquet(out).where("alert <> ''")
     return r.select("alert", (F.col("t") / 1000).cast("bigint").alias("t"), "lkey", "state",
                     (F.col("active_since") / 1000).cast("bigint").alias("active_since"),
                     round6("value").alias("value"))
+
+
+_HOLDS = f"SELECT {ALERT_COLS} FROM ({aq.evaluate_sql(RULE_NAMES, aq.DENSE)}) e"
+
+
+@register("alert_for_stream", oracle=_HOLDS)
+def q_alert_for_stream(spark, sf):
+    """The rule set's ``for`` holds computed by a stateful stream over the
+    active elements, delivered in time order."""
+    return alert_life(spark, sf, RULE_NAMES, aq.DENSE).where(F.col("state") != F.lit(alert_state.RESOLVED))
+
+
+@register("alert_lifecycle_stream", oracle=f"""WITH held AS ({_HOLDS})
+SELECT * FROM held UNION ALL
+SELECT alert, MAX(t) + {aq.DENSE.step_ms // 1000} AS t, lkey, 'resolved' AS state, active_since, NULL AS value
+FROM held GROUP BY alert, lkey, active_since HAVING bool_or(state = 'firing')""")
+def q_alert_lifecycle_stream(spark, sf):
+    """The holds with their ends: a firing alert whose next step is missing is resolved there."""
+    return alert_life(spark, sf, RULE_NAMES, aq.DENSE)
+
+
+# ---------------------------------------------------------------- streaming vectors
+
+SAMPLE = "metric string, series string, lkey string, ts long, sample_id long, value double"
+HEARTBEAT = "-"            # no label set is written so
+
+
+def _sample_stream(spark, sf, selectors, range_ms: int, step_ms: int):
+    """Samples of selectors (metric, matchers) as a stream in time order, with a closing row."""
+    source = SampleSource(spark, sf)
+
+    def build():
+        rows = None
+        for metric, matchers in selectors:
+            s = ts.select_series(source, metric, matchers).select(*[c.split()[0] for c in SAMPLE.split(", ")])
+            rows = s if rows is None else rows.unionByName(s)
+        return _closed(rows, "ts", range_ms + 2 * step_ms + 600_000, series=HEARTBEAT, lkey=HEARTBEAT, metric=HEARTBEAT)
+    path, files = src.stage_topic(spark, "samples", (sf, listings(spark, sf, "events"), selectors, range_ms, step_ms),
+                                  build, order_col="ts", chunks=CHUNKS)
+    return src.file_stream(spark, path, SAMPLE, max_files_per_trigger=files)
+
+
+def _vector(spark, stream):
+    """What an append-mode vector stream has put out once its topic is read to the end."""
+    out, ck = storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "streams")
+    q = tables.run_append(stream.select("t", "lkey", "value"), out, ck)
+    q.awaitTermination()
+    if alert_state.dropped_rows(q):
+        raise RuntimeError(f"{alert_state.dropped_rows(q)} samples came too late")
+    return mq.out(spark.read.schema("t long, lkey string, value double").parquet(out).where(F.col("lkey") != F.lit(HEARTBEAT)))
+
+
+def _vector_query(spark, sf, metric, kind, range_ms, step_ms):
+    s = _sample_stream(spark, sf, [(metric, ())], range_ms, step_ms)
+    return _vector(spark, panes.vector_stream(s, kind, range_ms, step_ms))
+
+
+@register("rate_5m_stream", oracle=mq.RATE_5M_SQL)
+def q_rate_5m_stream(spark, sf):
+    """``rate(counter[5m])`` every minute, continuously: panes of a minute, merged per series."""
+    return _vector_query(spark, sf, mq.MSGS, "rate", mq.RANGE, mq.STEP)
+
+
+@register("rate_dense_stream", oracle=mq.RATE_DENSE_SQL)
+def q_rate_dense_stream(spark, sf):
+    return _vector_query(spark, sf, mq.CPU, "rate", mq.DRANGE, mq.DSTEP)
+
+
+@register("delta_5m_stream", oracle=mq.DELTA_5M_SQL)
+def q_delta_5m_stream(spark, sf):
+    """``delta(gauge[5m])`` every minute, continuously."""
+    return _vector_query(spark, sf, mq.LAG, "delta", mq.RANGE, mq.STEP)
+
+
+@register("delta_dense_stream", oracle=mq.DELTA_DENSE_SQL)
+def q_delta_dense_stream(spark, sf):
+    return _vector_query(spark, sf, mq.LAG, "delta", mq.DRANGE, mq.DSTEP)
+
+
+@register("ratio_vector_stream", oracle=mq.RATIO_SQL)
+def q_ratio_vector_stream(spark, sf):
+    """Used over maximal heap, continuously: a stream-stream join of two instant vectors by step and label set."""
+    selectors = [(m, (("area", "=", "heap"),)) for m in ("jvm_memory_bytes_used", "jvm_memory_bytes_max")]
+    samples = _sample_stream(spark, sf, selectors, mq.LOOKBACK, mq.STEP)
+
+    def side(metric):
+        # the closing row goes on as a series of its own on both sides, so both watermarks move
+        rows = samples.where(F.col("metric").isin(metric, HEARTBEAT))
+        return panes.vector_stream(rows, "instant", mq.LOOKBACK, mq.STEP)
+    return _vector(spark, panes.divided(side("jvm_memory_bytes_used"), side("jvm_memory_bytes_max"), ts.ieee_divide))
+
+
+@register("stream_hopping_panes", oracle=oq.HOPPING_SQL)
+def q_stream_hopping_panes(spark, sf):
+    """The hopping table from one pane per (state, minute): appended once each window is closed."""
+    day = 86_400_000
+    path, files = src.stage_topic(
+        spark, "orders-closed", (sf, listings(spark, sf, *ORDER_TABLES)),
+        lambda: _closed(order_stream(spark, sf).withColumn("closing", F.lit(False)), "ordertime", day + 600_000, closing=True),
+        order_col="ordertime", chunks=CHUNKS)
+    orders = src.file_stream(spark, path, T.StructType([*S.ORDER.fields, T.StructField("closing", T.BooleanType())]), files)
+    state = F.when(F.col("closing"), F.lit(HEARTBEAT)).otherwise(F.col("address.state"))
+    named = src.with_event_time(orders).select("event_time", "orderunits", F.struct(state.alias("state")).alias("address"))
+    out = _appended(spark, panes.hopping_by_state(named, 300_000, 60_000, tables.DEFAULT_LATENESS),
+                    "state string, window_start bigint, window_end bigint, order_count bigint, avg_units double")
+    return rounded(out.where(~F.col("state").eqNullSafe(HEARTBEAT)), "avg_units")

@@ -68,3 +68,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A sub-path under the shared checkpoint root (streams, staged tables)."""
     return os.path.join(checkpoint_root(spark), *parts)
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers of this session find the package where the driver found it.
+
+    Needed where the driver got it from ``sys.path`` alone; a cluster that ships the package
+    (``--py-files``) is not affected.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))

@@ -15,9 +15,7 @@ from . import storage
 
 
 ROWS_PER_FILE = 2_000_000
-#: Rows that the smallest range leaves each file: by hash, none stays empty.
-MIN_ROWS_PER_FILE = 60
-STAGE_FORMAT = "4"          # part of the staging key: bump when the layout changes
+STAGE_FORMAT = "5"          # part of the staging key: bump when the layout changes
 
 
 def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
@@ -27,12 +25,11 @@ def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[],
 
     Returns ``(path, files_per_chunk)``.  With ``order_col`` the rows are cut into
     ``chunks`` consecutive ranges of that column, written one range after the other.  Each
-    range is dealt by a hash of the whole row into the same number ``F`` of files, so a
-    range with one value (a hot topic partition) is still written by ``F`` tasks, and a file
-    stream reading ``F`` files per trigger delivers exactly one range per micro-batch.
-    ``F`` follows the largest range, but leaves the smallest one some rows per
-    file; the files found are counted after every range and anything but ``F`` is an
-    error, so the delivery never depends on size unnoticed.
+    range is dealt by a hash of the whole row into at most ``F`` files, so a range with one
+    value (a hot topic partition) is still written by ``F`` tasks.  ``F`` follows the largest
+    range.  A range with fewer files (few rows, or none) is filled up with empty ones, so
+    every range has exactly ``F`` and a file stream reading ``F`` files per trigger delivers
+    exactly one range per micro-batch, whatever the sizes; the files are counted after every range.
 
     The folder is keyed by ``key``, which must name the state of the inputs (see
     ``tables.listings``); a complete folder is reused.
@@ -55,18 +52,19 @@ def stage_topic(spark: SparkSession, name: str, key: tuple, build: Callable[[],
             lo, width = b["lo"] or 0, -(-((b["hi"] or 0) + 1 - (b["lo"] or 0)) // chunks)
             cid = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int")
             sizes = [r["n"] for r in df.groupBy(cid.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()]   # <= chunks rows
-            files = max(1, min(-(-max(sizes, default=0) // rows_per_file), min(sizes, default=0) // MIN_ROWS_PER_FILE))
+            files = max(1, -(-max(sizes, default=0) // rows_per_file))
+            empty = spark.createDataFrame([], df.schema).coalesce(1)
             # the bits of the hash above those that repartition() itself would use
             spread = F.pmod(F.shiftright(F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), 17),
                             F.lit(1 << 20))
-            written = 0
             for i in range(chunks):      # a bounded number of sequential writes, in order
                 part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
                 part.repartition(files, spread).write.mode("append").parquet(path + "/data")
+                for _ in range((i + 1) * files - storage.count_files(spark, path + "/data", ".parquet")):
+                    empty.write.mode("append").parquet(path + "/data")
                 found = storage.count_files(spark, path + "/data", ".parquet")
-                if len(sizes) == chunks and found != written + files:
-                    raise RuntimeError(f"range {i} of {name} has {found - written} files instead of {files}")
-                written = found
+                if found != (i + 1) * files:
+                    raise RuntimeError(f"ranges 0 .. {i} of {name} have {found} files instead of {(i + 1) * files}")
         finally:
             df.unpersist()
     spark.createDataFrame([(files,)], "files int").write.mode("overwrite").parquet(marker)

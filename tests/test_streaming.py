@@ -214,9 +214,11 @@ def test_retries_raise_lasting_errors_at_once(spark):
 # --- the streaming hold ----------------------------------------------------------------------
 
 ACTIVE = "alert string, lkey string, t long, value double, for_ms long"
+CLOSE = ("", "", 10**9, 0.0, 0)               # moves the watermark past everything
 
 
-def _stream_hold(spark, files, arrow_rows):
+def _stream_hold(spark, files, arrow_rows=1000, lateness="0 seconds"):
+    """(states as (alert, lkey, step, state, first step), the query) of active rows, one file per micro-batch."""
     path = storage.fresh_path(spark, "hold")
     for rows in files:
         spark.createDataFrame(rows, ACTIVE).coalesce(1).write.mode("append").parquet(path + "/data")
@@ -226,30 +228,62 @@ def _stream_hold(spark, files, arrow_rows):
     out = storage.fresh_path(spark, "hold-out")
     try:
         stream = src.file_stream(spark, path, ACTIVE, 1)
-        tables.run_append(alert_state.hold_stream(stream, 60_000), out, storage.fresh_path(spark, "ck")).awaitTermination()
+        q = tables.run_append(alert_state.hold_stream(stream, 60_000, lateness), out, storage.fresh_path(spark, "ck"))
+        q.awaitTermination()
     finally:
         spark.conf.set(key, old)
-    return spark.read.schema(alert_state.OUTPUT_SCHEMA).parquet(out)
-
-
-def test_hold_keeps_groups_larger_than_an_arrow_batch(spark):
-    rows = [("A", "{}", k * 60_000, 1.0, 300_000) for k in reversed(range(10))]
-    got = {r.t // 60_000: r.state for r in _stream_hold(spark, [rows], 3).collect()}
-    assert got == {k: "firing" if k >= 5 else "pending" for k in range(10)}
-
-
-def test_hold_keeps_groups_that_share_arrow_batches(spark):
-    rows = [("A", f"g{g}", k * 60_000, 1.0, 0) for g in range(4) for k in reversed(range(6))]
-    assert alert_state.on_time(_stream_hold(spark, [rows], 10)).count() == 24
-
-
-def test_hold_reports_steps_that_come_too_late(spark):
+    got = spark.read.schema(alert_state.OUTPUT_SCHEMA).parquet(out).collect()
+    return sorted((r.alert, r.lkey, r.t // 60_000, r.state, r.active_since // 60_000) for r in got if r.alert), q
+
+
+def _plain_hold(rows):
+    """The same for rows (alert, lkey, t, value, for_ms), step by step."""
+    out = []
+    steps = {}
+    for a, k, t, _, f in rows:
+        steps.setdefault((a, k), {})[t // 60_000] = f // 60_000
+    for (a, k), ts in steps.items():
+        since = None
+        for n in range(min(ts), max(ts) + 2):
+            if n in ts:
+                since = n if since is None else since
+                state = "firing" if n - since >= ts[n] else "pending"
+                out.append((a, k, n, state, since))
+            elif since is not None:
+                if state == "firing":
+                    out.append((a, k, n, "resolved", since))
+                since = None
+    return sorted(out)
+
+
+def test_hold_resolves_and_frees_its_state(spark):
+    runs = [range(100, 110), range(112, 114), range(120, 131)]
+    rows = [("A", f"g{g}", k * 60_000, 1.0, 60_000 * g) for g in range(5) for run in runs for k in run]
+    rows += [("B", "once", 107 * 60_000, 1.0, 0)]
+    files = [[r for r in rows if lo <= r[2] // 60_000 < hi] for lo, hi in ((100, 105), (105, 113), (113, 125), (125, 199))]
+    got, q = _stream_hold(spark, [*files, [CLOSE]], arrow_rows=3)
+    assert got == _plain_hold(rows) and {s for *_, s, _ in got} == {"pending", "firing", "resolved"}
+    assert alert_state.dropped_rows(q) == 0
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2              # the closing row's own run
+
+
+def test_hold_takes_rows_out_of_order_within_the_lateness(spark):
+    import random
+    rng = random.Random(4)
+    rows = [("A", f"g{g}", k * 60_000, 1.0, 120_000) for g in range(4) for k in range(50, 90) if rng.random() < 0.8]
+    moved = sorted(rows + rows[:9], key=lambda r: r[2] + rng.randrange(600_000))              # some delivered twice
+    files = [moved[i * 30:(i + 1) * 30] for i in range(-(-len(moved) // 30))]
+    got, q = _stream_hold(spark, [*files, [CLOSE]], lateness="20 minutes")
+    assert got == _plain_hold(rows) and alert_state.dropped_rows(q) == 0
+
+
+def test_hold_counts_steps_that_come_too_late(spark):
     first = [("A", "{}", k * 60_000, 1.0, 0) for k in (3, 4)]
-    then = [("A", "{}", k * 60_000, 1.0, 120_000) for k in (2, 4, 5)]
-    got = _stream_hold(spark, [first, then], 1000)
-    assert sorted((r.t // 60_000, r.state) for r in got.collect()) == [
-        (2, "late"), (3, "firing"), (4, "firing"), (4, "late"), (5, "firing")]
-    assert [r.late for r in alert_state.late_steps(got).collect()] == [2]
+    then = [("A", "{}", 9 * 60_000, 1.0, 0)]
+    late = [("A", "{}", k * 60_000, 1.0, 0) for k in (2, 3, 12)]
+    got, q = _stream_hold(spark, [first, then, late, [CLOSE]])
+    assert [g[2:4] for g in got if g[3] == "firing"] == [(3, "firing"), (4, "firing"), (9, "firing"), (12, "firing")]
+    assert alert_state.dropped_rows(q) == 2
 
 
 # --- staging ---------------------------------------------------------------------------------
