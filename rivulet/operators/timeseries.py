@@ -173,9 +173,14 @@ _OPS = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >
         "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
 
+def compare_values(a: Column, op: str, b) -> Column:
+    """``a OP b`` for a comparison operator given by name."""
+    return _OPS[op](a, b if isinstance(b, Column) else F.lit(b))
+
+
 def compare(vec: DataFrame, op: str, scalar: float) -> DataFrame:
     """``vec OP scalar`` as a filter: matching elements keep their value."""
-    return vec.where(_OPS[op](F.col("value"), F.lit(scalar)))
+    return vec.where(compare_values(F.col("value"), op, scalar))
 
 
 def arith(vec: DataFrame, op: str, scalar: float) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.time import duration_seconds
 from ..operators import alerts as al
 from ..sources.samples import SampleSource
+from . import rules
 from . import sqlgen as q
 from .registry import register, round6
-from .vexpr import Agg, Bin, Cmp, Delta, Inst, Params, Rate, Vectors
+from .vexpr import Agg, Bin, Cmp, Delta, Inst, Params, Rate
 
 REF = Params(step_ms=60_000, lookback_ms=300_000)                         # 60 s groups
 DENSE = Params(step_ms=3_600_000, lookback_ms=7_200_000, range_scale=72)  # 1 h grid, 6 h ranges
@@ -150,16 +151,11 @@ GROUPS = {
 # ---------------------------------------------------------------- Spark side
 
 def active_elements(samples, names, p: Params):
-    """Union of every rule's active elements with the rule's hold."""
-    if len(names) > 1:
-        samples = Vectors(samples, [EXPR_TREE[n] for n in names], p)
-    out = None
-    for n in names:
-        hold = int(RULE_BY_NAME[n].for_s * 1000)
-        v = EXPR_TREE[n].df(samples, p).select(F.lit(n).alias("alert"), "t", "labels", "lkey", "value",
-                                               F.lit(hold).cast("bigint").alias("for_ms"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    """Every rule's active elements with the rule's hold."""
+    found = rules.evaluate(samples, {n: EXPR_TREE[n] for n in names}, p)
+    hold = F.create_map(*[F.lit(x) for n in names for x in (n, int(RULE_BY_NAME[n].for_s * 1000))])
+    return found.select(F.col("rule").alias("alert"), "t", "labels", "lkey", "value",
+                        F.element_at(hold, F.col("rule")).cast("bigint").alias("for_ms"))
 
 
 def annotate(states, names):
@@ -168,13 +164,13 @@ def annotate(states, names):
     Placed above the hold's window, so that the value is printed by one expression for all
     rules instead of one per branch of the union.
     """
-    rules = [RULE_BY_NAME[n] for n in names]
-    forms = al.number_forms([x for r in rules for x in (r.summary, r.description)])
+    chosen = [RULE_BY_NAME[n] for n in names]
+    forms = al.number_forms([x for r in chosen for x in (r.summary, r.description)])
     texts = {f: F.col(f"_text_{f}") for f in forms}
 
     def by_rule(make):
         case = None
-        for r in rules:
+        for r in chosen:
             hit = (F.col("alert") == F.lit(r.alert), make(r))
             case = F.when(*hit) if case is None else case.when(*hit)
         return case
@@ -355,11 +351,7 @@ SIGNALS = {
 
 
 def tiered(samples, p: Params):
-    samples = Vectors(samples, list(SIGNALS.values()), p)
-    parts = [SIGNALS[s].df(samples, p).select(F.lit(s).alias("signal"), "t", "lkey", "value") for s in SIGNALS]
-    sig = parts[0]
-    for x in parts[1:]:
-        sig = sig.unionByName(x)
+    sig = rules.evaluate(samples, SIGNALS, p).select(F.col("rule").alias("signal"), "t", "lkey", "value")
     tiers = samples.spark.createDataFrame(TIERS, al.TIER_SCHEMA)
     m = al.tier_matches(sig, tiers).withColumn("for_ms", (F.col("for_s") * 1000).cast("bigint"))
     st = al.hold_states(m, p.step_ms, keys=("signal", "tier", "lkey"))

@@ -11,11 +11,8 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
-
 from ..functions.labels import all_match
 from ..operators import timeseries as ts
-from ..streaming import storage
 from . import sqlgen as q
 
 
@@ -47,11 +44,6 @@ class Node:
     def sql(self, ctes: list, p: Params) -> str:
         raise NotImplementedError
 
-    def leaves(self) -> list:
-        """The selectors (Inst, Rate, Delta) of the expression."""
-        found = [x.leaves() for x in (getattr(self, a, None) for a in ("child", "left", "right")) if isinstance(x, Node)]
-        return [x for xs in found for x in xs] if found else [self]
-
 
 @dataclass(frozen=True)
 class Inst(Node):
@@ -62,8 +54,6 @@ class Inst(Node):
         # The per-series pick does not depend on the matchers (they are
         # constant within a series), so the metric's instant vector is built
         # once and shared by every expression selecting from it.
-        if isinstance(samples, Vectors):
-            return samples.vector(self)
         vec = _shared(samples, ("instant", self.metric, p.step_ms, p.lookback_ms),
                       lambda: ts.instant(ts.select_series(samples, self.metric), p.step_ms, p.lookback_ms))
         return vec.where(all_match("labels", self.matchers))
@@ -81,8 +71,6 @@ class Rate(Node):
     range_ms: int = 300_000
 
     def df(self, samples, p):
-        if isinstance(samples, Vectors):
-            return samples.vector(self)
         vec = _shared(samples, ("rate", self.metric, p.rng(self.range_ms), p.step_ms),
                       lambda: ts.rate(ts.select_series(samples, self.metric), p.rng(self.range_ms), p.step_ms))
         return vec.where(all_match("labels", self.matchers))
@@ -101,8 +89,6 @@ class Delta(Node):
     range_ms: int = 300_000
 
     def df(self, samples, p):
-        if isinstance(samples, Vectors):
-            return samples.vector(self)
         vec = _shared(samples, ("delta", self.metric, p.rng(self.range_ms), p.step_ms),
                       lambda: ts.delta(ts.select_series(samples, self.metric), p.rng(self.range_ms), p.step_ms))
         return vec.where(all_match("labels", self.matchers))
@@ -160,44 +146,3 @@ class Bin(Node):
         v = _name("bin")
         ctes.append(q.binary(v, a, b, self.op))
         return v
-
-
-class Vectors:
-    """All leaf vectors of many expressions, from one evaluation per kind.
-
-    The instant vectors of all metrics come from one window over their samples, as do
-    the rates (and deltas) of one range: the metric is part of the series that the window
-    is partitioned by.  Label matchers are constant in a series, so the union of a metric's
-    matchers filters its samples below the window.  Each result is written once to the
-    shared folder, partitioned by metric, and an expression reads only its metric's part.
-    """
-
-    def __init__(self, source, trees, p: Params):
-        self.spark = source.spark
-        leaves = list(dict.fromkeys(x for t in trees for x in t.leaves()))
-        groups: dict[tuple, list] = {}
-        for x in leaves:
-            groups.setdefault((type(x), p.rng(x.range_ms) if hasattr(x, "range_ms") else None), []).append(x)
-        self.p, self.tables = p, {}
-        for (kind, rng), members in groups.items():
-            wanted: dict[str, list] = {}
-            for x in members:
-                wanted.setdefault(x.metric, []).append(x.matchers)
-            keep = F.lit(False)
-            for metric, matchers in wanted.items():
-                hit = F.lit(False)
-                for m in matchers:
-                    hit = hit | all_match("labels", m)
-                keep = keep | ((F.col("metric") == F.lit(metric)) & hit)
-            sel = source.for_metrics(wanted).where(keep)
-            vec = (ts.instant(sel, p.step_ms, p.lookback_ms) if kind is Inst else
-                   ts.rate(sel, rng, p.step_ms, True) if kind is Rate else ts.delta(sel, rng, p.step_ms, True))
-            path = storage.fresh_path(self.spark, "vectors")
-            vec.write.partitionBy("metric").parquet(path)
-            self.tables[(kind, rng)] = self.spark.read.schema(vec.schema).parquet(path)
-
-    def vector(self, leaf):
-        table = self.tables[(type(leaf), self.p.rng(leaf.range_ms) if hasattr(leaf, "range_ms") else None)]
-        vec = table.where((F.col("metric") == F.lit(leaf.metric)) & all_match("labels", leaf.matchers))
-        name = F.col("metric") if isinstance(leaf, Inst) else F.lit(None).cast("string").alias("metric")
-        return vec.select("t", name, "labels", "lkey", "value")
