@@ -39,12 +39,6 @@ def _json_address(df):
     return df.withColumn("address", F.to_json("address"))
 
 
-@register("src_topic_stream", oracle=f"""WITH {ORDER_STREAM_SQL}
-SELECT orderid, ordertime, itemid, orderunits, to_json(address) AS address FROM order_stream""")
-def q_src_topic_stream(spark, sf):
-    return _json_address(order_stream(spark, sf))
-
-
 @register("project_all", oracle=f"""WITH {ORDER_STREAM_SQL}
 SELECT * REPLACE (to_json(address) AS address) FROM order_stream""")
 def q_project_all(spark, sf):

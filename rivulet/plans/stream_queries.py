@@ -19,7 +19,7 @@ from ..sources.samples import SampleSource
 from ..sources.tables import listings
 from ..sources.topic import PARTITIONS, order_records
 from ..streaming import alert_state, panes, sources as src, storage, tables
-from ..streaming.sinks import KeyedTable, OrdersSink, read_dead_letters
+from ..streaming.sinks import KeyedTable, OrdersSink, orders_table, read_dead_letters
 from . import alert_queries as aq
 from . import metric_queries as mq
 from . import order_queries as oq
@@ -49,9 +49,9 @@ def _appended(spark, stream, schema):
     return spark.read.schema(schema).parquet(out)
 
 
-def _maintained(spark, agg, schema, keys) -> KeyedTable:
+def _maintained(spark, agg, schema, keys, bucket_by=None) -> KeyedTable:
     """A keyed table maintained by a streaming aggregate to the end of its input."""
-    table = KeyedTable(spark, storage.fresh_path(spark, "tables"), schema, keys, buckets=8)
+    table = KeyedTable(spark, storage.fresh_path(spark, "tables"), schema, keys, buckets=8, bucket_by=bucket_by, fold_every=8)
     tables.run_keyed(agg, table, storage.fresh_path(spark, "streams")).awaitTermination()
     return table
 
@@ -72,7 +72,7 @@ def q_stream_flat(spark, sf):
 
 
 def _state_table(spark, sf) -> KeyedTable:
-    return _maintained(spark, tables.state_items(_order_file_stream(spark, sf)), tables.STATE_ITEMS, ["state", "itemid"])
+    return _maintained(spark, tables.state_items(_order_file_stream(spark, sf)), tables.STATE_ITEMS, ["state", "itemid"], ["state"])
 
 
 def _item_table(spark, sf) -> KeyedTable:
@@ -93,9 +93,8 @@ def q_stream_orders_by_item(spark, sf):
 
 @register("pull_query", oracle=oq.PULL_STATE_SQL)
 def q_pull_query(spark, sf):
-    """One state's row of the maintained table."""
-    rows = _state_table(spark, sf).read().where(F.col("state") == F.lit(oq.STATE))
-    return rounded(tables.by_state(rows), "total_units")
+    """One state's row of the maintained table: a lookup by the first key column, which reads its bucket alone."""
+    return rounded(tables.by_state(_state_table(spark, sf).lookup(oq.STATE)), "total_units")
 
 
 @register("pull_query_item", oracle=oq.PULL_ITEM_SQL)
@@ -117,6 +116,38 @@ def q_stream_hopping(spark, sf):
     return rounded(_maintained(spark, tables.hopping_by_state(s), tables.HOPPING, ["state", "window_start"]).read(), "avg_units")
 
 
+@register("src_topic_stream", oracle=f"""WITH {oq.ORDER_STREAM_SQL}
+SELECT orderid, ordertime, itemid, orderunits, to_json(address) AS address FROM order_stream""")
+def q_src_topic_stream(spark, sf):
+    """The order stream read from its topic, which delivers every record twice (an hour apart).
+
+    A record is known by (topic, partition, offset); the positions seen are kept for the lateness only.
+    """
+    def build():
+        once = order_records(spark, sf).select("topic", "partition", "offset", "timestamp", "value")
+        again = once.withColumn("arrival", F.col("timestamp") + F.lit(3_600_000))
+        return once.withColumn("arrival", F.col("timestamp")).unionByName(again)
+    path, files = src.stage_topic(spark, "orders-twice", (sf, listings(spark, sf, *ORDER_TABLES)), build, order_col="arrival",
+                                  chunks=CHUNKS)
+    records = src.file_stream(spark, path, "topic string, partition int, offset long, timestamp long, value string", files)
+    orders = src.distinct_records(records, tables.DEFAULT_LATENESS).select(F.from_json("value", S.ORDER).alias("o")).select("o.*")
+    out = _appended(spark, orders, S.ORDER)
+    return out.withColumn("address", F.to_json("address"))
+
+
+@register("stream_state_sketches", oracle=oq.ORDERS_BY_STATE_SQL)
+def q_stream_state_sketches(spark, sf):
+    """The per-state table from one sketch of its items per state and micro-batch, merged when read.
+
+    (Up to a few hundred distinct items a sketch counts exactly; beyond, its relative error is about
+    1.04 / sqrt(2^12) = 1.6 %.)
+    """
+    table = KeyedTable(spark, storage.fresh_path(spark, "tables"), tables.STATE_SKETCHES, ["state"], buckets=8)
+    tables.run_batches(_order_file_stream(spark, sf), lambda b, i: table.upsert(tables.state_sketches(b), i),
+                       storage.fresh_path(spark, "streams")).awaitTermination()
+    return rounded(tables.merged_sketches(table.changes()), "total_units")
+
+
 LATE_SQL = f"""{REC},
 o AS (SELECT partition, timestamp AS ordertime, json_extract_string(value, '$.itemid') AS itemid,
              CAST(json_extract(value, '$.orderunits') AS DOUBLE) AS orderunits,
@@ -173,17 +204,18 @@ def _sink_input(spark, sf):
     return src.stage_topic(spark, "sink-input", (sf, listings(spark, sf, *ORDER_TABLES)), build, order_col="timestamp", chunks=3)
 
 
-def _run_sink(spark, sf):
+def _run_sink(spark, sf, through=lambda table: table):
     path, files = _sink_input(spark, sf)
     schema = "topic string, partition int, offset long, timestamp long, key string, value string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "/data")
     table, dlq, ck = (storage.fresh_path(spark, "tables"), storage.fresh_path(spark, "dlq"),
                       storage.fresh_path(spark, "streams"))
-    sink = OrdersSink(spark, table, dlq, retry_timeout_s=60.0, retry_max_delay_s=5.0)
+    kept = orders_table(spark, table, fold_every=8)
+    sink = OrdersSink(spark, table, dlq, retry_timeout_s=60.0, retry_max_delay_s=5.0, table=through(kept))
     with tables.state_partitions(spark):
         q = stream.writeStream.option("checkpointLocation", ck).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
-    return sink.table, dlq
+    return kept, dlq
 
 
 SINK_SQL = f"""{REC}
@@ -205,12 +237,27 @@ def q_sink_upsert_pk(spark, sf):
         "orderid", "ordertime", "itemid", "orderunits", "address_city", "address_state", "address_zipcode")
 
 
+class _FailsOnce:
+    """A table whose first write of every micro-batch gets lost half-way: files are left, then an I/O error is raised."""
+
+    def __init__(self, table):
+        self.table, self.tried = table, set()
+
+    def upsert(self, batch, batch_id):
+        if batch_id not in self.tried:
+            self.tried.add(batch_id)
+            self.table.upsert(batch.limit(1), batch_id)
+            raise OSError("connection lost while writing")
+        self.table.upsert(batch, batch_id)
+
+
 @register("sink_retry", oracle=SINK_SQL)
 def q_sink_retry(spark, sf):
-    """The sink's table under its retry bounds (60 s in total, at most 5 s between tries):
-    every write of a micro-batch is an overwrite of that batch's files, so a retry leaves
-    the same table.  (Tests inject the failures.)"""
-    return q_sink_upsert_pk(spark, sf)
+    """The sink on a connection that drops in every micro-batch, under its retry bounds (60 s in total, at most 5 s
+    between tries).  Every write of a micro-batch overwrites that batch's files, so what a lost try left is replaced."""
+    table, _ = _run_sink(spark, sf, _FailsOnce)
+    return table.read().select(
+        "orderid", "ordertime", "itemid", "orderunits", "address_city", "address_state", "address_zipcode")
 
 
 @register("sink_dlq", oracle=f"""{REC}

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators import topics as tp
-from ..sources.topic import order_records, records_sql
+from ..sources.topic import first_order_records, order_records, records_sql
 from .order_queries import ORDER_STREAM_SQL
 from .registry import register, round6
 
@@ -49,7 +49,7 @@ def q_read_from_timestamp(spark, sf):
 
 @register("read_limit_n", oracle=f"{REC} SELECT {BASE_COLS} FROM records ORDER BY timestamp, partition, {OFF} LIMIT 10")
 def q_read_limit_n(spark, sf):
-    return tp.first_n(R(spark, sf), 10)
+    return first_order_records(spark, sf, 10)
 
 
 @register("read_key_ts", oracle=f"""{REC} SELECT partition, {OFF},

@@ -29,10 +29,16 @@ from ..functions.time import epoch_millis
 from .tables import read_table
 
 
-def addresses(spark: SparkSession, sf_dir: str, state: str | None = None) -> DataFrame:
-    """``o_orderkey -> address`` for every order (of one state, if given)."""
+def addresses(spark: SparkSession, sf_dir: str, state: str | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """``o_orderkey -> address`` for every order (of one state, if given).
+
+    ``orders`` may hold a few order keys, in one column: they are broadcast, and only their orders and customers are kept.
+    """
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey"])
+    if orders is not None:
+        o = o.join(F.broadcast(orders.toDF("_key").distinct()), F.col("o_orderkey") == F.col("_key"), "left_semi")
+        c = c.join(F.broadcast(o.select(F.col("o_custkey").alias("_cust")).distinct()), F.col("c_custkey") == F.col("_cust"), "left_semi")
     n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     how = "left" if state is None else "inner"
     if state is not None:

@@ -19,11 +19,11 @@ never a single-task window over a whole partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.sequence import running_sum
-from .orders import COLUMNS, order_stream
+from .orders import COLUMNS, addresses, order_stream
 
 TOPIC = "Orders"
 PARTITIONS = 6
@@ -63,6 +63,25 @@ def order_records(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS
                       F.lit("CreateTime").alias("timestamp_type"), "key", *(["value", "headers"] if value else []))
 
 
+def first_order_records(spark: SparkSession, sf_dir: str, n: int, partitions: int = PARTITIONS, topic: str = TOPIC) -> DataFrame:
+    """The first ``n`` records by (timestamp, partition, offset), without numbering the others.
+
+    Offsets follow (timestamp, orderid) within a partition, so whatever precedes a record in its
+    partition precedes it here as well: the chosen rows can be numbered among themselves.  ``events`` is read for a
+    top-k of ``n`` rows per task; the address tables are joined to the chosen rows alone.
+    """
+    o = order_stream(spark, sf_dir, ("orderid", "ordertime", "itemid", "orderunits"))
+    seq = F.col("orderid").cast("bigint")
+    chosen = (o.select("*", key_partition(F.col("orderid"), partitions).alias("partition"), seq.alias("_seq"))
+              .orderBy("ordertime", "partition", "_seq").limit(n))
+    chosen = chosen.withColumn("offset", F.row_number().over(
+        Window.partitionBy("partition").orderBy("ordertime", "_seq")).cast("bigint") - 1)
+    address = addresses(spark, sf_dir, orders=chosen.select("_seq"))
+    rec = chosen.join(F.broadcast(address), chosen["_seq"] == address.o_orderkey, "left")      # n rows
+    return rec.select(F.lit(topic).alias("topic"), "partition", "offset", F.col("ordertime").alias("timestamp"),
+                      F.col("orderid").alias("key"), order_value(rec).alias("value"))
+
+
 def records_sql(orders_cte_sql: str, partitions: int = PARTITIONS, topic: str = TOPIC) -> str:
     """DuckDB form of :func:`order_records` over an ``order_stream`` CTE."""
     return f"""WITH {orders_cte_sql},

@@ -11,8 +11,8 @@ micro-batch, split by a hash bucket of the key:
   last, so out-of-order deliveries converge to the same table;
 * a lookup of one key reads only that key's bucket of each batch.
 
-Nothing is collected to the driver.  ``compact`` writes the current rows as the changes
-of one batch into a new folder when many batches have piled up.
+Nothing is collected to the driver.  With ``fold_every`` every so many batches are folded into their
+latest rows, which bounds the files a read lists; ``compact`` writes the current rows into a new table.
 """
 
 from __future__ import annotations
@@ -41,16 +41,21 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """
     whole = F.struct(*[F.col(c) for c in df.columns])
     rank = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
-    return df.groupBy(*keys).agg(F.max_by(whole, rank).alias("_row")).select("_row.*")
+    made = df.groupBy(*keys).agg(F.max_by(whole, rank).alias("_row"))
+    # key columns come from the grouping, so that a filter on them reaches the scan
+    return made.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 class KeyedTable:
     """Change files of a table keyed by ``keys`` with columns ``schema``."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: Sequence[str],
-                 order: Sequence[str] = (), buckets: int = 16):
+                 order: Sequence[str] = (), buckets: int = 16, bucket_by: Sequence[str] | None = None, fold_every: int = 0):
         checkpoint_root(spark)
         self.spark, self.path, self.keys, self.order, self.buckets = spark, path, list(keys), list(order), buckets
+        self.bucket_by, self.fold_every = list(bucket_by or keys), fold_every
+        if self.bucket_by != self.keys[:len(self.bucket_by)]:
+            raise ValueError("bucket_by must be the first key columns")
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         storage.make_folder(spark, path)
 
@@ -61,27 +66,56 @@ class KeyedTable:
         new = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         if self.order:
             new = latest_per_key(new, self.keys, self.order)
-        (new.withColumn(BUCKET, self._bucket(*self.keys)).sortWithinPartitions(BUCKET, *self.keys)
+        (new.withColumn(BUCKET, self._bucket(*self.bucket_by)).sortWithinPartitions(BUCKET, *self.keys)
          .write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{BATCH}={int(batch_id)}"))
+        if self.fold_every and (batch_id + 1) % self.fold_every == 0:
+            self.fold(batch_id)
+
+    def fold(self, batch_id: int) -> None:
+        """Write the latest rows of all batches up to ``batch_id`` as one fold, which reads use from then on.
+
+        The fold lies beside the batches and counts once its job has committed.  A replayed batch folds again and
+        gets the same rows.  Batches of the fold before the last one are removed: a reader that began
+        before this fold still finds its files.
+        """
+        older = self._folds()
+        rows = self._latest(self.changes().where(F.col(BATCH) <= F.lit(batch_id)), [BATCH, BUCKET])
+        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}-folds/{int(batch_id)}")
+        for done in [f for f in older if f < batch_id][:-1]:
+            storage.delete(self.spark, f"{self.path}-folds/{done}")
+        kept = max([f for f in older if f < batch_id], default=-1)
+        for b in storage.numbers(self.spark, self.path, f"{BATCH}="):
+            if b <= kept:
+                storage.delete(self.spark, f"{self.path}/{BATCH}={b}")
+
+    def _folds(self) -> list[int]:
+        found = storage.numbers(self.spark, f"{self.path}-folds", "")
+        return [f for f in found if storage.exists(self.spark, f"{self.path}-folds/{f}/_SUCCESS")]
 
     def changes(self) -> DataFrame:
-        """All rows of all batches with their ``_batch`` and ``_bucket``."""
+        """The newest fold and all rows of the batches after it, with their ``_batch`` and ``_bucket``."""
         extra = [T.StructField(BATCH, T.LongType()), T.StructField(BUCKET, T.IntegerType())]
-        return (self.spark.read.schema(T.StructType(self.schema.fields + extra))
-                .option("basePath", self.path).parquet(self.path))
+        read = self.spark.read.schema(T.StructType(self.schema.fields + extra))
+        rows, folds = read.option("basePath", self.path).parquet(self.path), self._folds()
+        if folds:
+            rows = rows.where(F.col(BATCH) > F.lit(folds[-1])).unionByName(read.parquet(f"{self.path}-folds/{folds[-1]}"))
+        return rows
 
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        return latest_per_key(rows, self.keys, [*self.order, BATCH]).select(*self.schema.names)
+    def _latest(self, rows: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        return latest_per_key(rows, self.keys, [*self.order, BATCH]).select(*self.schema.names, *more)
 
     def read(self) -> DataFrame:
         return self._latest(self.changes())
 
     def lookup(self, *key) -> DataFrame:
-        """The current row of one key: only its bucket's files are listed and read."""
-        types = [self.schema[k].dataType for k in self.keys]
-        literals = [F.lit(v).cast(t) for v, t in zip(key, types, strict=True)]
-        bucket = self.spark.range(1).select(self._bucket(*literals)).first()[0]
-        rows = self.changes().where(F.col(BUCKET) == F.lit(bucket))
+        """The current rows of a key, or of the keys that begin with the given columns.
+
+        With at least the ``bucket_by`` columns only their bucket's files are listed and read.
+        """
+        rows, literals = self.changes(), [F.lit(v).cast(self.schema[k].dataType) for k, v in zip(self.keys, key)]
+        if len(literals) >= len(self.bucket_by):
+            bucket = self.spark.range(1).select(self._bucket(*literals[:len(self.bucket_by)])).first()[0]
+            rows = rows.where(F.col(BUCKET) == F.lit(bucket))
         for k, v in zip(self.keys, literals):
             rows = rows.where(F.col(k).eqNullSafe(v))
         return self._latest(rows)
@@ -171,9 +205,9 @@ ORDERS_TABLE = ("orderid bigint, ordertime bigint, itemid string, orderunits dou
                 "address_state string, address_zipcode bigint, _partition int, _offset bigint")
 
 
-def orders_table(spark: SparkSession, path: str, buckets: int = 16) -> KeyedTable:
+def orders_table(spark: SparkSession, path: str, buckets: int = 16, fold_every: int = 0) -> KeyedTable:
     """The sink table: primary key ``orderid``, latest by (order time, log position)."""
-    return KeyedTable(spark, path, ORDERS_TABLE, ["orderid"], ["ordertime", "_partition", "_offset"], buckets)
+    return KeyedTable(spark, path, ORDERS_TABLE, ["orderid"], ["ordertime", "_partition", "_offset"], buckets, fold_every=fold_every)
 
 
 class OrdersSink:

@@ -84,6 +84,15 @@ def with_event_time(orders: DataFrame) -> DataFrame:
     return orders.withColumn("event_time", instant_from_millis("ordertime"))
 
 
+def distinct_records(records: DataFrame, lateness: str) -> DataFrame:
+    """Records of an at-least-once delivery, each position once.
+
+    A position is kept for ``lateness`` after its event time; a copy that comes later than that is late itself.
+    """
+    timed = records.withColumn("event_time", instant_from_millis("timestamp")).withWatermark("event_time", lateness)
+    return timed.dropDuplicatesWithinWatermark(["topic", "partition", "offset"])
+
+
 def bus_stream(spark: SparkSession, bootstrap: str, topics: str | None = None,
                pattern: str | None = None, starting: str = "earliest",
                starting_timestamp: int | None = None) -> DataFrame:

@@ -48,6 +48,13 @@ def count_files(spark: SparkSession, path: str, suffix: str) -> int:
     return found
 
 
+def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Sorted numbers of the entries of a folder that are named ``prefix`` and a number."""
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new, unique location under the checkpoint root."""
     return checkpoint_path(spark, kind, uuid.uuid4().hex)

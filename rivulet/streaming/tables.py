@@ -68,6 +68,30 @@ def run_keyed(df: DataFrame, table: KeyedTable, checkpoint: str, query_name: str
         return w.start()
 
 
+def run_batches(df: DataFrame, body, checkpoint: str) -> StreamingQuery:
+    """``body(batch, batch id)`` for every micro-batch of a stateless stream, to the end of its input."""
+    return (df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(body)
+            .trigger(availableNow=True).start())
+
+
+STATE_SKETCHES = "state string, order_count bigint, total_units double, items binary"
+SKETCH_BITS = 12
+
+
+def state_sketches(batch: DataFrame) -> DataFrame:
+    """Counts, unit totals and a sketch of the distinct items per state of one micro-batch."""
+    return batch.groupBy(F.col("address.state").alias("state")).agg(
+        F.count(F.lit(1)).alias("order_count"), F.sum("orderunits").alias("total_units"),
+        F.hll_sketch_agg("itemid", F.lit(SKETCH_BITS)).alias("items"))
+
+
+def merged_sketches(rows: DataFrame) -> DataFrame:
+    """The per-state table from the rows of all micro-batches: sketches merge without their items."""
+    return rows.groupBy("state").agg(
+        F.sum("order_count").alias("order_count"), F.sum("total_units").alias("total_units"),
+        F.hll_sketch_estimate(F.hll_union_agg("items")).alias("unique_items"))
+
+
 STATE_ITEMS = "state string, itemid string, order_count bigint, total_units double"
 ITEMS = "itemid string, order_count bigint, total_units double"
 

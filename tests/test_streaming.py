@@ -307,3 +307,54 @@ def test_a_grown_table_is_read_and_staged_anew(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(table)
     assert listings(spark, str(tmp_path), "events") != before
     assert read_table(spark, str(tmp_path), "events").count() == 5
+
+
+# --- folds, prefixes, repeated delivery, sketches ------------------------------------------------
+
+def test_folds_bound_the_files_and_keep_the_rows(spark):
+    plain = KeyedTable(spark, storage.fresh_path(spark, "t"), KV, ["k"], ["ts"], buckets=2)
+    folded = KeyedTable(spark, storage.fresh_path(spark, "t"), KV, ["k"], ["ts"], buckets=2, fold_every=3)
+    for i in range(11):
+        rows = spark.createDataFrame([(k, (i * 7 + k) % 5, f"{i}.{k}") for k in range(i % 4, 6)], KV)
+        plain.upsert(rows, i)
+        folded.upsert(rows, i)
+        if i in (5, 8):
+            folded.upsert(rows, i)                                     # a replayed batch folds again
+    assert sorted(map(tuple, folded.read().collect())) == sorted(map(tuple, plain.read().collect()))
+    assert storage.numbers(spark, folded.path, "_batch=") == [6, 7, 8, 9, 10]
+    assert storage.numbers(spark, folded.path + "-folds", "") == [5, 8]
+    assert folded.changes().count() < plain.changes().count()
+
+
+def test_a_lookup_by_the_first_key_column_reads_one_bucket(spark):
+    schema = "a string, b string, n long"
+    t = KeyedTable(spark, storage.fresh_path(spark, "t"), schema, ["a", "b"], buckets=8, bucket_by=["a"])
+    t.upsert(spark.createDataFrame([(f"a{i}", f"b{j}", i) for i in range(9) for j in range(3)], schema), 0)
+    assert sorted(r.b for r in t.lookup("a4").collect()) == ["b0", "b1", "b2"] and t.lookup("a4", "b1").count() == 1
+    plan = explain(t.lookup("a4"), "formatted")
+    assert "PartitionFilters: [isnotnull(_bucket" in plan and "EqualNullSafe(a,a4)" in plan
+    assert "EqualTo(a,a4)" in explain(t.read().where("a = 'a4'"), "formatted")          # pushed below the newest-row aggregate
+
+
+def test_repeated_delivery_gives_every_record_once(spark):
+    schema = "topic string, partition int, offset long, timestamp long, value string"
+    path, hour = storage.fresh_path(spark, "twice"), 3_600_000
+    first = [("t", p, o, (100 + o) * hour, f"{p}.{o}") for p in range(2) for o in range(6)]
+    for rows in (first[:8], first, first[4:] + [("t", 0, 6, 106 * hour, "0.6")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path + "/data")
+    once = src.distinct_records(src.file_stream(spark, path, schema, 1), "24 hours").select("value")
+    out = storage.fresh_path(spark, "once")
+    tables.run_append(once, out, storage.fresh_path(spark, "ck")).awaitTermination()
+    assert sorted(r.value for r in spark.read.schema("value string").parquet(out).collect()) == sorted([r[4] for r in first] + ["0.6"])
+
+
+def test_sketches_merge_within_their_error(spark):
+    orders = spark.range(60_000).select(F.concat(F.lit("i"), F.pmod(F.xxhash64("id"), F.lit(20_000))).alias("itemid"),
+                                        F.lit(1.0).alias("orderunits"), F.struct(F.lit("S").alias("state")).alias("address"))
+    parts = [tables.state_sketches(orders.where(F.col("itemid").isNotNull() & (F.xxhash64("itemid", F.lit(k)) % 2 == 0))) for k in range(3)]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert merged.count() == 3                                          # a row per state and batch
+    exact = set()
+    for k in range(3):
+        exact |= {r.itemid for r in orders.where(F.xxhash64("itemid", F.lit(k)) % 2 == 0).select("itemid").distinct().collect()}
+    assert abs(tables.merged_sketches(merged).first().unique_items / len(exact) - 1) < 0.05
