@@ -239,10 +239,9 @@ def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "co
     The list is one ``CASE`` over the component and then over the rules in order, whose
     winning branch expands *all* of that rule's templates with a single
     ``regexp_replace`` into one delimited string ``id \x03 name \x01 key \x02 value ...``.
-    Unmatched rows are removed by exploding a zero- or one-element array: a ``Generate``
-    is a barrier that later filters cannot be pushed below, so the pattern
-    chain is never inlined (and re-evaluated) into downstream predicates.
-    Type, constant value and rule index are then array lookups by rule id.
+    It stands above a shuffle in both places (distinct beans; odd readings), so its large code never
+    shares a stage with the readings.  A ``Generate`` over a one-element array makes sure that an
+    expansion is evaluated once, however many columns are taken from it.
     """
     flat = [(k, i, r) for k, rules in rules_by_key.items() for i, r in enumerate(rules)]
     bean = F.col(bean_col)
@@ -257,30 +256,34 @@ def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "co
     tried = (beans.withColumn("_v", F.explode(F.array(*[F.lit(v) for v in _STAND_INS])))
              .withColumn("_t", F.concat("_bean", F.lit(": "), "_v"))
              .select(key_col, "_bean", _chain(F.col("_t"), F.col(key_col), rules_by_key).alias("_c")))
+    # a result that no value changes is named, labelled and typed once per bean
+    fixed = F.when(F.col("_low") == F.col("_high"), _parsed(F.col("_low"), flat)).alias("_x")
     known = (tried.groupBy(F.col(key_col).alias("_k"), F.col("_bean").alias("_b"))
-             .agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
-             .select("_k", "_b", F.split("_low", _ID)[0].cast("int").alias("_won"),
-                     # a result that no value changes is named, labelled and typed once per bean
-                     F.when(F.col("_low") == F.col("_high"), _parsed(F.col("_low"), flat)).alias("_fixed")))
-    joined = marked.join(known, (F.col(key_col) == F.col("_k")) & (F.col("_bean") == F.col("_b")), "left")
-
-    # beans whose result holds the value text, and readings that are no plain bean and value
-    case = F.when(F.col("_fixed").isNotNull(), F.lit("")).when(
-        F.col("_bean").isNotNull() & F.col("_won").isNull(), F.lit(None).cast("string"))
+             .agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where(F.col("_low").isNotNull())
+             .select("_k", "_b", F.split("_low", _ID)[0].cast("int").alias("_won"), F.explode(F.array(fixed)).alias("_x"))
+             .select("_k", "_b", "_won", *[F.col(f"_x.{c}").alias(f"_{c}") for c in _RESULT]))
+    joined = marked.join(known, (F.col(key_col) == F.col("_k")) & (F.col("_bean") == F.col("_b")))
+
+    others = [c for c in readings.columns if c not in (bean_col, value_col)]
+    # beans whose result holds the value text are expanded by the winning rule alone
+    case = F.lit(None).cast("string")
     for gid, (_, _, r) in enumerate(flat):
         if r.reaches_value:
-            case = case.when(F.col("_won") == gid, _expanded(bean, r, gid))
-    case = case.otherwise(_chain(bean, F.col(key_col), rules_by_key))
+            case = F.when(F.col("_won") == gid, _expanded(bean, r, gid)).otherwise(case)
+    made = F.when(F.col("_metric").isNull(), _parsed(case, flat)).alias("_y")
+    usual = joined.select(*others, value_col, *[f"_{c}" for c in _RESULT], F.explode(F.array(made)).alias("_y")).select(
+        *others, value_col, *[F.coalesce(f"_{c}", f"_y.{c}").alias(c) for c in _RESULT])
+    # readings that are no plain bean and value run through the whole list themselves
+    odd = marked.where(F.col("_bean").isNull()).repartition(key_col, bean_col)
+    odd = odd.select(*others, value_col, F.explode(F.array(_chain(bean, F.col(key_col), rules_by_key))).alias("_c"))
+    odd = odd.where(F.col("_c").isNotNull()).select(*others, value_col, F.explode(F.array(_parsed(F.col("_c"), flat))).alias("_y"))
+    out = usual.unionByName(odd.select(*others, value_col, *[f"_y.{c}" for c in _RESULT]))
+    return out.select(*others, "metric", "labels", "type", F.coalesce("const", F.col(value_col).cast("double")).alias("value"),
+                      "rule", "lkey")
 
-    others = [c for c in readings.columns if c not in (bean_col, value_col)]
-    hit = joined.select(*others, value_col, "_fixed", case.alias("_c"))
-    kept = hit.select(*others, value_col, "_fixed", F.explode(
-        F.when(F.col("_c").isNotNull(), F.array("_c")).otherwise(F.array().cast("array<string>"))).alias("_m"))
-    out = kept.select(*others, value_col, F.when(F.col("_fixed").isNotNull(), F.col("_fixed"))
-                      .otherwise(_parsed(F.col("_m"), flat)).alias("_r"))
-    return out.select(*others, "_r.metric", "_r.labels", "_r.type",
-                      F.coalesce("_r.const", F.col(value_col).cast("double")).alias("value"), "_r.rule",
-                      labels_key(F.col("_r.labels")).alias("lkey"))
+
+#: What the rules make of a reading.
+_RESULT = ("metric", "labels", "type", "const", "rule", "lkey")
 
 
 def _parsed(text: Column, flat: list) -> Column:
@@ -295,11 +298,12 @@ def _parsed(text: Column, flat: list) -> Column:
 
     def lookup(values, dtype):
         return F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), gid + 1)
+    labels = map_last_wins(pairs)
     return F.struct(
-        safe_name(parts[0]).alias("metric"), map_last_wins(pairs).alias("labels"),
+        safe_name(parts[0]).alias("metric"), labels.alias("labels"),
         lookup([r.type or "UNTYPED" for _, _, r in flat], "string").alias("type"),
         lookup([None if r.value is None else float(r.value) for _, _, r in flat], "double").alias("const"),
-        lookup([i for _, i, _ in flat], "int").alias("rule"))
+        lookup([i for _, i, _ in flat], "int").alias("rule"), labels_key(labels).alias("lkey"))
 
 
 def _chain(text: Column, key: Column, rules_by_key: dict) -> Column:
