@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import epoch_millis
-from .tables import read_table
+from .tables import read_table, spread
 
 _U3 = "CAST(user_id % 3 AS STRING)"
 _U6 = "CAST(user_id % 6 AS STRING)"
@@ -128,6 +128,7 @@ def bean_readings(spark: SparkSession, sf_dir: str, component=None) -> DataFrame
     types = sorted({et for et, *_ in rs})
     ev = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
           .where(F.col("event_type").isin(types)))
+    ev = spread(ev, "event_id")                                  # one event makes many readings
     case = "CASE " + " ".join(
         f"WHEN event_type = '{et}' THEN array("
         + ", ".join(f"named_struct('component', '{comp}', 'bean', {b}, 'value', {v})"

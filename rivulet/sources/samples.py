@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import labels_key
 from ..functions.time import epoch_millis
 from ..operators.sequence import running_sum
-from .tables import read_table
+from .tables import read_table, spread
 
 # ---------------------------------------------------------------- fixed values
 # Component per event type: (job label, pod name prefix, container name).
@@ -189,7 +189,7 @@ def _scrapes(events: DataFrame, families) -> DataFrame:
 
 
 def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
-                   bucket_ms: int = SEQ_BUCKET_MS) -> DataFrame:
+                   bucket_ms: int = SEQ_BUCKET_MS, many: bool = False) -> DataFrame:
     """``metric, labels, lkey, series, ts (epoch ms), sample_id, value``.
 
     ``lkey`` is the canonical text of the label set and ``series`` the metric
@@ -199,6 +199,8 @@ def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
     comps = sorted({c for f in families for c in _emitting(f)})
     events = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
               .where(F.col("event_type").isin(comps)))
+    if many:                                                     # one event makes many samples
+        events = spread(events, "event_id")
     gauges = [f for f in families if f.kind == "gauge"]
     accs = [f for f in families if f.kind != "gauge"]
     parts = []
@@ -246,7 +248,7 @@ class SampleSource:
         missing = sorted(set(metrics) - {f.metric for f in fams})
         if missing:
             raise KeyError(f"no samples are derived for metrics {missing}")
-        return metric_samples(self.spark, self.sf_dir, fams, self.bucket_ms)
+        return metric_samples(self.spark, self.sf_dir, fams, self.bucket_ms, many=True)
 
     def for_metric(self, metric: str) -> DataFrame:
         if metric not in self._memo:

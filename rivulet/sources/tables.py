@@ -49,3 +49,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
         kept = _RELATIONS[key] = (now, spark.read.parquet(path))
     df = kept[1]
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores, where the scan has fewer partitions than there are cores.
+
+    For rows that are about to be expanded into many: a small file is one scan partition, and everything up to the next shuffle
+    would run in one task.  A table of many files is scanned by enough tasks and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,7 @@ import re
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from rivulet.plans import alert_queries as aq
 from rivulet.plans.catalog import explain
 
 
@@ -73,3 +74,18 @@ def test_positions_and_items_read_events_only(spark):
 
 def test_state_predicate_reaches_the_nation_scan(spark):
     assert re.search(r"PushedFilters: \[[^\n]*EqualTo\(n_name,NATION_1\)", _plan(spark, "filter_eq"))
+
+
+def test_building_rules_runs_no_job(spark):
+    """A rule set is one lazy plan: nothing is written or counted while it is built."""
+    sc = spark.sparkContext
+    source = aq.SampleSource(spark, SMALL)
+    sc.setJobGroup("rules", "building")
+    try:
+        df = aq.evaluate(source, [r.alert for r in aq.RULES], aq.DENSE)
+        txt = explain(df, "formatted")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not sc.statusTracker().getJobIdsForGroup("rules")
+    assert txt.count("Scan parquet") <= 2 * 3                       # listed in the tree and in the details
+    assert "Python" not in txt
