@@ -137,6 +137,44 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: str,
                          (i["_run"] + F.coalesce(s["_before"], F.lit(0))).alias(out_col))
 
 
+def carry_forward(df: DataFrame, keys: Sequence[str], ts_col: str, last: Sequence[str],
+                  bucket_width: int, largest: Sequence[str] = (), next_col: str = "_next") -> DataFrame:
+    """State of several event histories merged into one row per (series, time).
+
+    Each column of ``last`` becomes its latest non-NULL value at or before the row, each of ``largest`` its
+    maximum up to the row (NULL before the first value); ``next_col`` is the time of the series' next row (NULL on
+    its last one).  Times are unique within a series.  An as-of join is a union of both sides, one aggregate per time, and this.
+    """
+    keys, carry = list(keys), [*last, *largest]
+    b = with_bucket(df, ts_col, bucket_width)
+    w = Window.partitionBy(*keys, _B).orderBy(ts_col)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def known(c: str, over) -> Column:
+        return (F.max(c) if c.removeprefix("_e_") in largest else F.last(c, ignorenulls=True)).over(over)
+    inner = b.select(*keys, _B, ts_col, *[known(c, upto).alias(f"_k_{c}") for c in carry], F.lead(ts_col).over(w).alias("_lead"),
+                     *[F.col(c) for c in df.columns if c not in (*keys, ts_col, *carry)])
+
+    ends = b.groupBy(*keys, _B).agg(
+        F.min(ts_col).alias("_first"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts_col))).alias(f"_e_{c}") for c in last],
+        *[F.max(c).alias(f"_e_{c}") for c in largest])
+    w2 = Window.partitionBy(*keys).orderBy(_B)
+    before = w2.rowsBetween(Window.unboundedPreceding, -1)
+    summary = ends.select(*keys, _B, F.lead("_first").over(w2).alias("_next_first"),
+                          *[known(f"_e_{c}", before).alias(f"_b_{c}") for c in carry])
+
+    i, s = inner.alias("i"), summary.alias("s")
+    joined = i.join(s, _keys_eq(i, s, keys) & (i[_B] == s[_B]), "left")
+
+    def value(c: str) -> Column:
+        if c not in carry:
+            return i[c]
+        here, earlier = i[f"_k_{c}"], s[f"_b_{c}"]
+        return (F.greatest(here, earlier) if c in largest else F.coalesce(here, earlier)).alias(c)
+    return joined.select(*[value(c) for c in df.columns], F.coalesce(i["_lead"], s["_next_first"]).alias(next_col))
+
+
 def run_starts(df: DataFrame, keys: Sequence[str], step_col: str,
                bucket_width: int, out_col: str = "run_start") -> DataFrame:
     """Gaps and islands over an integer step index.

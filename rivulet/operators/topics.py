@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequence import carry_forward
+
 
 def from_beginning(records: DataFrame) -> DataFrame:
     """Every record of the topic (a bounded read from the earliest offsets)."""
@@ -161,6 +163,39 @@ def lag_by_topic(lag: DataFrame) -> DataFrame:
     return lag.groupBy("group", "topic").agg(F.sum("lag").alias("lag"))
 
 
+def lag_over_time(records: DataFrame, commits: DataFrame, step_ms: int, bucket_steps: int = 1440) -> DataFrame:
+    """Lag per group, partition and evaluation step ``t`` (a multiple of ``step_ms``).
+
+    ``commits`` is the commit history ``group, topic, partition, committed_at, commit_id, position``: a group stands at the
+    position of its latest commit at or before ``t`` (ties: largest ``commit_id``), which an offset reset may
+    move back.  The log ends behind the largest offset written at or before ``t``, whatever the order of the records' times.
+    Steps run from the first one that knows both to the topic's last record or commit.
+
+    Records and commits are first aggregated to the step that sees them (map-side), so what is merged is bounded by
+    span / step and not by rows; each merged row is spread only to the steps until the next one.  A commit of a
+    partition without records gives no row.
+    """
+    def seen_at(ts: str) -> Column:
+        return (F.ceil(F.col(ts) / F.lit(step_ms)) * F.lit(step_ms)).cast("bigint").alias("t")
+    ends = records.groupBy("topic", "partition", seen_at("timestamp")).agg((F.max("offset") + 1).alias("log_end_offset"))
+    made = commits.groupBy("group", "topic", "partition", seen_at("committed_at")).agg(
+        F.max_by("position", F.struct("committed_at", "commit_id")).alias("current_offset"))
+    until = (ends.select("topic", "t").unionByName(made.select("topic", "t"))
+             .groupBy("topic").agg(F.max("t").alias("_until")))                                      # a row per topic
+    members = made.select("group", "topic", "partition").distinct()
+    events = (ends.join(members, ["topic", "partition"])
+              .unionByName(made, allowMissingColumns=True)
+              .groupBy("group", "topic", "partition", "t").agg(F.max("log_end_offset").alias("log_end_offset"),
+                                                               F.max("current_offset").alias("current_offset")))
+    known = carry_forward(events, ["group", "topic", "partition"], "t", ["current_offset"], bucket_steps * step_ms,
+                          largest=["log_end_offset"])
+    stop = F.coalesce(F.col("_next") - F.lit(step_ms), F.col("_until"))
+    return (known.where(F.col("current_offset").isNotNull() & F.col("log_end_offset").isNotNull())
+            .join(until, "topic")
+            .select("group", "topic", "partition", F.explode(F.sequence("t", stop, F.lit(step_ms).cast("bigint"))).alias("t"),
+                    "current_offset", "log_end_offset", (F.col("log_end_offset") - F.col("current_offset")).alias("lag")))
+
+
 def storage_required(records: DataFrame, retention_days: float, replication: int,
                      brokers: int, margin: float = 1.2) -> DataFrame:
     """Disk needed: daily bytes x retention days x replication x margin, and

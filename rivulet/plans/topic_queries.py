@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators import topics as tp
-from ..sources.topic import first_order_records, order_records, records_sql
+from ..sources.log import TopicLog, stored_log
+from ..sources.tables import listings
+from ..sources.topic import COMMITS, REWIND_EVERY, commit_history, first_order_records, order_records, records_sql
 from .order_queries import ORDER_STREAM_SQL
 from .registry import register, round6
 
@@ -32,6 +34,11 @@ def P(spark, sf):
     return order_records(spark, sf, value=False)
 
 
+def L(spark, sf) -> TopicLog:
+    """The stored log of the topic, written by the first query that reads positions."""
+    return stored_log(spark, "orders", (sf, listings(spark, sf, "events", "orders", "customer", "nation")), lambda: R(spark, sf))
+
+
 @register("read_from_beginning", oracle=f"{REC} SELECT {BASE_COLS} FROM records")
 def q_read_from_beginning(spark, sf):
     return tp.from_beginning(R(spark, sf))
@@ -39,12 +46,12 @@ def q_read_from_beginning(spark, sf):
 
 @register("read_partition_offset", oracle=f"{REC} SELECT {BASE_COLS} FROM records WHERE partition = 0 AND {OFF} >= 100")
 def q_read_partition_offset(spark, sf):
-    return tp.from_partition_offset(R(spark, sf), 0, 100)
+    return tp.from_beginning(L(spark, sf).from_partition_offset("Orders", 0, 100))
 
 
 @register("read_from_timestamp", oracle=f"{REC} SELECT {BASE_COLS} FROM records WHERE timestamp >= {REPLAY_FROM_MS}")
 def q_read_from_timestamp(spark, sf):
-    return tp.from_timestamp(R(spark, sf), REPLAY_FROM_MS)
+    return tp.from_beginning(L(spark, sf).from_timestamp(REPLAY_FROM_MS))
 
 
 @register("read_limit_n", oracle=f"{REC} SELECT {BASE_COLS} FROM records ORDER BY timestamp, partition, {OFF} LIMIT 10")
@@ -160,6 +167,49 @@ def q_lag_by_topic(spark, sf):
     return tp.lag_by_topic(tp.consumer_lag(_positions(spark, sf)))
 
 
+LAG_STEP_MS = 600_000
+_STEP = "CAST(ceil({0} / {1}) AS BIGINT) * {1}"
+
+
+def _lag_over_time_sql(final: str) -> str:
+    groups = ", ".join(f"('{g}', {k}, {delay})" for g, k, delay in COMMITS)
+    seen, made = _STEP.format("timestamp", LAG_STEP_MS), _STEP.format("committed_at", LAG_STEP_MS)
+    return f"""{REC},
+taken AS (SELECT g."group", r.topic, r.partition, r.timestamp + g.delay AS committed_at, r."offset" + 1 AS n, g.every
+          FROM records r, (VALUES {groups}) g("group", every, delay) WHERE (r."offset" + 1) % g.every = 0),
+history AS (SELECT "group", topic, partition, committed_at, 2 * n AS commit_id, n AS position FROM taken
+            UNION ALL SELECT "group", topic, partition, committed_at, 2 * n + 1, n - every FROM taken WHERE n % ({REWIND_EVERY} * every) = 0),
+commits AS (SELECT "group", topic, partition, committed_at, arg_max(position, commit_id) AS position FROM history GROUP BY ALL),
+ends AS (SELECT topic, partition, timestamp, MAX("offset") + 1 AS log_end FROM records GROUP BY ALL),
+until AS (SELECT topic, MAX(t) AS hi FROM (SELECT topic, {seen} AS t FROM records UNION ALL SELECT topic, {made} FROM history) GROUP BY topic),
+firsts AS (SELECT "group", topic, partition, MIN({made}) AS lo FROM history GROUP BY ALL),
+steps AS (SELECT f."group", f.topic, f.partition, unnest(range(f.lo, u.hi + 1, {LAG_STEP_MS})) AS t
+          FROM firsts f JOIN until u ON f.topic = u.topic),
+lag AS (SELECT s."group", s.topic, s.partition, s.t // 1000 AS t, c.position AS current_offset, e.log_end AS log_end_offset,
+               e.log_end - c.position AS lag
+        FROM steps s
+        ASOF JOIN commits c ON s."group" = c."group" AND s.topic = c.topic AND s.partition = c.partition AND s.t >= c.committed_at
+        ASOF JOIN ends e ON s.topic = e.topic AND s.partition = e.partition AND s.t >= e.timestamp)
+{final}"""
+
+
+def _lag_over_time(spark, sf):
+    records = L(spark, sf).records.select("topic", "partition", "offset", "timestamp")
+    return tp.lag_over_time(records, commit_history(records), LAG_STEP_MS).withColumn("t", F.floor(F.col("t") / 1000).cast("bigint"))
+
+
+@register("consumer_lag_over_time", oracle=_lag_over_time_sql("SELECT * FROM lag"))
+def q_consumer_lag_over_time(spark, sf):
+    """Lag of every group and partition at every step, from the history of commits."""
+    return _lag_over_time(spark, sf)
+
+
+@register("lag_by_topic_over_time", oracle=_lag_over_time_sql(
+    'SELECT "group", topic, t, CAST(SUM(lag) AS BIGINT) AS lag FROM lag GROUP BY "group", topic, t'))
+def q_lag_by_topic_over_time(spark, sf):
+    return _lag_over_time(spark, sf).groupBy("group", "topic", "t").agg(F.sum("lag").alias("lag"))
+
+
 @register("offset_reset", oracle=f"""{LAG_SQL},
 b AS (SELECT topic, partition, MIN({OFF}) AS lo, MAX({OFF}) + 1 AS hi,
              MIN(CASE WHEN timestamp >= {RESET_TO_MS} THEN {OFF} END) AS first_at

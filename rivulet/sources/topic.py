@@ -82,6 +82,29 @@ def first_order_records(spark: SparkSession, sf_dir: str, n: int, partitions: in
                       F.col("orderid").alias("key"), order_value(rec).alias("value"))
 
 
+# Commit behaviour of the consumer groups: (group, records between commits, time from a record to its commit).
+COMMITS = (("jdbc-sink-orders", 5, 3_600_000), ("orders-analytics", 20, 93_600_000))
+REWIND_EVERY = 10
+
+
+def commit_history(records: DataFrame, groups=COMMITS, rewind_every: int = REWIND_EVERY) -> DataFrame:
+    """``group, topic, partition, committed_at, commit_id, position`` of groups that follow the topic.
+
+    A group commits behind every n-th record of a partition, a fixed time after it.  Every ``rewind_every``-th
+    commit is taken back at the same instant by one commit interval (a failed batch that is read again).
+    """
+    n, g = F.col("offset") + 1, F.col("g")
+    every = records.select("topic", "partition", "timestamp", n.alias("n"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("group"), F.lit(k).cast("bigint").alias("every"), F.lit(delay).cast("bigint").alias("delay"))
+        for name, k, delay in groups])).alias("g")).where(F.col("n") % g["every"] == 0)
+    made = F.struct((F.col("n") * 2).alias("commit_id"), F.col("n").alias("position"))
+    undone = F.struct((F.col("n") * 2 + 1).alias("commit_id"), (F.col("n") - g["every"]).alias("position"))
+    both = F.when(F.col("n") % (g["every"] * rewind_every) == 0, F.array(made, undone)).otherwise(F.array(made))
+    return (every.select(g["group"].alias("group"), "topic", "partition", (F.col("timestamp") + g["delay"]).alias("committed_at"),
+                         F.explode(both).alias("c"))
+            .select("group", "topic", "partition", "committed_at", "c.commit_id", "c.position"))
+
+
 def records_sql(orders_cte_sql: str, partitions: int = PARTITIONS, topic: str = TOPIC) -> str:
     """DuckDB form of :func:`order_records` over an ``order_stream`` CTE."""
     return f"""WITH {orders_cte_sql},
