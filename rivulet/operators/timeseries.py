@@ -49,6 +49,15 @@ def select_series(samples, metric: str, matchers: Sequence = ()) -> DataFrame:
     return samples.where((F.col("metric") == F.lit(metric)) & all_match("labels", matchers))
 
 
+def by_id(sel: DataFrame) -> bool:
+    """Whether samples (or a vector) name their label set by ``lid`` alone; see :mod:`rivulet.operators.series`."""
+    return "lid" in sel.columns
+
+
+def _series(sel: DataFrame) -> list[str]:
+    return ["lid"] if by_id(sel) else ["series"]
+
+
 def _steps_between(lo: Column, hi: Column, step_ms: int) -> tuple[Column, Column]:
     first = (F.ceil(lo / F.lit(step_ms)) * F.lit(step_ms)).cast("bigint")
     last = (F.floor(hi / F.lit(step_ms)) * F.lit(step_ms)).cast("bigint")
@@ -75,17 +84,17 @@ def instant(sel: DataFrame, step_ms: int, lookback_ms: int = 5 * MINUTE_MS) -> D
     so every (series, step) is produced exactly once and no aggregation -- and
     no shuffle of the expanded rows -- is needed.
     """
-    n = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts"], lookback_ms, "next")
+    n = neighbor_within(sel, _series(sel), "ts", "sample_id", ["ts"], lookback_ms, "next")
     until = F.least(F.col("ts") + F.lit(lookback_ms - 1),
                     F.coalesce(F.col("next_ts") - F.lit(1), F.col("ts") + F.lit(lookback_ms - 1)))
     ex = _expand(n, F.col("ts"), until, step_ms)
-    return ex.select("t", "metric", "labels", "lkey", "value")
+    return ex.select("t", *(["lid"] if by_id(sel) else ["metric", "labels", "lkey"]), "value")
 
 
 def _pairs(sel: DataFrame, range_ms: int) -> DataFrame:
     """Consecutive sample pairs less than ``range_ms`` apart (only those can
     both fall in one range window)."""
-    p = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts", "value"], range_ms, "previous", "prev_")
+    p = neighbor_within(sel, _series(sel), "ts", "sample_id", ["ts", "value"], range_ms, "previous", "prev_")
     return p.where(F.col("prev_ts").isNotNull() & (F.col("ts") - F.col("prev_ts") < F.lit(range_ms)))
 
 
@@ -101,9 +110,11 @@ def increase(sel: DataFrame, range_ms: int, step_ms: int, per_second: bool = Fal
     # labels are a function of the series: carried as a grouping key (the map's
     # entry array) rather than in the aggregation buffer, which keeps the
     # buffer a single double and the aggregate a hash aggregate.
+    val = F.col("inc") / F.lit(range_ms / 1000.0) if per_second else F.col("inc")
+    if by_id(sel):
+        return ex.groupBy("lid", "t").agg(F.sum("d").alias("inc")).select("t", "lid", val.alias("value"))
     agg = (ex.groupBy("series", "metric", "t", "lkey", F.map_entries("labels").alias("_le"))
            .agg(F.sum("d").alias("inc")))
-    val = F.col("inc") / F.lit(range_ms / 1000.0) if per_second else F.col("inc")
     return agg.select("t", _metric(keep_metric), F.map_from_entries("_le").alias("labels"), "lkey", val.alias("value"))
 
 
@@ -127,24 +138,27 @@ def delta(sel: DataFrame, range_ms: int, step_ms: int, keep_metric: bool = False
     maxima only -- a hash aggregate -- keeping steps where first and last are
     different samples (at least two in the window).
     """
-    n = neighbor_within(sel, ["series"], "ts", "sample_id", ["ts"], range_ms, "both")
+    identity = ["lid"] if by_id(sel) else ["series", "metric", "lkey", "labels"]
+    n = neighbor_within(sel, _series(sel), "ts", "sample_id", ["ts"], range_ms, "both")
     end = F.col("ts") + F.lit(range_ms - 1)
     last = _expand(n, F.col("ts"), F.least(end, F.coalesce(F.col("next_ts") - F.lit(1), end)), step_ms) \
-        .select("series", "metric", "t", "lkey", "labels", F.col("value").alias("v_last"),
+        .select(*identity, "t", F.col("value").alias("v_last"),
                 F.lit(None).cast("double").alias("v_first"), F.col("sample_id").alias("id_last"),
                 F.lit(None).cast("long").alias("id_first"))
     start = F.greatest(F.col("ts"), F.coalesce(F.col("prev_ts") + F.lit(range_ms), F.col("ts")))
     first = _expand(n, start, end, step_ms) \
-        .select("series", "metric", "t", "lkey", "labels", F.lit(None).cast("double").alias("v_last"),
+        .select(*identity, "t", F.lit(None).cast("double").alias("v_last"),
                 F.col("value").alias("v_first"), F.lit(None).cast("long").alias("id_last"),
                 F.col("sample_id").alias("id_first"))
-    agg = (last.unionByName(first)
-           .groupBy("series", "metric", "t", "lkey", F.map_entries("labels").alias("_le"))
+    keys = ["lid"] if by_id(sel) else ["series", "metric", "lkey", F.map_entries("labels").alias("_le")]
+    agg = (last.unionByName(first).groupBy(*keys, "t")
            .agg(F.sum("v_last").alias("v_last"), F.sum("v_first").alias("v_first"),
                 F.max("id_last").alias("id_last"), F.max("id_first").alias("id_first")))
-    return agg.where(F.col("id_last") != F.col("id_first")).select(
-        "t", _metric(keep_metric), F.map_from_entries("_le").alias("labels"), "lkey",
-        (F.col("v_last") - F.col("v_first")).alias("value"))
+    agg = agg.where(F.col("id_last") != F.col("id_first"))
+    val = (F.col("v_last") - F.col("v_first")).alias("value")
+    if by_id(sel):
+        return agg.select("t", "lid", val)
+    return agg.select("t", _metric(keep_metric), F.map_from_entries("_le").alias("labels"), "lkey", val)
 
 
 # ---------------------------------------------------------------- aggregation
@@ -211,10 +225,13 @@ def binary(left: DataFrame, right: DataFrame, op: str) -> DataFrame:
     same size class, so Spark plans it as a shuffle join (or broadcasts a side
     its statistics show to be small).
     """
-    r = right.select(F.col("t").alias("_rt"), F.col("lkey").alias("_rlkey"), F.col("value").alias("_rvalue"))
-    j = left.join(r, (F.col("t") == F.col("_rt")) & (F.col("lkey") == F.col("_rlkey")), "inner")
+    key = "lid" if by_id(left) else "lkey"
+    r = right.select(F.col("t").alias("_rt"), F.col(key).alias("_rkey"), F.col("value").alias("_rvalue"))
+    j = left.join(r, (F.col("t") == F.col("_rt")) & (F.col(key) == F.col("_rkey")), "inner")
     lv, rv = F.col("value"), F.col("_rvalue")
     out = {"+": lv + rv, "-": lv - rv, "*": lv * rv, "/": ieee_divide(lv, rv)}[op]
+    if by_id(left):
+        return j.select("t", "lid", out.alias("value"))
     return j.select("t", F.lit(None).cast("string").alias("metric"), "labels", "lkey", out.alias("value"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import render_template
 from ..operators import timeseries as ts
+from ..operators.series import named
 from ..sources.samples import SampleSource
 from . import sqlgen as q
 from .registry import register, round6
@@ -37,6 +38,12 @@ def S(spark, sf):
     return SampleSource(spark, sf)
 
 
+def over(spark, sf, metric, function, *args):
+    """A range function of one metric: evaluated by label-set id, then named from the catalogue."""
+    s = S(spark, sf)
+    return named(function(s.by_id(metric), *args), s.catalogue(metric))
+
+
 def _sql(*ctes, final=None, src="v"):
     return q.with_(q.samples_cte(), *ctes, final=final or q.vector_out(src))
 
@@ -135,10 +142,10 @@ RATIO_SQL = _sql(
 
 @register("ratio_vector", oracle=RATIO_SQL)
 def q_ratio_vector(spark, sf):
-    s = S(spark, sf)
-    a = ts.instant(ts.select_series(s, "jvm_memory_bytes_used", [("area", "=", "heap")]), STEP, LOOKBACK)
-    b = ts.instant(ts.select_series(s, "jvm_memory_bytes_max", [("area", "=", "heap")]), STEP, LOOKBACK)
-    return out(ts.binary(a, b, "/"))
+    s, heap = S(spark, sf), [("area", "=", "heap")]
+    used, most = "jvm_memory_bytes_used", "jvm_memory_bytes_max"
+    ratio = ts.binary(ts.instant(s.by_id(used, heap), STEP, LOOKBACK), ts.instant(s.by_id(most, heap), STEP, LOOKBACK), "/")
+    return out(named(ratio, s.catalogue(used, most)))
 
 
 @register("ratio_sum_by", oracle=_sql(
@@ -179,25 +186,24 @@ def q_rate_5m(spark, sf):
 
 @register("rate_dense", oracle=RATE_DENSE_SQL)
 def q_rate_dense(spark, sf):
-    return out(ts.rate(ts.select_series(S(spark, sf), CPU), DRANGE, DSTEP))
+    return out(over(spark, sf, CPU, ts.rate, DRANGE, DSTEP))
 
 
 @register("increase_dense", oracle=_sql(
     q.sel("s", "jvm_gc_collection_seconds_count"),
     q.increase("v", "s", DRANGE, DSTEP, False)))
 def q_increase_dense(spark, sf):
-    return out(ts.increase(ts.select_series(S(spark, sf), "jvm_gc_collection_seconds_count"),
-                           DRANGE, DSTEP))
+    return out(over(spark, sf, "jvm_gc_collection_seconds_count", ts.increase, DRANGE, DSTEP))
 
 
 @register("delta_5m", oracle=DELTA_5M_SQL)
 def q_delta_5m(spark, sf):
-    return out(ts.delta(ts.select_series(S(spark, sf), LAG), RANGE, STEP))
+    return out(over(spark, sf, LAG, ts.delta, RANGE, STEP))
 
 
 @register("delta_dense", oracle=DELTA_DENSE_SQL)
 def q_delta_dense(spark, sf):
-    return out(ts.delta(ts.select_series(S(spark, sf), LAG), DRANGE, DSTEP))
+    return out(over(spark, sf, LAG, ts.delta, DRANGE, DSTEP))
 
 
 @register("topk_by_instant", oracle=_sql(
@@ -206,7 +212,7 @@ def q_delta_dense(spark, sf):
     """v AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY t ORDER BY value DESC, lkey)
           AS rk FROM a) WHERE rk <= 3)"""))
 def q_topk_by_instant(spark, sf):
-    r = ts.rate(ts.select_series(S(spark, sf), CPU), DRANGE, DSTEP)
+    r = over(spark, sf, CPU, ts.rate, DRANGE, DSTEP)
     return out(ts.topk(ts.aggregate(r, "sum", ["pod"]), 3))
 
 

@@ -24,9 +24,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import labels_key
+from ..functions.labels import all_match, labels_key
 from ..functions.time import epoch_millis
 from ..operators.sequence import running_sum
+from ..operators.series import catalogue, label_id
 from .tables import read_table, spread
 
 # ---------------------------------------------------------------- fixed values
@@ -223,6 +224,34 @@ def metric_samples(spark: SparkSession, sf_dir: str, families=FAMILIES,
                       F.concat(F.col("metric"), lk).alias("series"), "ts", "sample_id", "value")
 
 
+def samples_by_id(spark: SparkSession, sf_dir: str, families, matchers=(), bucket_ms: int = SEQ_BUCKET_MS) -> DataFrame:
+    """``lid, ts, sample_id, value``: samples that name their label set by a fixed-width id.
+
+    Matchers and ids are evaluated where the labels are made, in the scan's stage: no label text or map is shuffled.
+    For the families of one metric, as the id does not tell metrics apart.
+    """
+    comps = sorted({c for f in families for c in _emitting(f)})
+    events = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
+              .where(F.col("event_type").isin(comps)))
+    s = _scrapes(events, families).where(all_match("labels", matchers)).withColumn("lid", label_id(labels_key("labels")))
+    if all(f.kind == "gauge" for f in families):
+        return s.select("lid", "ts", "sample_id", F.col("gauge").alias("value"))
+    if any(f.kind == "gauge" for f in families):
+        raise ValueError("a metric is either a gauge or accumulated")
+    restarted = (F.col("kind") == "counter") & (F.col("ts") >= F.lit(COUNTER_RESET_MS))
+    a = s.select("lid", F.when(restarted, 1).otherwise(0).alias("_epoch"), "ts", "sample_id", "inc", "scale")
+    a = running_sum(a, ["lid", "_epoch"], "ts", "sample_id", "inc", "_run", bucket_ms)
+    return a.select("lid", "ts", "sample_id", (F.col("_run") * F.col("scale")).alias("value"))
+
+
+def sample_catalogue(spark: SparkSession, sf_dir: str, families) -> DataFrame:
+    """The label sets of the families: one row per id, from the columns that labels are made of."""
+    comps = sorted({c for f in families for c in _emitting(f)})
+    events = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
+              .where(F.col("event_type").isin(comps)))
+    return catalogue(_scrapes(events, families))
+
+
 class SampleSource:
     """Lazily derived samples, built per metric name.
 
@@ -258,6 +287,20 @@ class SampleSource:
             self._memo[metric] = metric_samples(self.spark, self.sf_dir, fams, self.bucket_ms)
         return self._memo[metric]
 
+    def _of(self, *metrics: str) -> list[Family]:
+        missing = sorted(set(metrics) - {f.metric for f in self.families})
+        if missing:
+            raise KeyError(f"no samples are derived for metrics {missing}")
+        return [f for f in self.families if f.metric in metrics]
+
+    def by_id(self, metric: str, matchers=()) -> DataFrame:
+        """Samples of one metric with ids for their label sets."""
+        return samples_by_id(self.spark, self.sf_dir, self._of(metric), matchers, self.bucket_ms)
+
+    def catalogue(self, *metrics: str) -> DataFrame:
+        """The label sets behind the ids of these metrics."""
+        return sample_catalogue(self.spark, self.sf_dir, self._of(*metrics))
+
     def all(self) -> DataFrame:
         return metric_samples(self.spark, self.sf_dir, self.families, self.bucket_ms)
 
