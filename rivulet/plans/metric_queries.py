@@ -181,7 +181,7 @@ DELTA_DENSE_SQL = _sql(q.sel("s", LAG), q.delta("v", "s", DRANGE, DSTEP))
 
 @register("rate_5m", oracle=RATE_5M_SQL)
 def q_rate_5m(spark, sf):
-    return out(ts.rate(ts.select_series(S(spark, sf), MSGS), RANGE, STEP))
+    return out(over(spark, sf, MSGS, ts.rate, RANGE, STEP))
 
 
 @register("rate_dense", oracle=RATE_DENSE_SQL)
