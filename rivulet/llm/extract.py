@@ -9,8 +9,8 @@ main text.  Decoding is hierarchical: the labels with the largest joint log-prob
 are chosen such that a kept node has only kept ancestors, by one pass up and one down
 the tree, so that ancestor and descendant can't contradict each other.
 
-The trees are fitted on a bounded sample of ``TRAIN_PAGES`` pages, chosen by a hash of
-the page's html, which a teacher labels by landmarks and attribute tokens (where a page has none, by
+The trees are fitted on a bounded sample: the ``TRAIN_PAGES`` different pages with the smallest hashes
+of their html, which a teacher labels by landmarks and attribute tokens (where a page has none, by
 where its paragraphs are).  Each sampled page is also shown in ``FORMS`` changed forms: its
 landmark under other names, shorter texts, other blocks of text, and blocks of page furniture put in and around the article,
 so that the trees learn features instead of one site's template.
@@ -20,8 +20,8 @@ markup and never text.  Self-closing ones (but scripts and styles) are empty; pi
 nested ones without an end reach to the next block.
 
 Defined results: null and empty html give an empty text; html without a kept block
-gives an empty text; without any training page nothing is fitted and the teacher's
-rule decides; repeated rows and further columns pass through alike.
+gives an empty text; without any page, or if all nodes of the sample have one label, nothing is
+fitted and the teacher's rule decides, with a warning; repeated rows and further columns pass through alike.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -409,20 +410,28 @@ def _arrays(root) -> tuple:
     return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
 
 
+def sample_pages(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) -> DataFrame:
+    """``h, html``: the ``train_pages`` different pages with the smallest hashes of their html.
+
+    Copies count once and neither the order of rows nor the layout of files matters; a table with any page yields some.
+    """
+    rows = pages.select(F.col(html).alias("html")).filter(F.length("html") > 0).select(F.xxhash64("html").alias("h"), "html")
+    chosen = rows.select("h").distinct().orderBy("h").limit(train_pages)          # at most train_pages rows of 8 bytes
+    return rows.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html"))
+
+
 def fit(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) -> Boosted | None:
-    """Boosted trees from a bounded sample of the pages; None without a node of either label."""
+    """Boosted trees from a bounded sample of the pages; None (with a warning) if its nodes all have one label."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
-    rows = pages.select(F.col(html).alias("html")).filter(F.length("html") > 0)
-    total = rows.count()
-    chance = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(chance < min(1.0, 1.5 * train_pages / max(total, 1))).limit(train_pages)
+    sample = sample_pages(pages, html, train_pages)
 
     def make():
         return lambda texts: [(training_nodes(t),) for t in texts]
-    nodes = scratch(sample.repartition(8).select(F.explode(text_udf(make, _NODES)("html")["nodes"]).alias("n"))
+    nodes = scratch(sample.repartition(8, "h").select(F.explode(text_udf(make, _NODES)("html")["nodes"]).alias("n"))
                     .select(array_to_vector("n.x").alias("features"), F.col("n.y").alias("label")), "extract-nodes")
     if nodes.select("label").distinct().count() < 2:
+        warnings.warn("no page to fit trees on, or all nodes have one label: the teacher's rule decides", stacklevel=2)
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=7, cacheNodeIds=False).fit(nodes)
     return Boosted([_arrays(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights))

@@ -332,9 +332,36 @@ def test_decoding_is_consistent_and_optimal(trees):
         assert abs(score(kept) - best) < 1e-9
 
 
-def test_exported_trees_equal_mllib(spark, pages, trees):
-    x = np.concatenate([extract.Page(r.html).features() for r in pages.limit(5).collect()])
-    assert np.all((trees.probability(x) >= 0) & (trees.probability(x) <= 1)) and len(trees.trees) == extract.TREES
+def test_exported_trees_equal_mllib(spark, pages):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    parsed = [extract.Page(r.html) for r in pages.orderBy("page_id").limit(20).collect()]
+    rows = [(k, [float(v) for v in x], float(y)) for k, (x, y) in enumerate(
+        (x, y) for p in parsed for x, y in zip(p.features(), p.teach()))]
+    nodes = spark.createDataFrame(rows, "k long, x array<double>, label double").withColumn("features", array_to_vector("x"))
+    model = GBTClassifier(maxIter=6, maxDepth=extract.DEPTH, stepSize=0.3, seed=7).fit(nodes)
+    want = [r.p for r in model.transform(nodes).select("k", vector_to_array("probability")[1].alias("p")).orderBy("k").collect()]
+    ours = extract.Boosted([extract._arrays(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights))
+    assert np.allclose(ours.probability(np.array([x for _, x, _ in rows])), want, atol=1e-9)
+    assert min(want) < 0.2 and max(want) > 0.8
+
+
+def test_sample_of_pages_ignores_copies_and_layout(spark, pages):
+    distinct = {r.html for r in pages.collect() if r.html}
+    one = pages.filter(F.length("html") > 0).orderBy("page_id").limit(1).select("html")
+    copied = pages.select("html").unionByName(one.join(spark.range(3000)).select("html"))
+    want = {r.html for r in extract.sample_pages(pages, train_pages=30).collect()}
+    assert len(want) == min(30, len(distinct))
+    for table in (copied.repartition(1), copied.repartition(7), copied.orderBy(F.desc("html"))):
+        got = [r.html for r in extract.sample_pages(table, train_pages=30).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert extract.sample_pages(one.join(spark.range(500)).select("html")).count() == 1       # only copies: still a page
+    assert extract.sample_pages(pages.limit(0)).count() == 0
+
+
+def test_no_training_page_is_announced(pages):
+    with pytest.warns(UserWarning, match="teacher"):
+        assert extract.fit(pages.limit(0)) is None
 
 
 def test_extraction_odd_rows(spark, trees):
