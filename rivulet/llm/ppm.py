@@ -9,10 +9,12 @@ over the symbols not seen here (exclusion), down to a uniform order -1.  So ever
 context holds a proper distribution and a text's cost is an exact code length in bits
 under statistics that stay frozen while scoring.
 
-The tree is variable-order: contexts of three bytes get a node only if they are among
-the most frequent ones that fit ``TABLE_BYTES``; other positions are coded from their
-two-byte context.  Bytes never seen in training share one symbol class and pay 8 more
-bits each.  The tables (bounded by ``TABLE_BYTES``) are broadcast.
+The trees are variable-order: contexts of one, two and three bytes get a node only if they are among
+the most frequent ones of all orders that fit ``TABLE_BYTES``; other positions are coded from the longest
+context that has one.  So the bound holds for any number of languages and symbols, and frequent contexts of three
+bytes keep their nodes when there are many languages.  Bytes never seen in training share one symbol class and
+pay 8 more bits each.  The tables are broadcast; beside the nodes they hold an index of at most 0.8 MB and four
+bytes per symbol for each node of order 2.
 
 The fitting sample is bounded: about ``SAMPLE_BYTES`` of text per language, in pieces of
 ``PIECE_BYTES`` chosen by a hash of document and place among all labelled training documents
@@ -116,30 +118,39 @@ class ContextTrees:
                 p = np.where(c > 0, c / np.where(left > 0, total + distinct, total), escape * unseen / left)
             return np.where(total > 0, p, lower)
 
-        uniform = np.full((1, a, size), 1.0 / a)
-        zero = np.zeros(len(gram), np.int64)
-        p0 = level(zero, np.zeros(1, np.int64), uniform)
-        p1 = level(s[2], np.zeros(a, np.int64), p0)
+        # Contexts of one to three bytes compete for the room by how often they occur.  A context occurs no
+        # more often than the shorter one it ends with, which comes first among ties, so the chosen form trees.
         two = s[1] * a + s[2]
-        seen2 = np.unique(two)
-        self.node2 = np.full(a * a, -1, np.int64)
-        self.node2[seen2] = np.arange(len(seen2))
-        p2 = level(self.node2[two], seen2 % a, p1)
-        three = s[0] * (a * a) + two
-        seen3, at = np.unique(three, return_inverse=True)
-        weight = np.bincount(at, n)
-        room = max(1, table_bytes // (a * size * 4) - len(seen2) - a)
-        if len(seen3) > room:
-            seen3 = np.sort(seen3[np.argsort(-weight, kind="stable")[:room]])
-        id3 = np.searchsorted(seen3, three)
-        id3 = np.where((id3 < len(seen3)) & (seen3[np.minimum(id3, len(seen3) - 1)] == three), id3, -1)
-        p3 = level(id3, self.node2[seen3 % (a * a)], p2)
-        # one table: nodes of order 1, then 2, then 3; `node3` leads from (order-2 node, byte before it)
-        self.cost = -np.log2(np.concatenate([p1, p2, p3])).astype(np.float32)
+        contexts = [s[2], two, s[0] * (a * a) + two]
+        seen, often = zip(*(np.unique(c, return_inverse=True) for c in contexts))
+        weight = [np.bincount(at, n, len(c)) for c, at in zip(seen, often)]
+        order = np.repeat([1, 2, 3], [len(c) for c in seen])
+        room = max(0, table_bytes // (a * size * 4) - 1)
+        taken = np.zeros(len(order), bool)
+        taken[np.lexsort((np.concatenate(seen), order, -np.concatenate(weight)))[:room]] = True
+        one, two_, three = (c[taken[order == k]] for k, c in zip((1, 2, 3), seen))
+
+        def place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+            """Position of every value in the sorted ``among``; -1 if it is not there."""
+            if not len(among):
+                return np.full(len(values), -1, np.int64)
+            at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+            return np.where(among[at] == values, at, -1)
+
+        p0 = level(np.zeros(len(gram), np.int64), np.zeros(1, np.int64), np.full((1, a, size), 1.0 / a))
+        p1 = level(place(contexts[0], one), np.zeros(len(one), np.int64), p0)
+        p2 = level(place(contexts[1], two_), place(two_ % a, one), p1)
+        p3 = level(place(contexts[2], three), place(three % (a * a), two_), p2)
+        # one table: the empty context, then nodes of order 1, 2 and 3; `node3` leads from (order-2 node, byte before it)
+        self.cost = -np.log2(np.concatenate([p0, p1, p2, p3])).astype(np.float32)
         self.cost[:, a - 1] += 8.0
-        self.node3 = np.full((len(seen2) + 1, a), -1, np.int32)
-        self.node3[self.node2[seen3 % (a * a)], seen3 // (a * a)] = np.arange(len(seen3)) + a + len(seen2)
-        self.first2 = a
+        self.first2 = 1 + len(one)
+        self.node1 = np.zeros(a, np.int64)
+        self.node1[one] = np.arange(len(one)) + 1
+        self.node2 = np.full(a * a, -1, np.int64)
+        self.node2[two_] = np.arange(len(two_))
+        self.node3 = np.full((len(two_) + 1, a), -1, np.int32)
+        self.node3[self.node2[three % (a * a)], three // (a * a)] = np.arange(len(three)) + self.first2 + len(two_)
 
     def bits(self, text: str) -> np.ndarray:
         """Code length of the whole text under each language."""
@@ -149,7 +160,7 @@ class ContextTrees:
             x = self.symbol[data[i - ORDER:i + (1 << 18)]]
             n2 = self.node2[x[1:-2] * self.a + x[2:-1]]
             node = self.node3[n2, x[:-3]]
-            node = np.where((n2 >= 0) & (node >= 0), node, np.where(n2 >= 0, n2 + self.first2, x[2:-1]))
+            node = np.where((n2 >= 0) & (node >= 0), node, np.where(n2 >= 0, n2 + self.first2, self.node1[x[2:-1]]))
             out += self.cost[node, x[3:]].sum(0, dtype=np.float64)
         return out
 

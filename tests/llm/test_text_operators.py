@@ -173,10 +173,78 @@ def test_code_lengths_are_those_of_proper_distributions():
     p = np.exp2(-trees.cost.astype(float))
     p[:, -1] *= 2 ** 8                                   # the class of unseen bytes pays eight bits more
     assert np.allclose(p.sum(1), 1, atol=1e-4)
-    small = ppm.ContextTrees(grams, table_bytes=1)       # few contexts of order 3: the same method, shorter contexts
+    small = ppm.ContextTrees(grams, table_bytes=1)       # no contexts: the same method, order 0
     assert [small.predict(t)[0] for t in texts] == [trees.predict(t)[0] for t in texts] == ["en", "de"]
 
 
+def _plain_bits(counts, lang, langs, data, kept):
+    """Plain prediction by partial matching: escapes with exclusion, one symbol at a time."""
+    symbols = sorted({b for _, g, _ in counts for b in g.to_bytes(4, "big")})
+    known = {c: Counter() for c in kept}
+    for la, g, n in counts:
+        if la == lang:
+            g = g.to_bytes(4, "big")
+            for k in range(4):
+                if g[3 - k:3] in known:
+                    known[g[3 - k:3]][g[3]] += n
+
+    def probability(context, symbol):
+        """``symbol`` None: the class of bytes never seen."""
+        if context is None:
+            return 1 / (len(symbols) + 1)
+        c, below = known[context], context[1:] if context else None
+        if not c:
+            return probability(below, symbol)
+        total, distinct = sum(c.values()), len(c)
+        left = sum(probability(below, x) for x in [*symbols, None] if x not in c)
+        if symbol in c:
+            return c[symbol] / (total + distinct if left > 0 else total)
+        return distinct / (total + distinct) * probability(below, symbol) / left
+    out = 0.0
+    for i in range(3, len(data)):
+        context = next(c for c in (data[i - 3:i], data[i - 2:i], data[i - 1:i], b"") if c in known)
+        unseen = data[i] not in symbols
+        out += 8.0 * unseen - math.log2(probability(context, None if unseen else data[i]))
+    return out
+
+
+def _contexts(trees, counts):
+    """The contexts that have a node."""
+    byte = {int(v): k for k, v in enumerate(trees.symbol) if v < trees.a - 1}
+    kept = {b""} | {bytes([byte[x]]) for x in np.flatnonzero(trees.node1)}
+    for two in np.flatnonzero(trees.node2 >= 0):
+        tail = bytes([byte[two // trees.a], byte[two % trees.a]])
+        kept |= {tail} | {bytes([byte[x]]) + tail for x in np.flatnonzero(trees.node3[trees.node2[two]] >= 0)}
+    return kept
+
+
+def test_code_lengths_equal_plain_ppm():
+    samples = {"en": "abracadabra abra cab", "de": "der die das dad", "fr": "le la les été"}
+    counts = [(la, *g.values()) for la, t in samples.items() for g in ppm._grams([t])[0][0]]
+    for table_bytes in (10 ** 9, 9_000, 2_000, 1):
+        trees = ppm.ContextTrees(counts, table_bytes)
+        kept = _contexts(trees, counts)
+        assert all(c[1:] in kept for c in kept if c) and len(kept) == len(trees.cost)
+        for text in ("abra dab le", "xyz qé", "", "aaaa"):
+            want = [_plain_bits(counts, la, trees.langs, bytes(ppm._bytes(text)), kept) for la in trees.langs]
+            assert np.allclose(trees.bits(text), want, rtol=1e-5, atol=1e-3)
+
+
+def test_tables_are_bounded_with_many_languages():
+    rng = np.random.default_rng(1)
+    counts = []
+    for la in range(24):                                 # 24 languages over 150 symbols, with contexts as skewed as in texts
+        b = np.minimum(rng.zipf(1.3, (20_000, 4)) - 1, 149).astype(np.int64) + 100
+        g, n = np.unique(b[:, 0] << 24 | b[:, 1] << 16 | b[:, 2] << 8 | b[:, 3], return_counts=True)
+        counts += [(f"l{la:02}", int(x), int(y)) for x, y in zip(g, n)]
+    trees = ppm.ContextTrees(counts)
+    assert trees.cost.nbytes <= ppm.TABLE_BYTES and trees.node3.nbytes + trees.node2.nbytes < ppm.TABLE_BYTES / 10
+    assert (trees.node3 >= 0).sum() > 500
+    p = np.exp2(-trees.cost.astype(float))
+    p[:, -1] *= 2 ** 8
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+
+
 def test_language_odd_rows(odd, none):
     got = {r["text"]: r["langid"] for r in ppm.identify(odd, F.lit(True)).collect()}
     for text in (None, "", " \t\n ", "12 34 !!! ***"):
