@@ -11,7 +11,7 @@ wrong result.  (Among 100 million label sets the chance of a pair is about 3 in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import all_match, labels_key
@@ -28,12 +28,12 @@ def catalogue(samples: DataFrame) -> DataFrame:
     Label sets are made distinct by a hash aggregate in the scan's stage, so the shuffle carries one row per task and label set.
     """
     key = labels_key("labels")
-    sets = samples.select(key.alias("lkey"), F.map_entries("labels").alias("entries")).distinct()
-    one = sets.groupBy(label_id("lkey").alias("lid")).agg(
-        F.min("lkey").alias("lkey"), F.max("lkey").alias("_other"), F.min("entries").alias("entries"))
-    clash = F.raise_error(F.concat(F.lit("two label sets share an id: "), F.col("lkey"), F.lit(" "), F.col("_other")))
-    return one.select("lid", F.when(F.col("lkey") == F.col("_other"), F.col("lkey")).otherwise(clash.cast("string")).alias("lkey"),
-                      F.map_from_entries("entries").alias("labels"))
+    sets = (samples.select(key.alias("lkey"), F.array_sort(F.map_entries("labels")).alias("entries")).distinct()
+            .select(label_id("lkey").alias("lid"), "lkey", "entries"))
+    sharing = sets.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("lid")))     # the partitioning of the join with a vector
+    clash = F.raise_error(F.concat(F.lit("two label sets share an id, one is "), F.col("lkey"))).cast("string")
+    return sharing.select("lid", F.when(F.col("_n") == 1, F.col("lkey")).otherwise(clash).alias("lkey"),
+                          F.map_from_entries("entries").alias("labels"))
 
 
 def select_ids(series: DataFrame, matchers=()) -> DataFrame:
