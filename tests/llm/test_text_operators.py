@@ -295,6 +295,86 @@ def test_exchange_never_lowers_the_likelihood_and_separates_languages():
     assert len(set(la[1:11])) == 1 and len(set(la[11:])) == 1 and la[1] != la[11] and la[0] not in la[1:]
 
 
+def plain_likelihood(grid):
+    def f(x):
+        return float(np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0).sum())
+    return f(grid) - f(grid.sum(0)) - f(grid.sum(1))
+
+
+def test_best_class_equals_trying_every_class():
+    """Moving one word alone: the vectorised gains pick the class that a full recount of the grid picks."""
+    rng = np.random.default_rng(1)
+    words, k = 40, 6
+    bigrams = rng.poisson(rng.random((words, words)) * rng.integers(0, 4, (words, 1))).astype(float)
+    label = np.concatenate([[0], rng.integers(1, k, words - 1)])
+    member = np.eye(k)[label]
+    grid = member.T @ bigrams @ member
+    itself = np.diagonal(bigrams)
+    loose = bigrams - np.diag(itself)
+    n = np.concatenate([loose.T @ member, loose @ member, itself[:, None]], 1)
+    got = brown.best_classes(grid, label, n)
+    for w in range(1, words):
+        def of(c):
+            m = np.eye(k)[np.where(np.arange(words) == w, c, label)]
+            return plain_likelihood(m.T @ bigrams @ m)
+        values = [of(c) for c in range(1, k)]
+        assert math.isclose(of(got[w]), max(values), abs_tol=1e-6)
+
+
+def test_class_model_equals_plain_version(real, monkeypatch):
+    """Classes, transitions, emissions and scores by plain loops over the learned classes of the vocabulary."""
+    table = real.collect()
+    for most in (300, 10 ** 6):                              # with and without words outside the head
+        seen, learn = [], brown.learn_classes
+        monkeypatch.setattr(brown, "learn_classes", lambda numbers, v, *a: seen.append((v, *learn(numbers, v, *a))) or seen[-1][1:])
+        got = {r.doc_id: r for r in brown.score(real, brown.split_training(), head=most, word_types=60,
+                                                signature_types=40, classes=12).collect()}
+        monkeypatch.undo()
+        vocabulary, label, head_class, learned = seen[0]
+        types, place = vocabulary.types, vocabulary.place
+
+        def cls(w):
+            return head_class[place[w]] if w in place else label[types._type(w)]
+        train = [brown.words_of(r.text) for r in table if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+        count, grid = Counter(w for t in train for w in t), np.zeros_like(learned)
+        for t in train:
+            c = [0, *map(cls, t), 0]
+            for a, b in zip(c, c[1:]):
+                grid[a, b] += 1
+        assert (grid == learned).all()
+        total, kinds = Counter(), Counter()
+        for w, x in count.items():
+            total[cls(w)] += x
+            kinds[cls(w)] += 1
+        ones, twos = sum(x == 1 for x in count.values()), sum(x == 2 for x in count.values())
+        d = min(0.9, ones / (ones + 2 * twos))
+        prior = (grid.sum(0) + 1) / (grid.sum() + len(grid))
+        for r in table[::7]:
+            ws = brown.words_of(r.text)
+            c, value = [0, *map(cls, ws), 0], 0.0
+            for a, b in zip(c, c[1:]):
+                value += math.log10((grid[a, b] + brown.TRANSITION_PRIOR * prior[b]) / (grid[a].sum() + brown.TRANSITION_PRIOR))
+            for w in ws:
+                value += math.log10((count[w] - d if count[w] else d * kinds[cls(w)]) / total[cls(w)])
+            assert math.isclose(got[r.doc_id].score, value, rel_tol=1e-9), r.doc_id
+
+
+def test_vocabulary_sweeps_follow_the_whole_vocabulary(real):
+    """Sweeps over the vocabulary raise the training likelihood, whatever the partitions."""
+    def run(df, sweeps):
+        out = brown.score(df, F.lit(True), word_types=60, sweeps=sweeps).select(F.sum("score")).first()[0]
+        return out
+    seed, swept = run(real, 0), run(real, 2)
+    assert swept > seed and math.isclose(swept, run(real.repartition(7), 2), rel_tol=1e-9)
+
+
+def test_head_is_filled_when_one_count_holds_most_words(spark):
+    counts = spark.createDataFrame([("w" + str(i), 1) for i in range(500)] + [("often", 9)], "word string, n long")
+    head = brown._head(counts, 200)
+    assert head[0] == ("often", 9) and 150 < len(head) <= 200
+    assert len(brown._head(counts, 1000)) == 501
+
+
 def test_class_model_is_a_distribution(real):
     """Transitions, and emissions with the unseen mass, sum to one."""
     grid = np.array([[0, 5, 3], [4, 2, 2], [4, 1, 3]], float)
