@@ -13,8 +13,8 @@ walked on until it lands inside the domain):
   secrets, social security numbers and bank account numbers keep the shape of each
   character (letter, digit, case), the latter also valid check digits;
 * person names keep gender, script (Latin, Cyrillic) and letter case: a given name
-  becomes a given name of the same gender and script, a surname a surname of the
-  same script.  ``Mr. John Smith`` and a later ``Smith`` get one surname.
+  becomes a given name of the same gender and script (from a list apart from the names that
+  are searched for), a surname a surname of the same script.  ``Mr. John Smith`` and a later ``Smith`` get one surname.
 
 A permutation keeps different originals apart within one domain.  The collision check
 covers the rest: over all distinct entities of a family (all names of a script;
@@ -28,7 +28,7 @@ that another mention in the corpus tells.  Attempts are joined back to the docum
 entities; documents without any pass through untouched.
 
 Defined results: a null text stays null; empty texts and texts without an entity are
-unchanged; of overlapping matches the earlier, then the longer one counts; repeated
+unchanged; very long texts are searched whole; of overlapping matches the earlier, then the longer one counts; repeated
 rows get equal replacements; further columns pass through; an empty table gives an
 empty result.
 """
@@ -38,16 +38,17 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import scratch, small_batches, text_udf
 
-#: The default key is for tests and open data; production runs pass their own secret.
-DEFAULT_KEY = b"rivulet-surrogates"
+#: Session setting that holds the secret key; without it every application draws its own.
+KEY_SETTING = "spark.rivulet.surrogates.key"
 
 # Honorifics by gender and given names by gender and script.
 HONORIFICS = {
@@ -68,7 +69,22 @@ GIVEN = {
     ("m", "cyrillic"): ("Александр", "Алексей", "Андрей", "Борис", "Владимир", "Дмитрий", "Иван", "Михаил", "Николай", "Павел",
                         "Сергей", "Юрий"),
 }
-GENDER = {n.casefold(): (g, s) for (g, s), names in GIVEN.items() for n in names}
+#: What given names become: none of these is one of ``GIVEN``, so a corpus full of those leaves them free.
+REPLACEMENTS = {
+    ("f", "latin"): ("Adele", "Agnes", "Amelia", "Beatrice", "Bridget", "Caroline", "Cecilia", "Clara", "Cora", "Daphne",
+                     "Edith", "Eleanor", "Esther", "Eva", "Florence", "Gloria", "Harriet", "Hazel", "Ingrid", "Irene",
+                     "Josephine", "Lucy", "Lydia", "Mabel", "Miriam", "Nora", "Olive", "Pauline", "Rosalind", "Ruth",
+                     "Stella", "Ursula"),
+    ("m", "latin"): ("Adrian", "Alan", "Arthur", "Basil", "Benjamin", "Bernard", "Clement", "Conrad", "Cyril", "Dennis",
+                     "Edmund", "Felix", "Francis", "Gerald", "Gilbert", "Harold", "Hugo", "Jerome", "Julian", "Lawrence",
+                     "Leonard", "Martin", "Maurice", "Neil", "Oliver", "Oscar", "Philip", "Ralph", "Simon", "Theodore",
+                     "Victor", "Walter"),
+    ("f", "cyrillic"): ("Алла", "Алина", "Валентина", "Варвара", "Дарья", "Жанна", "Зинаида", "Ксения", "Лариса", "Любовь",
+                        "Марина", "Надежда", "Нина", "Полина", "Раиса", "Софья"),
+    ("m", "cyrillic"): ("Антон", "Аркадий", "Вадим", "Валерий", "Василий", "Виктор", "Геннадий", "Георгий", "Денис", "Игорь",
+                        "Кирилл", "Леонид", "Максим", "Олег", "Роман", "Фёдор"),
+}
+GENDER = {n.casefold(): kind for listed in (GIVEN, REPLACEMENTS) for kind, names in listed.items() for n in names}
 #: Surnames are spelled from syllables: a large domain for each script.
 SYLLABLES = {
     "latin": ("bar", "ben", "cal", "dor", "fen", "gar", "hol", "ker", "lan", "mar", "nor", "pel", "quin", "ros", "sel", "tal",
@@ -306,18 +322,18 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         return f"{_shape(name, key, label + domain)}{_longer(canonical, attempt, key)}@{_shape(host, key, 'host|' + top)}.{top}"
     if kind.startswith("given:"):
         _, gender, script = kind.split(":")
-        names = GIVEN.get((gender, script)) or GIVEN[("m", script)] + GIVEN[("f", script)]
-        known = [n.casefold() for n in names]
+        kinds = [(gender, script)] if gender != "x" else [("m", script), ("f", script)]
+        names = [n for k in kinds for n in REPLACEMENTS[k]]
+        known = [n.casefold() for k in kinds for n in GIVEN[k]]          # fewer than their replacements
         at = known.index(canonical) if canonical in known else _round(key, "given", 0, hash_int(canonical)) % len(names)
-        size = len(names)
-        pick = permute(at, size, key, label)
-        if attempt >= size:                                  # more people than names: a compound name
-            return f"{names[pick]}-{names[(pick + attempt) % size]}".casefold() + _suffix(canonical, attempt, script, key)
-        return names[pick].casefold()
+        name = names[permute(at, len(names), key, label)].casefold()
+        if attempt:                                          # more people than names: a second part, longer every time
+            name += "-" + "".join(_spell(hash_int(f"given|{attempt}|{canonical}", key), SYLLABLES[script], 1 + attempt))
+        return name
     if kind.startswith("surname:"):
         script = kind.split(":")[1]
         parts = SYLLABLES[script]
-        return "".join(_spell(hash_int(f"{attempt}|{canonical}", key), parts, SURNAME_LENGTH + attempt // 8))
+        return "".join(_spell(hash_int(f"{attempt}|{canonical}", key), parts, SURNAME_LENGTH + attempt))
     return _shape(canonical, key, label) + _longer(canonical, attempt, key)
 
 
@@ -333,14 +349,9 @@ def _spell(value: int, parts: tuple[str, ...], n: int) -> list[str]:
     return out
 
 
-def _suffix(canonical: str, attempt: int, script: str, key: bytes) -> str:
-    """Grows by a syllable every eight attempts, so that no number of people fills the names."""
-    return "".join(_spell(hash_int(f"given|{attempt}|{canonical}", key), SYLLABLES[script], 2 + attempt // 8))
-
-
 def _longer(canonical: str, attempt: int, key: bytes) -> str:
-    """Letters that widen the domain of a shape: none at first, one more every four attempts."""
-    return "".join(_spell(hash_int(f"shape|{attempt}|{canonical}", key), tuple("abcdefghijklmnopqrstuvwxyz"), attempt // 4))
+    """Letters that widen the domain of a shape: none at first, one more with every attempt."""
+    return "".join(_spell(hash_int(f"shape|{attempt}|{canonical}", key), tuple("abcdefghijklmnopqrstuvwxyz"), attempt))
 
 
 def render(kind: str, original: str, form: str) -> str:
@@ -471,11 +482,28 @@ def attempts(entities: DataFrame, key: bytes) -> DataFrame:
     return tries.withColumn("drawn", F.col("kind")).unionByName(named)
 
 
-def replace(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, count: str | None = None) -> DataFrame:
+_own_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of ``KEY_SETTING``, or one drawn at random for this application.
+
+    A permutation under a published key could be undone by anyone, so there is no default.
+    Surrogates that must be equal from run to run need the setting.
+    """
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return given.encode()
+    return _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def replace(docs: DataFrame, text: str = "text", key: bytes | None = None, count: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; all other columns pass through.
 
-    With ``count`` a column of that name holds the number of replaced mentions.
+    The key is the session's (``session_key``) unless given.  With ``count`` a column of that
+    name holds the number of replaced mentions.
     """
+    key = key or session_key(docs.sparkSession)
     small_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     marked = docs.select(whole, F.col(f"`{text}`").alias("text")).withColumn("spans", _finder("text"))

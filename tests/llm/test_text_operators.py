@@ -418,6 +418,79 @@ def test_surrogates_are_consistent_and_keep_type(spark):
     assert surrogates.GENDER[given[2][3]] == ("m", "cyrillic")
 
 
+def plain_replace(table, key):
+    """All rounds of the collision check by plain loops."""
+    sv = surrogates
+    spans = {i: sv.detect(t) for i, t in table.items()}
+    own = {(k, c) for ss in spans.values() for _, _, k, c in ss}
+    alias = {}
+    for k, c in own:
+        told = sorted(o for o, d in own if d == c and o in (f"given:f:{k[8:]}", f"given:m:{k[8:]}")) if k.startswith("given:x:") else []
+        if told:
+            alias[k, c] = (told[0], c)
+    tries = dict.fromkeys(own - set(alias), 0)
+    originals = {(sv.family(k), c) for k, c in tries}
+    rounds = 0
+    while True:
+        form = {e: (sv.family(e[0]), sv.surrogate(*e, a, key)) for e, a in tries.items()}
+        owner = {}
+        for e, f in form.items():
+            owner[f] = min(owner.get(f, (9999,)), (tries[e], e[1], e[0]))
+        again = [e for e, f in form.items() if f in originals or owner[f] != (tries[e], e[1], e[0])]
+        if not again:
+            break
+        rounds += 1
+        for e in again:
+            tries[e] += 1
+    out = {}
+    for i, t in table.items():
+        at = [(a, b, *alias.get((k, c), (k, c))) for a, b, k, c in spans[i]]
+        out[i] = sv.rewrite(t, [(a, b, k, c, tries[k, c]) for a, b, k, c in at], key)
+    return out, rounds
+
+
+def test_replacement_equals_plain_version(spark):
+    rng = random.Random(5)
+    names = [n for ns in surrogates.GIVEN.values() for n in ns] + [n for ns in surrogates.REPLACEMENTS.values() for n in ns]
+    table = {}
+    for i in range(120):
+        given = names[i % len(names)]
+        title = ("Г-н" if ord(given[0]) > 1000 else rng.choice(("Mr.", "Mrs.", "Dr.")))
+        last = rng.choice(("Smith", "Doe", "Benbarcaldor")) if title != "Г-н" else rng.choice(("Петров", "Сидоров"))
+        table[i] = (f"{title} {given} {last} wrote to {rng.choice('abcdef')}{rng.choice('xy')}@z{i % 3}.org on +1 (499) 555-{6000 + i}, "
+                    f"ip 70.1.{i}.9, token={'%030d' % i}aF and said {rng.choice(('yes', 'no'))}.")
+    table[900], table[901] = TEXT, "nothing to see"
+    df = spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in surrogates.replace(df, key=b"k").collect()}
+    want, rounds = plain_replace(table, b"k")
+    assert got == want and rounds <= 4
+
+
+def test_many_people_need_few_rounds(spark):
+    """All listed names at once stay simple names; thousands of unlisted ones are apart after a few rounds."""
+    listed = [("given:" + g + ":" + s, n.casefold()) for (g, s), ns in surrogates.GIVEN.items() for n in ns]
+    people = [("given:m:latin", f"name{i}") for i in range(5_000)]
+    entities = spark.createDataFrame(listed + people, "kind string, canonical string")
+    again = {(r.kind, r.canonical): r.attempt for r in surrogates.attempts(entities, b"k").collect()}
+    assert max(again.values()) <= 6
+    forms = [surrogates.surrogate(k, c, again.get((k, c), 0), b"k") for k, c in listed + people]
+    assert len(set(forms)) == len(forms)
+    alone = spark.createDataFrame(listed, "kind string, canonical string")
+    assert surrogates.attempts(alone, b"k").count() == 0
+    assert not {n for _, n in listed} & {n.casefold() for ns in surrogates.REPLACEMENTS.values() for n in ns}
+
+
+def test_key_comes_from_the_session(spark):
+    df = spark.createDataFrame([(1, "mail ann.b@mail.example.com")], "doc_id long, text string")
+    own = surrogates.replace(df).first().text
+    assert own == surrogates.replace(df).first().text != surrogates.replace(df, key=b"k").first().text
+    spark.conf.set(surrogates.KEY_SETTING, "k")
+    try:
+        assert surrogates.replace(df).first().text == surrogates.replace(df, key=b"k").first().text
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+
+
 def test_permutation_is_one():
     for size in (1, 2, 10, 97, 256):
         assert sorted(surrogates.permute(i, size, b"k", "x") for i in range(size)) == list(range(size))
