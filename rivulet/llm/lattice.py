@@ -133,9 +133,11 @@ def _cell_column(column: str):
             by_dim: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(i)
-            for at in by_dim.values():
-                for i, k in zip(at, cells(_unit([vectors[i] for i in at]))):
-                    out[i] = once(k)
+            for rows in by_dim.values():
+                for first in range(0, len(rows), _ROWS_PER_BATCH):           # whatever the session's batches hold
+                    at = rows[first:first + _ROWS_PER_BATCH]
+                    for i, k in zip(at, cells(_unit([vectors[i] for i in at]))):
+                        out[i] = once(k)
             return out
         return run
     return text_udf(make, _KEYS)(column)
@@ -257,8 +259,6 @@ def _pair_rows(rows: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
                     threshold: float = THRESHOLD) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS_PER_BATCH))
     v = F.col("embedding")
     sound = (F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
              & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
@@ -279,7 +279,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("cid", "label", "key", "home", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")))
     carried = placed.join(classes.select(F.col("cid").alias("c"), "embedding", "size"), F.col("cid") == F.col("c")).drop("c")
-    carried = (carried.repartition("label", "key", "lo", "hi")
+    # by range, so that the blocks of one dense group spread evenly: their hashes may meet in one partition
+    carried = (carried.repartitionByRange("label", "key", "lo", "hi")
                .sortWithinPartitions("label", "key", "lo", "hi", F.size("embedding"), "cid"))
     found = scratch(_pair_rows(carried, threshold), "lattice-links")
     linked = found.filter("not edge").groupBy(F.col("a").alias("lc")).agg(F.sum("b").alias("links"))
