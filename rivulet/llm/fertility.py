@@ -164,6 +164,8 @@ def _size_class(pieces: str) -> Column:
     return F.floor(F.log2(F.greatest(F.col(pieces), F.lit(1))))
 
 
+#: Bins of a measured unit (a character per token, the whole byte share, a bit) whose counts give the quartiles.
+BINS = 1024
 MEASURED = ("n_pieces", "chars_per_token", "byte_share", "entropy")
 
 
@@ -214,10 +216,16 @@ def bands(figures: DataFrame) -> DataFrame:
     # written, so that the joins see their real size
     ranges = scratch(spark.createDataFrame(ranges, _RANGE + ", at_level int").coalesce(1), "fertility-ranges")
     wanted = scratch(ranges.select(F.col("source").alias("s"), "lo", "hi", "at_level").distinct().coalesce(1), "fertility-wanted")
-    q = (once.join(F.broadcast(wanted), (F.col("source") == F.col("s")) & (F.col("level") == F.col("at_level"))
-                   & F.col("size_class").between(F.col("lo"), F.col("hi")))
-         .groupBy("source", "at_level", "lo", "hi")
-         .agg(*[F.percentile_approx(c, [0.25, 0.75], 2000).alias(c) for c in MEASURED[1:]]))
+    within = once.join(F.broadcast(wanted), (F.col("source") == F.col("s")) & (F.col("level") == F.col("at_level"))
+                       & F.col("size_class").between(F.col("lo"), F.col("hi")))
+    # a histogram of fixed bins, summed inside the tasks: the same quartiles whatever the partitions
+    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.round(F.col(c) * BINS).cast("long").alias("bin"))
+                               for i, c in enumerate(MEASURED[1:])])).alias("x")
+    histogram = (within.select("source", "at_level", "lo", "hi", bins).select("source", "at_level", "lo", "hi", "x.*")
+                 .groupBy("source", "at_level", "lo", "hi", "m", "bin").agg(F.count(F.lit(1)).alias("n")))
+    q = histogram.groupBy("source", "at_level", "lo", "hi").agg(*[
+        F.transform(F.percentile(F.when(F.col("m") == i, F.col("bin")), [0.25, 0.75], F.col("n")), lambda v: v / BINS).alias(c)
+        for i, c in enumerate(MEASURED[1:])])
 
     def low(c, tolerance):
         return F.col(c)[0] - F.greatest((F.col(c)[1] - F.col(c)[0]) * FENCE, tolerance)

@@ -153,6 +153,17 @@ def test_fertility_keeps_plain_text_and_rejects_noise(spark):
     assert fertility.script("Привет мир abc") == "Cyrillic" and fertility.script("123") == "none"
 
 
+def test_bands_do_not_depend_on_partitions(real):
+    one, other = (sorted(map(tuple, fertility.judge(real.repartition(n), carry=["doc_id"]).select("doc.doc_id", "kept").collect()))
+                  for n in (1, 13))
+    assert one == other
+
+    def bands(n):
+        rows = fertility.judge(real.repartition(n), carry=["doc_id"]).select("f.*").withColumn("text_key", F.hash("n_pieces", "entropy"))
+        return sorted(map(tuple, fertility.bands(rows.repartition(n)).collect()), key=repr)
+    assert bands(1) == bands(13)
+
+
 def test_fertility_empty(none):
     assert fertility.judge(none).count() == 0
 
