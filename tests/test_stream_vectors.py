@@ -67,6 +67,21 @@ def test_stream_of_unordered_samples_equals_batch(spark, kind):
     assert kept["transformWithStateInPandasExec"] == 0                          # nothing is held after the last step
 
 
+def test_stream_runs_in_a_session_without_a_named_state_store(spark):
+    """A caller's session has Spark's default provider, which holds one state per operator; it is left as it was."""
+    named = spark.conf.get(tables.STATE_STORE)
+    spark.conf.unset(tables.STATE_STORE)
+    try:
+        rows = _samples(3, 40)
+        stream = _stream(spark, [*rows, CLOSE], SAMPLES, lambda r: r[2], files=2)
+        got, _ = _put_out(spark, panes.vector_stream(stream(), "delta", 300_000, 60_000).select("t", "lkey", "value"),
+                          "t long, lkey string, value double")
+        assert _triples(got) == _triples(ts.delta(_batch(spark, rows), 300_000, 60_000))
+        assert spark.conf.get(tables.STATE_STORE, None) is None
+    finally:
+        spark.conf.set(tables.STATE_STORE, named)
+
+
 def test_ratio_of_two_streams_equals_batch(spark):
     a, b = _samples(1, 80), [(s, k, t + 30_000, i, v * 2) for s, k, t, i, v in _samples(2, 80)]
     left, right = (_stream(spark, [*rows, CLOSE], SAMPLES, lambda r: r[2]) for rows in (a, b))
