@@ -245,12 +245,13 @@ def apply_bean_rules(readings: DataFrame, rules_by_key: dict, key_col: str = "co
     """
     flat = [(k, i, r) for k, rules in rules_by_key.items() for i, r in enumerate(rules)]
     bean = F.col(bean_col)
-    tail = F.substring_index(bean, ">", -1)                   # attribute: value
-    cut = F.instr(tail, ": ")
-    text = F.substring(tail, cut + 2, F.length(tail))
+    # each step is expanded from a one-element array: computed once, for the columns and for the filters below
+    ends = readings.select("*", F.explode(F.array(F.substring_index(bean, ">", -1))).alias("_tail"))        # attribute: value
+    cut = F.instr("_tail", ": ")
+    text = F.substring("_tail", cut + 2, F.length("_tail"))
     plain = (cut > 0) & (text != "") & (F.translate(text, _BEAN_MARKS, "") == text)
-    marked = readings.withColumn("_bean", F.when(F.coalesce(plain, F.lit(False)), F.substring(
-        bean, F.lit(1), F.length(bean) - F.length(tail) + cut - 1)))
+    marked = ends.select(*readings.columns, F.explode(F.array(F.when(F.coalesce(plain, F.lit(False)), F.substring(
+        bean, F.lit(1), F.length(bean) - F.length("_tail") + cut - 1)))).alias("_bean"))
 
     beans = marked.where(F.col("_bean").isNotNull()).select(key_col, "_bean").distinct()
     tried = (beans.withColumn("_v", F.explode(F.array(*[F.lit(v) for v in _STAND_INS])))

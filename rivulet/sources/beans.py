@@ -122,21 +122,39 @@ def reading_sql(component=None) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def _by_index(cases: list[str]) -> str:
+    """``CASE`` over the index ``i`` of a reading; readings with equal SQL share a branch."""
+    shared: dict[str, list[str]] = {}
+    for i, sql in enumerate(cases):
+        shared.setdefault(sql, []).append(str(i))
+    return "CASE " + " ".join(f"WHEN i IN ({', '.join(on)}) THEN {sql}" for sql, on in shared.items()) + " END"
+
+
 def bean_readings(spark: SparkSession, sf_dir: str, component=None) -> DataFrame:
-    """``component, bean, ts (epoch ms), sample_id, value`` per reading."""
-    rs = reading_sql(component)
+    """``component, bean, ts (epoch ms), sample_id, value`` per reading.
+
+    An event is expanded into the indices of its readings, and a reading's text is made from its index: names and values are
+    two ``CASE`` expressions, and the value is printed by one expression for all.  (One array of all
+    finished readings per event makes a generated method that is too long for the JVM to compile.)
+    """
+    if isinstance(component, str):
+        component = (component,)
+    rs = [r for r in READINGS if not component or r[1] in component]
     types = sorted({et for et, *_ in rs})
     ev = (read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "user_id"])
           .where(F.col("event_type").isin(types)))
     ev = spread(ev, "event_id")                                  # one event makes many readings
-    case = "CASE " + " ".join(
-        f"WHEN event_type = '{et}' THEN array("
-        + ", ".join(f"named_struct('component', '{comp}', 'bean', {b}, 'value', {v})"
-                    for t, comp, b, v in rs if t == et) + ")"
-        for et in types) + " END"
-    arr = F.expr(case)
-    return ev.select(F.col("event_id").alias("sample_id"), epoch_millis("ts").alias("ts"),
-                     F.explode(arr).alias("r")).select("r.component", "r.bean", "ts", "sample_id", "r.value")
+    found = "CASE " + " ".join(
+        f"WHEN event_type = '{et}' THEN array({', '.join(str(i) for i, r in enumerate(rs) if r[0] == et)})" for et in types) + " END"
+    indexed = ev.select("event_id", "ts", "value", "user_id", F.explode(F.expr(found)).alias("i"))
+    # a one-element array is expanded once, however many columns and filters take from it
+    made = F.struct(F.expr(_by_index([f"'{comp}'" for _, comp, *_ in rs])).alias("component"),
+                    F.expr(_by_index([bean for _, _, bean, *_ in rs])).alias("name"),
+                    F.expr(_by_index([f"CAST({val} AS DOUBLE)" for *_, val, _ in rs])).alias("value"))
+    named = indexed.select("event_id", "ts", "i", F.explode(F.array(made)).alias("r"))
+    text = F.expr(_by_index([_value_text("r.value", kind) for *_, kind in rs]))
+    whole = named.select("event_id", "ts", "r", F.explode(F.array(F.concat("r.name", F.lit(": "), text))).alias("bean"))
+    return whole.select("r.component", "bean", epoch_millis("ts").alias("ts"), F.col("event_id").alias("sample_id"), "r.value")
 
 
 def readings_sql_cte(component=None) -> str:

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from conftest import SMALL
 from rivulet.plans import alert_queries as aq
 from rivulet.plans.catalog import explain
+from rivulet.sources.beans import bean_readings
 
 
 def _plan(spark, name):
@@ -39,6 +40,18 @@ def test_rule_chain_evaluated_once(spark):
     assert sum(s.count("RLIKE") for s in sections) <= 29 * 2
 
 
+def test_bean_readings_are_compiled(spark):
+    """The JVM interprets generated methods of 8,000 bytes and more."""
+    modes = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+    spark.conf.set("spark.sql.adaptive.enabled", "false")          # adaptive plans have no code before they run
+    try:
+        made = bean_readings(spark, SMALL)._jdf.queryExecution().explainString(modes.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", made)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_series_sequences_shuffle_on_series_and_time_bucket(spark):
     """A hot series must not become one task: the lag/running-sum windows
     behind counters, rates and offsets hash-partition on (series, bucket)."""
