@@ -161,6 +161,9 @@ SINK_VALUE = T.StructType([
         T.StructField("zipcode", T.LongType())]))])
 
 
+JSON_START = r"\A[\x00-\x20\x{FEFF}]*[{\[]"
+
+
 def validate_orders(records: DataFrame) -> DataFrame:
     """Decode record values and attach an ``error`` (NULL when valid).
 
@@ -169,7 +172,8 @@ def validate_orders(records: DataFrame) -> DataFrame:
     """
     s = T.StructType(SINK_VALUE.fields + [T.StructField("_corrupt_record", T.StringType())])
     v = F.from_json(F.col("value"), s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    d = records.withColumn("v", v)
+    # what does not begin like an object or an array never decodes: the parser would only throw, at more than the cost of a good row
+    d = records.withColumn("v", F.when(F.col("value").rlike(JSON_START), v))
     pk = F.col("v.orderid").try_cast("bigint")
     err = (F.when(F.col("value").isNull(), F.lit("null value"))
            .when(F.col("v").isNull() | F.col("v._corrupt_record").isNotNull(), F.lit("value is not valid JSON"))
@@ -182,6 +186,13 @@ def validate_orders(records: DataFrame) -> DataFrame:
     return d.withColumn("error", err).withColumn("_pk", pk)
 
 
+def checked_orders(records: DataFrame) -> DataFrame:
+    """:func:`validate_orders` as a sink keeps it: what was decoded of the valid records, the value of the others."""
+    bad = F.col("error").isNotNull()
+    return validate_orders(records).select("topic", "partition", "offset", "key", F.when(bad, F.col("value")).alias("value"),
+                                           F.when(~bad, F.col("v").dropFields("_corrupt_record")).alias("v"), "error", "_pk")
+
+
 def sink_rows(valid: DataFrame) -> DataFrame:
     """Valid records flattened into the sink layout (``address_city`` ...),
     with the log position kept for ordering."""
@@ -225,7 +236,7 @@ class OrdersSink:
         self.retry_timeout_s, self.retry_max_delay_s = retry_timeout_s, retry_max_delay_s
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        checked = validate_orders(batch).persist()
+        checked = checked_orders(batch).persist()
         try:
             good = sink_rows(checked.where(F.col("error").isNull()))
             bad = dead_letters(checked.where(F.col("error").isNotNull()), batch_id, self.connector)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rivulet import schema as S
 from rivulet.plans.catalog import Catalog, explain
 from conftest import SMALL
+from rivulet.plans import stream_queries
 from rivulet.plans.stream_queries import late_table
 from rivulet.sources.tables import listings, read_table
 from rivulet.streaming import alert_state, sinks, storage, tables
@@ -358,3 +359,47 @@ def test_sketches_merge_within_their_error(spark):
     for k in range(3):
         exact |= {r.itemid for r in orders.where(F.xxhash64("itemid", F.lit(k)) % 2 == 0).select("itemid").distinct().collect()}
     assert abs(tables.merged_sketches(merged).first().unique_items / len(exact) - 1) < 0.05
+
+
+# --- the sink at size ------------------------------------------------------------------------
+
+def test_a_large_range_is_read_by_several_tasks(spark):
+    df = spark.range(600_000).select("id", (F.col("id") % 2).alias("p"))
+    path, files = src.stage_topic(spark, "large", (storage.fresh_path(spark, "k"),), lambda: df, "p", 2)
+    assert files >= 2 and spark.read.parquet(path + "/data").count() == 600_000
+
+
+def test_deliveries_are_made_while_the_topic_is_written(spark):
+    cols = "topic string, partition int, offset long, timestamp long, key string, value string"
+    r = spark.createDataFrame([("Orders", i % 2, i, 1000 * i, str(i), None if i == 3 else '{"n": %d, "s": "%s"}' % (i, "x" * i))
+                               for i in range(100)], cols)
+    binary = r.withColumn("topic", F.lit("Orders-binary")).withColumn("value", F.regexp_replace(F.base64("value"), "[\\r\\n]", ""))
+    path, files = src.stage_topic(spark, "twice", (storage.fresh_path(spark, "k"),), lambda: r, "timestamp", 3, 40,
+                                  deliver=stream_queries._deliveries)
+    rows = [tuple(x) for x in spark.read.schema(cols).parquet(path + "/data").collect()]
+    assert sorted(rows, key=repr) == sorted(map(tuple, r.unionByName(r).unionByName(binary).collect()), key=repr)
+    assert files == 3                                                             # of 102 rows that a range delivers
+
+
+ODD_VALUES = ["", " ", "null", "true", "7", '"{}"', "x{", "/{}", "{}", " \t\r\n{}", "[]", "[{}]", "{not json", "[1", "e30=",
+              "\ufeff{}", " {}", "\x00{}", "\x0b{}", "\x1f{}", "\n\nx\n{}", " {}",
+              '\n\n[{"orderid": 1, "ordertime": 1, "itemid": "i", "orderunits": 1}]',
+              ' {"orderid": "5", "ordertime": 1, "itemid": "i", "orderunits": 1}']
+
+
+def test_values_that_cannot_decode_are_told_apart_unparsed(spark, monkeypatch):
+    df = spark.createDataFrame([(str(i), v, "t", 0, i) for i, v in enumerate(ODD_VALUES)],
+                               "key string, value string, topic string, partition int, offset long")
+    told = {r.key: (r.error, r._pk) for r in validate_orders(df).collect()}
+    monkeypatch.setattr(sinks, "JSON_START", "")                                   # every value is parsed
+    assert told == {r.key: (r.error, r._pk) for r in validate_orders(df).collect()}
+    assert told[str(len(ODD_VALUES) - 1)] == (None, 5)
+
+
+def test_a_sink_keeps_values_of_dead_letters_alone(spark):
+    good = '{"ordertime": 1, "orderid": "7", "itemid": "i", "orderunits": 1.5, "address": null}'
+    rows = [("1", good), ("2", "bad"), ("3", '{"orderid": "8"}'), ("4", None)]
+    df = spark.createDataFrame([(k, v, "t", 0, i) for i, (k, v) in enumerate(rows)],
+                               "key string, value string, topic string, partition int, offset long")
+    got = {r.key: (r.value, r.v is None, r.error is None) for r in sinks.checked_orders(df).collect()}
+    assert got == {"1": (None, False, True), "2": ("bad", True, False), "3": ('{"orderid": "8"}', True, False), "4": (None, True, False)}
