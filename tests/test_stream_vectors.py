@@ -144,3 +144,17 @@ def test_resolutions_follow_runs(spark):
     held = aq.al.hold_states(spark.createDataFrame(rows, "alert string, lkey string, t long, value double, for_ms long"), 3_600_000)
     ends = aq.al.resolutions(held, 3_600_000).collect()
     assert sorted((r.active_since // 3_600_000, r.t // 3_600_000) for r in ends) == [(1, 4), (9, 11)]
+
+
+def test_ratio_runs_in_a_session_without_a_named_state_store(spark):
+    named = spark.conf.get(tables.STATE_STORE)
+    spark.conf.unset(tables.STATE_STORE)
+    try:
+        a, b = _samples(1, 20), [(s, k, t, i, v * 2) for s, k, t, i, v in _samples(1, 20)]
+        left, right = (_stream(spark, [*rows, CLOSE], SAMPLES, lambda r: r[2], files=2) for rows in (a, b))
+        sides = [panes.vector_stream(s(), "instant", 300_000, 60_000) for s in (left, right)]
+        got, _ = _put_out(spark, panes.divided(*sides, ts.ieee_divide), "t long, lkey string, value double")
+        found = got.where("lkey <> '-' and not isnan(value)").collect()
+        assert found and {r.value for r in found} == {0.5}
+    finally:
+        spark.conf.set(tables.STATE_STORE, named)

@@ -403,3 +403,14 @@ def test_a_sink_keeps_values_of_dead_letters_alone(spark):
                                "key string, value string, topic string, partition int, offset long")
     got = {r.key: (r.value, r.v is None, r.error is None) for r in sinks.checked_orders(df).collect()}
     assert got == {"1": (None, False, True), "2": ("bad", True, False), "3": ('{"orderid": "8"}', True, False), "4": (None, True, False)}
+
+
+def test_hold_runs_in_a_session_without_a_named_state_store(spark):
+    named = spark.conf.get(tables.STATE_STORE)
+    spark.conf.unset(tables.STATE_STORE)
+    try:
+        rows = [("A", f"g{g}", k * 60_000, 1.0, 60_000 * g) for g in range(3) for k in (*range(100, 104), *range(106, 109))]
+        got, _ = _stream_hold(spark, [rows, [CLOSE]])
+        assert got == _plain_hold(rows) and spark.conf.get(tables.STATE_STORE, None) is None
+    finally:
+        spark.conf.set(tables.STATE_STORE, named)
