@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.labels import labels_key
 from rivulet.plans import rules
-from rivulet.plans.vexpr import Cmp, Delta, Inst, Params, Rate
+from rivulet.plans.vexpr import Bin, Cmp, Delta, Inst, Params, Rate
 
 P = Params(step_ms=60_000, lookback_ms=150_000)
 TREES = {"level": Cmp(">", 3, Inst("gauge")), "moved": Cmp("!=", 0, Delta("gauge", (), 120_000)),
@@ -40,3 +40,12 @@ def test_rules_window_few_samples_of_a_step(spark):
     uses = [u for n in ("level", "moved") for u in rules.read_rule(n, TREES[n]).uses]
     kept = rules._needed(Source(spark), uses, P).groupBy("series", F.ceil(F.col("ts") / P.step_ms)).count()
     assert kept.agg(F.max("count")).first()[0] == 2
+
+
+def test_rates_are_exact_sums_divided_once(spark):
+    """Equal to the last bit, whatever the order in which rises are added."""
+    source, ratio = Source(spark), Cmp(">", 0, Bin("/", Rate("counter", (), 120_000), Rate("other", (), 180_000)))
+    trees = {"speed": TREES["speed"], "ratio": ratio}
+    got = sorted((r.rule, r.t, r.lkey, repr(r.value)) for r in rules.evaluate(source, trees, P).collect())
+    want = sorted((n, r.t, r.lkey, repr(r.value)) for n, tree in trees.items() for r in tree.df(source, P).collect())
+    assert got == want and {n for n, *_ in got} == set(trees)
