@@ -139,6 +139,15 @@ def test_a_small_range_leaves_hot_ranges_their_files(spark):
     assert spark.read.parquet(path + "/data").count() == 6020
 
 
+def test_ranges_keep_their_files_where_a_session_deals_rows_to_more_partitions(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.floor(F.col("id") / 1000).alias("p"))
+    dealt = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *cols: dealt(self, max(n, 23), *cols))
+    path, files = src.stage_topic(spark, "dealt", (storage.fresh_path(spark, "k"),), lambda: df, "p", 4, rows_per_file=400)
+    assert files == 3 and storage.count_files(spark, path + "/data", ".parquet") == 12
+    assert spark.read.parquet(path + "/data").distinct().count() == 4000
+
+
 def test_resolutions_follow_runs(spark):
     rows = [("A", "x", h * 3_600_000, 1.0, 3_600_000) for h in (1, 2, 3, 7, 9, 10)]
     held = aq.al.hold_states(spark.createDataFrame(rows, "alert string, lkey string, t long, value double, for_ms long"), 3_600_000)
