@@ -34,57 +34,70 @@ LATENESS = "10 minutes"
 
 
 # ---------------------------------------------------------------- merging panes
+#
+# A null and a NaN are one and the same in pandas.  So panes say whether a reading is known (``first_ok``, ``last_ok``; a
+# NaN is) and of how many it is the sum (``rises``, ``known``), and every merged value comes with whether it is known.
 
 def _sums(panes: pd.DataFrame, lo: np.ndarray, hi: np.ndarray, column: str) -> np.ndarray:
-    """Sum of a column over the panes ``lo .. hi`` of each step."""
+    """Sum of a column over the panes ``lo .. hi`` of each step (0 for none)."""
     padded = np.r_[panes[column].to_numpy(float), 0.0]
     bounds = np.column_stack([lo, hi + 1]).ravel()
-    return np.add.reduceat(padded, bounds)[::2]
+    return np.where(lo <= hi, np.add.reduceat(padded, bounds)[::2], 0.0)
 
 
 def _rise(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Counter increase between two readings; a fall is a reset."""
+    """Counter increase between two readings; a fall is a reset, and after an unknown reading all counts."""
     return np.where(after >= before, after - before, after)
 
 
 def _increase(panes, lo, hi, range_s):
+    ok = panes["first_ok"].to_numpy() > 0
     cross = np.r_[0.0, _rise(panes["last_v"].to_numpy()[:-1], panes["first_v"].to_numpy()[1:])]     # from the pane before
-    total = _sums(panes.assign(cross=panes["inc"].to_numpy() + cross), lo, hi, "cross") - cross[lo]
-    return total, _sums(panes, lo, hi, "n") >= 2
+    p = panes.assign(cross=np.where(ok, cross, 0.0), ok=ok)
+    total = _sums(p, lo, hi, "inc") + _sums(p, lo + 1, hi, "cross")
+    return total, _sums(p, lo, hi, "n") >= 2, _sums(p, lo, hi, "rises") + _sums(p, lo + 1, hi, "ok") > 0
 
 
 def _rate(panes, lo, hi, range_s):
-    total, enough = _increase(panes, lo, hi, range_s)
-    return total / range_s, enough
+    total, enough, known = _increase(panes, lo, hi, range_s)
+    return total / range_s, enough, known
 
 
 def _delta(panes, lo, hi, range_s):
-    return panes["last_v"].to_numpy()[hi] - panes["first_v"].to_numpy()[lo], _sums(panes, lo, hi, "n") >= 2
+    at = np.flatnonzero(panes["last_ok"].to_numpy())                        # panes with a known reading
+    first, last = np.searchsorted(at, lo, "left"), np.searchsorted(at, hi, "right") - 1
+    known = first <= last
+    value = np.full(len(lo), np.nan)
+    value[known] = panes["last_v"].to_numpy()[at[last[known]]] - panes["first_v"].to_numpy()[at[first[known]]]
+    return value, _sums(panes, lo, hi, "n") >= 2, known
 
 
 def _last(panes, lo, hi, range_s):
-    return panes["last_v"].to_numpy()[hi], np.ones(len(lo), bool)
+    return panes["last_v"].to_numpy()[hi], np.ones(len(lo), bool), panes["last_ok"].to_numpy()[hi] > 0
 
 
 MERGES = {"rate": _rate, "increase": _increase, "delta": _delta, "instant": _last}
-SAMPLE_PANE = "end long, first_v double, last_v double, inc double, n long"
-COUNT_PANE = "end long, n long, total double"
+SAMPLE_PANE = "end long, first_v double, last_v double, inc double, n long, first_ok long, last_ok long, rises long"
+COUNT_PANE = "end long, n long, total double, known long"
 
 
-def merge(panes: pd.DataFrame, kind: str, after: int, until: int, range_ms: int, step_ms: int):
-    """(steps t, values) of the steps in ``(after, until]`` whose window holds panes (sorted by ``end``)."""
+def merge(panes: pd.DataFrame, kind: str, after: int | None, until: int, range_ms: int, step_ms: int):
+    """(steps t, values) of the steps in ``(after, until]`` (``after`` None: up to ``until``) whose window holds panes
+    (sorted by ``end``)."""
     end = panes["end"].to_numpy(np.int64)
     reach = np.minimum(end + range_ms, until + step_ms)                     # first step that doesn't hold the pane
-    starts = np.maximum(end, after + step_ms)
+    starts = end if after is None else np.maximum(end, after + step_ms)
     t = np.unique(np.concatenate([np.arange(a, b, step_ms) for a, b in zip(starts, reach)] or [np.empty(0, np.int64)]))
     t = t.astype(np.int64)
     if not len(t):
         return t, [np.empty(0)]
     lo, hi = np.searchsorted(end, t - range_ms, "right"), np.searchsorted(end, t, "right") - 1
-    if kind == "count":
-        return t, [_sums(panes, lo, hi, "n").astype(np.int64), _sums(panes, lo, hi, "total")]
-    value, enough = MERGES[kind](panes, lo, hi, range_ms / 1000.0)
-    return t[enough], [value[enough]]
+    with np.errstate(invalid="ignore"):                                     # infinity less infinity
+        if kind == "count":
+            return t, [_sums(panes, lo, hi, "n").astype(np.int64), _sums(panes, lo, hi, "total"),
+                       _sums(panes, lo, hi, "known").astype(np.int64)]
+        value, enough, known = MERGES[kind](panes, lo, hi, range_ms / 1000.0)
+    return t[enough], [value[enough], known[enough]]
 
 
 class Sliding(StatefulProcessor):
@@ -109,14 +122,15 @@ class Sliding(StatefulProcessor):
     def _advance(self, key, new, timerValues):
         names = [c.split()[0] for c in self.pane.split(", ")]
         held = list(self.panes.get()) if self.panes.exists() else []
-        panes = pd.DataFrame([*held, *new], columns=names).sort_values("end", ignore_index=True)
+        kinds = {c: "float64" if k == "double" else "int64" for c, k in (c.split() for c in self.pane.split(", "))}
+        panes = pd.DataFrame([*held, *new], columns=names).astype(kinds).sort_values("end", ignore_index=True)
         until = timerValues.getCurrentWatermarkInMs() // self.step_ms * self.step_ms
-        after = self.done.get()[0] if self.done.exists() else -self.range_ms
+        after = self.done.get()[0] if self.done.exists() else None
         t, values = merge(panes, self.kind, after, until, self.range_ms, self.step_ms)
         kept = panes[panes["end"] > until + self.step_ms - self.range_ms]
         if len(kept):
             self.panes.put([tuple(r) for r in kept.itertuples(index=False)])
-            self.done.update((max(after, until),))
+            self.done.update((until if after is None else max(after, until),))
             self.handle.registerTimer(int(max(until + self.step_ms, kept["end"].iloc[0])))
         else:
             self.panes.clear()
@@ -144,34 +158,50 @@ def slide(panes: DataFrame, kind: str, keys: Sequence[str], pane: str, values: S
 # ---------------------------------------------------------------- samples
 
 def _increase_inside(readings: Column) -> Column:
-    """Reset-aware increase over an array of (ts, id, value), in order."""
-    start = F.struct(F.lit(None).cast("double").alias("before"), F.lit(0.0).alias("inc"))
+    """Reset-aware increase over an array of (ts, id, value), in order, and the number of known rises that it is the sum of."""
+    start = F.struct(F.lit(False).alias("begun"), F.lit(None).cast("double").alias("before"), F.lit(0.0).alias("inc"),
+                     F.lit(0).cast("long").alias("rises"))
 
     def add(a, x):
         v = x["value"]
-        step = F.when(a["before"].isNull(), 0.0).when(v >= a["before"], v - a["before"]).otherwise(v)
-        return F.struct(v.alias("before"), (a["inc"] + step).alias("inc"))
-    return F.aggregate(F.array_sort(readings), start, add)["inc"]
+        step = F.when(v >= a["before"], v - a["before"]).otherwise(v)
+        known = a["begun"] & v.isNotNull()
+        return F.struct(F.lit(True).alias("begun"), v.alias("before"), (a["inc"] + F.when(known, step).otherwise(0.0)).alias("inc"),
+                        (a["rises"] + known.cast("long")).alias("rises"))
+    return F.aggregate(F.array_sort(readings), start, add)
 
 
-def sample_panes(samples: DataFrame, step_ms: int, lateness: str = LATENESS, increases: bool = True) -> DataFrame:
-    """series, lkey, end, first_v, last_v, inc, n per pane ``(end - step, end]`` of a stream of samples
-    (series, lkey, ts, sample_id, value), handed on when the watermark closes it."""
+def sample_panes(samples: DataFrame, step_ms: int, lateness: str = LATENESS, increases: bool = True,
+                 skip_unknown: bool = False) -> DataFrame:
+    """series, lkey and the columns of ``SAMPLE_PANE`` per pane ``(end - step, end]`` of a stream of samples
+    (series, lkey, ts, sample_id, value), handed on when the watermark closes it.
+
+    ``n`` counts all samples; with ``skip_unknown`` the first and last one are those that have a value."""
     moment = F.struct("ts", F.col("sample_id").alias("id"), "value")
+    ends = F.when(F.col("value").isNotNull(), moment) if skip_unknown else moment
     at = samples.withColumn("at", instant_from_millis(F.col("ts") - F.lit(1))).withWatermark("at", lateness)
-    aggs = [F.min(moment).alias("first"), F.max(moment).alias("last"), F.count(F.lit(1)).alias("n")]
+    aggs = [F.min(ends).alias("first"), F.max(ends).alias("last"), F.count(F.lit(1)).alias("n")]
     if increases:
         aggs.append(F.collect_list(moment).alias("readings"))
     made = at.groupBy(F.window("at", f"{step_ms} milliseconds").alias("w"), "series", "lkey").agg(*aggs)
-    inc = _increase_inside(F.col("readings")) if increases else F.lit(0.0)
+    inside = _increase_inside(F.col("readings")) if increases else F.struct(F.lit(0.0).alias("inc"), F.lit(0).cast("long").alias("rises"))
+    made = made.withColumn("inside", inside)
     return made.select(F.window_time("w").alias("at"), "series", "lkey", F.unix_millis("w.end").alias("end"),
-                       F.col("first.value").alias("first_v"), F.col("last.value").alias("last_v"), inc.alias("inc"), "n")
+                       F.col("first.value").alias("first_v"), F.col("last.value").alias("last_v"), F.col("inside.inc").alias("inc"), "n",
+                       F.col("first.value").isNotNull().cast("long").alias("first_ok"),
+                       F.col("last.value").isNotNull().cast("long").alias("last_ok"), F.col("inside.rises").alias("rises"))
+
+
+def _told(value: str, known: Column) -> Column:
+    """A merged value: null where it is not known, and NaN where it is but came back as a null."""
+    return F.when(known, F.coalesce(F.col(value), F.lit(float("nan")))).alias(value)
 
 
 def vector_stream(samples: DataFrame, kind: str, range_ms: int, step_ms: int, lateness: str = LATENESS) -> DataFrame:
     """``rate``, ``increase``, ``delta`` or ``instant`` vector of a stream of samples: series, lkey, t, value, at."""
-    panes = sample_panes(samples, step_ms, lateness, kind in ("rate", "increase"))
-    return slide(panes, kind, ["series", "lkey"], SAMPLE_PANE, ["value"], ["double"], range_ms, step_ms)
+    panes = sample_panes(samples, step_ms, lateness, kind in ("rate", "increase"), kind == "delta")
+    made = slide(panes, kind, ["series", "lkey"], SAMPLE_PANE, ["value", "known"], ["double", "boolean"], range_ms, step_ms)
+    return made.select("series", "lkey", "t", _told("value", F.col("known")), "at")
 
 
 def divided(left: DataFrame, right: DataFrame, ratio) -> DataFrame:
@@ -192,8 +222,11 @@ def hopping_by_state(orders: DataFrame, size_ms: int, step_ms: int, lateness: st
     """Count and average units per state and hopping window, from one pane per (state, step)."""
     s = orders.withColumn("state", F.col("address.state")).withWatermark("event_time", lateness)
     panes = (s.groupBy(F.window("event_time", f"{step_ms} milliseconds").alias("w"), "state")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("orderunits").alias("total"))
-             .select(F.window_time("w").alias("at"), "state", F.unix_millis("w.end").alias("end"), "n", "total"))
-    made = slide(panes, "count", ["state"], COUNT_PANE, ["n", "total"], ["long", "double"], size_ms, step_ms)
-    return made.select("state", (F.col("t") - size_ms).alias("window_start"), F.col("t").alias("window_end"),
-                       F.col("n").alias("order_count"), (F.col("total") / F.col("n")).alias("avg_units"))
+             .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("orderunits"), F.lit(0.0)).alias("total"),
+                  F.count("orderunits").alias("known"))
+             .select(F.window_time("w").alias("at"), "state", F.unix_millis("w.end").alias("end"), "n", "total", "known"))
+    made = slide(panes, "count", ["state"], COUNT_PANE, ["n", "total", "known"], ["long", "double", "long"], size_ms, step_ms)
+    told = made.withColumn("total", _told("total", F.col("known") > 0))
+    return told.select("state", (F.col("t") - size_ms).alias("window_start"), F.col("t").alias("window_end"),
+                       F.col("n").alias("order_count"),
+                       F.when(F.col("known") > 0, F.col("total") / F.col("known")).alias("avg_units"))

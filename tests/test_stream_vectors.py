@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import timeseries as ts
 from rivulet.plans import alert_queries as aq
+from rivulet.plans import sqlgen as q
 from rivulet.streaming import alert_state, panes, storage, tables
 from rivulet.streaming import sources as src
 
@@ -167,3 +168,44 @@ def test_ratio_runs_in_a_session_without_a_named_state_store(spark):
         assert found and {r.value for r in found} == {0.5}
     finally:
         spark.conf.set(tables.STATE_STORE, named)
+
+
+@pytest.mark.parametrize("kind", ["rate", "delta", "instant"])
+def test_unknown_and_infinite_readings_follow_the_sql(spark, kind):
+    """A null reading counts as a sample without a value; a NaN, and infinity less infinity, is a value."""
+    import duckdb
+    rng, inf = random.Random(5), float("inf")
+    odd = [None, None, None] if kind == "rate" else [None, None, float("nan"), inf, inf, -inf]
+    gap = range(T0 + 1_500_000, T0 + 2_700_000)                                    # all null
+    rows = [(s, k, t, i, None if t in gap else rng.choice(odd) if rng.random() < 0.4 or t < T0 + 900_000 else v)
+            for s, k, t, i, v in _samples(5, 90)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (series VARCHAR, lkey VARCHAR, ts BIGINT, sample_id BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?, ?, ?)", rows)
+    src_sql = "(SELECT *, 'm' AS metric, MAP {'s': series} AS labels FROM s)"
+    cte = {"rate": lambda: q.increase("v", src_sql, 300_000, 60_000, True), "delta": lambda: q.delta("v", src_sql, 300_000, 60_000),
+           "instant": lambda: q.instant("v", src_sql, 60_000, 300_000)}[kind]()
+    shown = lambda v: None if v is None else str(round(v, 6) + 0.0)                # noqa: E731
+    want = sorted((k, t, shown(v)) for k, t, v in con.execute(f"WITH {cte} SELECT lkey, t, value FROM v").fetchall())
+    stream = _stream(spark, [*rows, CLOSE], SAMPLES, lambda r: r[2])
+    got, _ = _put_out(spark, panes.vector_stream(stream(), kind, 300_000, 60_000).select("t", "lkey", "value"),
+                      "t long, lkey string, value double")
+    found = [(r.lkey, r.t, shown(r.value)) for r in got.where("lkey <> '-'").collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    values = {v for _, _, v in found}
+    assert None in values and (kind == "rate" or {"nan", "inf", "-inf"} <= values)
+
+
+def test_hopping_average_leaves_out_unknown_units(spark):
+    schema = "event_time timestamp, orderunits double, address struct<state: string>"
+    from datetime import datetime
+    at = lambda minute: datetime.fromtimestamp(T0 // 1000 // 3600 * 3600 + 60 * minute)      # noqa: E731
+    rows = [(at(0), None, ("X",)), (at(0), 4.0, ("X",)), (at(1), None, ("X",)), (at(2), 8.0, ("X",)), (at(9), None, ("X",)),
+            (at(10**6), 0.0, ("-",))]
+    stream = _stream(spark, rows, schema, lambda r: r[0], files=2)()
+    got, _ = _put_out(spark, panes.hopping_by_state(stream, 300_000, 60_000, "1 minute"),
+                      "state string, window_start long, window_end long, order_count long, avg_units double")
+    base = T0 // 3_600_000 * 3600
+    found = {(r.window_start // 1000 - base) // 60: (r.order_count, r.avg_units) for r in got.where("state = 'X'").collect()}
+    assert found == {-4: (2, 4.0), -3: (3, 4.0), -2: (4, 6.0), -1: (4, 6.0), 0: (4, 6.0), 1: (2, 8.0), 2: (1, 8.0),
+                     5: (1, None), 6: (1, None), 7: (1, None), 8: (1, None), 9: (1, None)}
