@@ -106,10 +106,10 @@ def _running_all(df: DataFrame, keys: list[str], total: str, out: str, block: in
     inner = _running(blocked, total, [name], keys, out)
     if not sums.agg(F.max(name)).first()[0]:                 # one block, or no row
         return inner.drop(name)
-    before = _running_all(sums, [name], "block_total", "block_before", 1000).select(
-        F.col(name).alias("block_key"), "block_before")
+    carried = f"before_{name}"                               # a name of its own at every level
+    before = _running_all(sums, [name], "block_total", carried, 1000).select(F.col(name).alias("block_key"), carried)
     return (inner.join(before, inner[name] == before["block_key"])
-            .withColumn(out, F.col(out) + F.col("block_before")).drop(name, "block_key", "block_before"))
+            .withColumn(out, F.col(out) + F.col(carried)).drop(name, "block_key", carried))
 
 
 def _shares(sources: DataFrame, targets: Mapping[str, float] | None) -> Column:

@@ -254,6 +254,29 @@ def test_schedule_equals_replayed_round_robin(spark, targets):
     assert [(w, source[r], r) for _, r, w in got] == replayed(queues, 250, weights)
 
 
+@pytest.mark.parametrize("count", [900, 2_500, 1_200_000])
+def test_running_sums_over_many_blocks(spark, count):
+    """One, two and three levels of block sums: a block holds one key, then 1,000 blocks."""
+    rows = spark.range(0, count, 1, 4).select(F.col("id").alias("k"), (F.col("id") % 7 + 1).alias("n"))
+    out = packing._running_all(rows, ["k"], "n", "base", 1)
+    assert out.columns == ["k", "n", "base"]
+    # of 1..7 again and again: 28 in each whole round, then 1 + .. + (k mod 7)
+    want = F.floor(F.col("k") / 7) * 28 + (F.col("k") % 7) * (F.col("k") % 7 + 1) / 2
+    assert out.agg(F.count(F.lit(1)), F.countDistinct("k"), F.sum(F.when(F.col("base") == want, 1))).first() == (count,) * 3
+
+
+def test_schedule_over_more_windows_than_two_levels_hold(spark):
+    """17,000 windows, as of 1.1 billion tokens at the default window: more than 1,000 blocks of 16."""
+    tokens = spark.range(0, 34_000, 1, 4).select(F.col("id").alias("row"), F.when(F.col("id") % 4 != 0, "a").alias("source"),
+                                                 F.lit(8).cast("long").alias("n"))
+    rows = sorted((r.place, r.row, r.window) for r in packing.schedule(tokens, 16).collect())
+    assert [p for p, _, _ in rows] == list(range(0, 8 * 34_000, 8))      # gapless order
+    assert sorted(r for _, r, _ in rows) == list(range(34_000))
+    queues = {s: [(r, 8) for _, r, _ in rows if (r % 4 != 0) == (s == "a")] for s in (None, "a")}
+    weights = {s: float(len(q)) for s, q in queues.items()}
+    assert [(w, "a" if r % 4 else None, r) for _, r, w in rows] == replayed(queues, 16, weights)
+
+
 def test_windows_hold_the_target_mixture(spark):
     rng = random.Random(7)
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", rng.randint(1, 50)) for i in range(6000)]
