@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import partial
 
 import corpus_pipeline
 import numpy as np
@@ -416,6 +417,16 @@ def test_stages_keep_columns_and_take_effect(spark, real, odd):
     assert sum(EN * 5 == t for t in kept) <= 1
 
 
+def test_packing_stage_over_many_windows(spark, monkeypatch):
+    """More than 16,000 windows, which the default window reaches at 1.05 billion tokens."""
+    monkeypatch.setattr(packing, "pack", partial(packing.pack, window=2))
+    docs = spark.range(0, 16_400, 1, 4).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"),
+                                               F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    out = dict(corpus_pipeline.STAGES)["mixture_packing"](spark, docs, SMALL).cache()
+    assert out.agg(F.max("window")).first()[0] >= 16_000
+    check_packing(docs.collect(), out.collect())
+
+
 def test_stages_on_an_empty_table(spark, none):
     docs = none.drop("row")
     for _, stage in corpus_pipeline.STAGES[:-1]:
